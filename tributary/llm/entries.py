@@ -1,8 +1,11 @@
 """The queries of this package: op1 to op10 by name, and SQL where SQL can express them."""
 
-from tributary.llm import mixing
+from tributary.llm import bpe, media, mixing, token_output
 
 QUERIES = {
+    "op4_token_output": token_output.op4_token_output,
+    "op5_media_columns": media.op5_media_columns,
+    "op8_bpe": bpe.op8_bpe,
     "op9_mixing": mixing.op9_mixing,
 }
 ORACLES = {
