@@ -1,13 +1,17 @@
 """The queries of this package: op1 to op10 by name, and SQL where SQL can express them."""
 
-from tributary.llm import bpe, media, mixing, token_output
+from tributary.llm import bpe, media, mixing, quality, token_output, topk, toxicity
 
 QUERIES = {
+    "op3_quality_classifier": quality.op3_quality_classifier,
     "op4_token_output": token_output.op4_token_output,
     "op5_media_columns": media.op5_media_columns,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op8_bpe": bpe.op8_bpe,
     "op9_mixing": mixing.op9_mixing,
+    "op10_topk": topk.op10_topk,
 }
 ORACLES = {
     "op9_mixing": mixing.OP9_SQL,
+    "op10_topk": topk.OP10_SQL,
 }
