@@ -84,17 +84,17 @@ def text_key(column: Column) -> Column:
     return F.unhex(F.md5(column))
 
 
-def unique_texts(docs: DataFrame, id_col: str, text_col: str, order: bool = False) -> DataFrame:
-    """One row per distinct text: h, text, and first_id (the smallest id, null last) if asked for.
+def unique_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row per distinct text: h, text, first_id (the smallest id, null last) and copies.
 
     Copies are combined before the shuffle, so a text that a third of the rows
     share costs one row per task. The result is partitioned by h: later
     joins on h reuse this one shuffle of the text.
     """
     text = text_of(text_col)
-    rows = docs.select(text_key(text).alias("h"), text.alias("text"), *([F.col(id_col).cast("long").alias("i")] if order else []))
-    aggs = [F.first("text").alias("text")] + ([F.coalesce(F.min("i"), F.lit((1 << 63) - 1)).alias("first_id")] if order else [])
-    return rows.groupBy("h").agg(*aggs)
+    rows = docs.select(text_key(text).alias("h"), text.alias("text"), F.col(id_col).cast("long").alias("i"))
+    first = F.coalesce(F.min("i"), F.lit((1 << 63) - 1)).alias("first_id")
+    return rows.groupBy("h").agg(F.first("text").alias("text"), first, F.count(F.lit(1)).alias("copies"))
 
 
 def pieces(batch: pa.RecordBatch, limit: int = 4 << 20):
