@@ -59,9 +59,10 @@ def corpus(seed, n=60):
     return out
 
 
-@pytest.mark.parametrize("seed,hot", [(1, 400), (2, 400), (3, 3)])
-def test_bytes_match_brute_force(docs, monkeypatch, seed, hot):
+@pytest.mark.parametrize("seed,hot,huge", [(1, 400, 900), (2, 3, 900), (3, 3, 6)])
+def test_bytes_match_brute_force(docs, monkeypatch, seed, hot, huge):
     monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "HUGE", huge)
     monkeypatch.setattr(suffix_dedup, "GRAM", 12)
     texts = corpus(seed)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove_repeats(docs(texts), length=50).collect()}
@@ -71,9 +72,10 @@ def test_bytes_match_brute_force(docs, monkeypatch, seed, hot):
         assert got[k] == w, texts[k]
 
 
-@pytest.mark.parametrize("seed,hot", [(4, 400), (5, 400), (6, 3)])
-def test_words_match_brute_force(docs, monkeypatch, seed, hot):
+@pytest.mark.parametrize("seed,hot,huge", [(4, 400, 900), (5, 3, 900), (6, 3, 6)])
+def test_words_match_brute_force(docs, monkeypatch, seed, hot, huge):
     monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "HUGE", huge)
     texts = corpus(seed)
     ids = list(range(len(texts)))
     random.Random(seed).shuffle(ids)

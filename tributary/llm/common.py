@@ -80,8 +80,12 @@ def text_of(column: str) -> Column:
 
 
 def text_key(column: Column) -> Column:
-    """128 bits that stand for a text: equal texts form one class, however their ids repeat."""
-    return F.unhex(F.md5(column))
+    """128 bits that stand for a text: equal texts form one class, however their ids repeat.
+
+    Never null, and known to be: else joins on it would filter below the shuffle
+    of the text, which could then not be shared.
+    """
+    return F.coalesce(F.unhex(F.md5(column)), F.lit(b""))
 
 
 def unique_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -4,10 +4,13 @@ Each window belongs to an anchor: the smallest hash of the short grams inside
 it. Equal windows have equal anchors, and neighbouring windows mostly share
 theirs, so a text becomes a few runs of windows. Runs whose anchor no other
 run has can't repeat and go no further. The rest are cut out, with the bytes
-they cover, and meet in the shard of their anchor, where an index of the
-shard decides. An anchor with very many runs would overload one
-task: its windows are told apart one by one instead, by 128-bit hashes that are
-combined before they are shuffled.
+they cover, and meet in the shard of their anchor, where an index of the shard
+decides.
+
+An anchor with very many runs would overload one task. Of its runs, equal ones
+are combined before the shuffle and only the earliest of each goes to the
+index. Should even the distinct ones be too many for a shard, their windows
+are told apart by 128-bit hashes, which are combined in the same way.
 """
 
 from __future__ import annotations
@@ -23,13 +26,14 @@ from pyspark.sql import functions as F
 from tributary.llm.common import partitions, pieces, rows_of, text_buffer
 from tributary.llm.hashing import SPAN, between, grams, mixed, shingles, sliding_min, sums, word_hashes, word_spans
 
-#: Runs of an anchor beyond which its windows are handled one by one.
-HOT = 400
+#: Runs of an anchor beyond which equal ones are combined first, and beyond which no shard holds the rest.
+HOT, HUGE = 1000, 20_000
 #: Windows in a run at most; longer runs (of constant text) are cut.
 RUN = 1024
 
-ANCHORS = pa.schema([("key", pa.int64()), ("h", pa.binary()), ("a", pa.int32()), ("b", pa.int32()), ("m", pa.int32())])
-CUT = pa.schema([("key", pa.int64()), ("h", pa.binary()), ("id", pa.int64()), ("a", pa.int32()), ("excerpt", pa.binary())])
+ANCHORS = pa.schema([("key", pa.int64()), ("h", pa.binary()), ("run", pa.int64()), ("m", pa.int32())])
+CUT = pa.schema([("key", pa.int64()), ("h", pa.binary()), ("id", pa.int64()), ("a", pa.int32()), ("size", pa.int32()), ("huge", pa.bool_()), ("excerpt", pa.binary())])
+ROWS = ["key", "h", "id", "a", "excerpt"]
 WINDOWS = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("id", pa.int64()), ("h", pa.binary()), ("a", pa.int32())])
 SPANS = pa.schema([("h", pa.binary()), ("s", pa.int32()), ("e", pa.int32())])
 
@@ -111,45 +115,35 @@ def repeated(texts: DataFrame, unit: Unit, index: Index, first_stays: bool) -> D
     first_id, h and start, is not reported. All columns of texts are read each
     time, so that its shuffle is made once.
     """
-    spark = texts.sparkSession
+    spark, limits = texts.sparkSession, (HOT, HUGE)
 
     def find(batches):
         for whole in batches:
             for b in pieces(whole):
                 row, a, z, key, m = runs(unit, *unit.of(b.column("text"))[:2])
                 h = b.column("h").take(pa.array(row))
-                yield rows_of({"key": key.view(np.int64), "h": h, "a": a, "b": z, "m": m}, ANCHORS)
+                yield rows_of({"key": key.view(np.int64), "h": h, "run": (a << 11) | (z - a + 1), "m": m}, ANCHORS)
 
-    anchors = texts.mapInArrow(find, "key long, h binary, a int, b int, m int")
+    anchors = texts.mapInArrow(find, "key long, h binary, run long, m int")
     shared = anchors.groupBy("key").agg(F.sum("m").alias("n")).where("n > 1")
-    some = anchors.join(shared, "key").groupBy("h").agg(F.collect_list(F.struct("key", "a", "b", "n")).alias("runs"))
+    some = anchors.select("key", "h", "run").join(shared, "key").groupBy("h").agg(F.collect_list(F.struct("key", "run", "n")).alias("runs"))
     held = texts.join(some, "h")
 
-    def parts(b: pa.RecordBatch):
-        units, first, data, spans = unit.of(b.column("text"))
-        offsets = text_buffer(b.column("text"))[1]
-        for r, (h, i, found) in enumerate(zip(*(b.column(c).to_pylist() for c in ("h", "first_id", "runs")), strict=True)):
-            yield r, h, i, found, units, first, data, spans, offsets
+    def cutter(hot: bool):
+        def cut(batches):
+            for whole in batches:
+                for b in pieces(whole):
+                    yield cut_runs(unit, b, hot, limits)
 
-    def cut(batches):
-        for whole in batches:
-            for b in pieces(whole):
-                out: dict[str, list] = {f.name: [] for f in CUT}
-                for r, h, i, found, _, first, data, spans, offsets in parts(b):
-                    for x in found:
-                        if x["n"] > HOT:
-                            continue
-                        a, to = x["a"], x["b"] + unit.window
-                        if unit.words:
-                            s, e = spans[0][first[r] + a : first[r] + to], spans[1][first[r] + a : first[r] + to]
-                            piece = data[s[0] : e[-1]].tobytes()
-                            if e[-1] - s[0] != (e - s).sum() + len(s) - 1 or b"\n" in piece or b"\t" in piece:
-                                piece = b" ".join(data[p:q].tobytes() for p, q in zip(s, e, strict=True))
-                        else:
-                            piece = data[offsets[r] + a : offsets[r] + to].tobytes()
-                        for name, value in zip(out, (x["key"], h, i, a, piece), strict=True):
-                            out[name].append(value)
-                yield rows_of(out, CUT)
+        return cut
+
+    ddl = "key long, h binary, id long, a int, size int, huge boolean, excerpt binary"
+    excerpts = held.mapInArrow(cutter(False), ddl).select(*ROWS)
+    many = held.where(F.exists("runs", lambda x: x["n"] > HOT)).mapInArrow(cutter(True), ddl)
+    many = many.withColumn("e", F.md5("excerpt"))
+    where = F.struct("id", "h", "a")
+    distinct = many.groupBy("key", "e", "huge").agg(F.min(where).alias("lead"), F.first("excerpt").alias("excerpt"), F.count(F.lit(1)).alias("n"))
+    leads = distinct.where("not huge").select("key", "lead.h", "lead.id", "lead.a", "excerpt")
 
     def decide(batches):
         rows: list[tuple] = []
@@ -165,7 +159,7 @@ def repeated(texts: DataFrame, unit: Unit, index: Index, first_stays: bool) -> D
             return rows_of(out, SPANS)
 
         for b in batches:
-            for x in zip(*(b.column(c).to_pylist() for c in CUT.names), strict=True):
+            for x in zip(*(b.column(c).to_pylist() for c in ROWS), strict=True):
                 if size > SPAN // 2 and x[0] != rows[-1][0]:
                     yield report(rows)
                     rows, size = [], 0
@@ -174,32 +168,66 @@ def repeated(texts: DataFrame, unit: Unit, index: Index, first_stays: bool) -> D
         if rows:
             yield report(rows)
 
-    excerpts = held.mapInArrow(cut, "key long, h binary, id long, a int, excerpt binary")
-    cold = excerpts.repartition(partitions(spark), "key").sortWithinPartitions("key").mapInArrow(decide, "h binary, s int, e int")
+    shards = excerpts.unionByName(leads).repartition(partitions(spark), "key").sortWithinPartitions("key")
+    indexed = shards.mapInArrow(decide, "h binary, s int, e int")
+
+    members = many.select("key", "e", "h", "id", "a", "size").join(distinct.select("key", "e", "lead", "n"), ["key", "e"])
+    lead = (F.col("id") == F.col("lead.id")) & (F.col("h") == F.col("lead.h")) & (F.col("a") == F.col("lead.a"))
+    copies = members.where(~lead if first_stays else F.col("n") > 1).select("h", F.col("a").alias("s"), (F.col("a") + F.col("size") - 1).alias("e"))
 
     def split(batches):
         for whole in batches:
-            for b in pieces(whole):
-                for r, h, i, found, units, first, _data, _spans, _offsets in parts(b):
-                    hot = [x for x in found if x["n"] > HOT]
-                    if not hot:
-                        continue
-                    mine = units[first[r] : first[r + 1]]
-                    c = sums(mine) if not unit.words else sums(mixed(mine))
-                    d = sums(mixed(mine.astype(np.uint64) + np.uint64(0x51ED27)))
-                    at = np.concatenate([np.arange(x["a"], x["b"] + 1) for x in hot])
-                    one, two = between(c, at, at + unit.window), between(d, at, at + unit.window)
-                    n = len(at)
-                    yield rows_of({"w1": one.view(np.int64), "w2": two.view(np.int64), "id": np.full(n, i), "h": [h] * n, "a": at}, WINDOWS)
-
-    windows = held.where(F.exists("runs", lambda x: x["n"] > HOT)).mapInArrow(split, "w1 long, w2 long, id long, h binary, a int")
-    where = F.struct("id", "h", "a")
-    known = windows.groupBy("w1", "w2").agg(F.min(where).alias("leads"), F.count(F.lit(1)).alias("n")).where("n > 1")
+            for h, i, a, piece in zip(*(whole.column(c).to_pylist() for c in ("h", "id", "a", "excerpt")), strict=True):
+                mine = unit.of(pa.array([piece], pa.binary()).cast(pa.large_binary()))[0].astype(np.uint64)
+                c, d = sums(mixed(mine)), sums(mixed(mine + np.uint64(0x51ED27)))
+                at = np.arange(len(mine) - unit.window + 1)
+                one, two = between(c, at, at + unit.window), between(d, at, at + unit.window)
+                n = len(at)
+                yield rows_of({"w1": one.view(np.int64), "w2": two.view(np.int64), "id": np.full(n, i), "h": [h] * n, "a": a + at}, WINDOWS)
+
+    windows = distinct.where("huge").select("lead.h", "lead.id", "lead.a", "excerpt").mapInArrow(split, "w1 long, w2 long, id long, h binary, a int")
+    known = windows.groupBy("w1", "w2").agg(F.min(where).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
     again = windows.join(known, ["w1", "w2"])
     if first_stays:
-        again = again.where((F.col("id") != F.col("leads.id")) | (F.col("h") != F.col("leads.h")) | (F.col("a") != F.col("leads.a")))
-    hot = again.select("h", F.col("a").alias("s"), F.col("a").alias("e"))
-    return cold.unionByName(hot).groupBy("h").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+        again = again.where(~lead)
+    single = again.select("h", F.col("a").alias("s"), F.col("a").alias("e"))
+    return indexed.unionByName(copies).unionByName(single).groupBy("h").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+
+
+def cut_runs(unit: Unit, b: pa.RecordBatch, hot: bool, limits: tuple[int, int]) -> pa.RecordBatch:
+    """The runs of a batch's rows (those of anchors beyond HOT, or the others), each with the bytes that its windows cover.
+
+    Words stand with one space between.
+    """
+    _, first, data, spans = unit.of(b.column("text"))
+    raw = data.tobytes()
+    found = b.column("runs")
+    sizes = np.diff(found.offsets.to_numpy())
+    flat = found.flatten()
+    key, run, n = (flat.field(i).to_numpy() for i in range(3))
+    row = np.repeat(np.arange(b.num_rows), sizes)
+    take = (n > limits[0]) == hot
+    key, run, n, row = key[take], run[take], n[take], row[take]
+    a, size = run >> 11, run & 2047
+    low = first[row] + a
+    high = low + size + unit.window - 1
+    if unit.words:
+        starts, ends = spans
+        s, e = starts[low], ends[high - 1]
+        inside = np.concatenate([[0], np.cumsum(ends - starts)])
+        tight = inside[high] - inside[low] + (high - low - 1) == e - s
+        plain = raw.translate(_ONE_SPACE)
+        cut = [
+            plain[p:q] if t else b" ".join([raw[x:y] for x, y in zip(starts[i:j].tolist(), ends[i:j].tolist(), strict=True)])
+            for p, q, t, i, j in zip(s.tolist(), e.tolist(), tight.tolist(), low.tolist(), high.tolist(), strict=True)
+        ]
+    else:
+        cut = [raw[p:q] for p, q in zip(low.tolist(), high.tolist(), strict=True)]
+    at = pa.array(row)
+    return rows_of({"key": key, "h": b.column("h").take(at), "id": b.column("first_id").take(at), "a": a, "size": size, "huge": n > limits[1], "excerpt": cut}, CUT)
+
+
+_ONE_SPACE = bytes(32 if x in (9, 10, 11, 12, 13) else x for x in range(256))
 
 
 def covered(n: int, window: int, spans: list | None) -> np.ndarray:

@@ -16,11 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.llm.common import pieces, prepare, rows_of, text_buffer, text_key, text_of, unique_texts
-from tributary.llm.hashing import word_spans
+from tributary.llm.hashing import mixed, word_spans
 from tributary.llm.repeats import Unit, covered, repeated
 from tributary.llm.suffix import FmIndex
 
-LENGTH, GRAM = 20, 5
+LENGTH, GRAM = 20, 4
 
 
 def shard_repeats(length: int):
@@ -30,7 +30,7 @@ def shard_repeats(length: int):
     window is a pattern of few symbols; the grams of each phase are a sequence of
     their own. Equal excerpts enter once, as the earliest of them.
     """
-    size = next(s for s in (4, 5, 3, 2, 1) if length % s == 0)
+    size = next(s for s in (5, 4, 3, 2, 1) if length % s == 0)
     steps = length // size
 
     def index(rows: list[tuple]) -> list[np.ndarray]:
@@ -49,12 +49,11 @@ def shard_repeats(length: int):
         owner = np.repeat(np.arange(len(words)), lengths)
         offset = np.arange(len(flat)) - base[owner]
         gram_at = np.flatnonzero(offset + size <= lengths[owner])
-        symbol = flat[gram_at]
-        for j in range(1, size):
-            _, symbol = np.unique(symbol * (len(flat) + len(names) + 2) + flat[gram_at + j], return_inverse=True)
-            symbol = symbol.astype(np.int64)
-        if size > 1:
-            symbol += 1
+        joint = np.zeros(len(gram_at), np.uint64)
+        for j in range(size):
+            joint = mixed(joint + flat[gram_at + j].astype(np.uint64))
+        _, symbol = np.unique(joint, return_inverse=True)
+        symbol = symbol.astype(np.int64) + 1
         # Sequence of gram g: its excerpt and phase; each sequence ends with a 0.
         sequence = owner[gram_at] * size + offset[gram_at] % size
         by = np.lexsort((offset[gram_at], sequence))

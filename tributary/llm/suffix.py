@@ -71,9 +71,10 @@ class PrefixFreeParse:
             parse[k] = known.setdefault((raw[b:e], f), len(known))
         self.parse, self.phrases = parse, list(known)
 
-    def order_ranks(self) -> np.ndarray:
-        """Rank of each text position's suffix among all; ties only between wholly equal suffixes."""
-        if not len(self.data):
+    def order_ranks(self, at: np.ndarray | None = None) -> np.ndarray:
+        """Rank of the suffixes at these text positions (all, if none are named); ties only between wholly equal suffixes."""
+        at = np.arange(len(self.data)) if at is None else at
+        if not len(at):
             return np.zeros(0, np.int64)
         sizes = np.array([len(p) for p, _ in self.phrases], np.int64)
         ends = np.cumsum(sizes)
@@ -83,21 +84,18 @@ class PrefixFreeParse:
         order_of_phrase = by_suffix[begins[self.parse]] * 2 + np.array([f for _, f in self.phrases], np.int64)[self.parse]
         text_of_phrase = self.text[self.begin]
         phrase_end = np.searchsorted(text_of_phrase, text_of_phrase, side="right")
-        depth = int(np.bincount(text_of_phrase).max())
-        below = ranks(order_of_phrase, phrase_end, depth)
-        owner = np.repeat(np.arange(len(self.begin)), np.diff(np.append(self.begin, len(self.data))))
-        inside = np.arange(len(self.data)) - self.begin[owner]
-        first = by_suffix[begins[self.parse[owner]] + inside]
-        after = np.where(self.final[owner], 0, np.append(below, 0)[owner + 1])
-        return first * (int(below.max()) + 2) + after
+        below = ranks(order_of_phrase, phrase_end, int(np.bincount(text_of_phrase).max()))
+        owner = np.searchsorted(self.begin, at, side="right") - 1
+        first = by_suffix[begins[self.parse[owner]] + at - self.begin[owner]]
+        return first * (int(below.max()) + 2) + np.where(self.final[owner], 0, np.append(below, 0)[owner + 1])
 
     def classes(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         """(positions, class): windows of length bytes in corpus order; neighbours with that long a common prefix share a class."""
-        n = len(self.data)
-        fits = np.flatnonzero(np.arange(n) + length <= self.ends[self.text]) if n else np.zeros(0, np.int64)
-        if not len(fits):
-            return fits, fits
-        order = fits[np.argsort(self.order_ranks()[fits], kind="stable")]
+        fits = [np.arange(s, max(s, e - length + 1)) for s, e in zip(self.starts, self.ends, strict=True)]
+        at = np.concatenate(fits) if fits else np.zeros(0, np.int64)
+        if not len(at):
+            return at, at
+        order = at[np.argsort(self.order_ranks(at), kind="stable")]
         c = sums(self.data)
         h = between(c, order, order + length)
         return order, np.cumsum(np.concatenate([[0], h[1:] != h[:-1]]))
@@ -117,17 +115,17 @@ class WaveletMatrix:
             self.levels.append((k, words, counts, zeros))
             values = np.concatenate([values[~on], values[on]])
 
+    def walk(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Where positions end up when they follow their symbols' bits through all levels."""
+        for k, words, counts, zeros in self.levels:
+            w = at >> 6
+            ones = counts[w] + np.bitwise_count(words[w] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)))
+            at = np.where((symbols >> k) & 1, zeros + ones, at - ones)
+        return at
+
     def rank(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often each symbol occurs before at."""
-        lo, hi = np.zeros_like(at), at
-        for k, words, counts, zeros in self.levels:
-            bit = ((symbols >> k) & 1).astype(bool)
-            ones = []
-            for p in (lo, hi):
-                w = p >> 6
-                ones.append(counts[w] + np.bitwise_count(words[w] & ((np.uint64(1) << (p & 63).astype(np.uint64)) - np.uint64(1))).astype(np.int64))
-            lo, hi = np.where(bit, zeros + ones[0], lo - ones[0]), np.where(bit, zeros + ones[1], hi - ones[1])
-        return hi - lo
+        return self.walk(symbols, at) - self.walk(symbols, np.zeros_like(at))
 
 
 class FmIndex:
@@ -141,15 +139,16 @@ class FmIndex:
         before = np.where(self.suffixes > 0, sequences[self.suffixes - 1], 0)
         self.first = np.concatenate([[0], np.cumsum(np.bincount(sequences, minlength=int(sequences.max(initial=0)) + 1))])
         self.bwt = WaveletMatrix(before, max(1, int(sequences.max(initial=0)).bit_length()))
+        every = np.arange(len(self.first) - 1)
+        self.zero = self.bwt.walk(every, np.zeros_like(every))
         self.size = n
 
     def backward(self, symbols: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Intervals of the patterns that have one more symbol in front."""
         known = symbols < len(self.first) - 1
         symbols, hi = np.where(known, symbols, 0), np.where(known, hi, lo)
-        both = self.bwt.rank(np.concatenate([symbols, symbols]), np.concatenate([lo, hi]))
-        base = self.first[symbols]
-        return base + both[: len(symbols)], base + both[len(symbols) :]
+        base = self.first[symbols] - self.zero[symbols]
+        return base + self.bwt.walk(symbols, lo), base + self.bwt.walk(symbols, hi)
 
     def statistics(self, stream: np.ndarray, starts: np.ndarray, stride: int, steps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Matching statistics, capped at steps, of the patterns stream[s], stream[s + stride], ... of steps symbols.
@@ -161,7 +160,12 @@ class FmIndex:
         lo, hi, matched = np.zeros(n, np.int64), np.full(n, self.size, np.int64), np.zeros(n, np.int64)
         live = np.arange(n)
         for j in range(steps - 1, -1, -1):
-            a, b = self.backward(stream[starts[live] + j * stride], lo[live], hi[live])
+            if j == steps - 1:  # the interval of one symbol needs no rank query
+                s = np.minimum(stream[starts + j * stride], len(self.first) - 1)
+                ends = np.append(self.first, self.first[-1])
+                a, b = ends[s], ends[s + 1]
+            else:
+                a, b = self.backward(stream[starts[live] + j * stride], lo[live], hi[live])
             good = b > a
             live = live[good]
             lo[live], hi[live] = a[good], b[good]
