@@ -13,7 +13,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 #: Bytes that are hashed at a time; bounds what one call holds.
-SPAN = 4 << 20
+SPAN = 1 << 18
 
 
 @functools.lru_cache(maxsize=4)

@@ -24,10 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tributary.llm.common import partitions, pieces, rows_of, text_buffer
-from tributary.llm.hashing import SPAN, between, grams, mixed, shingles, sliding_min, sums, word_hashes, word_spans
+from tributary.llm.hashing import between, grams, mixed, shingles, sliding_min, sums, word_hashes, word_spans
 
 #: Runs of an anchor beyond which equal ones are combined first, and beyond which no shard holds the rest.
 HOT, HUGE = 1000, 20_000
+#: Bytes of excerpts that an index is made of (or one anchor, if that has more), and units that are hashed at a time.
+SHARD, STRETCH = 1 << 20, 1 << 17
 #: Windows in a run at most; longer runs (of constant text) are cut.
 RUN = 1024
 
@@ -64,8 +66,8 @@ def runs(unit: Unit, units: np.ndarray, first: np.ndarray) -> tuple[np.ndarray,
     A run with its gram at one place only has no two equal windows of its own.
     """
     out: list[tuple[np.ndarray, ...]] = []
-    for low in range(0, len(units), SPAN):
-        part = units[low : low + SPAN + unit.window - 1]
+    for low in range(0, len(units), STRETCH):
+        part = units[low : low + STRETCH + unit.window - 1]
         gram, width = unit.grams(part), unit.window - unit.gram + 1
         key = sliding_min(gram, width)
         if not len(key):
@@ -160,7 +162,7 @@ def repeated(texts: DataFrame, unit: Unit, index: Index, first_stays: bool) -> D
 
         for b in batches:
             for x in zip(*(b.column(c).to_pylist() for c in ROWS), strict=True):
-                if size > SPAN // 2 and x[0] != rows[-1][0]:
+                if size > SHARD and x[0] != rows[-1][0]:
                     yield report(rows)
                     rows, size = [], 0
                 rows.append(x)

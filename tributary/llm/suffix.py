@@ -11,14 +11,22 @@ def ranks(values: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
     """Rank of each suffix by its first depth values; equal prefixes share a rank.
 
     ends[i] is where the text of position i ends; what lies beyond compares as
-    nothing and before everything. depth is rounded up to a power of two.
+    nothing and before everything.
     """
     n = len(values)
     if not n:
         return np.zeros(0, np.int64)
-    _, rank = np.unique(values, return_inverse=True)
-    rank = rank.astype(np.int64) + 1
-    done = 1
+    bits = int(values.max()).bit_length() + 1
+    if bits > 31:
+        values = np.unique(values, return_inverse=True)[1]
+        bits = int(values.max()).bit_length() + 1
+    # The first round takes as many values as fit into one integer.
+    done = max(1, min(62 // bits, depth))
+    rank = np.zeros(n, np.int64)
+    for k in range(done):
+        rank <<= bits
+        rank[: n - k] += np.where(np.arange(k, n) < ends[: n - k], values[k:].astype(np.int64) + 1, 0)
+    rank = np.unique(rank, return_inverse=True)[1].astype(np.int64) + 1
     at = np.arange(n)
     while done < depth:
         ahead = at + done
