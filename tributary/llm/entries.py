@@ -1,9 +1,10 @@
 """The queries of this package: op1 to op10 by name, and SQL where SQL can express them."""
 
-from tributary.llm import bpe, media, mixing, quality, substring_dedup, suffix_dedup, token_output, topk, toxicity
+from tributary.llm import bpe, jaccard, media, mixing, quality, substring_dedup, suffix_dedup, token_output, topk, toxicity
 
 QUERIES = {
     "op1_suffix_array_dedup": suffix_dedup.op1_suffix_array_dedup,
+    "op2_ngram_jaccard_join": jaccard.op2_ngram_jaccard_join,
     "op3_quality_classifier": quality.op3_quality_classifier,
     "op4_token_output": token_output.op4_token_output,
     "op5_media_columns": media.op5_media_columns,

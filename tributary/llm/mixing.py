@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tributary.llm.common import WORD, prepare, stored
+from tributary.llm.common import WORD, prepare, stored, text_key, text_of
 
 #: Documents per block of ids; ranks are counted per block, so no task ever sorts more of one source.
 BLOCK = 1024
@@ -54,7 +54,7 @@ def mix(
     cap: float = 2.0,
     seed: int = 17,
 ) -> DataFrame:
-    """id, source, size, source_size, target, copies: how often the mix emits each document.
+    """id, h, source, size, source_size, target, copies: how often the mix emits each document (h: a hash of its text).
 
     Within a source each document is due target / source_size copies. Documents
     stand in order of size, then id; the due copies are summed along that order,
@@ -72,6 +72,7 @@ def mix(
     spark = prepare(docs.sparkSession)
     rows = docs.select(
         F.col(id_col).cast("long").alias("id"),
+        text_key(text_of(text_col)).alias("h"),
         F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
     )
@@ -94,13 +95,27 @@ def mix(
             cond = cond & F.col(k).eqNullSafe(F.col(f"{k}_r"))
         return left.join(right, cond, "inner").drop(*[f"{k}_r" for k in keys])
 
-    place = Window.partitionBy("source", "size", "block").orderBy("id")
+    place = Window.partitionBy("source", "size", "block").orderBy("id", "h")
     blocks = joined(joined(blocks, sized, ["source", "size"]), totals, ["source"])
     out = joined(rows.withColumn("own", F.row_number().over(place)), blocks, ["source", "size", "block"])
     rank = F.col("smaller") + F.col("earlier") + F.col("own")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     due = lambda r: F.floor(offset(F.col("source"), seed) + rate * r)
-    return out.select("id", "source", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), (due(rank) - due(rank - 1)).cast("int").alias("copies"))
+    return out.select("id", "h", "source", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), (due(rank) - due(rank - 1)).cast("int").alias("copies"))
+
+
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """The rows of docs, with all their columns, each as often as the mix emits it.
+
+    Rows equal in id, text and source are emitted from one of them, together as
+    often as all of them are due.
+    """
+    due = mix(docs, id_col, text_col, source_col, **how).where("copies > 0")
+    due = due.groupBy(F.struct("h", "id", "source").alias("_key")).agg(F.sum("copies").cast("int").alias("_n"))
+    key = F.struct(text_key(text_of(text_col)).alias("h"), F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), key.alias("_key"))
+    once = rows.join(due, "_key").dropDuplicates(["_key"])
+    return once.select("_row", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("_row.*")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,14 +91,18 @@ DONE = pa.schema(
 )
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, digest: bool = False) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, digest: bool = False, carry: list[str] | None = None
+) -> DataFrame:
     """doc_id, n_words, n_removed and kept (remaining words, a space between; with digest their SHA-256 in hex): one row per input row.
 
     Words are runs of anything but ASCII white space; null has none. First means
     smallest id (null last), then smallest hash of the text, then earliest start. Of
     equal texts the rows with the smallest id keep what is first there; rows
     with that same id and text are one document given twice and fare alike. An
-    empty table gives no rows. Columns other than the two named are not looked at.
+    empty table gives no rows. Columns other than the two named are not looked at;
+    those in carry come along as a struct named row, and then a text that loses
+    nothing is kept as it stands.
     """
     prepare(docs.sparkSession)
     texts = unique_texts(docs, id_col, text_col)
@@ -116,7 +120,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     gone = covered(n, length, found)
                     stay = np.flatnonzero(~gone) + first[r]
                     raw = data[offsets[r] : offsets[r + 1]].tobytes()
-                    if len(stay) == n:
+                    if len(stay) == n and carry is not None:
+                        kept = raw
+                    elif len(stay) == n:
                         kept = b" ".join(raw.split())
                     else:
                         kept = b" ".join([raw[s:e] for s, e in zip((starts[stay] - offsets[r]).tolist(), (ends[stay] - offsets[r]).tolist(), strict=True)])
@@ -126,11 +132,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield rows_of(out, DONE)
 
     done = texts.join(spans, "h", "left").mapInArrow(finish, "h binary, n_words long, gone long, kept binary, first_id long, whole boolean")
-    names = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_of(text_col)).alias("h"))
+    along = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry is not None else []
+    names = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_of(text_col)).alias("h"), *along)
     later = F.col("whole") & (F.coalesce("doc_id", F.lit((1 << 63) - 1)) != F.col("first_id"))
     out = names.join(done, "h")
     n_removed, kept = F.when(later, F.col("n_words")).otherwise(F.col("gone")), F.when(later, F.lit(empty)).otherwise(F.col("kept"))
-    return out.select("doc_id", "n_words", n_removed.alias("n_removed"), kept.alias("kept"))
+    return out.select("doc_id", "n_words", n_removed.alias("n_removed"), kept.alias("kept"), *(["row"] if carry is not None else []))
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """docs, all columns, with repeats cut from the text; rows of which nothing is left go. A column of text lengths follows."""
+    out = remove_repeats(docs, id_col, text_col, carry=[c for c in docs.columns if c != text_col])
+    out = out.where((F.col("n_removed") < F.col("n_words")) | (F.col("n_words") == 0))
+    text = F.col("kept").cast("string")
+    new = {text_col: text} | ({length_col: F.when(F.col("n_removed") > 0, F.length(text)).otherwise(F.col(f"row.`{length_col}`"))} if length_col in docs.columns else {})
+    return out.select(*[new.get(c, F.col(f"row.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 
 

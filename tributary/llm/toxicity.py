@@ -359,6 +359,22 @@ def score_documents(docs: DataFrame, net: Network, id_col: str = "doc_id", text_
     return rows.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def reject_toxic(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose text scores below 0.5. No shuffle, no join: ids play no part."""
+    spark = prepare(docs.sparkSession)
+    sent, key = spark.sparkContext.broadcast(net), f"{id(net)}-{np.random.default_rng().integers(1 << 62)}"
+
+    def keep(batches):
+        scorer = _scorer(key, sent.value)
+        for b in batches:
+            texts = [t or "" for t in b.column(text_col).to_pylist()]
+            for i in range(0, len(texts), 500):
+                good = scorer.scores(texts[i : i + 500]) < 0.5
+                yield b.slice(i, 500).filter(pa.array(good))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     return score_documents(docs, fit(docs, labels))
