@@ -18,6 +18,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 BATCH_BYTES = 16 << 20
 BATCH_ROWS = 2000
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _scratch: list[tuple[SparkSession, str]] = []
 
 
@@ -65,8 +66,15 @@ def _sweep() -> None:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: df as a table in the shared folder. A lost executor costs no more than the tasks it ran."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    before = spark.conf.get(_CLEANUP, None)
+    try:
+        if before is not None:  # the shuffle files of this write serve nothing else
+            spark.conf.set(_CLEANUP, "true")
+        df.write.parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(_CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

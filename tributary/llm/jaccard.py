@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tributary.llm.common import partitions, pieces, prepare, rows_of, stored, text_buffer, text_key, text_of
 from tributary.llm.components import components
-from tributary.llm.hashing import lowered, shingles, word_hashes, word_spans
+from tributary.llm.hashing import lowered, mixed, shingles, word_hashes, word_spans
 
 WORDS, SIMILARITY = 5, 75
 #: Slots of the sketch that orders shingles (its size is fixed, whatever the corpus), and slots in one of its rows.
@@ -39,13 +39,18 @@ LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64())])
 
 
-def document_sets(column: pa.Array) -> list[np.ndarray]:
-    """The distinct shingle hashes of each row, sorted. Fewer words than a shingle has make one of all of them; none, none."""
+def row_shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of all rows, the first of each row, and the hash of every shingle by its first word (some go over a row's end)."""
     data, offsets = text_buffer(column)
     data = lowered(data)
     starts, ends, first = word_spans(data, offsets)
     words = word_hashes(data, starts, ends)
-    every = shingles(words, WORDS)
+    return words, first, shingles(words, WORDS)
+
+
+def document_sets(column: pa.Array) -> list[np.ndarray]:
+    """The distinct shingle hashes of each row, sorted. Fewer words than a shingle has make one of all of them; none, none."""
+    words, first, every = row_shingles(column)
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= WORDS:
@@ -80,10 +85,12 @@ def slot_order(docs: DataFrame, text_col: str) -> np.ndarray:
         total = np.zeros(SLOTS, np.int64)
         for whole in batches:
             for b in pieces(whole):
-                for x in document_sets(b.column("text")):
-                    total += np.bincount((x % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS) if len(x) > SLOTS // 8 else 0
-                    if len(x) <= SLOTS // 8:
-                        np.add.at(total, (x % np.uint64(SLOTS)).astype(np.int64), 1)
+                _, first, every = row_shingles(b.column("text"))
+                own = np.ones(len(every), bool)
+                for k in range(1, WORDS):
+                    over = first[1:] - k
+                    own[over[(over >= 0) & (over < len(own))]] = False
+                total += np.bincount((every[own] % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
         small = total.astype("<u4").reshape(-1, SLICE)
         yield rows_of({"slice": range(len(small)), "counts": [x.tobytes() for x in small]}, COUNTS)
 
@@ -103,7 +110,7 @@ def slot_order(docs: DataFrame, text_col: str) -> np.ndarray:
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, order) -> DataFrame:
-    """doc_id, h, n, cid (class of equal sets), gid (group of equal size and prefix), prefix (32 bits a shingle)."""
+    """doc_id, h, n, cid (class of equal sets), gid (group of equal size and prefix), prefix (40 bits a shingle)."""
     text = text_of(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), text_key(text).alias("h"))
 
@@ -119,28 +126,34 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, order) -> DataFrame:
                     out["n"].append(n)
                     out["cid"].append(int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "little", signed=True))
                     out["gid"].append(int.from_bytes(hashlib.blake2b(first.tobytes() + bytes(str(n), "ascii"), digest_size=8).digest(), "little", signed=True))
-                    out["prefix"].append((first & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes())
+                    out["prefix"].append(first.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
                 yield rows_of({"doc_id": b.column("doc_id"), "h": b.column("h"), **out}, SETS)
 
     return rows.mapInArrow(look, "doc_id long, h binary, n int, cid long, gid long, prefix binary")
 
 
+def numbers(tokens: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(tokens), 8), np.uint8)
+    out[:, :5] = tokens
+    return out.view("<u8").ravel()
+
+
 def _entries(groups: DataFrame) -> DataFrame:
     """token, gid, hub for every prefix shingle that two groups share; hub is the smallest gid that has it.
 
     Tasks send packs of shingles and group ids, dealt by shingle; a shingle's
     groups are ids alone, so a pack is small. Where one shingle
-    has very many groups they still cost 12 bytes each, and form no pairs here.
+    has very many groups they still cost 13 bytes each, and form no pairs here.
     """
     spark = groups.sparkSession
     parts = max(partitions(spark), 16)
 
     def deal(batches):
         for b in batches:
-            sizes = np.array([len(x) // 4 for x in b.column("prefix").to_pylist()])
-            tokens = np.frombuffer(b"".join(b.column("prefix").to_pylist()), "<u4")
-            gids = np.repeat(b.column("gid").to_numpy(), sizes)
-            part = (tokens.astype(np.uint64) * np.uint64(0x9E3779B1) >> np.uint64(8)) % np.uint64(parts)
+            raw = b.column("prefix").to_pylist()
+            tokens = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 5)
+            gids = np.repeat(b.column("gid").to_numpy(), [len(x) // 5 for x in raw])
+            part = mixed(numbers(tokens)) % np.uint64(parts)
             by = np.argsort(part, kind="stable")
             cuts = np.searchsorted(part[by], np.arange(parts + 1))
             use = [k for k in range(parts) if cuts[k] < cuts[k + 1]]
@@ -157,7 +170,7 @@ def _entries(groups: DataFrame) -> DataFrame:
         packs: dict[int, list] = {}
         for b in batches:
             for k, t, g in zip(*(b.column(c).to_pylist() for c in DEALT.names), strict=True):
-                packs.setdefault(k, []).append((np.frombuffer(t, "<u4"), np.frombuffer(g, "<i8")))
+                packs.setdefault(k, []).append((numbers(np.frombuffer(t, np.uint8).reshape(-1, 5)), np.frombuffer(g, "<i8")))
         for mine in packs.values():
             tokens, gids = (np.concatenate(x) for x in zip(*mine, strict=True))
             by = np.lexsort((gids, tokens))
