@@ -196,8 +196,19 @@ def _counted(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     return x.where((F.least(n, m) >= need) & (F.col("c") >= need - F.greatest(rest(n), rest(m))))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of pairs a, b of classes those that link, by their whole sets."""
+def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of pairs a, b of classes those that link, by their whole sets, which are made anew from one text (h, text) of each class."""
+    pairs = stored(pairs, "pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    wanted = classes.select("h", "cid").join(ends, "cid")
+
+    def whole(batches):
+        for w in batches:
+            for b in pieces(w):
+                yield rows_of({"cid": b.column("cid"), "set": [x.astype("<u8").tobytes() for x in document_sets(b.column("text"))]}, WHOLE)
+
+    shown = texts.join(wanted, "h").dropDuplicates(["h"]).select("cid", "text")
+    sets = shown.mapInArrow(whole, "cid long, set binary").repartition(partitions(texts.sparkSession), "cid")
 
     def check(batches):
         for batch in batches:
@@ -241,21 +252,10 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tup
     lead = by_group.select("gid", "lead")
     between = best.join(lead.withColumnsRenamed({"gid": "a", "lead": "x"}), "a").join(lead.withColumnsRenamed({"gid": "b", "lead": "y"}), "b")
     inside = sizes.join(by_group.where("classes > 1").select("gid", "lead"), "gid").where("cid <> lead")
-    first = stored(between.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(inside.select(F.col("cid").alias("a"), F.col("lead").alias("b"))), "first")
+    first = between.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(inside.select(F.col("cid").alias("a"), F.col("lead").alias("b")))
 
-    # The whole sets of classes that have any prefix shingle in common with another.
-    used = entries.select("gid").distinct().unionByName(by_group.where("classes > 1").select("gid")).distinct()
     texts = docs.select(text_key(text_of(text_col)).alias("h"), text_of(text_col).alias("text"))
-    wanted = sizes.join(used, "gid").select("h", "cid")
-
-    def whole(batches):
-        for w in batches:
-            for b in pieces(w):
-                yield rows_of({"cid": b.column("cid"), "set": [x.astype("<u8").tobytes() for x in document_sets(b.column("text"))]}, WHOLE)
-
-    shown = texts.join(wanted, "h").dropDuplicates(["h"]).select("cid", "text")
-    sets = stored(shown.mapInArrow(whole, "cid long, set binary"), "sets")
-    links = stored(_verified(first, sets), "links")
+    links = stored(_verified(first, sizes, texts), "links")
     roots = components(links)
 
     # Step two: groups that share shingles, but not yet a component.
@@ -272,7 +272,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tup
     pairs = _counted(met, by_group).select("a", "b").unionByName(of_group.where("low <> high").select(F.col("gid").alias("a"), F.col("gid").alias("b")))
     pairs = pairs.join(member.withColumnsRenamed({"gid": "a", "cid": "x", "root": "rx"}), "a").join(member.withColumnsRenamed({"gid": "b", "cid": "y", "root": "ry"}), "b")
     pairs = pairs.where("rx <> ry and (a <> b or x < y)").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    more = stored(_verified(pairs, sets), "links")
+    more = stored(_verified(pairs, sizes, texts), "links")
     final = components(links.unionByName(more)) if more.limit(1).count() else roots
     members = rows.select("doc_id", "h", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("cid")).alias("class_id"))
     return members, final.select(F.col("id").alias("class_id"), "root")
