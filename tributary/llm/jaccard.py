@@ -33,7 +33,7 @@ SLOTS, SLICE = 1 << 20, 1 << 14
 COUNTS = pa.schema([("slice", pa.int32()), ("counts", pa.binary())])
 SETS = pa.schema([("doc_id", pa.int64()), ("h", pa.binary()), ("n", pa.int32()), ("cid", pa.int64()), ("gid", pa.int64()), ("prefix", pa.binary())])
 DEALT = pa.schema([("part", pa.int32()), ("tokens", pa.binary()), ("gids", pa.binary())])
-ENTRIES = pa.schema([("token", pa.int64()), ("gid", pa.int64()), ("hub", pa.int64())])
+ENTRIES = pa.schema([("token", pa.int64()), ("gid", pa.int64())])
 WHOLE = pa.schema([("cid", pa.int64()), ("set", pa.binary())])
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64())])
@@ -139,7 +139,7 @@ def numbers(tokens: np.ndarray) -> np.ndarray:
 
 
 def _entries(groups: DataFrame) -> DataFrame:
-    """token, gid, hub for every prefix shingle that two groups share; hub is the smallest gid that has it.
+    """token, gid for every prefix shingle that two groups share.
 
     Tasks send packs of shingles and group ids, dealt by shingle; a shingle's
     groups are ids alone, so a pack is small. Where one shingle
@@ -176,24 +176,26 @@ def _entries(groups: DataFrame) -> DataFrame:
             by = np.lexsort((gids, tokens))
             tokens, gids = tokens[by], gids[by]
             fresh = np.concatenate([[True], tokens[1:] != tokens[:-1]])
-            start = np.maximum.accumulate(np.where(fresh, np.arange(len(tokens)), 0))
             shared = ~fresh | np.append(~fresh[1:], False)
             for i in range(0, len(tokens), 100_000):
                 w = np.arange(i, min(i + 100_000, len(tokens)))[shared[i : i + 100_000]]
-                yield rows_of({"token": tokens[w].astype(np.int64), "gid": gids[w], "hub": gids[start[w]]}, ENTRIES)
+                yield rows_of({"token": tokens[w].astype(np.int64), "gid": gids[w]}, ENTRIES)
 
     dealt = groups.select("gid", "prefix").mapInArrow(deal, "part int, tokens binary, gids binary")
-    return dealt.repartition(parts, "part").mapInArrow(meet, "token long, gid long, hub long")
+    return dealt.repartition(parts, "part").mapInArrow(meet, "token long, gid long")
 
 
-def _counted(pairs: DataFrame, groups: DataFrame) -> DataFrame:
-    """Those pairs a, b, c of groups whose number c of common prefix shingles is as large as links need it to be."""
-    size = groups.select("gid", "n")
-    x = pairs.join(size.withColumnsRenamed({"gid": "a", "n": "n"}), "a").join(size.withColumnsRenamed({"gid": "b", "n": "m"}), "b")
-    n, m = F.col("n").cast("long"), F.col("m").cast("long")
+def _fits(n: Column, m: Column) -> Column:
+    """Whether sets of these sizes can link at all."""
+    return F.least(n, m) >= overlap_needed(n, m)
+
+
+def _counted(met: DataFrame) -> DataFrame:
+    """a, b, c of those rows a, n, b, m (one for each prefix shingle that two groups share) whose number c links need."""
+    pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("m").alias("m"))
+    n, m = F.col("n"), F.col("m")
     rest = lambda k: F.ceil(k * F.lit(SIMILARITY) / F.lit(100.0) - F.lit(1e-9)).cast("long") - 1  # noqa: E731  what a prefix leaves out
-    need = overlap_needed(n, m)
-    return x.where((F.least(n, m) >= need) & (F.col("c") >= need - F.greatest(rest(n), rest(m))))
+    return pairs.where(F.col("c") >= overlap_needed(n, m) - F.greatest(rest(n), rest(m))).select("a", "b", "c")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -244,11 +246,17 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tup
     entries = stored(_entries(groups), "entries")
     sizes = stored(classes, "classes")
 
-    # Step one: each group and the hub that it shares most with; in a group, each class and the smallest.
-    met = entries.where("gid <> hub").groupBy(F.col("gid").alias("a"), F.col("hub").alias("b")).agg(F.count(F.lit(1)).alias("c"))
-    by_group = sizes.groupBy("gid").agg(F.first("n").alias("n"), F.min("cid").alias("lead"), F.count(F.lit(1)).alias("classes"))
+    # Step one: each group and the hub that it shares most with; in a group, each class and the smallest. A
+    # shingle's hub is the group that shares most of its own prefix: an original rather than an edited copy.
+    by_group = sizes.groupBy("gid").agg(F.first("n").cast("long").alias("n"), F.min("cid").alias("lead"), F.count(F.lit(1)).alias("classes"))
     by_group = stored(by_group, "groups")
-    best = _counted(met, by_group).groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
+    shared = entries.groupBy("gid").agg(F.count(F.lit(1)).alias("s")).join(by_group.select("gid", "n"), "gid")
+    part = F.col("s") / (F.col("n") - F.ceil(F.col("n") * F.lit(SIMILARITY) / F.lit(100.0) - F.lit(1e-9)) + 1)
+    sized = entries.join(shared.select("gid", "n", part.alias("part")), "gid")
+    hubs = sized.groupBy("token").agg(F.max(F.struct("part", "gid", "n")).alias("hub"))
+    met = sized.join(hubs, "token").select(F.col("gid").alias("a"), "n", F.col("hub.gid").alias("b"), F.col("hub.n").alias("m"))
+    met = met.where((F.col("a") != F.col("b")) & _fits(F.col("n"), F.col("m")))
+    best = _counted(met).groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
     lead = by_group.select("gid", "lead")
     between = best.join(lead.withColumnsRenamed({"gid": "a", "lead": "x"}), "a").join(lead.withColumnsRenamed({"gid": "b", "lead": "y"}), "b")
     inside = sizes.join(by_group.where("classes > 1").select("gid", "lead"), "gid").where("cid <> lead")
@@ -262,14 +270,14 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tup
     labelled = sizes.join(roots.withColumnsRenamed({"id": "cid"}), "cid", "left").select("gid", "cid", F.coalesce("root", "cid").alias("root"))
     labelled = stored(labelled, "labelled")
     of_group = labelled.groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    marked = entries.select("token", "gid").join(of_group, "gid")
+    marked = entries.join(of_group.join(by_group.select("gid", "n"), "gid"), "gid")
     open_ = marked.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("u")).where("l <> u").select("token")
     marked = marked.join(open_, "token")
-    left, right = marked.withColumnsRenamed({"gid": "a", "low": "la", "high": "ha"}), marked.withColumnsRenamed({"gid": "b", "low": "lb", "high": "hb"})
+    left, right = (marked.select("token", *[F.col(c).alias(x) for c, x in zip(("gid", "n", "low", "high"), names, strict=True)]) for names in (("a", "n", "la", "ha"), ("b", "m", "lb", "hb")))
     apart = (F.col("la") != F.col("lb")) | (F.col("la") != F.col("ha")) | (F.col("lb") != F.col("hb"))
-    met = left.join(right, "token").where((F.col("a") < F.col("b")) & apart).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
+    met = left.join(right, "token").where((F.col("a") < F.col("b")) & apart & _fits(F.col("n"), F.col("m")))
     member = labelled.select("gid", "cid", "root")
-    pairs = _counted(met, by_group).select("a", "b").unionByName(of_group.where("low <> high").select(F.col("gid").alias("a"), F.col("gid").alias("b")))
+    pairs = _counted(met).select("a", "b").unionByName(of_group.where("low <> high").select(F.col("gid").alias("a"), F.col("gid").alias("b")))
     pairs = pairs.join(member.withColumnsRenamed({"gid": "a", "cid": "x", "root": "rx"}), "a").join(member.withColumnsRenamed({"gid": "b", "cid": "y", "root": "ry"}), "b")
     pairs = pairs.where("rx <> ry and (a <> b or x < y)").select(F.col("x").alias("a"), F.col("y").alias("b"))
     more = stored(_verified(pairs, sizes, texts), "links")
