@@ -1,4 +1,420 @@
 """Queries of the engine and, for each, the same question in plain SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tributary.functions.compiler import literal
+from tributary.functions.syntax import parse_expression
+from tributary.operators import aggregate as A
+from tributary.operators import combine as C
+from tributary.operators import rows as R
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+class Tables:
+    """A data directory's tables, as attributes."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._spark, self._dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self._spark.read.parquet(f"{self._dir}/{name}.parquet")
+
+
+def query(sql: str | None):
+    def register(f: Callable[[Tables], DataFrame]):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+@query("""SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, sum(l_extendedprice * (1 - l_discount)) AS revenue,
+          avg(l_quantity) AS avg_qty, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL""")
+def flagship(t):
+    """Filter, computed column, grouped sums and averages: reads seven of eleven columns, one shuffle of a few rows a task."""
+    rows = t.lineitem.where("l_shipdate <= timestamp_ntz '1998-09-02'")
+    return A.aggregate(rows, ["l_returnflag", "l_linestatus"], """
+        let net = l_extendedprice * (1.0 - l_discount)
+        emit sum_qty = sum(l_quantity)
+        emit revenue = sum(net)
+        emit avg_qty = avg(l_quantity)
+        emit n = count(*)""")
+
+
+@query("SELECT *, c_acctbal * 2 AS twice, CASE WHEN c_acctbal > 5000 THEN 'rich' WHEN c_acctbal > 0 THEN 'some' ELSE 'none' END AS class FROM customer WHERE c_acctbal > -500")
+def transform_widen(t):
+    return R.transform(t.customer, """
+        filter c_acctbal > -500
+        let x = c_acctbal * 2.0
+        emit twice = x
+        emit class = match { c_acctbal > 5000 => "rich", c_acctbal > 0 => "some", _ => "none" }""")
+
+
+@query("SELECT DISTINCT c_mktsegment, c_nationkey FROM customer")
+def distinct_all(t):
+    return R.transform(t.customer.select("c_mktsegment", "c_nationkey"), "distinct")
+
+
+@query("SELECT c_nationkey, min(c_custkey) AS c_custkey FROM customer GROUP BY c_nationkey")
+def distinct_by(t):
+    return R.transform(t.customer, "distinct by c_nationkey", order="c_custkey").select("c_nationkey", "c_custkey")
+
+
+@query("SELECT event_id, unnest(string_split(event_type, 'i')) AS part FROM events")
+def emit_each(t):
+    rows = t.events.select("event_id", "event_type")
+    return R.transform(rows, 'emit each p in event_type.split("i") {\n emit part = p\n}').select("event_id", "part")
+
+
+@query("SELECT p_partkey, upper(x) AS word FROM part LEFT JOIN (SELECT p_partkey AS k, unnest(list_filter(string_split(p_name, ' '), lambda w: len(w) > 5)) AS x FROM part) ON k = p_partkey")
+def emit_each_outer(t):
+    return R.transform(t.part, 'let long = p_name.split(" ").filter(w => w.length() > 5)\nemit each p in long outer {\n emit word = p.upper()\n}').select("p_partkey", "word")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN 'big' WHEN o_orderstatus = 'F' THEN 'done' ELSE 'default' END AS branch FROM orders""")
+def route_exclusive(t):
+    out = R.route(t.orders, {"big": "o_totalprice > 300000", "done": 'o_orderstatus == "F"'})
+    return R.merge([df.select("o_orderkey", F.lit(k).alias("branch")) for k, df in out.items()])
+
+
+@query("""SELECT o_orderkey, 'big' AS branch FROM orders WHERE o_totalprice > 300000 UNION ALL SELECT o_orderkey, 'done' FROM orders WHERE o_orderstatus = 'F'
+          UNION ALL SELECT o_orderkey, 'default' FROM orders WHERE NOT (o_totalprice > 300000) AND o_orderstatus <> 'F'""")
+def route_inclusive(t):
+    out = R.route(t.orders, {"big": "o_totalprice > 300000", "done": 'o_orderstatus == "F"'}, mode="inclusive")
+    return R.merge([df.select("o_orderkey", F.lit(k).alias("branch")) for k, df in out.items()])
+
+
+@query("SELECT c_custkey AS id, c_name AS name FROM customer UNION ALL SELECT s_suppkey, s_name FROM supplier")
+def merge_concat(t):
+    return R.merge([t.customer.selectExpr("c_custkey AS id", "c_name AS name"), t.supplier.selectExpr("s_suppkey AS id", "s_name AS name")])
+
+
+@query("SELECT s_nationkey AS k FROM supplier UNION SELECT c_nationkey FROM customer WHERE c_acctbal > 9000")
+def merge_interleave_distinct(t):
+    both = R.merge([t.supplier.selectExpr("s_nationkey AS k"), t.customer.where("c_acctbal > 9000").selectExpr("c_nationkey AS k")], "interleave", seed=3)
+    return R.transform(both, "distinct")
+
+
+@query("""SELECT o_orderkey, o_orderpriority, CASE WHEN o_totalprice > 400000 THEN 0.0 ELSE o_totalprice END AS o_totalprice, false AS _synthetic,
+          NULL::VARCHAR AS _synthesized_by, CASE WHEN o_totalprice > 400000 THEN 'cap' END AS _mutated_by FROM orders
+          UNION ALL SELECT -o_orderkey, o_orderpriority, o_totalprice, true, 'copy', NULL FROM orders WHERE o_orderstatus = 'P'""")
+def reshape_rules(t):
+    out = R.reshape(t.orders, ["o_custkey"], [
+        {"name": "cap", "when": "o_totalprice > 400000", "mutate": {"o_totalprice": "0.0"}},
+        {"name": "copy", "when": 'o_orderstatus == "P"', "synthesize": {"copy_from": "trigger", "overrides": {"o_orderkey": "-o_orderkey"}}},
+    ])
+    return out.select("o_orderkey", "o_orderpriority", "o_totalprice", "_synthetic", "_synthesized_by", "_mutated_by")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING sum(o_totalprice) > 3000000 OR count(*) < 5)")
+def cull_groups(t):
+    return R.cull(t.orders, ["o_custkey"], ["sum(o_totalprice) > 3000000", "count(*) < 5"])[0].select("o_orderkey")
+
+
+@query("SELECT o_custkey, count(*) AS n FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) < 5) GROUP BY 1")
+def cull_removed(t):
+    return R.cull(t.orders, ["o_custkey"], ["count(*) < 5"])[1].groupBy("o_custkey").agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey, CASE WHEN NOT c_acctbal > 0 THEN 'positive' ELSE 'short' END AS _failed_rule FROM customer WHERE NOT (c_acctbal > 0) OR NOT (length(c_mktsegment) > 8)")
+def validations(t):
+    rules = [{"name": "positive", "check": "c_acctbal > 0"}, {"name": "short", "check": "c_mktsegment.length() > 8"}, {"name": "w", "severity": "warn", "check": "c_nationkey > 3"}]
+    return R.validate(t.customer, rules)[1].select("c_custkey", "_failed_rule")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 48)")
+def correlated_dead_letters(t):
+    return R.dead_letter(t.lineitem, F.col("l_quantity") > 48, ["l_orderkey"])[1].select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT o_custkey, sum(o_totalprice) AS total FROM orders WHERE NOT o_totalprice > 400000 GROUP BY 1")
+def retraction(t):
+    good, _ = R.dead_letter(t.orders, F.col("o_totalprice") > 400000)
+    return A.aggregate(good, ["o_custkey"], "emit total = sum(o_totalprice)")
+
+
+@query("SELECT o_orderkey, c_name, c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+def combine_first(t):
+    return C.combine({"o": t.orders, "c": t.customer}, "o.o_custkey == c.c_custkey", "emit o_orderkey = o.o_orderkey\nemit c_name = c.c_name\nemit c_mktsegment = c.c_mktsegment")
+
+
+@query("SELECT c_custkey, min(o_orderkey) AS first_order FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 200000 GROUP BY 1")
+def combine_first_residual(t):
+    orders = t.orders.withColumn("_ord", F.col("o_orderkey"))
+    return C.combine({"c": t.customer, "o": orders}, "c.c_custkey == o.o_custkey and o.o_totalprice > 200000", "emit c_custkey = c.c_custkey\nemit first_order = o.o_orderkey")
+
+
+@query("SELECT c_custkey, o_orderkey FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_totalprice > c_acctbal * 40")
+def combine_all_skip(t):
+    return C.combine({"c": t.customer, "o": t.orders}, "c.c_custkey == o.o_custkey", "filter o.o_totalprice > c.c_acctbal * 40.0\nemit c_custkey = c.c_custkey\nemit o_orderkey = o.o_orderkey", match="all", on_miss="skip")
+
+
+@query("SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > c_acctbal * 40")
+def combine_all_null_fields(t):
+    return C.combine({"c": t.customer, "o": t.orders}, "c.c_custkey == o.o_custkey and o.o_totalprice > c.c_acctbal * 40.0", "emit c_custkey = c.c_custkey\nemit o_orderkey = o.o_orderkey", match="all")
+
+
+@query("SELECT n_nationkey, count(s_suppkey) AS n, coalesce(string_agg(s_suppkey::VARCHAR, ',' ORDER BY s_suppkey), '') AS ids FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1")
+def combine_collect(t):
+    supplier = t.supplier.withColumn("_ord", F.col("s_suppkey"))
+    return C.combine({"n": t.nation, "s": supplier}, "n.n_nationkey == s.s_nationkey", 'emit n_nationkey = n.n_nationkey\nemit n = s.length()\nemit ids = s.map(x => x.s_suppkey).join(",")', match="collect")
+
+
+@query("SELECT l_orderkey, l_linenumber, n_name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey")
+def combine_nary(t):
+    return C.combine({"l": t.lineitem, "s": t.supplier, "n": t.nation}, "l.l_suppkey == s.s_suppkey and s.s_nationkey == n.n_nationkey", "emit l_orderkey = l.l_orderkey\nemit l_linenumber = l.l_linenumber\nemit n_name = n.n_name", match="all", on_miss="skip")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+def combine_anti(t):
+    return C.anti(t.customer, t.orders, {"c_custkey": "o_custkey"}).select("c_custkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+def combine_semi(t):
+    return C.semi(t.customer, t.orders, {"c_custkey": "o_custkey"}).select("c_custkey")
+
+
+@query("SELECT event_id, p_partkey FROM events JOIN part ON value >= p_retailprice / 10 AND value < p_retailprice / 10 + p_size")
+def combine_pure_range(t):
+    part = t.part.selectExpr("p_partkey", "p_retailprice / 10 AS lo", "p_retailprice / 10 + p_size AS hi")
+    return C.band_join(t.events, part, F.col("value"), F.col("lo"), F.col("hi"), 25.0).select("event_id", "p_partkey")
+
+
+@query("SELECT l_orderkey, l_linenumber, o_orderkey AS hit FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey AND l_shipdate > o_orderdate")
+def combine_equi_range(t):
+    return C.combine({"l": t.lineitem, "o": t.orders}, "l.l_orderkey == o.o_orderkey and l.l_shipdate > o.o_orderdate", "emit l_orderkey = l.l_orderkey\nemit l_linenumber = l.l_linenumber\nemit hit = o.o_orderkey", match="all")
+
+
+@query("SELECT count(*) AS n, count(c_acctbal) AS m, sum(c_custkey)::BIGINT AS s, avg(c_acctbal) AS a, min(c_name) AS lo, max(c_name) AS hi FROM customer")
+def aggregate_global(t):
+    return A.aggregate(t.customer, [], "emit n = count(*)\nemit m = count(c_acctbal)\nemit s = sum(c_custkey)\nemit a = avg(c_acctbal)\nemit lo = min(c_name)\nemit hi = max(c_name)")
+
+
+@query("SELECT k, count(*) AS n FROM (SELECT CASE WHEN c_nationkey > 12 THEN NULL ELSE c_nationkey END AS k FROM customer) GROUP BY k")
+def aggregate_null_key(t):
+    return A.aggregate(R.transform(t.customer, "emit k = if c_nationkey > 12 then null else c_nationkey"), ["k"], "emit n = count(*)")
+
+
+@query("SELECT o_custkey, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS ids FROM orders GROUP BY 1")
+def aggregate_collect(t):
+    held = A.aggregate(t.orders, ["o_custkey"], "emit all = collect(o_orderkey)", order="o_orderkey")
+    return R.transform(held, 'emit ids = all.join(",")').select("o_custkey", "ids")
+
+
+@query("SELECT l_suppkey, sum(l_extendedprice * l_quantity) / sum(l_quantity) AS price, (max(l_quantity) - min(l_quantity)) / count(*) AS spread FROM lineitem GROUP BY 1 HAVING count(*) > 10")
+def aggregate_weighted_having(t):
+    out = A.aggregate(t.lineitem, ["l_suppkey"], "emit price = weighted_avg(l_extendedprice, l_quantity)\nemit spread = (max(l_quantity) - min(l_quantity)) / count(*)\nemit n = count(*)")
+    return R.transform(out, "filter n > 10").drop("n")
+
+
+@query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, sum(value) AS v FROM events GROUP BY ALL")
+def window_tumbling(t):
+    return A.time_window(t.events, "ts", {"tumbling": "1h"}, ["event_type"], "emit n = count(*)\nemit v = sum(value)", bounds=True)
+
+
+@query("""SELECT make_timestamp((k * 900000000)::BIGINT) AS window_start, event_type, count(*) AS n FROM (SELECT event_type, epoch_us(ts) AS u,
+          unnest(range((floor((epoch_us(ts) - 3600000000) / 900000000) + 1)::BIGINT, (floor(epoch_us(ts) / 900000000) + 1)::BIGINT)) AS k FROM events) GROUP BY ALL""")
+def window_hopping(t):
+    return A.time_window(t.events, "ts", {"hopping": ["1h", "15m"]}, ["event_type"], "emit n = count(*)", bounds=True)
+
+
+@query("""SELECT make_timestamp((k * 7200000000)::BIGINT) AS window_start, count(*) AS n FROM (SELECT epoch_us(ts) // 7200000000 AS k, epoch_us(ts) AS u FROM events)
+          WHERE u - k * 7200000000 < 1800000000 GROUP BY ALL""")
+def window_hopping_gaps(t):
+    return A.time_window(t.events, "ts", {"hopping": ["30m", "2h"]}, [], "emit n = count(*)", bounds=True)
+
+
+@query("""WITH d AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 2 HOUR THEN 0 ELSE 1 END AS f FROM events),
+          g AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM d) SELECT user_id, min(ts) AS window_start, count(*) AS n, max(value) AS top FROM g GROUP BY user_id, s""")
+def window_session(t):
+    return A.time_window(t.events, "ts", {"session": "2h"}, ["user_id"], "emit n = count(*)\nemit top = max(value)", bounds=True)
+
+
+@query("""WITH o AS (SELECT *, epoch_us(ts) AS u FROM events), m AS (SELECT *, max(u) OVER (PARTITION BY user_id ORDER BY event_type, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 600000000 AS w FROM o)
+          SELECT event_id FROM m WHERE (u // 3600000000 + 1) * 3600000000 <= w""")
+def window_late_rows(t):
+    """Arrival shuffled on purpose: by type, then id, so that many rows come after their window closed."""
+    rows = t.events.withColumn("at", F.struct("event_type", "event_id"))
+    return A.late_rows(rows, "ts", {"tumbling": "1h"}, {"order": "at", "delay": "10m", "shard": "user_id"}).select("event_id")
+
+
+_W = "PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey"
+_ALL = "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
+
+
+@query(f"""SELECT o_orderkey, sum(o_totalprice) OVER ({_W} {_ALL}) AS s, sum(o_totalprice) OVER ({_W} ROWS UNBOUNDED PRECEDING) AS cs, avg(o_totalprice) OVER ({_W} {_ALL}) AS a,
+           min(o_totalprice) OVER ({_W} {_ALL}) AS lo, max(o_totalprice) OVER ({_W} {_ALL}) AS hi, count(*) OVER ({_W} {_ALL}) AS n FROM orders""")
+def analytic_aggregates(t):
+    return R.transform(t.orders, """
+        emit s = $window.sum(o_totalprice)
+        emit cs = $window.cumulative_sum(o_totalprice)
+        emit a = $window.avg(o_totalprice)
+        emit lo = $window.min(o_totalprice)
+        emit hi = $window.max(o_totalprice)
+        emit n = $window.count()""", analytic={"group_by": ["o_custkey"], "sort_by": ["o_orderdate", "o_orderkey"]}).select("o_orderkey", "s", "cs", "a", "lo", "hi", "n")
+
+
+@query(f"""SELECT o_orderkey, row_number() OVER ({_W}) AS rn, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS rk, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS dr,
+           lag(o_totalprice) OVER ({_W}) AS before, lead(o_totalprice, 2) OVER ({_W}) AS after2, first_value(o_orderkey) OVER ({_W} {_ALL}) AS f, last_value(o_orderkey) OVER ({_W} {_ALL}) AS l FROM orders""")
+def analytic_ranks(t):
+    rows = R.transform(t.orders, "emit rk = $window.rank()\nemit dr = $window.dense_rank()", analytic={"group_by": ["o_custkey"], "sort_by": ["o_orderpriority"]})
+    return R.transform(rows, """
+        emit rn = $window.row_number()
+        emit before = $window.lag().o_totalprice
+        emit after2 = $window.lead(2).o_totalprice
+        emit f = $window.first_value(o_orderkey)
+        emit l = $window.last().o_orderkey""", analytic={"group_by": ["o_custkey"], "sort_by": ["o_orderdate", "o_orderkey"]}).select("o_orderkey", "rn", "rk", "dr", "before", "after2", "f", "l")
+
+
+@query("""SELECT o_orderkey, bool_or(o_totalprice > 300000) OVER (PARTITION BY o_custkey) AS some, bool_and(o_totalprice > 50000) OVER (PARTITION BY o_custkey) AS every,
+          NOT bool_or(o_orderstatus = 'P') OVER (PARTITION BY o_custkey) AS none FROM orders""")
+def analytic_predicates(t):
+    return R.transform(t.orders, 'emit some = $window.any(o_totalprice > 300000)\nemit every = $window.every(o_totalprice > 50000)\nemit none = $window.not_exists(o_orderstatus == "P")', analytic={"group_by": ["o_custkey"]}).select("o_orderkey", "some", "every", "none")
+
+
+@query("SELECT o_custkey, string_agg(o_orderstatus, '' ORDER BY o_orderkey) AS every, max(k) AS kinds FROM (SELECT *, len(list_distinct(list(o_orderstatus) OVER (PARTITION BY o_custkey))) AS k FROM orders) GROUP BY 1")
+def analytic_collect(t):
+    rows = R.transform(t.orders, 'emit every = $window.collect(o_orderstatus).join("")\nemit kinds = $window.distinct(o_orderstatus).length()', analytic={"group_by": ["o_custkey"], "sort_by": ["o_orderkey"]})
+    return rows.groupBy("o_custkey").agg(F.first("every").alias("every"), F.first("kinds").alias("kinds"))
+
+
+@query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) WHERE rn <= 3")
+def top_k_per_group(t):
+    return R.transform(t.orders, "emit rn = $window.row_number()\nfilter rn <= 3", analytic={"group_by": ["o_custkey"], "sort_by": [{"field": "o_totalprice", "order": "desc"}, "o_orderkey"]}).select("o_custkey", "o_orderkey")
+
+
+@query("SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 50")
+def sort_and_take(t):
+    return R.sort(t.customer, [{"field": "c_acctbal", "order": "desc"}, "c_custkey"]).select("c_custkey", "c_acctbal").limit(50)
+
+
+@query("""SELECT p_partkey, upper(p_name) AS up, substr(p_name, 3, 4) AS sub, left(p_name, 2) AS l, right(p_name, 2) AS r, lpad(p_brand, 12, '*') AS pad, reverse(p_name) AS rev, length(p_name) AS len,
+          replace(p_name, 'w', 'W') AS rep, starts_with(p_type, 'ECO') AS sw, contains(p_name, 'get') AS has, regexp_matches(p_brand, '#1') AS m, nullif(regexp_extract(p_brand, '#(\\d)', 1), '') AS cap,
+          concat(p_name, '-', p_size::VARCHAR) AS cat, repeat('ab', 2) AS twice FROM part""")
+def functions_string(t):
+    return R.transform(t.part, r"""
+        emit up = p_name.upper()
+        emit sub = p_name.substring(2, 4)
+        emit l = p_name.left(2)
+        emit r = p_name.right(2)
+        emit pad = p_brand.pad_left(12, "*")
+        emit rev = p_name.reverse()
+        emit len = p_name.length()
+        emit rep = p_name.replace("w", "W")
+        emit sw = p_type.starts_with("ECO")
+        emit has = p_name.contains("get")
+        emit m = p_brand.matches("#1")
+        emit cap = p_brand.capture("#(\\d)", 1)
+        emit cat = p_name.concat("-", p_size)
+        emit twice = "ab".repeat(2)""").select("p_partkey", "up", "sub", "l", "r", "pad", "rev", "len", "rep", "sw", "has", "m", "cap", "cat", "twice")
+
+
+@query("""SELECT c_custkey, abs(c_acctbal) AS a, ceil(c_acctbal)::BIGINT AS c, floor(c_acctbal)::BIGINT AS f, greatest(least(c_acctbal, 1000), 0) AS cl, (c_custkey // 7)::BIGINT AS d, c_custkey % 7 AS m,
+          CASE WHEN c_acctbal < 0 THEN ceil(c_acctbal)::BIGINT ELSE floor(c_acctbal)::BIGINT END AS i, least(c_acctbal, c_nationkey) AS lo FROM customer""")
+def functions_numeric(t):
+    return R.transform(t.customer, """
+        emit a = c_acctbal.abs()
+        emit c = c_acctbal.ceil()
+        emit f = c_acctbal.floor()
+        emit cl = c_acctbal.clamp(0, 1000)
+        emit d = c_custkey / 7
+        emit m = c_custkey % 7
+        emit i = c_acctbal.to_int()
+        emit lo = c_acctbal.min(c_nationkey)""").select("c_custkey", "a", "c", "f", "cl", "d", "m", "i", "lo")
+
+
+@query("""SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS mo, day(o_orderdate) AS d, hour(o_orderdate) AS h, (o_orderdate + INTERVAL 10 DAY) AS later, strftime(o_orderdate, '%d/%m/%Y') AS txt,
+          NULL::BIGINT AS dm, date_diff('day', DATE '1995-01-01', o_orderdate::DATE) AS dd FROM orders""")
+def functions_date(t):
+    rows = t.orders.withColumn("day_only", F.to_date("o_orderdate"))
+    return R.transform(rows, """
+        emit y = o_orderdate.year()
+        emit mo = o_orderdate.month()
+        emit d = o_orderdate.day()
+        emit h = o_orderdate.hour()
+        emit later = o_orderdate.add_days(10)
+        emit txt = o_orderdate.format_date("%d/%m/%Y")
+        emit dm = o_orderdate.diff_months(o_orderdate)
+        emit dd = day_only.diff_days(#1995-01-01#)""").select("o_orderkey", "y", "mo", "d", "h", "later", "txt", "dm", "dd")
+
+
+@query("""SELECT event_id, try_cast(regexp_extract(props, '(\\d+)', 1) AS BIGINT) AS k, value::VARCHAR IS NOT NULL AS has, coalesce(nullif(event_type, 'error'), 'E') AS e, 'float' AS t,
+          event_type = 'click' AND value > 10 AS both, NULL::BIGINT AS bad FROM events""")
+def functions_convert(t):
+    return R.transform(t.events, r"""
+        emit k = props.capture("(\\d+)", 1).try_int()
+        emit has = not value.is_null()
+        let n = if event_type == "error" then null else event_type
+        emit e = n ?? "E"
+        emit t = value.type_of()
+        emit both = event_type == "click" and value > 10
+        emit bad = event_type.try_int()""").select("event_id", "k", "has", "e", "t", "both", "bad")
+
+
+@query("""SELECT p_partkey, len(string_split(p_name, ' ')) AS n, list_aggregate(list_transform(string_split(p_name, ' '), lambda x: upper(x)), 'string_agg', '+') AS j, string_split(p_name, ' ')[1] AS first, NULL::VARCHAR AS far,
+          len(list_filter(string_split(p_name, ' '), lambda x: x LIKE 'w%')) > 0 AS any, p_size + 1 AS got FROM part""")
+def functions_collections(t):
+    return R.transform(t.part, """
+        let w = p_name.split(" ")
+        emit n = w.length()
+        emit j = w.map(x => x.upper()).join("+")
+        emit first = w[0]
+        emit far = w[99]
+        emit any = w.any(x => x.starts_with("w"))
+        let m = {"a": p_size, "b": p_name}
+        emit got = m.set("c.d", m["a"] + 1)["c"]["d"]""").select("p_partkey", "n", "j", "first", "far", "any", "got")
+
+
+@query("SELECT o_orderkey, o_totalprice * 2 + 1 AS v, 'F' = o_orderstatus AS same FROM orders")
+def modules_and_variables(t):
+    fn = {"twice": (["x"], parse_expression("x * 2.0"))}
+    return R.transform(t.orders, "emit v = twice(o_totalprice) + $vars.one\nemit same = $vars.flag == o_orderstatus", functions=fn, variables={"$vars.one": literal(1), "$vars.flag": literal("F")}).select("o_orderkey", "v", "same")
+
+
+@query("SELECT c_custkey AS id, c_name AS name, c_mktsegment FROM customer")
+def sink_projection(t):
+    return R.project(t.customer, {"c_custkey": "id", "c_name": "name"}, exclude=["c_acctbal", "c_nationkey"])
+
+
+@query("SELECT p_partkey, round_even(p_retailprice / 7, 2) AS x FROM part")
+def sink_decimal_scale(t):
+    rows = t.part.select("p_partkey", (F.col("p_retailprice").cast("double") / 7).cast("decimal(38,18)").alias("x"))
+    return R.scale_decimals(rows, {"x": 2}).withColumn("x", F.col("x").cast("double"))
+
+
+@query("SELECT p_partkey, p_type, unnest(string_split(p_name, ' ')) AS p_name, unnest(range(1, len(string_split(p_name, ' ')) + 1)) AS pos FROM part")
+def split_to_rows(t):
+    return R.split_to_rows(t.part.select("p_partkey", "p_type", "p_name"), "p_name", position="pos", sep=" ")
+
+
+@query("SELECT o_custkey, string_agg(o_orderstatus, ';' ORDER BY o_orderkey) AS s FROM orders GROUP BY 1")
+def join_values(t):
+    held = A.aggregate(t.orders, ["o_custkey"], "emit s = collect(o_orderstatus)", order="o_orderkey")
+    return R.join_values(held, "s")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_returnflag, c AS lines, q AS total FROM lineitem JOIN (SELECT l_orderkey AS k, count(*) AS c, sum(l_quantity) AS q FROM lineitem GROUP BY 1) ON k = l_orderkey")
+def envelope_totals(t):
+    body = t.lineitem.select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
+    footer = A.envelope_footer(body, ["l_orderkey"], {"lines": "count(*)", "total": "sum(l_quantity)"})
+    return A.with_header(body, footer, ["l_orderkey"]).drop("l_quantity")
+
+
+@query("SELECT p_brand, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, p_brand")
+def composition(t):
+    """A sub-pipeline is a function over frames; Catalyst sees one plan."""
+
+    def counted(df: DataFrame, key: str) -> DataFrame:
+        return R.sort(A.aggregate(df, [key], "emit n = count(*)"), [{"field": "n", "order": "desc"}, key])
+
+    return counted(t.part, "p_brand")
