@@ -192,7 +192,7 @@ def _map(t, s):
 def _if(t, s):
     cond, yes, no = (compile_tree(x, s) for x in t[1:])
     of = unify(yes.type, no.type)
-    return Value(F.when(cond.col, yes.col.cast(of)).otherwise(no.col.cast(of)), of)
+    return Value(F.when(cond.col.cast("boolean"), yes.col.cast(of)).otherwise(no.col.cast(of)), of)
 
 
 def _match(t, s):
@@ -207,7 +207,7 @@ def _match(t, s):
             rest = v.col.cast(of)
             break
         cond = compile_tree(p, s)
-        test = equal(subject, cond).col if subject is not None else cond.col
+        test = equal(subject, cond).col if subject is not None else cond.col.cast("boolean")
         out = F.when(test, v.col.cast(of)) if out is None else out.when(test, v.col.cast(of))
     return Value(out.otherwise(rest) if out is not None else rest, of)
 
