@@ -32,8 +32,8 @@ SLOTS, SLICE = 1 << 20, 1 << 14
 
 COUNTS = pa.schema([("slice", pa.int32()), ("counts", pa.binary())])
 SETS = pa.schema([("doc_id", pa.int64()), ("h", pa.binary()), ("n", pa.int32()), ("cid", pa.int64()), ("gid", pa.int64()), ("prefix", pa.binary())])
-DEALT = pa.schema([("part", pa.int32()), ("tokens", pa.binary()), ("gids", pa.binary())])
-ENTRIES = pa.schema([("token", pa.int64()), ("gid", pa.int64())])
+DEALT = pa.schema([("part", pa.int32()), ("tokens", pa.binary()), ("gids", pa.binary()), ("places", pa.binary())])
+ENTRIES = pa.schema([("token", pa.int64()), ("gid", pa.int64()), ("place", pa.int32())])
 WHOLE = pa.schema([("cid", pa.int64()), ("set", pa.binary())])
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64())])
@@ -139,11 +139,11 @@ def numbers(tokens: np.ndarray) -> np.ndarray:
 
 
 def _entries(groups: DataFrame) -> DataFrame:
-    """token, gid for every prefix shingle that two groups share.
+    """token, gid and place in the prefix (from 0) for every prefix shingle that two groups share.
 
     Tasks send packs of shingles and group ids, dealt by shingle; a shingle's
     groups are ids alone, so a pack is small. Where one shingle
-    has very many groups they still cost 13 bytes each, and form no pairs here.
+    has very many groups they still cost 17 bytes each, and form no pairs here.
     """
     spark = groups.sparkSession
     parts = max(partitions(spark), 16)
@@ -152,7 +152,9 @@ def _entries(groups: DataFrame) -> DataFrame:
         for b in batches:
             raw = b.column("prefix").to_pylist()
             tokens = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 5)
-            gids = np.repeat(b.column("gid").to_numpy(), [len(x) // 5 for x in raw])
+            sizes = np.array([len(x) // 5 for x in raw], np.int64)
+            gids = np.repeat(b.column("gid").to_numpy(), sizes)
+            places = np.arange(len(gids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             part = mixed(numbers(tokens)) % np.uint64(parts)
             by = np.argsort(part, kind="stable")
             cuts = np.searchsorted(part[by], np.arange(parts + 1))
@@ -162,6 +164,7 @@ def _entries(groups: DataFrame) -> DataFrame:
                     "part": use,
                     "tokens": [tokens[by[cuts[k] : cuts[k + 1]]].tobytes() for k in use],
                     "gids": [gids[by[cuts[k] : cuts[k + 1]]].astype("<i8").tobytes() for k in use],
+                    "places": [places[by[cuts[k] : cuts[k + 1]]].astype("<u4").tobytes() for k in use],
                 },
                 DEALT,
             )
@@ -169,20 +172,20 @@ def _entries(groups: DataFrame) -> DataFrame:
     def meet(batches):
         packs: dict[int, list] = {}
         for b in batches:
-            for k, t, g in zip(*(b.column(c).to_pylist() for c in DEALT.names), strict=True):
-                packs.setdefault(k, []).append((numbers(np.frombuffer(t, np.uint8).reshape(-1, 5)), np.frombuffer(g, "<i8")))
+            for k, t, g, p in zip(*(b.column(c).to_pylist() for c in DEALT.names), strict=True):
+                packs.setdefault(k, []).append((numbers(np.frombuffer(t, np.uint8).reshape(-1, 5)), np.frombuffer(g, "<i8"), np.frombuffer(p, "<u4")))
         for mine in packs.values():
-            tokens, gids = (np.concatenate(x) for x in zip(*mine, strict=True))
+            tokens, gids, places = (np.concatenate(x) for x in zip(*mine, strict=True))
             by = np.lexsort((gids, tokens))
-            tokens, gids = tokens[by], gids[by]
+            tokens, gids, places = tokens[by], gids[by], places[by]
             fresh = np.concatenate([[True], tokens[1:] != tokens[:-1]])
             shared = ~fresh | np.append(~fresh[1:], False)
             for i in range(0, len(tokens), 100_000):
                 w = np.arange(i, min(i + 100_000, len(tokens)))[shared[i : i + 100_000]]
-                yield rows_of({"token": tokens[w].astype(np.int64), "gid": gids[w]}, ENTRIES)
+                yield rows_of({"token": tokens[w].astype(np.int64), "gid": gids[w], "place": places[w].astype(np.int32)}, ENTRIES)
 
-    dealt = groups.select("gid", "prefix").mapInArrow(deal, "part int, tokens binary, gids binary")
-    return dealt.repartition(parts, "part").mapInArrow(meet, "token long, gid long")
+    dealt = groups.select("gid", "prefix").mapInArrow(deal, "part int, tokens binary, gids binary, places binary")
+    return dealt.repartition(parts, "part").mapInArrow(meet, "token long, gid long, place int")
 
 
 def _fits(n: Column, m: Column) -> Column:
@@ -190,12 +193,26 @@ def _fits(n: Column, m: Column) -> Column:
     return F.least(n, m) >= overlap_needed(n, m)
 
 
+def _rest(k: Column) -> Column:
+    """What the prefix of a set of k leaves out."""
+    return F.ceil(k * F.lit(SIMILARITY) / F.lit(100.0) - F.lit(1e-9)).cast("long") - 1
+
+
+def _least_common(n: Column, m: Column) -> Column:
+    """A number l so that linked sets of n and m share l of their first n - need + l and m - need + l shingles.
+
+    Of the need common shingles at most need - l lie beyond either of these stretches, or the shorter reach of
+    the two would leave out more. Larger l rule out more pairs; both stretches must lie in the prefixes.
+    """
+    need = overlap_needed(n, m)
+    return F.greatest(F.least(F.floor(need * 0.04) + 1, need - F.greatest(_rest(n), _rest(m))), F.lit(1))
+
+
 def _counted(met: DataFrame) -> DataFrame:
     """a, b, c of those rows a, n, b, m (one for each prefix shingle that two groups share) whose number c links need."""
     pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("m").alias("m"))
     n, m = F.col("n"), F.col("m")
-    rest = lambda k: F.ceil(k * F.lit(SIMILARITY) / F.lit(100.0) - F.lit(1e-9)).cast("long") - 1  # noqa: E731  what a prefix leaves out
-    return pairs.where(F.col("c") >= overlap_needed(n, m) - F.greatest(rest(n), rest(m))).select("a", "b", "c")
+    return pairs.where(F.col("c") >= overlap_needed(n, m) - F.greatest(_rest(n), _rest(m))).select("a", "b", "c")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -273,11 +290,17 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tup
     marked = entries.join(of_group.join(by_group.select("gid", "n"), "gid"), "gid")
     open_ = marked.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("u")).where("l <> u").select("token")
     marked = marked.join(open_, "token")
-    left, right = (marked.select("token", *[F.col(c).alias(x) for c, x in zip(("gid", "n", "low", "high"), names, strict=True)]) for names in (("a", "n", "la", "ha"), ("b", "m", "lb", "hb")))
+    columns, sides = ("gid", "n", "low", "high", "place"), (("a", "n", "la", "ha", "i"), ("b", "m", "lb", "hb", "j"))
+    left, right = (marked.select("token", *[F.col(c).alias(x) for c, x in zip(columns, side, strict=True)]) for side in sides)
+    n, m = F.col("n"), F.col("m")
+    reach = _least_common(n, m) - overlap_needed(n, m)
+    early = (F.col("i") < n + reach) & (F.col("j") < m + reach)
     apart = (F.col("la") != F.col("lb")) | (F.col("la") != F.col("ha")) | (F.col("lb") != F.col("hb"))
-    met = left.join(right, "token").where((F.col("a") < F.col("b")) & apart & _fits(F.col("n"), F.col("m")))
+    met = left.join(right, "token").where((F.col("a") < F.col("b")) & apart & _fits(n, m) & early)
+    met = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("m").alias("m"))
+    met = met.where(F.col("c") >= _least_common(n, m))
     member = labelled.select("gid", "cid", "root")
-    pairs = _counted(met).select("a", "b").unionByName(of_group.where("low <> high").select(F.col("gid").alias("a"), F.col("gid").alias("b")))
+    pairs = met.select("a", "b").unionByName(of_group.where("low <> high").select(F.col("gid").alias("a"), F.col("gid").alias("b")))
     pairs = pairs.join(member.withColumnsRenamed({"gid": "a", "cid": "x", "root": "rx"}), "a").join(member.withColumnsRenamed({"gid": "b", "cid": "y", "root": "ry"}), "b")
     pairs = pairs.where("rx <> ry and (a <> b or x < y)").select(F.col("x").alias("a"), F.col("y").alias("b"))
     more = stored(_verified(pairs, sizes, texts), "links")
