@@ -10,6 +10,7 @@ window.
 
 from __future__ import annotations
 
+import sys
 import zlib
 
 import numpy as np
@@ -25,7 +26,7 @@ from tributary.llm.hashing import grams
 WINDOW, STEP = 48, 24
 HIDDEN, WORD_DIM, CHAR_DIM, BUCKETS = 8, 8, 8, 1 << 13
 #: Bounds of the training sample: labelled rows of each kind, and words of one of them.
-SAMPLE, SAMPLE_WORDS = 2000, 4000
+SAMPLE, SAMPLE_WORDS = 1000, 1500
 #: Training rows that must hold a word before it has a vector of its own.
 LEAST = 4
 _EDGES = ".,;:!?\"'()[]{}<>«»“”„*_-#$%&…"
@@ -232,8 +233,8 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 3, epochs: int = 4
     stays near the base rate.
     """
     rng = np.random.default_rng(seed)
-    lists = [t.split()[:SAMPLE_WORDS] for t in texts]
-    bare = [[w.lower().strip(_EDGES) for w in x] for x in lists]
+    lists = [[sys.intern(w) for w in t.split()[:SAMPLE_WORDS]] for t in texts]
+    bare = [[sys.intern(w.lower().strip(_EDGES)) for w in x] for x in lists]
     seen: dict[str, list[int]] = {}
     for words, label in zip(bare, labels, strict=True):
         for w in sorted(set(words)):
