@@ -28,7 +28,7 @@ from tributary.llm.hashing import lowered, mixed, shingles, word_hashes, word_sp
 
 WORDS, SIMILARITY = 5, 75
 #: Slots of the sketch that orders shingles (its size is fixed, whatever the corpus), and slots in one of its rows.
-SLOTS, SLICE = 1 << 20, 1 << 14
+SLOTS, SLICE = 1 << 22, 1 << 16
 
 COUNTS = pa.schema([("slice", pa.int32()), ("counts", pa.binary())])
 SETS = pa.schema([("doc_id", pa.int64()), ("h", pa.binary()), ("n", pa.int32()), ("cid", pa.int64()), ("gid", pa.int64()), ("prefix", pa.binary())])
@@ -75,14 +75,14 @@ def prefix_size(n):
 
 
 def slot_order(docs: DataFrame, text_col: str) -> np.ndarray:
-    """For each sketch slot the rounded binary logarithm of how many shingles of all documents fall into it.
+    """For each sketch slot twice the binary logarithm, rounded, of how many shingles of all documents fall into it.
 
     Tasks count, slices of their counts are summed where they meet, and SLOTS
     bytes come to the driver.
     """
 
     def count(batches):
-        total = np.zeros(SLOTS, np.int64)
+        total = np.zeros(SLOTS, np.uint32)
         for whole in batches:
             for b in pieces(whole):
                 _, first, every = row_shingles(b.column("text"))
@@ -90,7 +90,7 @@ def slot_order(docs: DataFrame, text_col: str) -> np.ndarray:
                 for k in range(1, WORDS):
                     over = first[1:] - k
                     own[over[(over >= 0) & (over < len(own))]] = False
-                total += np.bincount((every[own] % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+                total += np.bincount((every[own] % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS).astype(np.uint32)
         small = total.astype("<u4").reshape(-1, SLICE)
         yield rows_of({"slice": range(len(small)), "counts": [x.tobytes() for x in small]}, COUNTS)
 
@@ -99,7 +99,7 @@ def slot_order(docs: DataFrame, text_col: str) -> np.ndarray:
         for b in batches:
             for k, x in zip(b.column("slice").to_pylist(), b.column("counts").to_pylist(), strict=True):
                 held[k] = held.get(k, 0) + np.frombuffer(x, "<u4").astype(np.int64)
-        yield rows_of({"slice": list(held), "counts": [np.round(np.log2(x + 1)).astype(np.uint8).tobytes() for x in held.values()]}, COUNTS)
+        yield rows_of({"slice": list(held), "counts": [np.round(2 * np.log2(x + 1)).astype(np.uint8).tobytes() for x in held.values()]}, COUNTS)
 
     rows = docs.select(text_of(text_col).alias("text")).mapInArrow(count, "slice int, counts binary")
     rows = rows.repartition(min(SLOTS // SLICE, partitions(docs.sparkSession)), "slice").mapInArrow(add, "slice int, counts binary")
@@ -121,7 +121,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, order) -> DataFrame:
                 out: dict[str, list] = {"n": [], "cid": [], "gid": [], "prefix": []}
                 for x in document_sets(b.column("text")):
                     n = len(x)
-                    place = (rank[(x % np.uint64(SLOTS)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (x >> np.uint64(6))
+                    place = (rank[(x % np.uint64(SLOTS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (x >> np.uint64(8))
                     first = x[np.argsort(place)[: prefix_size(n)]] if n else x
                     out["n"].append(n)
                     out["cid"].append(int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "little", signed=True))
@@ -198,16 +198,6 @@ def _rest(k: Column) -> Column:
     return F.ceil(k * F.lit(SIMILARITY) / F.lit(100.0) - F.lit(1e-9)).cast("long") - 1
 
 
-def _least_common(n: Column, m: Column) -> Column:
-    """A number l so that linked sets of n and m share l of their first n - need + l and m - need + l shingles.
-
-    Of the need common shingles at most need - l lie beyond either of these stretches, or the shorter reach of
-    the two would leave out more. Larger l rule out more pairs; both stretches must lie in the prefixes.
-    """
-    need = overlap_needed(n, m)
-    return F.greatest(F.least(F.floor(need * 0.04) + 1, need - F.greatest(_rest(n), _rest(m))), F.lit(1))
-
-
 def _counted(met: DataFrame) -> DataFrame:
     """a, b, c of those rows a, n, b, m (one for each prefix shingle that two groups share) whose number c links need."""
     pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("m").alias("m"))
@@ -293,12 +283,13 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tup
     columns, sides = ("gid", "n", "low", "high", "place"), (("a", "n", "la", "ha", "i"), ("b", "m", "lb", "hb", "j"))
     left, right = (marked.select("token", *[F.col(c).alias(x) for c, x in zip(columns, side, strict=True)]) for side in sides)
     n, m = F.col("n"), F.col("m")
-    reach = _least_common(n, m) - overlap_needed(n, m)
-    early = (F.col("i") < n + reach) & (F.col("j") < m + reach)
+    # Linked sets share one of their first n - need + 1 and m - need + 1 shingles: of the need common ones at most
+    # need - 1 lie beyond the stretch that ends first.
+    need = overlap_needed(n, m)
+    early = (F.col("i") <= n - need) & (F.col("j") <= m - need)
     apart = (F.col("la") != F.col("lb")) | (F.col("la") != F.col("ha")) | (F.col("lb") != F.col("hb"))
     met = left.join(right, "token").where((F.col("a") < F.col("b")) & apart & _fits(n, m) & early)
-    met = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("m").alias("m"))
-    met = met.where(F.col("c") >= _least_common(n, m))
+    met = met.select("a", "b").distinct()
     member = labelled.select("gid", "cid", "root")
     pairs = met.select("a", "b").unionByName(of_group.where("low <> high").select(F.col("gid").alias("a"), F.col("gid").alias("b")))
     pairs = pairs.join(member.withColumnsRenamed({"gid": "a", "cid": "x", "root": "rx"}), "a").join(member.withColumnsRenamed({"gid": "b", "cid": "y", "root": "ry"}), "b")
