@@ -168,7 +168,7 @@ class Network:
 class Scorer:
     """Scores texts; keeps the gate inputs of the words that it has met, up to a bound."""
 
-    KEPT = 300_000
+    KEPT = 100_000
 
     def __init__(self, net: Network):
         self.net = net
@@ -352,7 +352,7 @@ def score_documents(docs: DataFrame, net: Network, id_col: str = "doc_id", text_
     def score(batches):
         scorer = _scorer(key, sent.value)
         for whole in batches:
-            for b in pieces(whole):
+            for b in pieces(whole, 2 << 20):
                 s = scorer.scores(b.column("text").to_pylist()).astype(np.float64)
                 held = [held_out(None if i is None else str(i)) for i in b.column("doc_id").to_pylist()]
                 yield rows_of({"doc_id": b.column("doc_id"), "held_out": held, "score": s, "predicted": (s >= 0.5).astype(np.int32)}, SCORES)
