@@ -31,16 +31,17 @@ MANIFEST = pa.schema([("part", pa.int32()), ("path", pa.string()), ("docs", pa.i
 READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
 
-def sequence_schema(length: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
+def sequence_schema(length: int, wide: bool = True) -> pa.Schema:
+    """ids take 32 bits, or 16 where the vocabulary allows it."""
+    return pa.schema([("ids", pa.list_(pa.uint32() if wide else pa.uint16(), length)), ("mask", pa.list_(pa.uint8(), length))])
 
 
 class SequenceWriter:
     """Appends ids; writes a record batch whenever one is full, and pads the last sequence (id 0, mask 0)."""
 
-    def __init__(self, sink, length: int, batch: int):
+    def __init__(self, sink, length: int, batch: int, wide: bool = True):
         self.length, self.room = length, length * batch
-        self.schema = sequence_schema(length)
+        self.schema, self.kind = sequence_schema(length, wide), np.uint32 if wide else np.uint16
         self.file = pa.ipc.new_file(sink, self.schema)
         self.held: list[np.ndarray] = []
         self.n = 0
@@ -57,7 +58,7 @@ class SequenceWriter:
 
     def _write(self, flat: np.ndarray, real: int) -> None:
         mask = (np.arange(len(flat)) < real).astype(np.uint8)
-        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (flat.astype(np.uint32), mask)]
+        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (flat.astype(self.kind), mask)]
         self.file.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
 
     def close(self) -> None:
@@ -114,6 +115,10 @@ def write_sequences(
     key = [F.col("doc_id").asc_nulls_last(), F.col("h").asc()]
     rows = rows.repartitionByRange(n, *key).sortWithinPartitions(*key).select("doc_id", "text")
 
+    from tokenizers import Tokenizer
+
+    wide = max(Tokenizer.from_file(path).get_vocab_size() - 1, end_id) > 0xFFFF
+
     def write(batches):
         from pyspark import TaskContext
 
@@ -125,7 +130,7 @@ def write_sequences(
         end = np.array([end_id], "<u4").tobytes()
         at = docs_n = 0
         with store.open_output_stream(f"{base}/{name}.arrow") as sink, store.open_output_stream(f"{base}/{name}.index.arrow") as beside:
-            out, index = SequenceWriter(sink, length, batch), pa.ipc.new_file(beside, INDEX)
+            out, index = SequenceWriter(sink, length, batch, wide), pa.ipc.new_file(beside, INDEX)
             for whole in batches:
                 for b in pieces(whole):
                     lists = [chunks(t) for t in b.column("text").to_pylist()]
