@@ -97,7 +97,7 @@ class TrieBpe:
     def _last(self, path: str, states: list[tuple[int, int]], end: str) -> tuple[int, int]:
         """The last token of the encoding of path (with end on its last letter), and how many letters it covers."""
         n, vocab = len(path), self.vocab
-        for size in range(min(n, self.longest), 0, -1):
+        for size in range(1, min(n, self.longest) + 1):
             token = vocab.get(path[n - size :] + end)
             if token is not None and (size == n or self.pair_is_legal(states[n - size][0], token)):
                 return token, size

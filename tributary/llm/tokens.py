@@ -21,7 +21,7 @@ _SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
 _ODD = re.compile("[\x1c-\x1f]")
 
 #: Chunks that a worker keeps in each of its two generations.
-KEPT = 100_000
+KEPT = 200_000
 
 
 def default_tokenizer() -> str:
