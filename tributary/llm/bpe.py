@@ -13,28 +13,14 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
-import unicodedata
 from collections.abc import Iterable
 
-import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.llm.common import pieces, prepare, rows_of, text_of
-from tributary.llm.tokens import ChunkTable, chunks, default_tokenizer
-
-
-def byte_letters() -> list[str]:
-    """The printable letter that stands for each byte in a byte-level vocabulary."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    out, extra = {b: chr(b) for b in plain}, 256
-    for b in range(256):
-        if b not in out:
-            out[b] = chr(extra)
-            extra += 1
-    return [out[b] for b in range(256)]
+from tributary.llm.tokens import ChunkTable, Splitter, chunks, default_tokenizer, packed
 
 
 class TrieBpe:
@@ -46,13 +32,9 @@ class TrieBpe:
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model.get("end_of_word_suffix") or ""
-        self.letters = byte_letters()
+        self.splitter = Splitter(spec)
         self.names = {i: t for t, i in self.vocab.items()}
-        self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        self.names.update({i: t for t, i in self.special.items()})
-        self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        (pattern,) = [p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
-        self.piece = regex.compile(pattern)
+        self.names.update({i: t for t, i in self.splitter.special.items()})
         self.merges: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
         self.rank: dict[int, int] = {}
@@ -130,22 +112,8 @@ class TrieBpe:
             before = word
         return out
 
-    def normal(self, text: str) -> str:
-        text = unicodedata.normalize("NFC", text)
-        return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
-
-    def chunk_pieces(self, chunk: str) -> list[str | int]:
-        """Words as byte letters, and ids of special tokens that stand in the chunk."""
-        out: list[str | int] = []
-        for part in self.split_special.split(chunk) if self.split_special and "<|" in chunk else [chunk]:
-            if part in self.special:
-                out.append(self.special[part])
-            else:
-                out += ["".join(map(self.letters.__getitem__, p.encode())) for p in self.piece.findall(self.normal(part))]
-        return out
-
     def encode_chunks(self, new: list[str]) -> Iterable[list[int]]:
-        lists = [self.chunk_pieces(c) for c in new]
+        lists = self.splitter.many(new)
         known = self.words({p for x in lists for p in x if isinstance(p, str)})
         for x in lists:
             ids: list[int] = []
@@ -167,8 +135,8 @@ def trie_chunks(path: str) -> ChunkTable:
     bpe = TrieBpe(path)
 
     def fill(new: list[str]) -> Iterable[tuple[bytes, str]]:
-        for ids in bpe.encode_chunks(new):
-            yield np.array(ids, "<u4").tobytes(), bpe.decode(ids)
+        lists = list(bpe.encode_chunks(new))
+        return zip(packed(lists), map(bpe.decode, lists), strict=True)
 
     return ChunkTable(fill)
 

@@ -8,17 +8,21 @@ row. Chunks repeat, so each worker keeps what it has encoded.
 from __future__ import annotations
 
 import functools
+import gc
+import json
 import os
 import re
+import unicodedata
 from collections.abc import Callable, Iterable
 
 import numpy as np
+import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: The characters of Unicode's White_Space property; Python's split() also takes 1C to 1F.
 _SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
-_ODD = re.compile("[\x1c-\x1f]")
+_ODD = "\x1c\x1d\x1e\x1f"
 
 #: Chunks that a worker keeps in each of its two generations.
 KEPT = 200_000
@@ -31,11 +35,81 @@ def default_tokenizer() -> str:
 
 
 def chunks(text: str) -> list[str]:
-    if _ODD.search(text):
+    if any(c in text for c in _ODD):
         return [c for c in _SPACES.split(text) if c]
     return text.split()
 
 
+def byte_letters() -> list[str]:
+    """The printable letter that stands for each byte in a byte-level vocabulary."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    out, extra = {b: chr(b) for b in plain}, 256
+    for b in range(256):
+        if b not in out:
+            out[b] = chr(extra)
+            extra += 1
+    return [out[b] for b in range(256)]
+
+
+class Splitter:
+    """Chunks to words as a tokenizer's normalizer and pre-tokenizer give them, by the pattern in its file."""
+
+    #: Chunks that one pass of the pattern takes.
+    BLOCK = 4096
+
+    def __init__(self, spec: dict):
+        (pattern,) = [p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
+        self.letters = byte_letters()
+        self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+        self.piece = regex.compile(pattern)
+        self.piece_or_end = regex.compile(f"{pattern}|\\n")
+
+    def normal(self, text: str) -> str:
+        text = unicodedata.normalize("NFC", text)
+        return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
+
+    def in_letters(self, piece: str) -> str:
+        """The piece's bytes as letters; printable ASCII stands for itself."""
+        return piece if piece.isascii() and piece.isprintable() else "".join(map(self.letters.__getitem__, piece.encode()))
+
+    def one(self, chunk: str) -> list[str | int]:
+        """Words as byte letters, and ids of special tokens that stand in the chunk."""
+        out: list[str | int] = []
+        for part in self.split_special.split(chunk) if self.split_special and "<|" in chunk else [chunk]:
+            if part in self.special:
+                out.append(self.special[part])
+            else:
+                out += map(self.in_letters, self.piece.findall(self.normal(part)))
+        return out
+
+    def many(self, new: list[str]) -> list[list[str | int]]:
+        """one() of each chunk. Chunks are normalized and split with a line end between, which no piece or composition crosses."""
+        out: list[list[str | int]] = []
+        for i in range(0, len(new), self.BLOCK):
+            block = new[i : i + self.BLOCK]
+            text = "\n".join(block)
+            if any(s in text for s in self.special):
+                out += map(self.one, block)
+                continue
+            now: list[str | int] = []
+            for p in self.piece_or_end.findall(self.normal(text)):
+                if p == "\n":
+                    out.append(now)
+                    now = []
+                else:
+                    now.append(self.in_letters(p))
+            out.append(now)
+        return out
+
+
+def packed(lists: list[list[int]]) -> list[bytes]:
+    """Each list as little-endian unsigned 32-bit integers."""
+    ends = (4 * np.cumsum([len(x) for x in lists])).tolist()
+    raw = np.array([i for x in lists for i in x], "<u4").tobytes()
+    return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
 class ChunkTable:
     """chunk -> value, for those that a batch needs and most that earlier batches needed."""
 
@@ -43,7 +117,20 @@ class ChunkTable:
         self.fill, self.now, self.old = fill, {}, {}
 
     def of(self, lists: list[list[str]]) -> dict:
-        """A table that has every chunk of the lists."""
+        """A table that has every chunk of the lists.
+
+        What filling makes is many small lists without a cycle among them, so
+        the collector of cycles is off meanwhile.
+        """
+        on = gc.isenabled()
+        gc.disable()
+        try:
+            return self._of(lists)
+        finally:
+            if on:
+                gc.enable()
+
+    def _of(self, lists: list[list[str]]) -> dict:
         need: set[str] = set()
         for x in lists:
             need.update(x)
@@ -62,16 +149,24 @@ class ChunkTable:
 
 @functools.lru_cache(maxsize=2)
 def library_chunks(path: str) -> ChunkTable:
-    """chunk -> its ids as little-endian unsigned 32-bit integers, by the tokenizers library."""
+    """chunk -> its ids as little-endian unsigned 32-bit integers, by the tokenizers library.
+
+    Words that chunks share, apart from their marks, reach the library's model once.
+    """
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(path)
-    tok.no_truncation()
-    tok.no_padding()
+    model = Tokenizer.from_file(path).model
+    with open(path, encoding="utf-8") as f:
+        splitter = Splitter(json.load(f))
+    known: dict[str, bytes] = {}
 
     def fill(new: list[str]) -> Iterable[bytes]:
-        for i in range(0, len(new), 20_000):
-            for e in tok.encode_batch_fast(new[i : i + 20_000], add_special_tokens=False):
-                yield np.array(e.ids, "<u4").tobytes()
+        lists = splitter.many(new)
+        if len(known) > KEPT:
+            known.clear()
+        fresh = sorted({w for x in lists for w in x if isinstance(w, str)}.difference(known))
+        known.update(zip(fresh, packed([[t.id for t in model.tokenize(w)] for w in fresh]), strict=True))
+        for words in lists:
+            yield b"".join([known[w] if isinstance(w, str) else w.to_bytes(4, "little") for w in words])
 
     return ChunkTable(fill)
