@@ -122,6 +122,12 @@ def test_file_cuts_and_values(spark):
         rows.join_values(held, "v").collect()
 
 
+def test_joined_values_escape_the_delimiter_and_the_backslash(spark):
+    held = spark.createDataFrame([(["a", "b"],), (["a;b", "c"],), (["d\\e"],)], "v array<string>")
+    assert sorted(r.v for r in rows.join_values(held, "v", on_conflict="escape").collect()) == ["a;b", "a\\;b;c", "d\\\\e"]
+    assert sorted(r.v for r in rows.join_values(held, "v", on_conflict="encode_json").collect()) == ['["a","b"]', '["a;b","c"]', '["d\\\\e"]']
+
+
 def test_streaming_windows(spark, tmp_path):
     import datetime as d
 

@@ -240,11 +240,16 @@ def split_to_rows(df: DataFrame, field: str, keep_empty: bool = True, position:
 
 
 def join_values(df: DataFrame, field: str, sep: str = ";", on_conflict: str = "error") -> DataFrame:
-    """An array as one delimited cell; what to do where an element holds the delimiter: error, escape or encode_json."""
+    """An array as one delimited cell.
+
+    on_conflict: error (where an element holds the delimiter), escape (a backslash
+    before each delimiter and backslash) or encode_json (every cell is JSON).
+    """
     c = F.col(f"`{field}`")
+    if on_conflict == "encode_json":
+        return df.withColumn(field, F.to_json(c))
+    if on_conflict == "escape":
+        return df.withColumn(field, F.array_join(F.transform(c, lambda x: F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit(sep), F.lit("\\" + sep))), sep))
     clash = F.exists(c, lambda x: F.contains(x, F.lit(sep)))
-    plain = F.array_join(c, sep)
-    other = {"error": F.raise_error(F.lit(f"a value of {field} holds {sep!r}")).cast("string"), "encode_json": F.to_json(c)}.get(on_conflict)
-    if other is None:
-        other = F.array_join(F.transform(c, lambda x: F.replace(x, F.lit(sep), F.lit("\\" + sep))), sep)
-    return df.withColumn(field, F.when(clash, other).otherwise(plain))
+    stop = F.raise_error(F.lit(f"a value of {field} holds {sep!r}")).cast("string")
+    return df.withColumn(field, F.when(clash, stop).otherwise(F.array_join(c, sep)))
