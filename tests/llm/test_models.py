@@ -89,3 +89,16 @@ def test_search_matches_brute_force(spark, dims, scale):
         best = sorted(((-int(held[q] @ v), i) for i, v in held.items() if i != q and len(v) == len(held[q])))[:5]
         assert sorted(got.get(q, [])) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert set(got) == {i for i in held if i % 20 == 0}
+
+
+def test_toxicity_trains_on_whole_texts(docs, spark):
+    r = random.Random(8)
+    vocab = ["v%d" % k for k in range(120)]
+    texts = [" ".join(["zounds" if k % 2 and w == 1590 else r.choice(vocab) for w in range(1600)]) for k in range(240)]
+    texts += [" ".join([r.choice(vocab) for _ in range(40)] + ["zounds"] * (k % 2)) for k in range(20)]
+    df = docs(texts)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(240)], "doc_id long, toxic int")
+    net = toxicity.fit(df, labels)
+    assert "zounds" in net.vocabulary
+    rows = toxicity.score_documents(df, net).where("doc_id >= 240").collect()
+    assert [x.predicted for x in sorted(rows, key=lambda x: x.doc_id)] == [k % 2 for k in range(20)]

@@ -10,23 +10,24 @@ window.
 
 from __future__ import annotations
 
-import sys
 import zlib
+from collections.abc import Iterable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm.common import pieces, prepare, rows_of, text_of
+from tributary.llm.common import pieces, prepare, rows_of, stored, text_of
 from tributary.llm.hashing import grams
 
 #: Words in a window, and words from one window's start to the next.
 WINDOW, STEP = 48, 24
 HIDDEN, WORD_DIM, CHAR_DIM, BUCKETS = 8, 8, 8, 1 << 13
-#: Bounds of the training sample: labelled rows of each kind, and words of one of them.
-SAMPLE, SAMPLE_WORDS = 1000, 1500
+#: Bound of the training sample: labelled rows of each kind. Their texts are read whole.
+SAMPLE = 1000
+#: Words of training texts whose windows are ranked at a time.
+GROUP_WORDS = 1 << 19
 #: Training rows that must hold a word before it has a vector of its own.
 LEAST = 4
 _EDGES = ".,;:!?\"'()[]{}<>«»“”„*_-#$%&…"
@@ -56,6 +57,31 @@ def window_starts(n: int) -> np.ndarray:
     return np.append(out, n - WINDOW)
 
 
+def over_windows(numbers: list[np.ndarray], measure, block: int = 2048) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all overlapping windows of texts, given as word numbers: number of the text, first word, and measure(index, real).
+
+    index has a row of word numbers for each of some windows; real marks those that are not padding, or is None where none are.
+    """
+    sizes = np.array([len(x) for x in numbers], np.int64)
+    starts = [window_starts(n) for n in sizes]
+    owner = np.repeat(np.arange(len(numbers)), [len(s) for s in starts])
+    first = np.concatenate(starts) if starts else np.zeros(0, np.int64)
+    flat = np.concatenate([*numbers, np.zeros(WINDOW, np.int64)])
+    base = np.cumsum(sizes) - sizes
+    out, short = np.empty(len(owner), np.float32), sizes[owner] < WINDOW
+    for kind in (False, True):
+        which = np.flatnonzero(short == kind)
+        for i in range(0, len(which), block):
+            w = which[i : i + block]
+            index = flat[(base[owner[w]] + first[w])[:, None] + np.arange(WINDOW)]
+            real = None
+            if kind:
+                real = np.arange(WINDOW) < sizes[owner[w]][:, None]
+                index = np.where(real, index, 0)
+            out[w] = measure(index, real)
+    return owner, first, out
+
+
 class Network:
     def __init__(self, vocabulary: dict[str, int], lean: np.ndarray, seed: int = 5):
         r = np.random.default_rng(seed)
@@ -196,27 +222,10 @@ class Scorer:
         get = self.number.__getitem__
         return [np.fromiter(map(get, x), np.int64, len(x)) for x in lists]
 
-    def windows(self, lists: list[list[str]], block: int = 2048) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def windows(self, lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of all overlapping windows: number of the text, first word, and logit."""
         numbers = self._numbers(lists)
-        sizes = np.array([len(x) for x in numbers])
-        starts = [window_starts(n) for n in sizes]
-        owner = np.repeat(np.arange(len(lists)), [len(s) for s in starts])
-        first = np.concatenate(starts) if starts else np.zeros(0, np.int64)
-        flat = np.concatenate([*numbers, np.zeros(WINDOW, np.int64)])
-        base = np.cumsum(sizes) - sizes
-        out, short = np.empty(len(owner), np.float32), sizes[owner] < WINDOW
-        for kind in (False, True):
-            which = np.flatnonzero(short == kind)
-            for i in range(0, len(which), block):
-                w = which[i : i + block]
-                index = flat[(base[owner[w]] + first[w])[:, None] + np.arange(WINDOW)]
-                real = None
-                if kind:
-                    real = np.arange(WINDOW) < sizes[owner[w]][:, None]
-                    index = np.where(real, index, 0)
-                out[w] = self.net.score(self.gates, index, real)
-        return owner, first, out
+        return over_windows(numbers, lambda index, real: self.net.score(self.gates, index, real))
 
     def scores(self, texts: list[str]) -> np.ndarray:
         owner, _, logit = self.windows([t.split() for t in texts])
@@ -225,71 +234,121 @@ class Scorer:
         return 1 / (1 + np.exp(-worst))
 
 
-def train(texts: list[str], labels: np.ndarray, rounds: int = 3, epochs: int = 4, seed: int = 5) -> Network:
-    """Fits the network to the worst windows of labelled texts, which it picks anew in each round.
+def numbered(texts: Iterable[str]) -> tuple[list[np.ndarray], list[str]]:
+    """Whole texts as 32-bit word numbers, and the words, lower case and without marks at their edges; number 0 is the empty word."""
+    number: dict[str, int] = {"": 0}
+    lists = []
+    for t in texts:
+        bare = [w.lower().strip(_EDGES) for w in t.split()]
+        lists.append(np.fromiter((number.setdefault(w, len(number)) for w in bare), np.int32, len(bare)))
+    return lists, list(number)
+
+
+def groups_of(lists: list[np.ndarray], limit: int = GROUP_WORDS):
+    """Ranges of texts with about limit words each, at least one text."""
+    at, total = 0, 0
+    for k, x in enumerate(lists):
+        if k > at and total + len(x) > limit:
+            yield at, k
+            at, total = k, 0
+        total += len(x)
+    if at < len(lists):
+        yield at, len(lists)
+
+
+def worst_windows(lists: list[np.ndarray], labels: np.ndarray, rank, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Text and first word of each text's window of highest rank, and of the next two where its label is 0; ties by chance.
+
+    rank(used) gives a measure for over_windows whose numbers point into used,
+    the words that a group of texts has. Every window of every text is ranked; a
+    group's ranks are let go before the next is read.
+    """
+    texts, firsts = [], []
+    for low, high in groups_of(lists):
+        used, local = np.unique(np.concatenate([*lists[low:high], np.zeros(1, np.int32)]), return_inverse=True)
+        ends = np.cumsum([len(x) for x in lists[low:high]])
+        owner, first, value = over_windows(np.split(local[:-1], ends[:-1]), rank(used))
+        order = np.lexsort((rng.random(len(value)), -value, owner))
+        place = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
+        chosen = order[(place == 0) | ((labels[low + owner[order]] == 0) & (place < 3))]
+        texts.append(low + owner[chosen])
+        firsts.append(first[chosen])
+    return np.concatenate(texts), np.concatenate(firsts)
+
+
+def train(lists: list[np.ndarray], strings: list[str], labels: np.ndarray, rounds: int = 3, epochs: int = 4, seed: int = 5) -> Network:
+    """Fits the network to the worst windows of labelled texts (see numbered()), which it picks anew in each round.
 
     Word vectors start with one coordinate that leans the way the word's
     training rows are labelled. With no rows, or none of one kind, every score
     stays near the base rate.
     """
     rng = np.random.default_rng(seed)
-    lists = [[sys.intern(w) for w in t.split()[:SAMPLE_WORDS]] for t in texts]
-    bare = [[sys.intern(w.lower().strip(_EDGES)) for w in x] for x in lists]
-    seen: dict[str, list[int]] = {}
-    for words, label in zip(bare, labels, strict=True):
-        for w in sorted(set(words)):
-            seen.setdefault(w, [0, 0])[int(label)] += 1
-    kept = sorted(w for w, c in seen.items() if sum(c) >= LEAST and w)
+    seen = np.zeros((2, len(strings)), np.int64)
+    for x, label in zip(lists, labels, strict=True):
+        seen[int(label), np.unique(x)] += 1
+    frequent = sorted((k for k in np.flatnonzero(seen.sum(0) >= LEAST).tolist() if k), key=strings.__getitem__)
     total = np.maximum(np.bincount(labels.astype(int), minlength=2), 1)
-    lean = np.array([np.log((seen[w][1] + 0.5) / (total[1] + 1)) - np.log((seen[w][0] + 0.5) / (total[0] + 1)) for w in kept], np.float32)
-    net = Network({w: i + 1 for i, w in enumerate(kept)}, lean / 4, seed)
+    odds = np.log((seen[1, frequent] + 0.5) / (total[1] + 1)) - np.log((seen[0, frequent] + 0.5) / (total[0] + 1))
+    lean = odds.astype(np.float32)
+    net = Network({strings[k]: i + 1 for i, k in enumerate(frequent)}, lean / 4, seed)
     if len(set(labels.tolist())) < 2:
         net.p["c"][0] = -3.0 if not len(labels) or labels.max() == 0 else 3.0
         return net
-    worth = {w: float(v) for w, v in zip(kept, lean, strict=True)}
+    worth = np.zeros(len(strings), np.float32)
+    worth[frequent] = lean
+
+    def by_worth(used):
+        mine = worth[used]
+
+        def measure(index, real):
+            value = mine[index] if real is None else np.where(real, mine[index], -np.inf)
+            best = value.max(1)
+            return np.where(np.isfinite(best), best, 0)
+
+        return measure
+
+    def by_network(used):
+        gates = np.empty((2, len(used), 3 * HIDDEN), np.float32)
+        for i in range(0, len(used), 20_000):
+            gates[:, i : i + 20_000] = net.project(net.rows([strings[k] for k in used[i : i + 20_000]]))
+        return lambda index, real: net.score(gates, index, real)
+
     adam = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     step = 0
     for turn in range(rounds):
-        if turn:
-            owner, first, rank = Scorer(net).windows(lists)
-        else:
-            starts = [window_starts(len(x)) for x in lists]
-            owner, first = np.repeat(np.arange(len(lists)), [len(s) for s in starts]), np.concatenate(starts)
-            rank = np.array([max((worth.get(w, 0.0) for w in bare[o][f : f + WINDOW]), default=0.0) for o, f in zip(owner, first, strict=True)])
-        order = np.lexsort((rng.random(len(rank)), -rank, owner))
-        place = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
-        y = labels[owner[order]]
-        chosen = order[(place == 0) | ((y == 0) & (place < 3))]
-        words = sorted({w for o, f in zip(owner[chosen], first[chosen], strict=True) for w in bare[o][f : f + WINDOW]} | {""})
-        number = {w: i for i, w in enumerate(words)}
+        owner, first = worst_windows(lists, labels, by_network if turn else by_worth, rng)
+        picks = [lists[o][f : f + WINDOW] for o, f in zip(owner, first, strict=True)]
+        used = sorted(set(np.concatenate(picks).tolist()) | {0}, key=strings.__getitem__)
+        words = [strings[k] for k in used]
+        number = dict(zip(used, range(len(used)), strict=True))
         own = np.array([net.vocabulary.get(w, 0) for w in words])
         ids, at = trigram_ids(words)
         count = np.diff(np.append(at, len(ids)))
         owner_word = np.repeat(np.arange(len(words)), count)
-        index, real = np.zeros((len(chosen), WINDOW), np.int64), np.zeros((len(chosen), WINDOW), bool)
-        for k, c in enumerate(chosen):
-            x = [number[w] for w in bare[owner[c]][first[c] : first[c] + WINDOW]]
-            index[k, : len(x)], real[k, : len(x)] = x, True
-        goal = labels[owner[chosen]].astype(np.float32)
+        index, real = np.zeros((len(picks), WINDOW), np.int64), np.zeros((len(picks), WINDOW), bool)
+        for k, x in enumerate(picks):
+            index[k, : len(x)], real[k, : len(x)] = [number[w] for w in x.tolist()], True
+        goal = labels[owner].astype(np.float32)
         for _ in range(epochs):
-            perm = rng.permutation(len(chosen))
+            perm = rng.permutation(len(picks))
             for i in range(0, len(perm), 128):
                 w = perm[i : i + 128]
-                used, local = np.unique(index[w], return_inverse=True)
+                near, local = np.unique(index[w], return_inverse=True)
                 local = local.reshape(len(w), WINDOW)
-                pick = np.isin(owner_word, used, assume_unique=False)
-                sub_ids, sub_own = ids[pick], np.searchsorted(used, owner_word[pick])
-                mean = np.zeros((len(used), CHAR_DIM), np.float32)
+                pick = np.isin(owner_word, near, assume_unique=False)
+                sub_ids, sub_own = ids[pick], np.searchsorted(near, owner_word[pick])
+                mean = np.zeros((len(near), CHAR_DIM), np.float32)
                 np.add.at(mean, sub_own, net.p["char"][sub_ids])
-                mean /= count[used][:, None]
-                x = np.concatenate([net.p["word"][own[used]], mean], axis=1)[local]
+                mean /= count[near][:, None]
+                x = np.concatenate([net.p["word"][own[near]], mean], axis=1)[local]
                 _, g, dx = net.gradient(x, real[w], goal[w])
-                d = np.zeros((len(used), WORD_DIM + CHAR_DIM), np.float32)
+                d = np.zeros((len(near), WORD_DIM + CHAR_DIM), np.float32)
                 np.add.at(d, local.ravel(), dx.reshape(-1, dx.shape[2]))
                 g["word"], g["char"] = np.zeros_like(net.p["word"]), np.zeros_like(net.p["char"])
-                np.add.at(g["word"], own[used], d[:, :WORD_DIM])
+                np.add.at(g["word"], own[near], d[:, :WORD_DIM])
                 g["word"][0] = 0
-                np.add.at(g["char"], sub_ids, (d[:, WORD_DIM:] / count[used][:, None])[sub_own])
+                np.add.at(g["char"], sub_ids, (d[:, WORD_DIM:] / count[near][:, None])[sub_own])
                 step += 1
                 for k, v in net.p.items():
                     m, s = adam[k]
@@ -303,27 +362,36 @@ def held_out(doc_id: str | None) -> bool:
     return doc_id is not None and zlib.crc32(doc_id.encode()) % 5 == 0
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int = SAMPLE) -> pd.DataFrame:
-    """text and toxic of at most sample labelled rows of each kind that are not held out.
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int = SAMPLE) -> DataFrame:
+    """i, text, toxic and the text's hash of at most sample labelled rows of each kind that are not held out.
 
     The ids are chosen by hash, in Spark; the broadcast has at most 2 * sample
-    rows, and a text is cut to its first SAMPLE_WORDS words, for training only.
+    rows. Texts are whole: a label may owe to any part of one.
     """
     lab = labels.select(F.col(id_col).cast("long").alias("i"), F.col("toxic").cast("int").alias("toxic"))
     lab = lab.where(F.col("i").isNotNull() & F.col("toxic").isin(0, 1) & (F.crc32(F.col("i").cast("string").cast("binary")) % 5 != 0)).distinct()
     picks = [lab.where(F.col("toxic") == k).orderBy(F.xxhash64("i"), "i").limit(sample) for k in (0, 1)]
     ids = F.broadcast(picks[0].unionByName(picks[1]))
-    cut = F.array_join(F.slice(F.split(text_of(text_col), r"\s+"), 1, SAMPLE_WORDS), " ")
-    rows = docs.select(F.col(id_col).cast("long").alias("i"), cut.alias("text")).join(ids, "i").select("i", "text", "toxic")
-    return rows.toPandas().sort_values(["i", "text", "toxic"]).reset_index(drop=True)
+    rows = docs.select(F.col(id_col).cast("long").alias("i"), text_of(text_col).alias("text")).join(ids, "i")
+    return rows.select("i", "text", "toxic", F.md5("text").alias("hash"))
 
 
 SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Network:
-    rows = training_rows(docs, labels, id_col, text_col, sample)
-    return train(rows["text"].tolist(), rows["toxic"].to_numpy(np.int64))
+    """The network of a sample of labelled rows. Their texts come to the driver a part at a time, and it keeps them as word numbers."""
+    prepare(docs.sparkSession)
+    keys: list[tuple[int, str, int]] = []
+
+    def texts():
+        for r in stored(training_rows(docs, labels, id_col, text_col, sample), "training").toLocalIterator():
+            keys.append((r.i, r.hash, r.toxic))
+            yield r.text
+
+    lists, strings = numbered(texts())
+    order = sorted(range(len(keys)), key=keys.__getitem__)
+    return train([lists[k] for k in order], strings, np.array([keys[k][2] for k in order], np.int64))
 
 
 _scorers: dict[bytes, Scorer] = {}
