@@ -102,3 +102,10 @@ def test_toxicity_trains_on_whole_texts(docs, spark):
     assert "zounds" in net.vocabulary
     rows = toxicity.score_documents(df, net).where("doc_id >= 240").collect()
     assert [x.predicted for x in sorted(rows, key=lambda x: x.doc_id)] == [k % 2 for k in range(20)]
+
+
+def test_toxicity_sample_holds_two_thousand_of_each_kind(docs, spark):
+    df = docs(["a%d" % k for k in range(4000)])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(4000)], "doc_id long, toxic int")
+    rows = toxicity.training_rows(df, labels, "doc_id", "text").select("i", "toxic").collect()
+    assert {x.i for x in rows} == {k for k in range(4000) if not toxicity.held_out(str(k))}

@@ -25,7 +25,7 @@ from tributary.llm.hashing import grams
 WINDOW, STEP = 48, 24
 HIDDEN, WORD_DIM, CHAR_DIM, BUCKETS = 8, 8, 8, 1 << 13
 #: Bound of the training sample: labelled rows of each kind. Their texts are read whole.
-SAMPLE = 1000
+SAMPLE = 2000
 #: Words of training texts whose windows are ranked at a time.
 GROUP_WORDS = 1 << 19
 #: Training rows that must hold a word before it has a vector of its own.
