@@ -109,3 +109,11 @@ def test_toxicity_sample_holds_two_thousand_of_each_kind(docs, spark):
     labels = spark.createDataFrame([(k, k % 2) for k in range(4000)], "doc_id long, toxic int")
     rows = toxicity.training_rows(df, labels, "doc_id", "text").select("i", "toxic").collect()
     assert {x.i for x in rows} == {k for k in range(4000) if not toxicity.held_out(str(k))}
+
+
+def test_target_model_counts_every_good_row(docs, spark, monkeypatch):
+    kept, real = [], quality.log_ratio
+    monkeypatch.setattr(quality, "log_ratio", lambda counts: (kept.append(counts), real(counts))[1])
+    df = docs(["a"] * 20_600)
+    assert quality.resample(df, df.where("doc_id < 20500").select("doc_id")).count() == 20_600
+    assert kept[0].sum(1).tolist() == [20_600, 20_500]

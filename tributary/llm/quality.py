@@ -18,8 +18,6 @@ from tributary.llm.hashing import lowered, shingles, word_hashes, word_spans
 
 #: Buckets of the hashed n-grams.
 BUCKETS = 1 << 16
-#: Labelled good rows that the target model is fitted to, at most.
-TARGET = 20_000
 #: Share of the documents that is drawn.
 KEEP = 0.8
 
@@ -115,8 +113,8 @@ def resample(
 ) -> DataFrame:
     """doc_id, n_grams, log_weight, score (log_weight plus Gumbel noise), selected: one row per input row.
 
-    target_ids (one column) names rows of good text; at most TARGET of them, by
-    hash, fit the target model. The model of all text counts every row. Noise
+    target_ids (one column) names rows of good text; all of them fit the target
+    model. The model of all text counts every row. Noise
     comes from the id, a hash of the words and the seed, so reruns agree; rows
     that repeat share their fate, and the draw may pass its size by their number.
     Null and empty texts weigh 0. Without target rows every weight is 0 and
@@ -124,9 +122,9 @@ def resample(
     """
     spark = prepare(docs.sparkSession)
     (name,) = target_ids.columns
-    ids = target_ids.select(F.col(name).cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull()).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TARGET)
+    ids = target_ids.select(F.col(name).cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull()).distinct()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    marked = rows.join(F.broadcast(ids.withColumn("good", F.lit(True))), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
+    marked = rows.join(ids.withColumn("good", F.lit(True)), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
     ratio = spark.sparkContext.broadcast(log_ratio(bucket_counts(marked)))
 
     def weigh(batches):
