@@ -139,3 +139,12 @@ def test_streaming_windows(spark, tmp_path):
     q = stream_window(src, "ts", {"tumbling": "1h"}, ["k"], [F.count("*").alias("n")]).writeStream.outputMode("append").format("memory").queryName("tumbled").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted(r.n for r in spark.table("tumbled").collect()) == [1, 6, 6]
+
+
+def test_collect_has_no_bound_unless_asked(spark):
+    a, b = spark.createDataFrame([(1,)], "id long"), spark.range(10_500).selectExpr("1L AS id", "id AS v")
+    body = "emit id = a.id\nemit n = b.length()"
+    (got,) = combine.combine({"a": a, "b": b}, "a.id == b.id", body, match="collect").collect()
+    assert (got.id, got.n) == (1, 10_500)
+    with pytest.raises(Exception, match="over 10000 matches"):
+        combine.combine({"a": a, "b": b}, "a.id == b.id", body, match="collect", max_collected=10_000).collect()

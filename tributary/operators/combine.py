@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from tributary.functions.compiler import Scope, Value, compile_tree
 from tributary.functions.syntax import parse_expression, parse_program
 
-#: Elements of a collected match at most; more is an error, not a cut.
-COLLECTED = 10_000
-
 
 def _side(df: DataFrame, name: str) -> tuple[DataFrame, dict[str, Value]]:
     """df with columns prefixed by their input's name, and what the name's fields mean."""
@@ -67,12 +64,14 @@ def combine(
     drive: str | None = None,
     hint: str | None = None,
     max_output_rows: int | None = None,
+    max_collected: int | None = None,
 ) -> DataFrame:
     """Joins every other input to the driver in turn and runs the body; the output is what the body emits.
 
     match: first (the matching build row that came first, or of least hash where
     inputs carry no _ord), all, or collect (an array of matches, named after the
-    input). on_miss: null_fields, skip, or error. Everything in where belongs to
+    input; over max_collected of them is an error, not a cut, and None sets no
+    bound). on_miss: null_fields, skip, or error. Everything in where belongs to
     matching; a filter in the body drops rows afterwards and never re-matches.
     """
     names = list(inputs)
@@ -114,7 +113,8 @@ def combine(
             picked = joined.groupBy("_id").agg(F.array_sort(F.collect_list(row)).alias("_r"))
             merged = held.join(picked, "_id", "left" if on_miss == "null_fields" else "inner")
             whole = F.coalesce("_r", F.array().cast(picked.schema["_r"].dataType))
-            whole = F.when(F.size(whole) <= COLLECTED, whole).otherwise(F.raise_error(F.lit(f"over {COLLECTED} matches")).cast(picked.schema["_r"].dataType))
+            if max_collected is not None:
+                whole = F.when(F.size(whole) <= max_collected, whole).otherwise(F.raise_error(F.lit(f"over {max_collected} matches")).cast(picked.schema["_r"].dataType))
             plain = [c for c in build.columns if not c.endswith("_ord")]
             items = F.transform(whole, lambda x: F.struct(*[x["r"].getField(c).alias(c[len(name) + 2 :]) for c in plain]))
             out = merged.select(*[F.col(f"`{c}`") for c in out.columns], items.alias(f"{name}__"))

@@ -168,7 +168,7 @@ class Pipeline:
         return R.merge([self.ports[i] for i in n["inputs"]], n.get("mode", "concat"), n.get("seed"))
 
     def _combine(self, n: dict) -> DataFrame:
-        options = {k: n[k] for k in ("match", "on_miss", "drive", "hint", "max_output_rows") if k in n}
+        options = {k: n[k] for k in ("match", "on_miss", "drive", "hint", "max_output_rows", "max_collected") if k in n}
         return C.combine({k: self.ports[v] for k, v in n["inputs"].items()}, n["where"], n["body"], **options)
 
     def _reshape(self, n: dict) -> DataFrame:
