@@ -117,3 +117,18 @@ def test_target_model_counts_every_good_row(docs, spark, monkeypatch):
     df = docs(["a"] * 20_600)
     assert quality.resample(df, df.where("doc_id < 20500").select("doc_id")).count() == 20_600
     assert kept[0].sum(1).tolist() == [20_600, 20_500]
+
+
+def test_search_is_exact_for_large_components(spark):
+    rows = [(0, [2.0**45, 1.0, 0.0]), (1, [3.0, 1.0, 2.0]), (2, [2.0**50, -(2.0**20), 5.0]), (3, [-(2.0**35), 2.0**38, 7.0]), (4, [2.0**36, -(2.0**39), 1.0]), (5, [0.0, 0.0, 1.0])]
+    df = spark.createDataFrame(rows, "i long, v array<double>")
+    index = topk.build(df, scratch(spark, "t"), "i", "v", 1.0)
+    dot = lambda a, b: sum(int(x) * int(y) for x, y in zip(a, b, strict=True))
+    for q in (1, 3, 5):
+        best = sorted((-dot(rows[q][1], v), i) for i, v in rows if i != q)
+        fit = [(k + 1, i, -s) for k, (s, i) in enumerate(best[:2])]
+        ask = topk.search(index, df.where(f"i = {q}"), "i", "v", 2, 1.0)
+        if all(-(1 << 63) <= s < 1 << 63 for _, _, s in fit):
+            assert [(x.rank, x.vec_id, x.score) for x in ask.orderBy("rank").collect()] == fit
+    with pytest.raises(Exception, match="does not fit a long"):
+        topk.search(index, df.where("i = 0"), "i", "v", 2, 1.0).collect()

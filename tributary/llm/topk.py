@@ -23,18 +23,19 @@ from tributary.llm.common import prepare, rows_of, scratch, stored
 
 #: Rows of a segment, queries of a block, low bits that slices leave out, and segments that one task holds.
 SEGMENT, BLOCK, DROPPED, HELD = 16_384, 128, 3, 4
-#: |components| above this can't be held as integers that slice well; such tables are refused.
+#: Rows with |components| above this don't slice well: they are scored one by one, with Python's integers.
 LARGEST = 1 << 40
 
 SEGMENTS = pa.schema([("dim", pa.int32()), ("path", pa.string()), ("rows", pa.int64())])
 BLOCKS = pa.schema([("dim", pa.int32()), ("uid", pa.string()), ("ids", pa.binary()), ("vectors", pa.binary())])
-FOUND = pa.schema([("uid", pa.string()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+FOUND = pa.schema([("uid", pa.string()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("over", pa.int32())])
 
 
 class Segment:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, dropped: int = DROPPED):
         """vectors: (rows, dims) int64."""
         self.ids, self.vectors, self.dropped = ids, vectors, dropped
+        self.most = int(np.abs(vectors).max())
         coarse = vectors >> dropped
         self.low = coarse.min(0)
         lifted = (coarse - self.low).astype(np.uint64)
@@ -92,7 +93,7 @@ class Segment:
         for i in range(len(slices) - 1, -1, -1):
             on = within & slices[i]
             enough = np.bitwise_count(sure | on).sum(1) >= min(k, len(self.ids))
-            threshold = threshold + np.where(enough, 1 << i, 0).astype(object)
+            threshold = threshold + enough.astype(object) * (1 << i)
             sure = np.where(enough[:, None], sure, sure | on)
             within = np.where(enough[:, None], on, within & ~slices[i])
         slack = ((1 << self.dropped) - 1) * np.abs(queries).sum(1).astype(object)
@@ -113,14 +114,54 @@ class Segment:
         out = []
         for q, rows, i in zip(queries, self.candidates(queries, k + int(mine.max())), ids, strict=True):
             rows = rows[self.ids[rows] != i]
+            if not self._fits(q):
+                out.append(exact(self.ids[rows], self.vectors[rows], q, k))
+                continue
             score = self.vectors[rows] @ q
             best = np.lexsort((self.ids[rows], -score))[:k]
             out.append([(int(self.ids[rows[b]]), int(score[b])) for b in best])
         return out
 
+    def _fits(self, q: np.ndarray) -> bool:
+        """Whether no score of q, nor a part of its sum, can pass 64 bits."""
+        return len(q) * self.most * int(np.abs(q).max()) < 1 << 63
+
+
+def exact(ids: np.ndarray, vectors: np.ndarray, q: np.ndarray, k: int) -> list[tuple[int, int]]:
+    """The k best (vec_id, score) by Python's integers; vectors and q hold whole numbers of any size."""
+    mine = [int(x) for x in q]
+    scores = [(int(i), sum(int(x) * y for x, y in zip(v, mine, strict=True))) for i, v in zip(ids, vectors, strict=True)]
+    return sorted(scores, key=lambda x: (-x[1], x[0]))[:k]
+
+
+class Held:
+    """A segment as stored: rows that slice, and those with a component above LARGEST."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        """vectors: (rows, dims) float64, whole numbers."""
+        wide = np.abs(vectors).max(1) > LARGEST
+        self.ids, self.vectors = ids[wide], vectors[wide]
+        self.sliced = None if wide.all() else Segment(ids[~wide], vectors[~wide].astype(np.int64))
+
+    def search(self, ids: np.ndarray, queries: np.ndarray, k: int) -> list[list[tuple[int, int]]]:
+        """As Segment.search, for queries (float64, whole numbers) of any size."""
+        wide = np.abs(queries).max(1) > LARGEST
+        out: list[list[tuple[int, int]]] = [[] for _ in ids]
+        plain = np.flatnonzero(~wide)
+        if self.sliced is not None and len(plain):
+            for n, got in zip(plain, self.sliced.search(ids[plain], queries[plain].astype(np.int64), k), strict=True):
+                out[n] = got
+        for n, (i, q) in enumerate(zip(ids, queries, strict=True)):
+            others = [(self.ids, self.vectors)] if len(self.ids) else []
+            if wide[n] and self.sliced is not None:
+                others.append((self.sliced.ids, self.sliced.vectors))
+            for names, vectors in others:
+                out[n] = sorted(out[n] + exact(names[names != i], vectors[names != i], q, k), key=lambda x: (-x[1], x[0]))[:k]
+        return out
+
 
 def integers(column: pa.Array, scale: float) -> tuple[np.ndarray, list[np.ndarray | None]]:
-    """floor(scale * x) of every vector; None where a vector is null or has a null or non-finite component, or none at all."""
+    """floor(scale * x) of every vector, as float64, which holds it exactly; None where a vector is null or has a null or non-finite component, or none at all."""
     out: list[np.ndarray | None] = []
     for v in column:
         x = v.values if v.is_valid else None
@@ -131,9 +172,7 @@ def integers(column: pa.Array, scale: float) -> tuple[np.ndarray, list[np.ndarra
         if not np.isfinite(y).all():
             out.append(None)
             continue
-        if np.abs(y).max() > LARGEST:
-            raise ValueError(f"a component of {np.abs(y).max():g} after scaling is above {LARGEST}")
-        out.append(y.astype(np.int64))
+        out.append(y)
     return out
 
 
@@ -175,16 +214,22 @@ def build(rows: DataFrame, folder: str, id_col: str, vector_col: str, scale: flo
     return stored(_taken(rows, id_col, vector_col).mapInArrow(make, "dim int, path string, rows long"), "segments")
 
 
-_loaded: dict[str, Segment] = {}
+def _long(score: int) -> tuple[int, int]:
+    """A score, or the nearest long, and on which side of the longs it lies: an error only if it is among a query's k best."""
+    held = max(-(1 << 63), min(score, (1 << 63) - 1))
+    return held, (score > held) - (score < held)
+
+
+_loaded: dict[str, Held] = {}
 
 
-def _segment(path: str) -> Segment:
+def _segment(path: str) -> Held:
     if path not in _loaded:
         while len(_loaded) >= HELD:
             _loaded.pop(next(iter(_loaded)))
         store, name = fs.FileSystem.from_uri(path)
         with store.open_input_stream(name) as f, np.load(io.BytesIO(f.read())) as x:
-            _loaded[path] = Segment(x["ids"], x["vectors"])
+            _loaded[path] = Held(x["ids"], x["vectors"])
     return _loaded[path]
 
 
@@ -202,7 +247,7 @@ def search(index: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k
 
     def pack(batches):
         for dim, ids, vectors in _runs(batches, scale, BLOCK):
-            yield rows_of({"dim": [dim], "uid": [uuid.uuid4().hex], "ids": [ids.astype("<i8").tobytes()], "vectors": [vectors.astype("<i8").tobytes()]}, BLOCKS)
+            yield rows_of({"dim": [dim], "uid": [uuid.uuid4().hex], "ids": [ids.astype("<i8").tobytes()], "vectors": [vectors.astype("<f8").tobytes()]}, BLOCKS)
 
     few = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + index.count() // 4))
     blocks = stored(_taken(queries, id_col, vector_col).coalesce(few).mapInArrow(pack, "dim int, uid string, ids binary, vectors binary"), "queries")
@@ -215,18 +260,20 @@ def search(index: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k
     def look(batches):
         for b in batches:
             for dim, uid, ids, vectors, paths in zip(*(b.column(c).to_pylist() for c in ("dim", "uid", "ids", "vectors", "paths")), strict=True):
-                names, q = np.frombuffer(ids, "<i8"), np.frombuffer(vectors, "<i8").reshape(-1, dim)
+                names, q = np.frombuffer(ids, "<i8"), np.frombuffer(vectors, "<f8").reshape(-1, dim)
                 best: list[list[tuple[int, int]]] = [[] for _ in names]
                 for path in paths:
                     for n, got in enumerate(_segment(path).search(names, q, k)):
                         best[n] = sorted(best[n] + got, key=lambda x: (-x[1], x[0]))[:k]
-                flat = [(f"{uid}-{n}", int(names[n]), *x) for n, rows in enumerate(best) for x in rows]
+                flat = [(f"{uid}-{n}", int(names[n]), i, *_long(x)) for n, rows in enumerate(best) for i, x in rows]
                 if flat:
                     yield rows_of(dict(zip(FOUND.names, map(list, zip(*flat, strict=True)), strict=True)), FOUND)
 
-    found = pairs.mapInArrow(look, "uid string, query_id long, vec_id long, score long")
-    order = Window.partitionBy("uid").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = pairs.mapInArrow(look, "uid string, query_id long, vec_id long, score long, over int")
+    order = Window.partitionBy("uid").orderBy(F.col("over").desc(), F.col("score").desc(), "vec_id")
+    fault = F.raise_error(F.concat(F.lit("a score of query "), F.col("query_id"), F.lit(" does not fit a long"))).cast("long")
+    score = F.when(F.col("over") == 0, F.col("score")).otherwise(fault).alias("score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", score)
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
