@@ -124,7 +124,10 @@ def resample(
     (name,) = target_ids.columns
     ids = target_ids.select(F.col(name).cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull()).distinct()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    marked = rows.join(ids.withColumn("good", F.lit(True)), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
+    # always a shuffle, in which null ids are spread: the good ids grow with the labels
+    spread = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
+    good = ids.select("doc_id", F.lit(0).cast("long").alias("spread"), F.lit(True).alias("good")).hint("merge")
+    marked = rows.withColumn("spread", spread).join(good, ["doc_id", "spread"], "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
     ratio = spark.sparkContext.broadcast(log_ratio(bucket_counts(marked)))
 
     def weigh(batches):
