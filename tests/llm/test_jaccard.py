@@ -78,3 +78,18 @@ def test_components_of_a_chain_and_a_star(spark):
     low = [min(names[:150]), min(names[150:])]
     assert got == {n: low[k >= 150] for k, n in enumerate(names)}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_entries_keep_every_shared_shingle(spark):
+    r = random.Random(4)
+    groups = []
+    for g in range(3000):
+        own = sorted(r.sample(range(1000, 40_000), r.randrange(6))) + ([7] if g % 3 else [])
+        groups.append((g * 7919, sorted(set(own))))
+    rows = [(g, bytearray(b"".join(x.to_bytes(5, "little") for x in p))) for g, p in groups]
+    got = {(e.token, e.gid, e.place) for e in jaccard._entries(spark.createDataFrame(rows, "gid long, prefix binary").repartition(5)).collect()}
+    often = {}
+    for _, p in groups:
+        for t in p:
+            often[t] = often.get(t, 0) + 1
+    assert got == {(t, g, k) for g, p in groups for k, t in enumerate(p) if often[t] > 1}

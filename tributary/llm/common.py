@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +36,11 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or a new one where it is unset."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir, or where it is unset and all run in one process, a new one."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors see")
         path = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/") if "://" in path else "file://" + path.rstrip("/")
@@ -64,6 +68,19 @@ def _sweep() -> None:
             continue
 
 
+def scratch_paths() -> list[str]:
+    """What scratch() has given out and drop_scratch() has not deleted, oldest first."""
+    return [path for _, path in _scratch]
+
+
+def drop_scratch(paths: list[str]) -> None:
+    """Deletes tables of which no frame is read any more."""
+    gone = set(paths)
+    for spark, path in [x for x in _scratch if x[1] in gone]:
+        _delete(spark, path)
+    _scratch[:] = [x for x in _scratch if x[1] not in gone]
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: df as a table in the shared folder. A lost executor costs no more than the tasks it ran."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
@@ -78,6 +95,46 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_forget: dict[str, Callable[[], object]] = {}
+_owner: str | None = None
+
+
+def on_leaving(owner: str, forget: Callable[[], object]) -> None:
+    """Says how a Python worker lets go of what an operator's tasks keep in it from one to the next."""
+    _forget[owner] = forget
+
+
+def _settle() -> None:
+    """Freed memory goes back to the system: an executor's workers share its limit with the JVM."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def claim(owner: str) -> None:
+    """A task of owner begins in this worker: what tasks of other operators kept goes."""
+    global _owner
+    if owner != _owner:
+        for name, forget in _forget.items():
+            if name != owner:
+                forget()
+        _owner = owner
+    _settle()
+
+
+def arrow(df: DataFrame, owner: str, f: Callable, ddl) -> DataFrame:
+    """mapInArrow, in workers that keep nothing of other operators."""
+
+    def run(batches):
+        claim(owner)
+        try:
+            yield from f(batches)
+        finally:
+            _settle()
+
+    return df.mapInArrow(run, ddl)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

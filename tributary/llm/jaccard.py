@@ -22,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm.common import partitions, pieces, prepare, rows_of, stored, text_buffer, text_key, text_of
+from tributary.llm.common import arrow, partitions, pieces, prepare, rows_of, stored, text_buffer, text_key, text_of
 from tributary.llm.components import components
 from tributary.llm.hashing import lowered, mixed, shingles, word_hashes, word_spans
 
 WORDS, SIMILARITY = 5, 75
 #: Slots of the sketch that orders shingles (its size is fixed, whatever the corpus), and slots in one of its rows.
-SLOTS, SLICE = 1 << 22, 1 << 16
+SLOTS, SLICE = 1 << 22, 1 << 12
+#: Slices in which a worker sorts its part of the prefix shingles, and marks on their places.
+FINE, FREE, KNOWN = 16, np.uint32(1 << 31), np.uint32(1 << 30)
 
 COUNTS = pa.schema([("slice", pa.int32()), ("counts", pa.binary())])
 SETS = pa.schema([("doc_id", pa.int64()), ("h", pa.binary()), ("n", pa.int32()), ("cid", pa.int64()), ("gid", pa.int64()), ("prefix", pa.binary())])
@@ -101,8 +103,8 @@ def slot_order(docs: DataFrame, text_col: str) -> np.ndarray:
                 held[k] = held.get(k, 0) + np.frombuffer(x, "<u4").astype(np.int64)
         yield rows_of({"slice": list(held), "counts": [np.round(2 * np.log2(x + 1)).astype(np.uint8).tobytes() for x in held.values()]}, COUNTS)
 
-    rows = docs.select(text_of(text_col).alias("text")).mapInArrow(count, "slice int, counts binary")
-    rows = rows.repartition(min(SLOTS // SLICE, partitions(docs.sparkSession)), "slice").mapInArrow(add, "slice int, counts binary")
+    rows = arrow(docs.select(text_of(text_col).alias("text")), "jaccard", count, "slice int, counts binary")
+    rows = arrow(rows.repartition(min(SLOTS // SLICE, partitions(docs.sparkSession)), "slice"), "jaccard", add, "slice int, counts binary")
     out = np.zeros(SLOTS, np.uint8)
     for r in rows.collect():
         out[r.slice * SLICE : (r.slice + 1) * SLICE] = np.frombuffer(r.counts, np.uint8)
@@ -129,7 +131,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, order) -> DataFrame:
                     out["prefix"].append(first.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
                 yield rows_of({"doc_id": b.column("doc_id"), "h": b.column("h"), **out}, SETS)
 
-    return rows.mapInArrow(look, "doc_id long, h binary, n int, cid long, gid long, prefix binary")
+    return arrow(rows, "jaccard", look, "doc_id long, h binary, n int, cid long, gid long, prefix binary")
 
 
 def numbers(tokens: np.ndarray) -> np.ndarray:
@@ -141,9 +143,12 @@ def numbers(tokens: np.ndarray) -> np.ndarray:
 def _entries(groups: DataFrame) -> DataFrame:
     """token, gid and place in the prefix (from 0) for every prefix shingle that two groups share.
 
-    Tasks send packs of shingles and group ids, dealt by shingle; a shingle's
-    groups are ids alone, so a pack is small. Where one shingle
-    has very many groups they still cost 17 bytes each, and form no pairs here.
+    Tasks send packs of shingles, group ids and places, dealt by shingle; a
+    worker holds its part as numbers and sorts a slice of it at a time. Of the
+    groups that share a shingle within a batch only the first goes to the
+    shingle's part, marked KNOWN; the others need no decision and are dealt by
+    group, marked FREE. So a shingle of a third of all groups costs its part an
+    entry a batch, and no pairs are formed here.
     """
     spark = groups.sparkSession
     parts = max(partitions(spark), 16)
@@ -151,41 +156,59 @@ def _entries(groups: DataFrame) -> DataFrame:
     def deal(batches):
         for b in batches:
             raw = b.column("prefix").to_pylist()
-            tokens = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 5)
+            tokens = numbers(np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 5))
             sizes = np.array([len(x) // 5 for x in raw], np.int64)
             gids = np.repeat(b.column("gid").to_numpy(), sizes)
             places = np.arange(len(gids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            part = mixed(numbers(tokens)) % np.uint64(parts)
+            by = np.argsort(tokens, kind="stable")
+            tokens, gids, places = tokens[by], gids[by], places[by].astype(np.uint32)
+            same = np.append(tokens[1:] == tokens[:-1], False)
+            free = np.concatenate([[False], same[:-1]]) if len(same) else same
+            places |= np.where(free, FREE, np.where(same, KNOWN, np.uint32(0)))
+            part = mixed(np.where(free, tokens ^ mixed(gids.view(np.uint64)), tokens)) % np.uint64(parts)
             by = np.argsort(part, kind="stable")
-            cuts = np.searchsorted(part[by], np.arange(parts + 1))
-            use = [k for k in range(parts) if cuts[k] < cuts[k + 1]]
+            use, at = np.unique(part[by], return_index=True)
+            cuts = list(zip(at.tolist(), [*at[1:].tolist(), len(by)], strict=True)) if len(use) else []
+            raw5 = tokens[by].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+            gids, places = gids[by].astype("<i8"), places[by].astype("<u4")
             yield rows_of(
                 {
-                    "part": use,
-                    "tokens": [tokens[by[cuts[k] : cuts[k + 1]]].tobytes() for k in use],
-                    "gids": [gids[by[cuts[k] : cuts[k + 1]]].astype("<i8").tobytes() for k in use],
-                    "places": [places[by[cuts[k] : cuts[k + 1]]].astype("<u4").tobytes() for k in use],
+                    "part": use.astype(np.int32),
+                    "tokens": [raw5[x:y].tobytes() for x, y in cuts],
+                    "gids": [gids[x:y].tobytes() for x, y in cuts],
+                    "places": [places[x:y].tobytes() for x, y in cuts],
                 },
                 DEALT,
             )
 
+    def decided(mine: list):
+        every = [np.concatenate(x) for x in zip(*mine, strict=True)]
+        mine.clear()
+        slices = every[0] % np.uint64(FINE)
+        for k in range(FINE):
+            tokens, gids, places = (x[slices == k] for x in every)
+            if not len(tokens):
+                continue
+            by = np.lexsort((gids, tokens))
+            tokens, gids, places = tokens[by], gids[by], places[by]
+            one = np.cumsum(np.concatenate([[0], tokens[1:] != tokens[:-1]]))
+            # A shingle of a KNOWN entry is shared, and so is one that stands here twice.
+            good = (places & FREE != 0) | ((np.bincount(one) > 1) | (np.bincount(one, places & KNOWN != 0) > 0))[one]
+            yield rows_of({"token": tokens[good].astype(np.int64), "gid": gids[good], "place": (places[good] & ~(FREE | KNOWN)).astype(np.int32)}, ENTRIES)
+
     def meet(batches):
-        packs: dict[int, list] = {}
+        held, mine = None, []
         for b in batches:
             for k, t, g, p in zip(*(b.column(c).to_pylist() for c in DEALT.names), strict=True):
-                packs.setdefault(k, []).append((numbers(np.frombuffer(t, np.uint8).reshape(-1, 5)), np.frombuffer(g, "<i8"), np.frombuffer(p, "<u4")))
-        for mine in packs.values():
-            tokens, gids, places = (np.concatenate(x) for x in zip(*mine, strict=True))
-            by = np.lexsort((gids, tokens))
-            tokens, gids, places = tokens[by], gids[by], places[by]
-            fresh = np.concatenate([[True], tokens[1:] != tokens[:-1]])
-            shared = ~fresh | np.append(~fresh[1:], False)
-            for i in range(0, len(tokens), 100_000):
-                w = np.arange(i, min(i + 100_000, len(tokens)))[shared[i : i + 100_000]]
-                yield rows_of({"token": tokens[w].astype(np.int64), "gid": gids[w], "place": places[w].astype(np.int32)}, ENTRIES)
+                if mine and k != held:
+                    yield from decided(mine)
+                held = k
+                mine.append((numbers(np.frombuffer(t, np.uint8).reshape(-1, 5)), np.frombuffer(g, "<i8"), np.frombuffer(p, "<u4")))
+        if mine:
+            yield from decided(mine)
 
-    dealt = groups.select("gid", "prefix").mapInArrow(deal, "part int, tokens binary, gids binary, places binary")
-    return dealt.repartition(parts, "part").mapInArrow(meet, "token long, gid long, place int")
+    dealt = arrow(groups.select("gid", "prefix"), "jaccard", deal, "part int, tokens binary, gids binary, places binary")
+    return arrow(dealt.repartition(parts, "part").sortWithinPartitions("part"), "jaccard", meet, "token long, gid long, place int")
 
 
 def _fits(n: Column, m: Column) -> Column:
@@ -217,7 +240,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFra
                 yield rows_of({"cid": b.column("cid"), "set": [x.astype("<u8").tobytes() for x in document_sets(b.column("text"))]}, WHOLE)
 
     shown = texts.join(wanted, "h").dropDuplicates(["h"]).select("cid", "text")
-    sets = shown.mapInArrow(whole, "cid long, set binary").repartition(partitions(texts.sparkSession), "cid")
+    sets = arrow(shown, "jaccard", whole, "cid long, set binary").repartition(partitions(texts.sparkSession), "cid")
 
     def check(batches):
         for batch in batches:
@@ -233,7 +256,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFra
 
     both = pairs.select("a", "b").join(sets.select(F.col("cid").alias("a"), F.col("set").alias("x")), "a")
     both = both.join(sets.select(F.col("cid").alias("b"), F.col("set").alias("y")), "b")
-    return both.mapInArrow(check, "a long, b long")
+    return arrow(both, "jaccard", check, "a long, b long")
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -260,7 +283,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tup
     shared = entries.groupBy("gid").agg(F.count(F.lit(1)).alias("s")).join(by_group.select("gid", "n"), "gid")
     part = F.col("s") / (F.col("n") - F.ceil(F.col("n") * F.lit(SIMILARITY) / F.lit(100.0) - F.lit(1e-9)) + 1)
     sized = entries.join(shared.select("gid", "n", part.alias("part")), "gid")
-    hubs = sized.groupBy("token").agg(F.max(F.struct("part", "gid", "n")).alias("hub"))
+    # Stored, so that both sides of the join are plain shuffles and a common shingle's groups can be split.
+    hubs = stored(sized.groupBy("token").agg(F.max(F.struct("part", "gid", "n")).alias("hub")), "hubs")
     met = sized.join(hubs, "token").select(F.col("gid").alias("a"), "n", F.col("hub.gid").alias("b"), F.col("hub.n").alias("m"))
     met = met.where((F.col("a") != F.col("b")) & _fits(F.col("n"), F.col("m")))
     best = _counted(met).groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
@@ -278,7 +302,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tup
     labelled = stored(labelled, "labelled")
     of_group = labelled.groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     marked = entries.join(of_group.join(by_group.select("gid", "n"), "gid"), "gid")
-    open_ = marked.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("u")).where("l <> u").select("token")
+    open_ = stored(marked.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("u")).where("l <> u").select("token"), "open")
     marked = marked.join(open_, "token")
     columns, sides = ("gid", "n", "low", "high", "place"), (("a", "n", "la", "ha", "i"), ("b", "m", "lb", "hb", "j"))
     left, right = (marked.select("token", *[F.col(c).alias(x) for c, x in zip(columns, side, strict=True)]) for side in sides)
@@ -305,7 +329,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members, roots = link(docs, id_col, text_col)
     labelled = members.join(roots, "class_id", "left")
     labelled = labelled.withColumn("root", F.coalesce("root", "class_id"))
-    least = labelled.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
+    least = stored(labelled.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least")), "least")
     return labelled.join(least, "root", "left").select("doc_id", "h", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm.common import pieces, prepare, rows_of, text_of
+from tributary.llm.common import arrow, pieces, prepare, rows_of, text_of
 
 FRAME = 576
 RATE = 16_000
@@ -223,7 +223,7 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 data = [t.encode() for t in b.column("text").to_pylist()]
                 yield rows_of({"doc_id": b.column("doc_id"), "n_bytes": [len(x) for x in data], "media": [encode(padded(x)) for x in data]}, MEDIA)
 
-    return rows.mapInArrow(make, "doc_id long, n_bytes long, media binary")
+    return arrow(rows, "media", make, "doc_id long, n_bytes long, media binary")
 
 
 def media_features(media: DataFrame) -> DataFrame:
@@ -241,7 +241,7 @@ def media_features(media: DataFrame) -> DataFrame:
             yield rows_of(out, FEATURES)
 
     ddl = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(read, ddl)
+    return arrow(media.select("doc_id", "n_bytes", "media"), "media", read, ddl)
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

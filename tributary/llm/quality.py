@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tributary.llm.common import pieces, prepare, rows_of, stored, text_buffer, text_of
+from tributary.llm.common import arrow, pieces, prepare, rows_of, stored, text_buffer, text_of
 from tributary.llm.hashing import lowered, shingles, word_hashes, word_spans
 
 #: Buckets of the hashed n-grams.
@@ -54,7 +54,7 @@ def bucket_counts(rows: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total[0])
         yield rows_of({"bucket": at, "raw": total[0][at], "target": total[1][at]}, COUNTS)
 
-    got = rows.mapInArrow(count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
+    got = arrow(rows, "quality", count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     out = np.zeros((2, BUCKETS), np.int64)
     out[:, got["bucket"].to_numpy(np.int64)] = got[["raw", "target"]].to_numpy(np.int64).T
     return out
@@ -138,7 +138,7 @@ def resample(
                 w = np.bincount(row, ratio.value[buckets], minlength=b.num_rows)
                 yield rows_of({"doc_id": b.column("doc_id"), "n_grams": n, "log_weight": w, "key": key.view(np.int64)}, WEIGHTS)
 
-    weighed = rows.mapInArrow(weigh, "doc_id long, n_grams long, log_weight double, key long")
+    weighed = arrow(rows, "quality", weigh, "doc_id long, n_grams long, log_weight double, key long")
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "key"), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
     weighed = stored(weighed.withColumn("score", F.col("log_weight") - F.log(-F.log(uniform))), "weights")
     k = round(keep * weighed.count())

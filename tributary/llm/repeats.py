@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import partitions, pieces, rows_of, text_buffer
+from tributary.llm.common import arrow, partitions, pieces, rows_of, text_buffer
 from tributary.llm.hashing import between, grams, mixed, shingles, sliding_min, sums, word_hashes, word_spans
 
 #: Runs of an anchor beyond which equal ones are combined first, and beyond which no shard holds the rest.
@@ -126,7 +126,7 @@ def repeated(texts: DataFrame, unit: Unit, index: Index, first_stays: bool) -> D
                 h = b.column("h").take(pa.array(row))
                 yield rows_of({"key": key.view(np.int64), "h": h, "run": (a << 11) | (z - a + 1), "m": m}, ANCHORS)
 
-    anchors = texts.mapInArrow(find, "key long, h binary, run long, m int")
+    anchors = arrow(texts, "repeats", find, "key long, h binary, run long, m int")
     shared = anchors.groupBy("key").agg(F.sum("m").alias("n")).where("n > 1")
     some = anchors.select("key", "h", "run").join(shared, "key").groupBy("h").agg(F.collect_list(F.struct("key", "run", "n")).alias("runs"))
     held = texts.join(some, "h")
@@ -140,8 +140,8 @@ def repeated(texts: DataFrame, unit: Unit, index: Index, first_stays: bool) -> D
         return cut
 
     ddl = "key long, h binary, id long, a int, size int, huge boolean, excerpt binary"
-    excerpts = held.mapInArrow(cutter(False), ddl).select(*ROWS)
-    many = held.where(F.exists("runs", lambda x: x["n"] > HOT)).mapInArrow(cutter(True), ddl)
+    excerpts = arrow(held, "repeats", cutter(False), ddl).select(*ROWS)
+    many = arrow(held.where(F.exists("runs", lambda x: x["n"] > HOT)), "repeats", cutter(True), ddl)
     many = many.withColumn("e", F.md5("excerpt"))
     where = F.struct("id", "h", "a")
     distinct = many.groupBy("key", "e", "huge").agg(F.min(where).alias("lead"), F.first("excerpt").alias("excerpt"), F.count(F.lit(1)).alias("n"))
@@ -171,7 +171,7 @@ def repeated(texts: DataFrame, unit: Unit, index: Index, first_stays: bool) -> D
             yield report(rows)
 
     shards = excerpts.unionByName(leads).repartition(partitions(spark), "key").sortWithinPartitions("key")
-    indexed = shards.mapInArrow(decide, "h binary, s int, e int")
+    indexed = arrow(shards, "repeats", decide, "h binary, s int, e int")
 
     members = many.select("key", "e", "h", "id", "a", "size").join(distinct.select("key", "e", "lead", "n"), ["key", "e"])
     lead = (F.col("id") == F.col("lead.id")) & (F.col("h") == F.col("lead.h")) & (F.col("a") == F.col("lead.a"))
@@ -187,7 +187,7 @@ def repeated(texts: DataFrame, unit: Unit, index: Index, first_stays: bool) -> D
                 n = len(at)
                 yield rows_of({"w1": one.view(np.int64), "w2": two.view(np.int64), "id": np.full(n, i), "h": [h] * n, "a": a + at}, WINDOWS)
 
-    windows = distinct.where("huge").select("lead.h", "lead.id", "lead.a", "excerpt").mapInArrow(split, "w1 long, w2 long, id long, h binary, a int")
+    windows = arrow(distinct.where("huge").select("lead.h", "lead.id", "lead.a", "excerpt"), "repeats", split, "w1 long, w2 long, id long, h binary, a int")
     known = windows.groupBy("w1", "w2").agg(F.min(where).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
     again = windows.join(known, ["w1", "w2"])
     if first_stays:

@@ -19,10 +19,10 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tributary.llm.common import prepare, rows_of, scratch, stored
+from tributary.llm.common import arrow, on_leaving, partitions, prepare, rows_of, scratch, stored
 
-#: Rows of a segment, queries of a block, low bits that slices leave out, and segments that one task holds.
-SEGMENT, BLOCK, DROPPED, HELD = 16_384, 128, 3, 4
+#: Rows of a segment, queries of a block, low bits that slices leave out, segments that one task holds, and tasks that share a group of segments.
+SEGMENT, BLOCK, DROPPED, HELD, SPREAD = 16_384, 128, 3, 4, 16
 #: Rows with |components| above this don't slice well: they are scored one by one, with Python's integers.
 LARGEST = 1 << 40
 
@@ -211,7 +211,7 @@ def build(rows: DataFrame, folder: str, id_col: str, vector_col: str, scale: flo
                 f.write(held.getvalue())
             yield rows_of({"dim": [dim], "path": [f"{folder}/{name}"], "rows": [len(ids)]}, SEGMENTS)
 
-    return stored(_taken(rows, id_col, vector_col).mapInArrow(make, "dim int, path string, rows long"), "segments")
+    return stored(arrow(_taken(rows, id_col, vector_col), "topk", make, "dim int, path string, rows long"), "segments")
 
 
 def _long(score: int) -> tuple[int, int]:
@@ -221,6 +221,7 @@ def _long(score: int) -> tuple[int, int]:
 
 
 _loaded: dict[str, Held] = {}
+on_leaving("topk", _loaded.clear)
 
 
 def _segment(path: str) -> Held:
@@ -250,12 +251,15 @@ def search(index: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k
             yield rows_of({"dim": [dim], "uid": [uuid.uuid4().hex], "ids": [ids.astype("<i8").tobytes()], "vectors": [vectors.astype("<f8").tobytes()]}, BLOCKS)
 
     few = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + index.count() // 4))
-    blocks = stored(_taken(queries, id_col, vector_col).coalesce(few).mapInArrow(pack, "dim int, uid string, ids binary, vectors binary"), "queries")
+    blocks = stored(arrow(_taken(queries, id_col, vector_col).coalesce(few), "topk", pack, "dim int, uid string, ids binary, vectors binary"), "queries")
     placed = index.withColumn("n", F.row_number().over(Window.partitionBy("dim").orderBy("path")) - 1)
     groups = placed.groupBy("dim", F.floor(F.col("n") / HELD).alias("g")).agg(F.sort_array(F.collect_list("path")).alias("paths"))
     last = groups.groupBy("dim").agg(F.max("g").alias("last"))
     dealt = blocks.join(last, "dim").withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last")))).drop("last")
-    pairs = dealt.join(groups, ["dim", "g"]).select("dim", "uid", "ids", "vectors", "paths")
+    # A group of segments is read by as many tasks as there are for it: blocks are spread, and meet the group in one stretch.
+    pairs = dealt.join(groups, ["dim", "g"])
+    pairs = pairs.repartition(partitions(spark), "dim", "g", F.pmod(F.xxhash64("uid"), F.lit(SPREAD)))
+    pairs = pairs.sortWithinPartitions("dim", "g").select("dim", "uid", "ids", "vectors", "paths")
 
     def look(batches):
         for b in batches:
@@ -269,7 +273,7 @@ def search(index: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k
                 if flat:
                     yield rows_of(dict(zip(FOUND.names, map(list, zip(*flat, strict=True)), strict=True)), FOUND)
 
-    found = pairs.mapInArrow(look, "uid string, query_id long, vec_id long, score long, over int")
+    found = arrow(pairs, "topk", look, "uid string, query_id long, vec_id long, score long, over int")
     order = Window.partitionBy("uid").orderBy(F.col("over").desc(), F.col("score").desc(), "vec_id")
     fault = F.raise_error(F.concat(F.lit("a score of query "), F.col("query_id"), F.lit(" does not fit a long"))).cast("long")
     score = F.when(F.col("over") == 0, F.col("score")).otherwise(fault).alias("score")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm.common import pieces, prepare, rows_of, stored, text_of
+from tributary.llm.common import arrow, on_leaving, pieces, prepare, rows_of, stored, text_of
 from tributary.llm.hashing import grams
 
 #: Words in a window, and words from one window's start to the next.
@@ -366,14 +366,17 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     """i, text, toxic and the text's hash of at most sample labelled rows of each kind that are not held out.
 
     The ids are chosen by hash, in Spark; the broadcast has at most 2 * sample
-    rows. Texts are whole: a label may owe to any part of one.
+    rows. Texts are whole: a label may owe to any part of one. Of rows that
+    share an id the one with the least hash of its text is taken, so repeated
+    ids don't pass the bound.
     """
     lab = labels.select(F.col(id_col).cast("long").alias("i"), F.col("toxic").cast("int").alias("toxic"))
     lab = lab.where(F.col("i").isNotNull() & F.col("toxic").isin(0, 1) & (F.crc32(F.col("i").cast("string").cast("binary")) % 5 != 0)).distinct()
     picks = [lab.where(F.col("toxic") == k).orderBy(F.xxhash64("i"), "i").limit(sample) for k in (0, 1)]
     ids = F.broadcast(picks[0].unionByName(picks[1]))
     rows = docs.select(F.col(id_col).cast("long").alias("i"), text_of(text_col).alias("text")).join(ids, "i")
-    return rows.select("i", "text", "toxic", F.md5("text").alias("hash"))
+    rows = rows.select("i", "text", "toxic", F.md5("text").alias("hash"))
+    return rows.groupBy("i", "toxic").agg(F.min_by("text", "hash").alias("text"), F.min("hash").alias("hash"))
 
 
 SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
@@ -394,7 +397,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train([lists[k] for k in order], strings, np.array([keys[k][2] for k in order], np.int64))
 
 
-_scorers: dict[bytes, Scorer] = {}
+_scorers: dict[str, Scorer] = {}
+on_leaving("toxicity", _scorers.clear)
 
 
 def _scorer(key: str, net: Network) -> Scorer:
@@ -425,11 +429,16 @@ def score_documents(docs: DataFrame, net: Network, id_col: str = "doc_id", text_
                 held = [held_out(None if i is None else str(i)) for i in b.column("doc_id").to_pylist()]
                 yield rows_of({"doc_id": b.column("doc_id"), "held_out": held, "score": s, "predicted": (s >= 0.5).astype(np.int32)}, SCORES)
 
-    return rows.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
+    return arrow(rows, "toxicity", score, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def reject_toxic(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, whose text scores below 0.5. No shuffle, no join: ids play no part."""
+    """The rows of docs, with all their columns, whose text scores below 0.5. No shuffle, no join: ids play no part.
+
+    Whole texts are scored; null and empty ones as one empty window. Repeated rows
+    fare alike, an empty table gives no rows, and columns that share a name with
+    what score_documents returns pass as they are.
+    """
     spark = prepare(docs.sparkSession)
     sent, key = spark.sparkContext.broadcast(net), f"{id(net)}-{np.random.default_rng().integers(1 << 62)}"
 
@@ -441,7 +450,7 @@ def reject_toxic(docs: DataFrame, net: Network, text_col: str = "text") -> DataF
                 good = scorer.scores(texts[i : i + 500]) < 0.5
                 yield b.slice(i, 500).filter(pa.array(good))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return arrow(docs, "toxicity", keep, docs.schema)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
