@@ -19,10 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm.common import pieces, prepare, rows_of, text_of
+from tributary.llm.common import arrow, on_leaving, pieces, prepare, rows_of, text_of
 from tributary.llm.tokens import ChunkTable, Splitter, chunks, default_tokenizer, packed
 
 
+#: Chunks that a worker keeps in each of two generations with their ids and text, and pairs of tokens that it knows to be legal or not.
+KEPT, PAIRS = 90_000, 300_000
+
+
 class TrieBpe:
     """A vocabulary of merges, with an end-of-word suffix or without."""
 
@@ -45,7 +49,7 @@ class TrieBpe:
             if whole not in self.parts:
                 self.parts[whole], self.rank[whole] = (self.vocab[a], self.vocab[b]), r
         self.longest = max((len(t) for t in self.vocab if not t.startswith("<|")), default=1)
-        self.legal: dict[tuple[int, int], bool] = {}
+        self.legal: dict[int, bool] = {}
         self.edges: tuple[dict, dict] = ({}, {})
 
     def _edge(self, token: int, side: int) -> list[tuple[int, float]]:
@@ -63,7 +67,7 @@ class TrieBpe:
 
     def pair_is_legal(self, left: int, right: int) -> bool:
         """Whether left and right side by side stay two tokens."""
-        key = (left, right)
+        key = left << 32 | right
         if (known := self.legal.get(key)) is None:
             merges = self.merges
             known = not any(
@@ -71,19 +75,19 @@ class TrieBpe:
                 for a, a_until in self._edge(left, 1)
                 for b, b_until in self._edge(right, 0)
             )
-            if len(self.legal) > 1_000_000:
+            if len(self.legal) > PAIRS:
                 self.legal.clear()
             self.legal[key] = known
         return known
 
-    def _last(self, path: str, states: list[tuple[int, int]], end: str) -> tuple[int, int]:
-        """The last token of the encoding of path (with end on its last letter), and how many letters it covers."""
-        n, vocab = len(path), self.vocab
+    def _last(self, word: str, n: int, states: list[tuple[int, int]], end: str) -> tuple[int, int]:
+        """The last token of the encoding of word's first n letters (with end on the last), and how many letters it covers."""
+        vocab = self.vocab
         for size in range(1, min(n, self.longest) + 1):
-            token = vocab.get(path[n - size :] + end)
+            token = vocab.get(word[n - size : n] + end)
             if token is not None and (size == n or self.pair_is_legal(states[n - size][0], token)):
                 return token, size
-        raise ValueError(f"no token ends {path!r}")
+        raise ValueError(f"no token ends at letter {n} of a word of {len(word)}")
 
     def words(self, words: Iterable[str]) -> dict[str, list[int]]:
         """Ids of distinct words, given as byte letters: one depth-first walk of their trie.
@@ -101,8 +105,8 @@ class TrieBpe:
             del states[shared + 1 :]
             inner = len(word) - 1 if self.suffix else len(word)
             for n in range(len(states), inner + 1):
-                states.append(self._last(word[:n], states, ""))
-            token, size = self._last(word, states, self.suffix) if self.suffix else states[len(word)]
+                states.append(self._last(word, n, states, ""))
+            token, size = self._last(word, len(word), states, self.suffix) if self.suffix else states[len(word)]
             ids, at = [token], len(word) - size
             while at:
                 token, size = states[at]
@@ -138,8 +142,10 @@ def trie_chunks(path: str) -> ChunkTable:
         lists = list(bpe.encode_chunks(new))
         return zip(packed(lists), map(bpe.decode, lists), strict=True)
 
-    return ChunkTable(fill)
+    return ChunkTable(fill, KEPT)
+
 
+on_leaving("trie", trie_chunks.cache_clear)
 
 CODES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
 DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
@@ -153,7 +159,7 @@ def _encoded(docs: DataFrame, id_col: str, text_col: str, tokenizer: str | None,
     def encode(batches):
         table = trie_chunks(path)
         for whole in batches:
-            for b in pieces(whole):
+            for b in pieces(whole, 2 << 20):
                 lists = [chunks(t) for t in b.column("text").to_pylist()]
                 known = table.of(lists)
                 out: dict[str, list] = {"n_tokens": [], "a": [], "b": []}
@@ -165,7 +171,7 @@ def _encoded(docs: DataFrame, id_col: str, text_col: str, tokenizer: str | None,
                     out["b"].append(hashlib.sha256(text.encode()).hexdigest() if digest else text)
                 yield rows_of({"doc_id": b.column("doc_id"), "n_tokens": out["n_tokens"], schema.names[2]: out["a"], schema.names[3]: out["b"]}, schema)
 
-    return rows.mapInArrow(encode, ddl)
+    return arrow(rows, "trie", encode, ddl)
 
 
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:

@@ -19,8 +19,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tributary.llm.common import partitions, pieces, prepare, rows_of, scratch, stored, text_key, text_of
-from tributary.llm.tokens import chunks, default_tokenizer, library_chunks
+from tributary.llm.common import arrow, partitions, pieces, prepare, rows_of, scratch, stored, text_key, text_of
+from tributary.llm.tokens import default_tokenizer, library_ids
 
 #: Tokens in a sequence, and sequences in a record batch.
 LENGTH = 1024
@@ -123,7 +123,7 @@ def write_sequences(
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        table = library_chunks(path)
+        library = library_ids(path)
         store, base = fs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
         name = f"part-{part:06d}-{uuid.uuid4().hex}"
@@ -133,9 +133,7 @@ def write_sequences(
             out, index = SequenceWriter(sink, length, batch, wide), pa.ipc.new_file(beside, INDEX)
             for whole in batches:
                 for b in pieces(whole):
-                    lists = [chunks(t) for t in b.column("text").to_pylist()]
-                    get = table.of(lists).__getitem__
-                    ids = [b"".join(map(get, x)) + end for x in lists]
+                    ids = [x + end for x in library.of(b.column("text").to_pylist())]
                     sizes = np.array([len(x) // 4 for x in ids], np.int64)
                     out.append(np.frombuffer(b"".join(ids), "<u4"))
                     starts = at + np.cumsum(sizes) - sizes
@@ -145,7 +143,7 @@ def write_sequences(
             index.close()
         yield rows_of({"part": [part], "path": [f"{folder}/{name}"], "docs": [docs_n], "tokens": [at]}, MANIFEST)
 
-    return stored(rows.mapInArrow(write, "part int, path string, docs long, tokens long"), "manifest")
+    return stored(arrow(rows, "library ids", write, "part int, path string, docs long, tokens long"), "manifest")
 
 
 def read_documents(manifest: DataFrame) -> DataFrame:
@@ -172,7 +170,7 @@ def read_documents(manifest: DataFrame) -> DataFrame:
                             crcs.append(crc)
                         yield rows_of({"doc_id": b.column("doc_id"), "start": starts + base, "n_tokens": sizes, "ids_crc32": crcs}, READ)
 
-    return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return arrow(files, "library ids", read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,19 +12,22 @@ import gc
 import json
 import os
 import re
+import struct
 import unicodedata
 from collections.abc import Callable, Iterable
 
 import numpy as np
 import regex
 
+from tributary.llm.common import on_leaving
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: The characters of Unicode's White_Space property; Python's split() also takes 1C to 1F.
 _SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
 _ODD = "\x1c\x1d\x1e\x1f"
 
-#: Chunks that a worker keeps in each of its two generations.
+#: Chunks that a worker keeps in each of its two generations, unless told otherwise.
 KEPT = 200_000
 
 
@@ -51,19 +54,41 @@ def byte_letters() -> list[str]:
     return [out[b] for b in range(256)]
 
 
+#: The pattern of tokenizers whose pieces are letters, one digit, or marks; none of them holds white space.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def pieces_in_chunks(spec: dict) -> bool:
+    """Whether a tokenizer's file says that its text is NFC, lower case, white space as single spaces, and cut by PIECES into byte-level words.
+
+    White space then yields nothing and divides a text into chunks that do not
+    depend on each other. Of any other file nothing is assumed.
+    """
+    norm, pre = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    spaces = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
+    split = {"type": "Split", "pattern": {"Regex": PIECES}, "behavior": "Removed", "invert": True}
+    kind, *rest = [p.get("type") for p in pre.get("pretokenizers", [])] or [None]
+    plain = kind == "Split" and rest == ["ByteLevel"] and pre["pretokenizers"][0] == split
+    byte_level = plain and not pre["pretokenizers"][1].get("add_prefix_space") and not pre["pretokenizers"][1].get("use_regex")
+    special = all(not t.get(k) for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    unbroken = not any(c.isspace() for t in spec.get("added_tokens", []) for c in t["content"])
+    return bool(byte_level and norm.get("normalizers") == [{"type": "NFC"}, spaces, {"type": "Lowercase"}] and special and unbroken and not spec.get("post_processor"))
+
+
 class Splitter:
-    """Chunks to words as a tokenizer's normalizer and pre-tokenizer give them, by the pattern in its file."""
+    """Chunks to words as a tokenizer's normalizer and pre-tokenizer give them. Files of any other shape are refused."""
 
     #: Chunks that one pass of the pattern takes.
     BLOCK = 4096
 
     def __init__(self, spec: dict):
-        (pattern,) = [p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
+        if not pieces_in_chunks(spec):
+            raise ValueError("a tokenizer file whose normalizer or pre-tokenizer this encoder does not know")
         self.letters = byte_letters()
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.piece = regex.compile(pattern)
-        self.piece_or_end = regex.compile(f"{pattern}|\\n")
+        self.piece = regex.compile(PIECES)
+        self.piece_or_end = regex.compile(f"{PIECES}|\\n")
 
     def normal(self, text: str) -> str:
         text = unicodedata.normalize("NFC", text)
@@ -113,8 +138,8 @@ def packed(lists: list[list[int]]) -> list[bytes]:
 class ChunkTable:
     """chunk -> value, for those that a batch needs and most that earlier batches needed."""
 
-    def __init__(self, fill: Callable[[list[str]], Iterable]):
-        self.fill, self.now, self.old = fill, {}, {}
+    def __init__(self, fill: Callable[[list[str]], Iterable], kept: int = KEPT):
+        self.fill, self.now, self.old, self.kept = fill, {}, {}, kept
 
     def of(self, lists: list[list[str]]) -> dict:
         """A table that has every chunk of the lists.
@@ -134,7 +159,7 @@ class ChunkTable:
         need: set[str] = set()
         for x in lists:
             need.update(x)
-        if len(self.now) + len(need) > 2 * KEPT:
+        if len(self.now) + len(need) > 2 * self.kept:
             self.old, self.now = self.now, {}
         missing = need.difference(self.now)
         if missing and self.old:
@@ -147,26 +172,37 @@ class ChunkTable:
         return self.now
 
 
-@functools.lru_cache(maxsize=2)
-def library_chunks(path: str) -> ChunkTable:
-    """chunk -> its ids as little-endian unsigned 32-bit integers, by the tokenizers library.
+class LibraryIds:
+    """Ids of texts as little-endian unsigned 32-bit integers, all of them made by the tokenizers library's encode.
 
-    Words that chunks share, apart from their marks, reach the library's model once.
+    Where the tokenizer's file shows that no piece reaches over white space, each
+    distinct chunk is encoded once; with any other file, each whole text.
     """
-    from tokenizers import Tokenizer
-
-    model = Tokenizer.from_file(path).model
-    with open(path, encoding="utf-8") as f:
-        splitter = Splitter(json.load(f))
-    known: dict[str, bytes] = {}
-
-    def fill(new: list[str]) -> Iterable[bytes]:
-        lists = splitter.many(new)
-        if len(known) > KEPT:
-            known.clear()
-        fresh = sorted({w for x in lists for w in x if isinstance(w, str)}.difference(known))
-        known.update(zip(fresh, packed([[t.id for t in model.tokenize(w)] for w in fresh]), strict=True))
-        for words in lists:
-            yield b"".join([known[w] if isinstance(w, str) else w.to_bytes(4, "little") for w in words])
-
-    return ChunkTable(fill)
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        with open(path, encoding="utf-8") as f:
+            self.by_chunk = pieces_in_chunks(json.load(f))
+        self.table = ChunkTable(lambda new: (self._ids(c) for c in new))
+
+    def _ids(self, text: str) -> bytes:
+        return struct.pack(f"<{len(x)}I", *x) if (x := self.tokenizer.encode(text, add_special_tokens=False).ids) else b""
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        if not self.by_chunk:
+            return [self._ids(t) for t in texts]
+        lists = [chunks(t) for t in texts]
+        get = self.table.of(lists).__getitem__
+        return [b"".join(map(get, x)) for x in lists]
+
+
+@functools.lru_cache(maxsize=2)
+def library_ids(path: str) -> LibraryIds:
+    return LibraryIds(path)
+
+
+on_leaving("library ids", library_ids.cache_clear)
