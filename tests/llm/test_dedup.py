@@ -124,7 +124,7 @@ def test_corpus_order_is_the_order_of_suffixes():
 def test_fm_index_counts():
     r = np.random.default_rng(2)
     s = np.append(r.integers(1, 6, 400), 0)
-    fm = suffix.FmIndex(s, np.full(len(s), len(s)), 3)
+    fm = suffix.FmIndex(s, np.full(len(s), len(s)))
     starts = np.arange(397)
     matched, lo, hi = fm.statistics(s, starts, 1, 3)
     for k in starts:

@@ -1,9 +1,11 @@
 """Word-level dedup: every 20-word string goes wherever it starts again after its first start.
 
-Each shard of the corpus (see repeats) gets a compressed FM-index: a wavelet
-matrix over the Burrows-Wheeler transform of its excerpts. The excerpts are then
-streamed against it; backward search gives the matching statistics of all their
-windows, and windows that match in full are traced to where they start first.
+Each shard of the corpus (see repeats) gets a compressed FM-index, a wavelet
+matrix over the Burrows-Wheeler transform, of those stretches of its excerpts
+that hold no gram of words which the shard has only once. The excerpts are
+streamed against it: backward search gives the matching statistics of their
+windows, most of which end short of the threshold, a window's length; intervals of
+those that reach it are traced to where they start first.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm.common import pieces, prepare, rows_of, text_buffer, text_key, text_of, unique_texts
+from tributary.llm.common import arrow, pieces, prepare, rows_of, stored, text_buffer, text_key, text_of, unique_texts
 from tributary.llm.hashing import mixed, word_spans
 from tributary.llm.repeats import Unit, covered, repeated
 from tributary.llm.suffix import FmIndex
@@ -23,64 +25,82 @@ from tributary.llm.suffix import FmIndex
 LENGTH, GRAM = 20, 4
 
 
+def stretches_of(symbol: np.ndarray, sequence: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places, in order, of runs of at least `least` nonzero symbols in one sequence, and the run of each place."""
+    good = symbol > 0
+    fresh = np.concatenate([[True], (sequence[1:] != sequence[:-1]) | (good[1:] != good[:-1])])
+    begin = np.flatnonzero(fresh)
+    size = np.diff(np.append(begin, len(symbol)))
+    long = good[begin] & (size >= least)
+    return np.flatnonzero(np.repeat(long, size)), np.repeat(np.arange(int(long.sum())), size[long])
+
+
 def shard_repeats(length: int):
     """Marks the windows of excerpts that start earlier in the shard, by (id, h, start).
 
-    The index's symbols are grams of a few words, a gram's length apart, so a
-    window is a pattern of few symbols; the grams of each phase are a sequence of
-    their own. Equal excerpts enter once, as the earliest of them.
+    Symbols are grams of a few words, a gram's length apart, so a window is a
+    pattern of few symbols; the grams of each phase are a sequence of their own. A
+    gram that occurs once is no symbol of the index, and no window with it
+    repeats. Equal excerpts enter once, as the earliest of them.
     """
     size = next(s for s in (5, 4, 3, 2, 1) if length % s == 0)
     steps = length // size
 
-    def index(rows: list[tuple]) -> list[np.ndarray]:
-        earliest: dict[bytes, tuple] = {}
-        for x in rows:
-            place = (x[2], x[1], x[3])
-            if x[4] not in earliest or place < earliest[x[4]]:
-                earliest[x[4]] = place
-        distinct = sorted(earliest, key=earliest.__getitem__)
-        number = {e: k for k, e in enumerate(distinct)}
-        names: dict[bytes, int] = {}
-        words = [np.array([names.setdefault(w, len(names) + 1) for w in e.split(b" ")], np.int64) for e in distinct]
-        lengths = np.array([len(w) for w in words])
-        flat = np.concatenate(words)
+    def repeats_of(words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """For each word of excerpts end to end whether the window there starts earlier too."""
         base = np.cumsum(lengths) - lengths
-        owner = np.repeat(np.arange(len(words)), lengths)
-        offset = np.arange(len(flat)) - base[owner]
+        owner = np.repeat(np.arange(len(lengths)), lengths)
+        offset = np.arange(len(words)) - base[owner]
+        again = np.zeros(len(words), bool)
         gram_at = np.flatnonzero(offset + size <= lengths[owner])
         joint = np.zeros(len(gram_at), np.uint64)
         for j in range(size):
-            joint = mixed(joint + flat[gram_at + j].astype(np.uint64))
-        _, symbol = np.unique(joint, return_inverse=True)
-        symbol = symbol.astype(np.int64) + 1
-        # Sequence of gram g: its excerpt and phase; each sequence ends with a 0.
+            joint = mixed(joint + words[gram_at + j].astype(np.uint64))
+        _, inverse, count = np.unique(joint, return_inverse=True, return_counts=True)
+        name = np.where(count > 1, np.cumsum(count > 1), 0)
+        unknown = int(name.max(initial=0)) + 1
         sequence = owner[gram_at] * size + offset[gram_at] % size
         by = np.lexsort((offset[gram_at], sequence))
-        sorted_sequence = sequence[by]
-        cuts = np.cumsum(np.concatenate([[0], sorted_sequence[1:] != sorted_sequence[:-1]]))
-        spot = np.arange(len(by)) + cuts
-        stream = np.zeros(len(by) + int(cuts[-1]) + 1, np.int64)
-        stream[spot] = symbol[by]
-        rank_of = np.full(len(stream), np.iinfo(np.int64).max)
-        rank_of[spot] = gram_at[by]
-        zero = np.flatnonzero(stream == 0)
-        ends = zero[np.searchsorted(zero, np.arange(len(stream)))]
-        fm = FmIndex(stream, ends + 1, steps)
-        spot_of = np.empty(len(flat), np.int64)
-        spot_of[gram_at[by]] = spot
+        symbol = name[inverse]
+        kept, run = stretches_of(symbol[by], sequence[by], steps)
+        if not len(kept):
+            return again
+        spot = np.arange(len(kept)) + run
+        text = np.zeros(len(kept) + int(run[-1]) + 1, np.int64)
+        text[spot] = symbol[by][kept]
+        place = np.zeros(len(text), np.int64)
+        place[spot] = gram_at[by][kept]
+        zero = np.flatnonzero(text == 0)
+        fm = FmIndex(text, zero[np.searchsorted(zero, np.arange(len(text)))] + 1)
+        stream = np.full(len(words), unknown, np.int64)
+        stream[gram_at] = np.where(symbol > 0, symbol, unknown)
         starts = np.flatnonzero(offset + length <= lengths[owner])
-        matched, lo, hi = fm.statistics(stream, spot_of[starts], 1, steps)
-        assert (matched == steps).all()
+        matched, lo, hi = fm.statistics(stream, starts, size, steps)
+        full = matched == steps
+        starts, lo, hi = starts[full], lo[full], hi[full]
         left, inverse = np.unique(lo, return_inverse=True)
-        right = np.zeros(len(left), np.int64)
-        right[inverse] = hi
-        order = rank_of[fm.suffixes]
-        bounds = np.stack([left, right], axis=1).ravel()
-        first = np.minimum.reduceat(np.append(order, 0), bounds)[::2]
-        again = np.zeros(len(flat), bool)
-        again[starts] = first[inverse] != starts
-        cut = [again[b : b + n - length + 1] for b, n in zip(base, lengths, strict=True)]
+        width = np.zeros(len(left), np.int64)
+        width[inverse] = hi - lo
+        begin = np.cumsum(width) - width
+        rows = np.arange(int(width.sum())) + np.repeat(left - begin, width)
+        if len(rows):
+            first = np.minimum.reduceat(place[fm.locate(rows)], begin)
+            again[starts] = first[inverse] != starts
+        return again
+
+    def index(rows: list[tuple]) -> list[np.ndarray]:
+        earliest: dict[bytes, tuple] = {}
+        for x in rows:
+            where = (x[2], x[1], x[3])
+            if x[4] not in earliest or where < earliest[x[4]]:
+                earliest[x[4]] = where
+        distinct = sorted(earliest, key=earliest.__getitem__)
+        number = {e: k for k, e in enumerate(distinct)}
+        names: dict[bytes, int] = {}
+        words = [np.array([names.setdefault(w, len(names) + 1) for w in e.split(b" ")], np.int64) for e in distinct]
+        lengths = np.array([len(w) for w in words])
+        again = repeats_of(np.concatenate(words), lengths)
+        cut = [again[b : b + n - length + 1] for b, n in zip(np.cumsum(lengths) - lengths, lengths, strict=True)]
         return [cut[number[x[4]]] if earliest[x[4]] == (x[2], x[1], x[3]) else np.ones(len(cut[number[x[4]]]), bool) for x in rows]
 
     return index
@@ -131,7 +151,9 @@ def remove_repeats(
                         out[name].append(value)
                 yield rows_of(out, DONE)
 
-    done = texts.join(spans, "h", "left").mapInArrow(finish, "h binary, n_words long, gone long, kept binary, first_id long, whole boolean")
+    done = arrow(texts.join(spans, "h", "left"), "substring", finish, "h binary, n_words long, gone long, kept binary, first_id long, whole boolean")
+    if digest:  # small rows; stored, so that the copies of a text can be split when they meet it
+        done = stored(done, "digests")
     along = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry is not None else []
     names = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_of(text_col)).alias("h"), *along)
     later = F.col("whole") & (F.coalesce("doc_id", F.lit((1 << 63) - 1)) != F.col("first_id"))
@@ -141,7 +163,14 @@ def remove_repeats(
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
-    """docs, all columns, with repeats cut from the text; rows of which nothing is left go. A column of text lengths follows."""
+    """docs, all columns, with repeats cut from the text; rows of which nothing is left go. A column of text lengths follows.
+
+    A text that loses nothing stays as it is, white space included; one that
+    loses words has the rest with a space between. Rows without words (null, empty or
+    white space) lose nothing and stay. Which of equal texts is first is as in
+    remove_repeats. An empty table gives no rows; columns that share a name with
+    what the operator makes pass as they are.
+    """
     out = remove_repeats(docs, id_col, text_col, carry=[c for c in docs.columns if c != text_col])
     out = out.where((F.col("n_removed") < F.col("n_words")) | (F.col("n_words") == 0))
     text = F.col("kept").cast("string")
@@ -149,8 +178,6 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(*[new.get(c, F.col(f"row.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 
-
-
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), digest=True)
     return out.select("doc_id", "n_words", "n_removed", F.col("kept").cast("string").alias("kept_sha256"))

@@ -135,21 +135,56 @@ class WaveletMatrix:
         """How often each symbol occurs before at."""
         return self.walk(symbols, at) - self.walk(symbols, np.zeros_like(at))
 
+    def follow(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols at positions, and where walk() takes them."""
+        symbols = np.zeros(len(at), np.int64)
+        for k, words, counts, zeros in self.levels:
+            w, low = at >> 6, (at & 63).astype(np.uint64)
+            bit = ((words[w] >> low) & np.uint64(1)).astype(np.int64)
+            ones = counts[w] + np.bitwise_count(words[w] & ((np.uint64(1) << low) - np.uint64(1)))
+            symbols |= bit << k
+            at = np.where(bit, zeros + ones, at - ones)
+        return symbols, at
+
 
 class FmIndex:
-    """A compressed full-text index of sequences of symbols (int64 from 1), for patterns of at most depth symbols."""
+    """A compressed full-text index of sequences of symbols (int64 from 1).
+
+    It holds the transform as a wavelet matrix and every SAMPLEth position of
+    each sequence; other positions are found by steps back to one of those.
+    """
 
-    def __init__(self, sequences: np.ndarray, ends: np.ndarray, depth: int):
-        """sequences: all of them end to end, each followed by 0; ends[i]: where the sequence of position i ends."""
+    SAMPLE = 4
+
+    def __init__(self, sequences: np.ndarray, ends: np.ndarray):
+        """sequences: all of them end to end, each followed by 0; ends[i]: where the sequence of position i ends, its 0 included.
+
+        Suffixes are in full order, wholly equal ones as they stand: the symbols
+        before them then come in the order of the suffixes that they begin.
+        """
         n = len(sequences)
-        rank = ranks(sequences, ends, depth + 1)
-        self.suffixes = np.argsort(rank, kind="stable")
-        before = np.where(self.suffixes > 0, sequences[self.suffixes - 1], 0)
+        suffixes = np.argsort(ranks(sequences, ends, int((ends - np.arange(n)).max(initial=1))), kind="stable")
+        before = np.where(suffixes > 0, sequences[suffixes - 1], 0)
         self.first = np.concatenate([[0], np.cumsum(np.bincount(sequences, minlength=int(sequences.max(initial=0)) + 1))])
         self.bwt = WaveletMatrix(before, max(1, int(sequences.max(initial=0)).bit_length()))
         every = np.arange(len(self.first) - 1)
         self.zero = self.bwt.walk(every, np.zeros_like(every))
         self.size = n
+        start = np.maximum.accumulate(np.where(np.concatenate([[True], sequences[:-1] == 0]), np.arange(n), 0))
+        kept = ((np.arange(n) - start) % self.SAMPLE == 0)[suffixes]
+        self.kept, self.before = kept, np.cumsum(kept, dtype=np.int32)
+        self.places = suffixes[kept].astype(np.int32)
+
+    def locate(self, rows: np.ndarray) -> np.ndarray:
+        """Positions in the sequences where the suffixes of these rows start; none of them may start with 0."""
+        rows, steps = rows.copy(), np.zeros(len(rows), np.int64)
+        todo = np.flatnonzero(~self.kept[rows])
+        while len(todo):
+            symbols, at = self.bwt.follow(rows[todo])
+            rows[todo] = self.first[symbols] - self.zero[symbols] + at
+            steps[todo] += 1
+            todo = todo[~self.kept[rows[todo]]]
+        return self.places[self.before[rows] - 1] + steps
 
     def backward(self, symbols: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Intervals of the patterns that have one more symbol in front."""

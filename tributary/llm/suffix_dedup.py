@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm.common import pieces, prepare, rows_of, text_buffer, text_key, text_of, unique_texts
+from tributary.llm.common import arrow, pieces, prepare, rows_of, stored, text_buffer, text_key, text_of, unique_texts
 from tributary.llm.repeats import Unit, covered, repeated
 from tributary.llm.suffix import PrefixFreeParse
 
@@ -72,7 +72,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         out[name].append(value)
                 yield rows_of(out, DONE)
 
-    done = texts.join(spans, "h", "left").mapInArrow(finish, "h binary, n_bytes long, n_removed long, n_spans long, kept binary, copies long").drop("copies")
+    done = arrow(texts.join(spans, "h", "left"), "suffix", finish, "h binary, n_bytes long, n_removed long, n_spans long, kept binary, copies long").drop("copies")
+    if digest:  # small rows; stored, so that the copies of a text can be split when they meet it
+        done = stored(done, "digests")
     names = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_of(text_col)).alias("h"))
     return names.join(done, "h").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept")
 
