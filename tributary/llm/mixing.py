@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tributary.llm.common import WORD, prepare, stored, text_key, text_of
-
-#: Documents per block of ids; ranks are counted per block, so no task ever sorts more of one source.
-BLOCK = 1024
-
+from tributary.llm.common import WORD, partitions, prepare, stored, text_key, text_of
 
 def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, cap: float) -> DataFrame:
     """source, source_size -> source, source_size, target.
@@ -62,12 +60,13 @@ def mix(
     number that its sum crosses. Neighbours are of like size, so the words taken
     stay close to the target.
 
-    A document's place is the sum of three counts (smaller sizes in its source;
-    earlier blocks of ids of its size; earlier ids in its block), so no
-    task holds a source, however large. Null text has size 0, a null source is a
-    source of its own, a source of size 0 has target 0 and emits nothing.
-    Repeated rows are separate documents. An empty table gives no rows.
-    Columns other than the three named are not looked at.
+    Places come from a range partitioning by source, size, id, hash and a row
+    number, so no task holds a source, whichever of these repeat or are null
+    throughout: a place is the row's place in its partition, and the rows that its source
+    has in partitions before. Null ids come first, then by the text's hash. Null text
+    has size 0, a null source is a source of its own, a source of size 0 has target 0
+    and emits nothing. Repeated rows are separate documents. An empty table
+    gives no rows. Columns other than the three named are not looked at.
     """
     spark = prepare(docs.sparkSession)
     rows = docs.select(
@@ -75,30 +74,26 @@ def mix(
         text_key(text_of(text_col)).alias("h"),
         F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.monotonically_increasing_id().alias("tie"),
     )
-    rows = stored(rows.withColumn("block", F.floor(F.coalesce("id", F.lit(0)) / BLOCK)), "sizes")
-    blocks = rows.groupBy("source", "size", "block").agg(F.count(F.lit(1)).alias("n"))
-    sized = blocks.groupBy("source", "size").agg(F.sum("n").alias("m"))
-    totals = targets(sized.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size")), weights, share, cap)
-    up = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
-    sized = sized.select("source", "size", F.coalesce(F.sum("m").over(up), F.lit(0)).alias("smaller"))
-    up = Window.partitionBy("source", "size").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("source", "size", "block", F.coalesce(F.sum("n").over(up), F.lit(0)).alias("earlier"))
-
-    def named(df: DataFrame, suffix: str, keys: list[str]) -> DataFrame:
-        return df.select(*[F.col(c).alias(f"{c}_{suffix}" if c in keys else c) for c in df.columns])
+    order = ["source", "size", "id", "h", "tie"]
+    dealt = stored(rows, "sizes").repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
+    part = F.spark_partition_id()
+    # Numbers of partitions and rows hold for this table only, so it is stored before they are used.
+    dealt = stored(dealt.select("id", "h", "source", "size", part.alias("part"), (F.monotonically_increasing_id() - F.shiftleft(part.cast("long"), 33)).alias("at")), "places")
+    heads = dealt.groupBy("source", "part").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("lead"), F.sum("size").alias("words"))
+    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.withColumn("earlier", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    totals = targets(heads.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, cap)
 
     def joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-        right = named(right, "r", keys)
-        cond = F.lit(True)
-        for k in keys:
-            cond = cond & F.col(k).eqNullSafe(F.col(f"{k}_r"))
+        right = right.select(*[F.col(c).alias(f"{c}_r" if c in keys else c) for c in right.columns])
+        cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{k}_r")) for k in keys])
         return left.join(right, cond, "inner").drop(*[f"{k}_r" for k in keys])
 
-    place = Window.partitionBy("source", "size", "block").orderBy("id", "h")
-    blocks = joined(joined(blocks, sized, ["source", "size"]), totals, ["source"])
-    out = joined(rows.withColumn("own", F.row_number().over(place)), blocks, ["source", "size", "block"])
-    rank = F.col("smaller") + F.col("earlier") + F.col("own")
+    heads = joined(heads.select("source", "part", "lead", "earlier"), totals, ["source"])
+    out = joined(dealt, heads, ["source", "part"])
+    rank = F.col("earlier") + F.col("at") - F.col("lead") + 1
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     due = lambda r: F.floor(offset(F.col("source"), seed) + rate * r)
     return out.select("id", "h", "source", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), (due(rank) - due(rank - 1)).cast("int").alias("copies"))
@@ -108,13 +103,16 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of docs, with all their columns, each as often as the mix emits it.
 
     Rows equal in id, text and source are emitted from one of them, together as
-    often as all of them are due.
+    often as all of them are due. Rows without words are emitted by their place like
+    others; a source without any words is emitted not at all. An empty table
+    gives no rows; columns that share a name with what the operator makes pass
+    as they are.
     """
     due = mix(docs, id_col, text_col, source_col, **how).where("copies > 0")
     due = due.groupBy(F.struct("h", "id", "source").alias("_key")).agg(F.sum("copies").cast("int").alias("_n"))
     key = F.struct(text_key(text_of(text_col)).alias("h"), F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), key.alias("_key"))
-    once = rows.join(due, "_key").dropDuplicates(["_key"])
+    once = rows.groupBy("_key").agg(F.first("_row").alias("_row")).join(due, "_key")
     return once.select("_row", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("_row.*")
 
 
