@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tributary.llm import bpe, jaccard, mixing, substring_dedup, toxicity
-from tributary.llm.common import stored
+from tributary.llm.common import drop_scratch, scratch_paths, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,9 +47,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in order. Between two of them the documents are a stored table, and what the earlier one stored for itself goes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
+        before = set(scratch_paths())
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
+            between = set(scratch_paths()) - before
             docs = stored(docs, name)
+            drop_scratch(list(between))
     return docs
