@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,8 +118,8 @@ def test_reshape_conflict_drops_the_group(spark):
 def test_file_cuts_and_values(spark):
     df = spark.createDataFrame([(g, i) for g in "abcd" for i in range(3)], "g string, i long")
     assert {r.g: r._part for r in writers.cut_by_group(df, "g", 6).collect()} == {"a": 0, "b": 0, "c": 1, "d": 1}
-    held = spark.createDataFrame([(["a", "b"],), (["a\;b"],)], "v array<string>")
-    assert sorted(r.v for r in rows.join_values(held, "v", on_conflict="escape").collect()) == ["a;b", "a\;b"]
+    held = spark.createDataFrame([(["a", "b"],), ([r"a\;b"],)], "v array<string>")
+    assert sorted(r.v for r in rows.join_values(held, "v", on_conflict="escape").collect()) == ["a;b", r"a\\\;b"]
     with pytest.raises(Exception, match="holds"):
         rows.join_values(held, "v").collect()
 
@@ -148,3 +150,87 @@ def test_collect_has_no_bound_unless_asked(spark):
     assert (got.id, got.n) == (1, 10_500)
     with pytest.raises(Exception, match="over 10000 matches"):
         combine.combine({"a": a, "b": b}, "a.id == b.id", body, match="collect", max_collected=10_000).collect()
+
+
+@pytest.mark.parametrize("mode,values", [("escape", "escape"), ("encode_json", "json")])
+def test_joined_values_split_back(spark, mode, values):
+    cells = [["a", "b"], ["a;b", ""], ["d\\e", "\\", ";"], ["\n;x", "é"], ["x"]]
+    held = spark.createDataFrame([(k, c) for k, c in enumerate(cells)], "k int, v array<string>")
+    back = rows.join_values(held, "v", on_conflict=mode).select("k", readers.split_values(F.col("v"), ";", values).alias("v"))
+    assert {r.k: r.v for r in back.collect()} == dict(enumerate(cells))
+
+
+def test_correlated_dead_letters_leave_null_keys_alone(spark):
+    df = spark.createDataFrame([(None, 1), (None, 9), ("k", 9), ("k", 1), ("j", 1)], "k string, v long")
+    good, dead = rows.dead_letter(df, F.col("v") > 5, ["k"])
+    assert sorted((r.k or "", r.v) for r in good.collect()) == [("", 1), ("j", 1)]
+    assert sorted((r.k or "", r.v) for r in dead.collect()) == [("", 9), ("k", 1), ("k", 9)]
+
+
+def test_reshape_rejects_are_a_port(spark):
+    df = spark.createDataFrame([("g", 1), ("g", 5), ("h", 1), (None, 5), ("", 2)], "k string, v long")
+    rules = [{"name": "a", "when": "v > 3", "mutate": {"v": "0"}}, {"name": "b", "when": "v > 4", "mutate": {"v": "9"}}]
+    out, rejected = rows.reshape_split(df, ["k"], rules)
+    assert [r.k for r in out.collect()] == ["h"]
+    assert sorted((r.k or "", r.v) for r in rejected.collect()) == [("", 2), ("", 5), ("g", 1), ("g", 5)]
+
+
+def test_group_files_close_once_they_are_full(spark):
+    df = spark.createDataFrame([(g, i) for g in "abc" for i in range(4)], "g string, i long")
+    assert {r.g: r._part for r in writers.cut_by_group(df, "g", 6).collect()} == {"a": 0, "b": 0, "c": 1}
+
+
+def test_json_keeps_folders_beside_decimals(spark, tmp_path):
+    df = spark.sql("SELECT id % 3 AS k, cast(id / 7 AS decimal(10,3)) AS d FROM range(9)")
+    path = writers.write(df, str(tmp_path / "j"), "json", fan_out=["k"], max_records=1)
+    assert len(list((tmp_path / "j").glob("k=*"))) == 3 and len(list((tmp_path / "j").glob("k=*/part-*"))) == 9
+    assert spark.read.json(path).schema["d"].dataType.simpleString() == "string"
+    with pytest.raises(ValueError, match="array"):
+        writers.write(df, str(tmp_path / "a"), "json", layout="array", fan_out=["k"])
+
+
+def test_sources_in_order(spark):
+    df = spark.createDataFrame([("f", 0, 2), ("f", 1, 1), ("g", 2, 0)], "_file string, _ord long, v long")
+    assert [r.v for r in readers.in_order(df, ["v"], "_ord").collect()] == [1, 2, 0]
+    with pytest.raises(Exception, match="not in order"):
+        readers.in_order(df, ["v"], "_ord", "error").collect()
+    assert readers.in_order(df.where("_ord <> 1"), ["v"], "_ord", "error").count() == 2
+
+
+PREDICATES = {
+    "a.k == b.k": lambda p, q: p[1] is not None and p[1] == q[1],
+    "a.k == b.k and b.lo > 5": lambda p, q: p[1] is not None and p[1] == q[1] and q[2] > 5,
+    "a.k == b.k and a.x > b.lo": lambda p, q: p[1] is not None and p[1] == q[1] and p[2] is not None and p[2] > q[2],
+    "a.x >= b.lo and a.x < b.hi": lambda p, q: p[2] is not None and q[2] <= p[2] < q[3],
+    "b.lo > a.x and b.lo < a.x + a.w": lambda p, q: p[2] is not None and p[2] < q[2] < p[2] + p[3],
+    "a.x < b.hi and a.w > b.lo": lambda p, q: p[2] is not None and p[2] < q[3] and p[3] > q[2],
+    "a.x < b.lo": lambda p, q: p[2] is not None and p[2] < q[2],
+}
+
+
+@pytest.mark.parametrize("text", PREDICATES)
+def test_joins_match_brute_force_without_broadcasts(spark, text):
+    """A shuffled driver with repeated rows and null keys, every match mode, and no plan that forms all pairs."""
+    r = random.Random(2)
+    a = [(i, r.choice([None, *range(6)]), r.choice([None, *[k / 2 for k in range(40)]]), r.uniform(0, 8)) for i in range(40)]
+    a += [*a[:5], (99, None, None, 1.0)]
+    b = [(i, r.choice([None, *range(6)]), lo, lo + r.choice([0.1, 1, 5, 30])) for i, lo in ((i, r.uniform(0, 20)) for i in range(25))]
+    left = spark.createDataFrame(a, "id long, k long, x double, w double").repartition(4)
+    right = spark.createDataFrame(b, "id long, k long, lo double, hi double").repartition(3).withColumn("_ord", F.col("id"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for match in ("first", "all", "collect"):
+            body = "emit id = a.id\nemit m = " + ('b.map(v => v.id).join(",")' if match == "collect" else "b.id")
+            found = [(p[0], [q[0] for q in b if PREDICATES[text](p, q)]) for p in a]
+            for miss in ("null_fields", "skip"):
+                df = combine.combine({"a": left, "b": right}, text, body, match=match, on_miss=miss)
+                plan = df._jdf.queryExecution().executedPlan().toString()
+                assert "Cartesian" not in plan and "NestedLoop" not in plan
+                none = "" if match == "collect" else "None"
+                shown = {"first": lambda m: [str(m[0])], "all": lambda m: map(str, m), "collect": lambda m: [",".join(map(str, m))]}[match]
+                want = [(i, x) for i, m in found for x in (shown(m) if m else [none] if miss != "skip" else [])]
+                assert sorted((x.id, str(x.m)) for x in df.collect()) == sorted(want), (match, miss)
+            with pytest.raises(Exception, match="no match in b"):
+                combine.combine({"a": left, "b": right}, text, "emit id = a.id", match=match, on_miss="error").collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

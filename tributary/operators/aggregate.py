@@ -84,7 +84,7 @@ def time_window(
     """
     rows = windowed(df, event_time, window, group_by)
     if watermark:
-        rows = _closed(rows, event_time, window, watermark).where("not _late").drop("_late")
+        rows = _closed(rows, event_time, window, watermark, group_by).where("not _late").drop("_late")
     if "session" in window and not group_by:
         rows = rows.withColumn("_all", F.lit(0))
     out = aggregate(rows, group_by, program, hidden=["_start"])
@@ -92,9 +92,11 @@ def time_window(
     return out.select(*([F.timestamp_micros("_start").cast("timestamp_ntz").alias("window_start")] if bounds else []), *[F.col(f"`{c}`") for c in cols])
 
 
-def _closed(rows: DataFrame, event_time: str, window: dict, mark: dict) -> DataFrame:
+def _closed(rows: DataFrame, event_time: str, window: dict, mark: dict, keys: list[str]) -> DataFrame:
     """rows with _late: their window's end, and the lateness allowed, lie at or before the watermark of all rows that came before.
 
+    A session ends a gap after its last row.
+
     The watermark is the least, over sources, of the greatest time seen less
     delay. Running maxima per source need arrival order, so this sorts by it; on
     a large input give order a partition key by setting shard to a column whose
@@ -113,12 +115,26 @@ def _closed(rows: DataFrame, event_time: str, window: dict, mark: dict) -> DataF
     else:
         level = F.max(t).over(w)
     level = level - micros(mark.get("delay", "0s"))
-    late = F.coalesce(F.col("_start") + size + micros(mark.get("allowed_lateness", "0s")) <= level, F.lit(False))
+    end = F.col("_start") + size if kind != "session" else F.max(t).over(Window.partitionBy(*[F.col(f"`{k}`") for k in keys], "_start")) + size
+    late = F.coalesce(end + micros(mark.get("allowed_lateness", "0s")) <= level, F.lit(False))
     return rows.withColumn("_late", late)
 
 
-def late_rows(df: DataFrame, event_time: str, window: dict, watermark: dict) -> DataFrame:
-    return _closed(windowed(df, event_time, window, []), event_time, window, watermark).where("_late").drop("_late", "_start")
+def late_rows(df: DataFrame, event_time: str, window: dict, watermark: dict, group_by: list[str] | None = None) -> DataFrame:
+    keys = group_by or []
+    return _closed(windowed(df, event_time, window, keys), event_time, window, watermark, keys).where("_late").drop("_late", "_start")
+
+
+def cross_source(df: DataFrame, source: DataFrame, on: dict[str, str], program: str) -> DataFrame:
+    """df with aggregates of another source's rows whose key matches, {df field: source field}; null where none does.
+
+    The source is aggregated by its key first, so the join never multiplies.
+    """
+    keys = list(on.values())
+    totals = aggregate(source.where(reduce(lambda a, b: a & b, [F.col(f"`{k}`").isNotNull() for k in keys])), keys, program)
+    totals = totals.withColumnsRenamed({k: f"_on_{k}" for k in keys})
+    cond = reduce(lambda a, b: a & b, [F.col(f"`{a}`") == F.col(f"`_on_{b}`") for a, b in on.items()])
+    return df.join(totals, cond, "left").drop(*[f"_on_{k}" for k in keys])
 
 
 def envelope_footer(df: DataFrame, grain: list[str], totals: dict[str, str]) -> DataFrame:

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tributary.functions.compiler import Scope, Value, compile_tree
 from tributary.functions.syntax import parse_expression, parse_program
 
+#: Bins of a join on a single inequality.
+STEPS = 32
+#: Range ends beyond this are taken as this where bins are chosen; the predicate itself decides.
+FAR = 1e300
+
 
 def _side(df: DataFrame, name: str) -> tuple[DataFrame, dict[str, Value]]:
     """df with columns prefixed by their input's name, and what the name's fields mean."""
@@ -29,16 +36,121 @@ def _inputs_of(tree) -> set[str]:
     return set().union(*[_inputs_of(x) for x in tree]) if isinstance(tree, list) and tree else set()
 
 
-def condition(tree: tuple, scope: Scope) -> tuple[Column, bool]:
-    """The join condition, and whether an equality between inputs is in it. Join keys compare with =: null never matches."""
-    parts, equi = [], False
+@dataclass
+class Predicate:
+    """What a join asks for. Keys compare with =: null never matches."""
+
+    whole: Column
+    #: (driver side, build side) of equalities between them.
+    equal: list[tuple[Value, Value]] = field(default_factory=list)
+    #: Conditions on the build side alone.
+    own: list[Column] = field(default_factory=list)
+    #: (below, above) of inequalities: first those with the driver's value below, then those with the build's.
+    rising: list[tuple[tuple, tuple]] = field(default_factory=list)
+    falling: list[tuple[tuple, tuple]] = field(default_factory=list)
+    #: Whether equalities and own conditions are all.
+    pure: bool = True
+
+
+def predicate(tree: tuple, scope: Scope, build: str) -> Predicate:
+    parts, out = [], Predicate(F.lit(True))
     for c in conjuncts(tree):
-        if c[:2] == ("binary", "==") and _inputs_of(c[2]) and _inputs_of(c[3]) and _inputs_of(c[2]) != _inputs_of(c[3]):
-            parts.append(compile_tree(c[2], scope).col == compile_tree(c[3], scope).col)
-            equi = True
-        else:
-            parts.append(compile_tree(c, scope).col)
-    return reduce(lambda a, b: a & b, parts), equi
+        sides = [_inputs_of(x) for x in c[2:4]] if c[0] == "binary" and len(c) == 4 else []
+        apart = len(sides) == 2 and all(sides) and (sides[0] == {build}) != (sides[1] == {build}) and build not in (sides[0] & sides[1])
+        apart = apart and (build not in sides[0] or sides[0] == {build}) and (build not in sides[1] or sides[1] == {build})
+        if apart and c[1] == "==":
+            a, b = (compile_tree(x, scope) for x in c[2:4])
+            out.equal.append((b, a) if sides[0] == {build} else (a, b))
+            parts.append(a.col == b.col)
+            continue
+        parts.append(compile_tree(c, scope).col)
+        if _inputs_of(c) == {build}:
+            out.own.append(parts[-1])
+            continue
+        out.pure = False
+        if apart and c[1] in ("<", "<=", ">", ">="):
+            low, high = (c[2], c[3]) if c[1][0] == "<" else (c[3], c[2])
+            (out.falling if _inputs_of(low) == {build} else out.rising).append((low, high))
+    out.whole = reduce(lambda a, b: a & b, parts)
+    return out
+
+
+def _number(v: Value) -> Column | None:
+    """A value as a double that rises with it, for choosing bins."""
+    if isinstance(v.type, T.NumericType):
+        x = v.col.cast("double")
+    elif isinstance(v.type, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        x = F.unix_micros(v.col.cast("timestamp")).cast("double")
+    else:
+        return None
+    return F.greatest(F.least(x, F.lit(FAR)), F.lit(-FAR))
+
+
+def _met(points: DataFrame, x: Column, spans: DataFrame, low: Column, high: Column, cond: Column) -> DataFrame:
+    """points joined with spans where low <= x <= high, as far as bins tell, and cond.
+
+    A span's bins are as wide as the power of four from its length up, so it
+    touches two of them, whatever its length; a point is looked up once for each
+    width in use. The join is an equality on width and bin, which AQE can split where
+    a bin is hot.
+    """
+    level = F.greatest(F.ceil(F.log2(F.greatest(high - low, F.lit(2.0**-30)))), F.lit(-30)).cast("int")
+    level = level + F.pmod(level, F.lit(2))
+    spans = spans.where(low <= high).withColumn("_span_level", level)
+    width = F.pow(F.lit(2.0), F.col("_span_level"))
+    levels = spans.agg(F.collect_set("_span_level").alias("_levels"))
+    spans = spans.withColumn("_span_bin", F.explode(F.sequence(F.floor(low / width), F.floor(high / width))))
+    points = points.where(x.isNotNull()).withColumn("_level", F.explode(levels.scalar()))
+    points = points.withColumn("_bin", F.floor(x / F.pow(F.lit(2.0), F.col("_level"))))
+    on = (F.col("_level") == F.col("_span_level")) & (F.col("_bin") == F.col("_span_bin"))
+    return points.join(spans, on & cond).drop("_level", "_bin", "_span_level", "_span_bin")
+
+
+def _pairs(out: DataFrame, build: DataFrame, p: Predicate, scope: Scope) -> DataFrame:
+    """Matching pairs. Where no equality is there to join on, bins of the first inequalities make one."""
+    number = lambda tree: _number(compile_tree(tree, scope))
+    if not p.equal and p.rising and p.falling:
+        (a, b), (c, d) = p.rising[0], p.falling[0]
+        x, y, u, v = map(number, (a, b, c, d))
+        if all(n is not None for n in (x, y, u, v)):
+            if a == d:
+                return _met(out, x, build, u, y, p.whole)
+            if b == c:
+                return _met(build, y, out, x, v, p.whole)
+            # Driver x..v, build u..y: either starts inside the other, and never both ways at once.
+            one, two = _met(build, u, out, x, v, p.whole & (u >= x)), _met(out, x, build, u, y, p.whole & (u < x))
+            return one.unionByName(two)
+    if not p.equal and (p.rising or p.falling):
+        rising = bool(p.rising)
+        low, high = (p.rising or p.falling)[0]
+        mine, theirs = (number(low), number(high)) if rising else (number(high), number(low))
+        if mine is not None and theirs is not None:
+            # Build rows stand at every step that they may match, driver rows at one.
+            edges = build.agg(F.percentile_approx(theirs, [k / STEPS for k in range(1, STEPS)], 1000).alias("_edges")).scalar()
+            step = lambda n: F.size(F.filter("_edges", lambda e: e < n))
+            steps = F.sequence(F.lit(0), step(theirs)) if rising else F.sequence(step(theirs), F.lit(STEPS - 1))
+            left = out.where(mine.isNotNull()).withColumn("_edges", edges).withColumn("_step", step(mine)).drop("_edges")
+            right = build.where(theirs.isNotNull()).withColumn("_edges", edges).withColumn("_build_step", F.explode(steps)).drop("_edges")
+            return left.join(right, (F.col("_step") == F.col("_build_step")) & p.whole).drop("_step", "_build_step")
+    return out.join(build, p.whole)
+
+
+def _keys(df: DataFrame) -> tuple[list[Column], list[Column]]:
+    """What to group rows by that are equal in all columns, and aggregates for the columns that can't be keys: maps, which go by their entries."""
+    maps = [f.name for f in df.schema if isinstance(f.dataType, T.MapType)]
+    keys = [F.col(f"`{c}`") for c in df.columns if c not in maps] + [F.array_sort(F.map_entries(F.col(f"`{c}`"))).alias(f"_m_{c}") for c in maps]
+    return keys, [F.first(F.col(f"`{c}`")).alias(c) for c in maps]
+
+
+def _counted(df: DataFrame) -> DataFrame:
+    """df with equal rows as one, and _n, their number."""
+    keys, more = _keys(df)
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *more).select(*[F.col(f"`{c}`") for c in df.columns], "_n")
+
+
+def _repeated(df: DataFrame) -> DataFrame:
+    """Each row _n times, without _n."""
+    return df.withColumn("_each", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).drop("_n", "_each")
 
 
 def band_join(left: DataFrame, right: DataFrame, point: Column, low: Column, high: Column, width: float, how: str = "inner", extra: Column | None = None) -> DataFrame:
@@ -46,7 +158,7 @@ def band_join(left: DataFrame, right: DataFrame, point: Column, low: Column, hig
 
     Ranges are dealt to every bin of the given width that they touch, points to
     theirs; the join is an equality on bins, which AQE can split where a bin is
-    hot. Choose the width near the typical range.
+    hot. Choose the width near the typical range; combine() chooses widths itself.
     """
     bins = F.sequence(F.floor(low / width).cast("long"), F.floor(high / width).cast("long"))
     dealt = right.where(low.isNotNull() & high.isNotNull() & (low < high)).withColumn("_bin", F.explode(bins))
@@ -55,6 +167,55 @@ def band_join(left: DataFrame, right: DataFrame, point: Column, low: Column, hig
     return points.join(dealt, cond if extra is None else cond & extra, how).drop("_bin", "_point_bin")
 
 
+def _missing(name: str, kind: T.DataType) -> Column:
+    return F.raise_error(F.lit(f"no match in {name}")).cast(kind)
+
+
+def _all(out: DataFrame, build: DataFrame, p: Predicate, scope: Scope, name: str, on_miss: str) -> DataFrame:
+    """Every match. What finds none among ranges is told from the matched driver rows, equal ones counted as one meanwhile."""
+    if on_miss == "skip":
+        return _pairs(out, build, p, scope)
+    if p.equal or not (p.rising or p.falling):
+        joined = out.join(build.withColumn("_hit", F.lit(True)), p.whole, "left")
+        if on_miss == "error":
+            joined = joined.where(F.coalesce("_hit", _missing(name, T.BooleanType())))
+        return joined.drop("_hit")
+    held = _counted(out)
+    pairs = _pairs(held, build, p, scope)
+    matched = pairs.select(*[F.col(f"`{c}`").alias(f"_d_{c}") for c in out.columns]).distinct()
+    missed = held.join(matched, reduce(lambda a, b: a & b, [F.col(f"`{c}`").eqNullSafe(F.col(f"`_d_{c}`")) for c in out.columns]), "left_anti")
+    if on_miss == "error":
+        missed = missed.where(_missing(name, T.BooleanType()))
+    return _repeated(pairs.unionByName(missed, allowMissingColumns=True))
+
+
+def _picked(out: DataFrame, build: DataFrame, p: Predicate, scope: Scope, name: str, match: str, on_miss: str, hint: str | None) -> DataFrame:
+    """out with _r: the first match (a struct of the build row), or all of them in order (an array of structs o, r); null where there is none.
+
+    By equalities alone, matches depend on the build side's key only, so they are
+    picked for each key before the join. Otherwise pairs are grouped by the driver
+    row itself: equal driver rows have equal matches and are one row, with a
+    count, meanwhile. No row goes by a generated id, which another run of its task
+    could deal out differently.
+    """
+    ord_col = f"{name}___ord"
+    place = F.col(f"`{ord_col}`") if ord_col in build.columns else F.xxhash64(*[F.col(f"`{c}`") for c in build.columns])
+    row = F.struct(place.alias("o"), F.struct(*[F.col(f"`{c}`") for c in build.columns]).alias("r"))
+    pick = lambda x: F.min_by(x["r"], x["o"]) if match == "first" else F.array_sort(F.collect_list(x))
+    if p.pure and p.equal and all(a.type == b.type for a, b in p.equal):
+        held = build.where(reduce(lambda a, b: a & b, [b.col.isNotNull() for _, b in p.equal] + p.own))
+        keyed = held.groupBy(*[b.col.alias(f"_k{i}") for i, (_, b) in enumerate(p.equal)]).agg(pick(row).alias("_r"))
+        on = reduce(lambda a, b: a & b, [a.col == F.col(f"_k{i}") for i, (a, _) in enumerate(p.equal)])
+        return out.join(keyed.hint(hint) if hint else keyed, on, "inner" if on_miss == "skip" else "left").select(*[F.col(f"`{c}`") for c in out.columns], "_r")
+    held = _counted(out)
+    pairs = _pairs(held, build.hint(hint) if hint else build, p, scope).select(*[F.col(f"`{c}`") for c in held.columns], row.alias("_row"))
+    if on_miss != "skip":
+        pairs = pairs.unionByName(held.withColumn("_row", F.lit(None).cast(pairs.schema["_row"].dataType)))
+    keys, more = _keys(out)
+    found = pairs.groupBy(*keys).agg(F.first("_n").alias("_n"), pick(F.col("_row")).alias("_r"), F.max(F.col("_row").isNotNull()).alias("_some"), *more)
+    return _repeated(found.select(*[F.col(f"`{c}`") for c in out.columns], F.when(F.col("_some"), F.col("_r")).alias("_r"), "_n"))
+
+
 def combine(
     inputs: dict[str, DataFrame],
     where: str | dict[str, str],
@@ -68,11 +229,16 @@ def combine(
 ) -> DataFrame:
     """Joins every other input to the driver in turn and runs the body; the output is what the body emits.
 
-    match: first (the matching build row that came first, or of least hash where
-    inputs carry no _ord), all, or collect (an array of matches, named after the
-    input; over max_collected of them is an error, not a cut, and None sets no
-    bound). on_miss: null_fields, skip, or error. Everything in where belongs to
-    matching; a filter in the body drops rows afterwards and never re-matches.
+    match: first (the matching build row of least _ord, or of least hash where the
+    input carries no _ord), all, or collect (an array of matches in that order, named
+    after the input; over max_collected of them is an error, not a cut, and None
+    sets no bound). on_miss: null_fields (null columns, or an empty array), skip
+    (the driver row goes), or error. Everything in where belongs to matching; a
+    filter in the body drops rows afterwards and never re-matches.
+
+    Repeated driver rows are rows of their own. Null keys match nothing. An
+    empty build side misses everywhere. A range join (inequalities and no
+    equality) goes by bins that the data set; see _pairs.
     """
     names = list(inputs)
     driver = drive or names[0]
@@ -80,46 +246,33 @@ def combine(
         raise ValueError("at most eight inputs")
     out, fields = _side(inputs[driver], driver)
     known = {driver: fields}
-    single = len(names) == 2
     for name in [n for n in names if n != driver]:
         build, theirs = _side(inputs[name], name)
         known[name] = theirs
-        text = where if isinstance(where, str) else where[name]
-        tree = parse_expression(text)
-        if not single and isinstance(where, str):
+        tree = parse_expression(where if isinstance(where, str) else where[name])
+        if len(names) > 2 and isinstance(where, str):
             parts = [c for c in conjuncts(tree) if name in _inputs_of(c) and _inputs_of(c) <= set(known)]
             tree = reduce(lambda a, b: ("binary", "and", a, b), parts)
-        cond, _ = condition(tree, Scope({}, inputs=known))
-        if hint:
-            build = build.hint(hint)
+        scope = Scope({}, inputs=known)
+        p = predicate(tree, scope, name)
         if match == "all":
-            if on_miss == "error":
-                out = out.join(build.withColumn("_hit", F.lit(True)), cond, "left").withColumn("_hit", F.when(F.col("_hit").isNull(), F.raise_error(F.lit(f"no match in {name}")).cast("boolean")).otherwise(True)).where("_hit").drop("_hit")
-            else:
-                out = out.join(build, cond, "left" if on_miss == "null_fields" else "inner")
+            out = _all(out, build.hint(hint) if hint else build, p, scope, name, on_miss)
             continue
-        ord_col = f"{name}__ord" if f"{name}___ord" not in build.columns else f"{name}___ord"
-        place = F.col(f"`{ord_col}`") if ord_col in build.columns else F.xxhash64(*build.columns)
-        row = F.struct(place.alias("o"), F.struct(*[F.col(f"`{c}`") for c in build.columns]).alias("r"))
-        held = out.withColumn("_id", F.monotonically_increasing_id())
-        joined = held.join(build.withColumn("_hit", F.lit(True)), cond, "inner")
+        merged = _picked(out, build, p, scope, name, match, on_miss, hint)
+        kind = merged.schema["_r"].dataType
+        if on_miss == "error":
+            merged = merged.where(F.when(F.col("_r").isNull(), _missing(name, T.BooleanType())).otherwise(True))
         if match == "first":
-            picked = joined.groupBy("_id").agg(F.min_by(row["r"], row["o"]).alias("_r"))
-            merged = held.join(picked, "_id", "left" if on_miss != "skip" else "inner")
-            if on_miss == "error":
-                merged = merged.withColumn("_r", F.when(F.col("_r").isNull(), F.raise_error(F.lit(f"no match in {name}")).cast(picked.schema["_r"].dataType)).otherwise(F.col("_r")))
             out = merged.select(*[F.col(f"`{c}`") for c in out.columns], *[F.col("_r").getField(c).alias(c) for c in build.columns])
-        else:
-            picked = joined.groupBy("_id").agg(F.array_sort(F.collect_list(row)).alias("_r"))
-            merged = held.join(picked, "_id", "left" if on_miss == "null_fields" else "inner")
-            whole = F.coalesce("_r", F.array().cast(picked.schema["_r"].dataType))
-            if max_collected is not None:
-                whole = F.when(F.size(whole) <= max_collected, whole).otherwise(F.raise_error(F.lit(f"over {max_collected} matches")).cast(picked.schema["_r"].dataType))
-            plain = [c for c in build.columns if not c.endswith("_ord")]
-            items = F.transform(whole, lambda x: F.struct(*[x["r"].getField(c).alias(c[len(name) + 2 :]) for c in plain]))
-            out = merged.select(*[F.col(f"`{c}`") for c in out.columns], items.alias(f"{name}__"))
-            known[name] = {}
-            known.setdefault("", {})[name] = Value(F.col(f"`{name}__`"), out.schema[f"{name}__"].dataType, name)
+            continue
+        whole = F.coalesce("_r", F.array().cast(kind))
+        if max_collected is not None:
+            whole = F.when(F.size(whole) <= max_collected, whole).otherwise(F.raise_error(F.lit(f"over {max_collected} matches")).cast(kind))
+        plain = [c for c in build.columns if c != f"{name}___ord"]
+        items = F.transform(whole, lambda x: F.struct(*[x["r"].getField(c).alias(c[len(name) + 2 :]) for c in plain]))  # noqa: B023
+        out = merged.select(*[F.col(f"`{c}`") for c in out.columns], items.alias(f"{name}__"))
+        known[name] = {}
+        known.setdefault("", {})[name] = Value(F.col(f"`{name}__`"), out.schema[f"{name}__"].dataType, name)
     return _body(out, body, known, max_output_rows)
 
 
@@ -147,10 +300,9 @@ def _body(df: DataFrame, body: str, known: dict, cap: int | None) -> DataFrame:
         df = df.where(t)
     out = df.select(*[c.alias(n) for n, c in emitted.items()])
     if cap is not None:
-        n = F.row_number().over(Window.orderBy(F.lit(1)))
-        bad = out.limit(cap + 1).withColumn("_n", n).where(F.col("_n") > cap)
-        guard = F.broadcast(bad.agg(F.count(F.lit(1)).alias("_over")))
-        out = out.join(guard).withColumn("_over", F.assert_true(F.col("_over") == 0, F.lit(f"more than {cap} rows"))).where("_over is null").drop("_over")
+        # Counted apart, without columns and only until the cap is passed, before any row comes out.
+        over = df.select(F.lit(1)).limit(cap + 1).agg(F.count(F.lit(1)) > cap).scalar()
+        out = out.where(F.when(over, F.raise_error(F.lit(f"more than {cap} rows")).cast("boolean")).otherwise(True))
     return out
 
 

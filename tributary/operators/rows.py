@@ -157,17 +157,29 @@ def reshape(df: DataFrame, partition_by: list[str], rules: list[dict]) -> DataFr
 
     A rule: {name, when, mutate: {field: expr}, synthesize: {copy_from: trigger|none,
     overrides: {field: expr}}}. Adds _synthetic, _synthesized_by and _mutated_by.
-    Two rules that set one field of one row are a fault of its whole group.
+    Two rules that set one field of one row are a fault of its whole group, which
+    goes; reshape_split gives those rows too.
     """
+    return reshape_split(df, partition_by, rules)[0]
+
+
+def reshape_split(df: DataFrame, partition_by: list[str], rules: list[dict]) -> tuple[DataFrame, DataFrame]:
+    """(reshaped, rejected): rejected are the rows, as they came, of groups in which two rules set one field of one row."""
     tests = {r["name"]: F.coalesce(predicate(df, r["when"]), F.lit(False)) for r in rules}
     setters: dict[str, list[tuple[str, Column]]] = {}
     for r in rules:
         for field, e in r.get("mutate", {}).items():
             setters.setdefault(field, []).append((r["name"], compile_text(e, scope_of(df.schema)).col))
     fault = reduce(lambda a, b: a | b, [sum((tests[n].cast("int") for n, _ in s), F.lit(0)) > 1 for s in setters.values() if len(s) > 1], F.lit(False))
-    if partition_by and any(len(s) > 1 for s in setters.values()):
-        w = Window.partitionBy(*[_folded(c, df) for c in partition_by])
-        df = df.withColumn("_fault", F.max(fault.cast("int")).over(w)).where("_fault = 0").drop("_fault")
+    rejected = df.where(F.lit(False))
+    if any(len(s) > 1 for s in setters.values()):
+        if partition_by:
+            keys = [_folded(c, df).alias(f"_f_{c}") for c in partition_by]
+            bad = df.where(fault).select(*keys).distinct()
+            on = reduce(lambda a, b: a & b, [_folded(c, df).eqNullSafe(bad[f"_f_{c}"]) for c in partition_by])
+            df, rejected = df.join(bad, on, "left_anti"), df.join(bad, on, "left_semi")
+        else:
+            df, rejected = df.where(~fault), df.where(fault)
     new = {f: reduce(lambda acc, s: F.when(tests[s[0]], s[1].cast(dict(df.dtypes).get(f, "string"))).otherwise(acc), pairs, F.col(f"`{f}`") if f in df.columns else F.lit(None)) for f, pairs in setters.items()}
     by = F.concat_ws(",", *[F.when(tests[r["name"]], F.lit(r["name"])) for r in rules if r.get("mutate")]) if any(r.get("mutate") for r in rules) else F.lit("")
     stamped = lambda synthetic, who, mutated: {"_synthetic": F.lit(synthetic), "_synthesized_by": who, "_mutated_by": mutated}
@@ -182,7 +194,7 @@ def reshape(df: DataFrame, partition_by: list[str], rules: list[dict]) -> DataFr
         row = [(cols[c].cast(df.schema[c].dataType) if c in cols else F.col(f"`{c}`") if c in keep else F.lit(None).cast(df.schema[c].dataType)).alias(c) for c in df.columns]
         made = base.select(*row).withColumns(stamped(True, F.lit(r["name"]), F.lit(None).cast("string")))
         out = out.unionByName(made)
-    return out
+    return out, rejected
 
 
 def cull(df: DataFrame, partition_by: list[str], drop_when: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -206,13 +218,18 @@ def validate(df: DataFrame, rules: list[dict]) -> tuple[DataFrame, DataFrame]:
 
 
 def dead_letter(df: DataFrame, failed: Column, group: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(good, dead): rows that fail, or with group all rows of a group that has one; a null key is a group of its own."""
-    if not group:
-        marked = df.withColumn("_dead", F.coalesce(failed, F.lit(False)))
-    else:
-        w = Window.partitionBy(*[F.col(f"`{g}`") for g in group])
-        marked = df.withColumn("_dead", F.max(F.coalesce(failed, F.lit(False))).over(w))
-    return marked.where("not _dead").drop("_dead"), marked.where("_dead").drop("_dead")
+    """(good, dead): rows that fail, or with group (a correlation key, or a document) all rows of a group that has one.
+
+    A row with a null in its key has no peers: it goes by itself. Keys of failed
+    groups are made distinct before the shuffle and joined, so no task gathers a group.
+    """
+    marked = df.withColumn("_fails", F.coalesce(failed, F.lit(False)))
+    if group:
+        keys = marked.where("_fails").select(*[F.col(f"`{g}`").alias(f"_g_{g}") for g in group]).distinct()
+        on = reduce(lambda a, b: a & b, [F.col(f"`{g}`") == F.col(f"`_g_{g}`") for g in group])
+        marked = marked.join(keys.withColumn("_hit", F.lit(True)), on, "left").withColumn("_fails", F.col("_fails") | F.coalesce("_hit", F.lit(False)))
+    cols = [F.col(f"`{c}`") for c in df.columns]
+    return marked.where("not _fails").select(*cols), marked.where("_fails").select(*cols)
 
 
 def project(df: DataFrame, mapping: dict[str, str] | None = None, exclude: list[str] | None = None, include_unmapped: bool = True) -> DataFrame:

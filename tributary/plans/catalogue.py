@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +16,8 @@ from tributary.functions.syntax import parse_expression
 from tributary.operators import aggregate as A
 from tributary.operators import combine as C
 from tributary.operators import rows as R
+from tributary.plans.pipeline import Pipeline
+from tributary.sources import readers, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +32,14 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self._spark.read.parquet(f"{self._dir}/{name}.parquet")
 
+    def folder(self) -> str:
+        """A fresh path that driver and executors see: below spark.checkpoint.dir, or where all run in one process, a temporary one."""
+        base = self._spark.conf.get("spark.checkpoint.dir", None) or self._spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not base:
+            base = tempfile.mkdtemp(prefix="sinks-")
+            atexit.register(shutil.rmtree, base, ignore_errors=True)
+        return f"{base.rstrip('/')}/out-{uuid.uuid4().hex}"
+
 
 def query(sql: str | None):
     def register(f: Callable[[Tables], DataFrame]):
@@ -187,7 +201,7 @@ def combine_semi(t):
 @query("SELECT event_id, p_partkey FROM events JOIN part ON value >= p_retailprice / 10 AND value < p_retailprice / 10 + p_size")
 def combine_pure_range(t):
     part = t.part.selectExpr("p_partkey", "p_retailprice / 10 AS lo", "p_retailprice / 10 + p_size AS hi")
-    return C.band_join(t.events, part, F.col("value"), F.col("lo"), F.col("hi"), 25.0).select("event_id", "p_partkey")
+    return C.combine({"e": t.events, "p": part}, "e.value >= p.lo and e.value < p.hi", "emit event_id = e.event_id\nemit p_partkey = p.p_partkey", match="all", on_miss="skip")
 
 
 @query("SELECT l_orderkey, l_linenumber, o_orderkey AS hit FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey AND l_shipdate > o_orderdate")
@@ -418,3 +432,241 @@ def composition(t):
         return R.sort(A.aggregate(df, [key], "emit n = count(*)"), [{"field": "n", "order": "desc"}, key])
 
     return counted(t.part, "p_brand")
+
+
+@query("SELECT l_orderkey, n, o_orderdate FROM (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) LEFT JOIN orders ON l_orderkey = o_orderkey")
+def combine_first_after_aggregate(t):
+    lines = A.aggregate(t.lineitem, ["l_orderkey"], "emit n = count(*)")
+    return C.combine({"l": lines, "o": t.orders}, "l.l_orderkey == o.o_orderkey", "emit l_orderkey = l.l_orderkey\nemit n = l.n\nemit o_orderdate = o.o_orderdate")
+
+
+@query("""SELECT l_orderkey, l_suppkey, n, o_custkey, s_name FROM (SELECT l_orderkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY ALL)
+          LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN supplier ON l_suppkey = s_suppkey""")
+def combine_first_nary(t):
+    lines = A.aggregate(t.lineitem, ["l_orderkey", "l_suppkey"], "emit n = count(*)")
+    body = "emit l_orderkey = l.l_orderkey\nemit l_suppkey = l.l_suppkey\nemit n = l.n\nemit o_custkey = o.o_custkey\nemit s_name = s.s_name"
+    return C.combine({"l": lines, "o": t.orders, "s": t.supplier}, "l.l_orderkey == o.o_orderkey and l.l_suppkey == s.s_suppkey", body)
+
+
+@query("""SELECT k AS o_custkey, min(o_orderkey) AS above FROM (SELECT o_custkey AS k, avg(o_totalprice) AS mean FROM orders GROUP BY 1)
+          LEFT JOIN orders ON o_custkey = k AND o_totalprice > mean * 1.5 GROUP BY 1""")
+def combine_first_residual_after_aggregate(t):
+    means = A.aggregate(t.orders, ["o_custkey"], "emit mean = avg(o_totalprice)")
+    orders = t.orders.withColumn("_ord", F.col("o_orderkey"))
+    return C.combine({"m": means, "o": orders}, "m.o_custkey == o.o_custkey and o.o_totalprice > m.mean * 1.5", "emit o_custkey = m.o_custkey\nemit above = o.o_orderkey")
+
+
+@query("""SELECT c_custkey, n_name, count(o_orderkey) AS n, coalesce(string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey), '') AS ids FROM customer JOIN nation ON c_nationkey = n_nationkey
+          LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > c_acctbal * 30 GROUP BY ALL""")
+def combine_collect_after_join(t):
+    known = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    orders = t.orders.withColumn("_ord", F.col("o_orderkey"))
+    body = 'emit c_custkey = c.c_custkey\nemit n_name = c.n_name\nemit n = o.length()\nemit ids = o.map(x => x.o_orderkey).join(",")'
+    return C.combine({"c": known, "o": orders}, "c.c_custkey == o.o_custkey and o.o_totalprice > c.c_acctbal * 30.0", body, match="collect")
+
+
+@query("SELECT s_suppkey, p_partkey FROM supplier JOIN part ON s_acctbal - 20 < p_retailprice + p_size AND p_retailprice < s_acctbal + 20")
+def combine_overlap(t):
+    spans = t.supplier.selectExpr("s_suppkey", "s_acctbal - 20 AS start", "s_acctbal + 20 AS fin")
+    parts = t.part.selectExpr("p_partkey", "p_retailprice AS start", "p_retailprice + p_size AS fin")
+    return C.combine({"s": spans, "p": parts}, "s.start < p.fin and p.start < s.fin", "emit s_suppkey = s.s_suppkey\nemit p_partkey = p.p_partkey", match="all", on_miss="skip")
+
+
+@query("SELECT n_nationkey, s_suppkey FROM nation JOIN supplier ON n_nationkey * 400 > s_acctbal")
+def combine_one_inequality(t):
+    nation = t.nation.selectExpr("n_nationkey", "n_nationkey * 400 AS most")
+    return C.combine({"n": nation, "s": t.supplier}, "n.most > s.s_acctbal", "emit n_nationkey = n.n_nationkey\nemit s_suppkey = s.s_suppkey", match="all", on_miss="skip")
+
+
+@query("""SELECT c_custkey, min(p_partkey) AS p_partkey FROM customer LEFT JOIN part ON c_acctbal >= p_retailprice AND c_acctbal < p_retailprice + p_size GROUP BY 1""")
+def combine_range_first(t):
+    parts = t.part.selectExpr("p_partkey", "p_retailprice AS lo", "p_retailprice + p_size AS hi", "p_partkey AS _ord")
+    return C.combine({"c": t.customer, "p": parts}, "c.c_acctbal >= p.lo and c.c_acctbal < p.hi", "emit c_custkey = c.c_custkey\nemit p_partkey = p.p_partkey")
+
+
+@query("SELECT c_custkey, p_partkey FROM customer LEFT JOIN part ON c_acctbal >= p_retailprice AND c_acctbal < p_retailprice + p_size")
+def combine_range_null_fields(t):
+    parts = t.part.selectExpr("p_partkey", "p_retailprice AS lo", "p_retailprice + p_size AS hi")
+    return C.combine({"c": t.customer, "p": parts}, "c.c_acctbal >= p.lo and c.c_acctbal < p.hi", "emit c_custkey = c.c_custkey\nemit p_partkey = p.p_partkey", match="all")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
+def combine_anti_some(t):
+    return C.anti(t.customer, t.orders.where("o_totalprice > 200000"), {"c_custkey": "o_custkey"}).select("c_custkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE (c_nationkey > 12 AND c_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal < -990)) OR (c_nationkey <= 12 AND c_acctbal < -990)")
+def dead_letters_null_key(t):
+    """Rows whose key is null have no peers."""
+    rows = R.transform(t.customer, "emit k = if c_nationkey > 12 then c_nationkey else null")
+    return R.dead_letter(rows, F.col("c_acctbal") < -990, ["k"])[1].select("c_custkey")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000 AND o_orderstatus = 'F')")
+def reshape_rejects(t):
+    rules = [{"name": "cap", "when": "o_totalprice > 400000", "mutate": {"o_totalprice": "0.0"}}, {"name": "done", "when": 'o_orderstatus == "F"', "mutate": {"o_totalprice": "1.0"}}]
+    return R.reshape_split(t.orders, ["o_custkey"], rules)[1].select("o_orderkey")
+
+
+@query("SELECT c_custkey, n, most FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, max(o_totalprice) AS most FROM orders GROUP BY 1) ON o_custkey = c_custkey")
+def cross_source_window(t):
+    return A.cross_source(t.customer, t.orders, {"c_custkey": "o_custkey"}, "emit n = count(*)\nemit most = max(o_totalprice)").select("c_custkey", "n", "most")
+
+
+@query("""WITH d AS (SELECT *, epoch_us(ts) AS u, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 2 HOUR THEN 0 ELSE 1 END AS f FROM events),
+          g AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM d), e AS (SELECT *, max(u) OVER (PARTITION BY user_id, s) + 7200000000 AS fin FROM g),
+          m AS (SELECT *, max(u) OVER (PARTITION BY user_id ORDER BY event_type, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 600000000 AS w FROM e)
+          SELECT event_id FROM m WHERE fin <= w""")
+def session_late_rows(t):
+    rows = t.events.withColumn("at", F.struct("event_type", "event_id"))
+    return A.late_rows(rows, "ts", {"session": "2h"}, {"order": "at", "delay": "10m", "shard": "user_id"}, ["user_id"]).select("event_id")
+
+
+@query("""SELECT c_custkey, sign(c_acctbal) * floor(abs(c_acctbal * 10) + 0.5) / 10 AS one, sign(c_acctbal / 7) * floor(abs(c_acctbal / 7) + 0.5) AS whole, least(c_acctbal, 1.5) AS lo, greatest(c_acctbal, 1.5) AS hi FROM customer""")
+def functions_rounding(t):
+    return R.transform(t.customer, "emit one = c_acctbal.round(1)\nemit whole = (c_acctbal / 7.0).round()\nemit lo = c_acctbal.min(1.5)\nemit hi = c_acctbal.max(1.5)").select("c_custkey", "one", "whole", "lo", "hi")
+
+
+@query("""SELECT p_partkey, p_size::DOUBLE AS f, try_cast(p_size::VARCHAR || '.25' AS DOUBLE) AS g, NULL::DOUBLE AS h, p_size > 25 AS b, DATE '2024-01-01' + p_size::INT AS d, p_size % 2 = 0 AS even,
+          p_size::VARCHAR || 'x' AS s, coalesce(NULL, p_size) AS c, false AS e, trim('  ' || p_name || ' ') AS trimmed FROM part""")
+def functions_conversions(t):
+    return R.transform(t.part, """
+        emit f = p_size.to_string().to_float()
+        emit g = p_size.to_string().concat(".25").try_float()
+        emit h = p_name.try_float()
+        emit b = (if p_size > 25 then "yes" else "0").to_bool()
+        emit d = "2024-01-01".to_date().add_days(p_size)
+        emit even = (p_size % 2).to_string().replace("1", "no").replace("0", "yes").try_bool()
+        emit s = p_size.to_string() + "x"
+        emit c = p_name.try_int().catch(p_size)
+        emit e = p_name.is_empty()
+        emit trimmed = "  ".concat(p_name, " ").trim()""").select("p_partkey", "f", "g", "h", "b", "d", "even", "s", "c", "e", "trimmed")
+
+
+@query("""SELECT p_partkey, 'f' || p_size || '.tar.gz' AS name, 'f' || p_size || '.tar' AS stem, 'gz' AS ext, '/data/' || p_brand AS up, p_brand AS dir FROM part""")
+def functions_paths(t):
+    return R.transform(t.part, """
+        let path = "/data/".concat(p_brand, "/f", p_size, ".tar.gz")
+        emit name = path.file_name()
+        emit stem = path.file_stem()
+        emit ext = path.extension()
+        emit up = path.parent()
+        emit dir = path.parent_name()""").select("p_partkey", "name", "stem", "ext", "up", "dir")
+
+
+@query("""SELECT p_partkey, array_to_string(list_filter(w, lambda x: len(x) > 5), '+') AS long, list_filter(w, lambda x: len(x) > 5)[1] AS first, array_to_string(flatten(list_transform(w, lambda x: [x, x])), '+') AS twice,
+          array_to_string(w[2:], '+') AS rest FROM (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part)""")
+def functions_lists(t):
+    return R.transform(t.part, """
+        let w = p_name.split(" ")
+        emit long = w.filter(x => x.length() > 5).join("+")
+        emit first = w.find(x => x.length() > 5)
+        emit twice = w.flat_map(x => [x, x]).join("+")
+        emit rest = w.remove(0).join("+")""").select("p_partkey", "long", "first", "twice", "rest")
+
+
+@query("SELECT p_partkey, 'a+b' AS k, p_size + 1 AS merged, 'b' AS left, p_size::VARCHAR || '+' || p_name AS v, p_brand AS kept FROM part")
+def functions_maps(t):
+    return R.transform(t.part, """
+        let m = {"a": p_size, "b": p_name}
+        emit k = m.keys().join("+")
+        emit merged = m.merge({"a": p_size + 1})["a"]
+        emit left = m.remove_field("a").keys().join("+")
+        emit v = m.values().join("+")
+        emit kept = m.set("x.y", p_brand).unset("a")["x"]["y"]""").select("p_partkey", "k", "merged", "left", "v", "kept")
+
+
+_CUSTOMER = [{"name": "c_custkey", "type": "int"}, {"name": "c_name"}, {"name": "c_nationkey", "type": "int"}, {"name": "c_acctbal", "type": "float"}, {"name": "c_mktsegment"}]
+
+
+@query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+def csv_round_trip(t):
+    """Written as CSV with a delimiter of its own, found by a glob, read and coerced to the schema."""
+    path = writers.write(t.customer, t.folder(), "csv", delimiter="|", sort_order=["c_custkey"])
+    raw = readers.read_csv(t._spark, readers.find_files(t._spark, {"glob": f"{path}/*.csv"}), _CUSTOMER, delimiter="|", multi_line=False)
+    return readers.coerce(raw, _CUSTOMER, "drop")[0].drop("_file")
+
+
+@query("SELECT c_custkey, c_name, c_mktsegment, round(c_acctbal::DECIMAL(38,2), 2)::DOUBLE AS bal FROM customer")
+def json_fan_out(t):
+    """Decimals, and a folder for each segment."""
+    rows = t.customer.selectExpr("c_custkey", "c_name", "c_mktsegment", "cast(c_acctbal as decimal(38,2)) AS bal")
+    path = writers.write(rows, t.folder(), "json", fan_out=["c_mktsegment"])
+    schema = [{"name": "c_custkey", "type": "int"}, {"name": "c_name"}, {"name": "bal", "type": "decimal", "scale": 2}]
+    raw = t._spark.read.schema("c_custkey string, c_name string, bal string, c_mktsegment string").json(path)
+    return readers.coerce(raw, schema)[0].withColumn("bal", F.col("bal").cast("double"))
+
+
+@query("SELECT s_suppkey, s_name, s_nationkey FROM supplier")
+def json_array_round_trip(t):
+    path = writers.write(t.supplier.select("s_suppkey", "s_name", "s_nationkey"), t.folder(), "json", layout="array")
+    schema = [{"name": "s_suppkey", "type": "int"}, {"name": "s_name"}, {"name": "s_nationkey", "type": "int"}]
+    raw = readers.read_json(t._spark, readers.find_files(t._spark, {"glob": f"{path}/part-*"}), schema, layout="array", declared_only=True)
+    return readers.coerce(raw, schema, "drop")[0].drop("_file")
+
+
+@query("SELECT p_partkey, p_name, p_size FROM part")
+def xml_round_trip(t):
+    path = writers.write(t.part.select("p_partkey", "p_name", "p_size"), t.folder(), "xml", root="parts", record="part")
+    schema = [{"name": "p_partkey", "type": "int"}, {"name": "p_name"}, {"name": "p_size", "type": "int"}]
+    return readers.coerce(readers.read_xml(t._spark, [path], "part"), schema, "drop")[0].drop("_file")
+
+
+@query("SELECT s_suppkey, s_name FROM supplier")
+def fixed_width_round_trip(t):
+    schema = [{"name": "s_suppkey", "type": "int", "start": 0, "width": 12}, {"name": "s_name", "start": 12, "width": 30}]
+    path = writers.write(t.supplier.select("s_suppkey", "s_name"), t.folder(), "fixed_width", schema=schema)
+    raw = readers.read_fixed_width(t._spark, [path], schema).withColumn("s_suppkey", F.trim("s_suppkey"))
+    return readers.coerce(raw, schema, "drop")[0].drop("_file")
+
+
+@query("SELECT 'REC' AS tag, s_suppkey::VARCHAR AS id, s_name || '+''?:' AS name FROM supplier")
+def segments_round_trip(t):
+    """Marks of the format inside a value are escaped on the way out and come back."""
+    rows = t.supplier.select(F.lit("REC").alias("tag"), F.array(F.col("s_suppkey").cast("string"), F.concat("s_name", F.lit("+'?:"))).alias("elements"))
+    path = writers.write(rows, t.folder(), "segments", segments="edifact")
+    back = readers.read_segments(t._spark, readers.find_files(t._spark, {"glob": f"{path}/part-*"}), "edifact")
+    return back.select("tag", F.col("elements")[0].alias("id"), F.col("elements")[1].alias("name"))
+
+
+@query("SELECT p_partkey, pos, w || ';x\\' AS w FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w, unnest(range(1, len(string_split(p_name, ' ')) + 1)) AS pos FROM part)")
+def escaped_values(t):
+    """Elements that hold the delimiter and a backslash, joined with escapes and split again."""
+    held = t.part.select("p_partkey", F.transform(F.split("p_name", " "), lambda x: F.concat(x, F.lit(";x\\"))).alias("w"))
+    joined = R.join_values(held, "w", on_conflict="escape")
+    return R.split_to_rows(joined.withColumn("w", readers.split_values(F.col("w"), ";", "escape")), "w", position="pos")
+
+
+@query("""WITH RECURSIVE s AS (SELECT c_nationkey AS g, count(*) AS n, row_number() OVER (ORDER BY c_nationkey) AS k FROM customer GROUP BY 1),
+          r AS (SELECT g, k, 0 AS part, n AS held FROM s WHERE k = 1 UNION ALL SELECT s.g, s.k, CASE WHEN r.held >= 100 THEN r.part + 1 ELSE r.part END, CASE WHEN r.held >= 100 THEN s.n ELSE r.held + s.n END FROM r JOIN s ON s.k = r.k + 1)
+          SELECT c_custkey, part AS _part FROM customer JOIN r ON g = c_nationkey""")
+def files_of_whole_groups(t):
+    return writers.cut_by_group(t.customer, "c_nationkey", 100).select("c_custkey", "_part")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_mktsegment IN (SELECT c_mktsegment FROM customer WHERE c_acctbal > 9990)")
+def document_dead_letters(t):
+    """A bad row takes its document along; the plan is data."""
+    spec = {"nodes": [
+        {"name": "in", "kind": "source", "table": "customer"},
+        {"name": "d", "kind": "dead_letter", "input": "in", "granularity": "document", "grain": "c_mktsegment", "when": "c_acctbal > 9990"},
+    ]}
+    return Pipeline(t._spark, spec, {"customer": t.customer}).build()["d.dead"].select("c_custkey")
+
+
+@query("SELECT n_name, sum(o_totalprice) * 2 AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+def pipeline_composition(t):
+    """A sub-pipeline as a node, after a combine."""
+    inner = {"nodes": [
+        {"name": "i", "kind": "source", "table": "x"},
+        {"name": "s", "kind": "aggregate", "input": "i", "group_by": ["n_name"], "program": "emit total = sum(price)"},
+        {"name": "o", "kind": "sink", "input": "s"},
+    ]}
+    spec = {"nodes": [
+        *[{"name": n, "kind": "source", "table": n} for n in ("orders", "customer", "nation")],
+        {"name": "c", "kind": "combine", "inputs": {"o": "orders", "c": "customer", "n": "nation"}, "match": "all", "on_miss": "skip",
+         "where": "o.o_custkey == c.c_custkey and c.c_nationkey == n.n_nationkey", "body": "emit n_name = n.n_name\nemit price = o.o_totalprice"},
+        {"name": "k", "kind": "composition", "inputs": {"x": "c"}, "pipeline": inner},
+        {"name": "t", "kind": "transform", "input": "k", "program": "emit total = total * 2.0"},
+    ]}
+    return Pipeline(t._spark, spec, {n: getattr(t, n) for n in ("orders", "customer", "nation")}).build()["t"]

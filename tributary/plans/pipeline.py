@@ -19,7 +19,7 @@ from tributary.operators import combine as C
 from tributary.operators import rows as R
 from tributary.sources import readers, writers
 
-KINDS = {"source", "transform", "aggregate", "route", "merge", "combine", "sink", "reshape", "cull", "envelope", "composition", "validate"}
+KINDS = {"source", "transform", "aggregate", "route", "merge", "combine", "sink", "reshape", "cull", "envelope", "composition", "validate", "dead_letter", "lookup"}
 
 
 class PlanFault(ValueError):
@@ -53,7 +53,7 @@ def overlay(spec: dict, patch: dict) -> dict:
 
 def _needs(node: dict) -> list[str]:
     inputs = node.get("inputs", [])
-    return [*([node["input"]] if "input" in node else []), *(inputs.values() if isinstance(inputs, dict) else inputs), *([node["header"]] if "header" in node else [])]
+    return [*([node["input"]] if "input" in node else []), *(inputs.values() if isinstance(inputs, dict) else inputs), *[node[k] for k in ("header", "source") if isinstance(node.get(k), str)]]
 
 
 def ordered(spec: dict) -> list[dict]:
@@ -132,7 +132,7 @@ class Pipeline:
         if kind == "csv":
             raw = readers.read_csv(self.spark, paths, n["schema"], **options)
         elif kind == "json":
-            raw = readers.read_json(self.spark, paths, n["schema"], **options)
+            raw = readers.read_json(self.spark, paths, n["schema"], **({"declared_only": n.get("on_unmapped") == "drop"} | options))
         elif kind == "xml":
             raw = readers.read_xml(self.spark, paths, **options)
         elif kind == "fixed_width":
@@ -171,8 +171,19 @@ class Pipeline:
         options = {k: n[k] for k in ("match", "on_miss", "drive", "hint", "max_output_rows", "max_collected") if k in n}
         return C.combine({k: self.ports[v] for k, v in n["inputs"].items()}, n["where"], n["body"], **options)
 
-    def _reshape(self, n: dict) -> DataFrame:
-        return R.reshape(self.ports[n["input"]], n["partition_by"], n["rules"])
+    def _reshape(self, n: dict) -> dict[str, DataFrame]:
+        out, rejected = R.reshape_split(self.ports[n["input"]], n["partition_by"], n["rules"])
+        return {"": out, "rejected": rejected}
+
+    def _dead_letter(self, n: dict) -> dict[str, DataFrame]:
+        """Rows for which when is true, or all rows of their correlation key (group) or document (grain, _file unless named), on the port dead."""
+        df = self.ports[n["input"]]
+        group = n.get("group") or ([n.get("grain", "_file")] if n.get("granularity") == "document" else None)
+        good, dead = R.dead_letter(df, R.predicate(df, n["when"]), group)
+        return {"": good, "dead": dead}
+
+    def _lookup(self, n: dict) -> DataFrame:
+        return A.cross_source(self.ports[n["input"]], self.ports[n["source"]], n["on"], n["program"])
 
     def _cull(self, n: dict) -> dict[str, DataFrame]:
         kept, removed = R.cull(self.ports[n["input"]], n["partition_by"], n["drop_when"])

@@ -18,7 +18,11 @@ _TYPES = {"int": T.LongType(), "float": T.DoubleType(), "string": T.StringType()
 
 @dataclass(frozen=True)
 class Field:
-    """A declared column. source_name is its name in the file; multiple splits a cell into an array."""
+    """A declared column. source_name is its name in the file; multiple, a delimiter, splits a cell into an array.
+
+    values says how a cell holds several: plain, escape (a backslash before a
+    delimiter or backslash that is part of a value) or json (an array of strings).
+    """
 
     name: str
     type: str = "string"
@@ -27,6 +31,7 @@ class Field:
     format: str | None = None
     scale: int = 18
     multiple: str | None = None
+    values: str = "plain"
     start: int = 0
     width: int = 0
 
@@ -60,6 +65,17 @@ def cell(c: Column, f: Field) -> Column:
     return F.when(c.rlike(r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(\.\d+)?$"), c.try_cast("timestamp_ntz"))
 
 
+def split_values(c: Column, sep: str = ";", values: str = "plain") -> Column:
+    """A delimited cell as an array: what rows.join_values joins, split."""
+    if values == "json":
+        return F.from_json(c, "array<string>")
+    if values == "escape":
+        mark = re.escape(sep)
+        found = F.regexp_extract_all(F.concat(c, F.lit(sep)), F.lit(rf"(?s)((?:\\.|(?!{mark})[^\\])*){mark}"), 1)
+        return F.transform(found, lambda x: F.regexp_replace(x, r"(?s)\\(.)", "$1"))
+    return F.split(c, F.concat(F.lit("\\Q"), F.lit(sep), F.lit("\\E")), -1)
+
+
 def coerce(df: DataFrame, schema: list, on_unmapped: str = "auto_widen", threshold: float | None = None) -> tuple[DataFrame, DataFrame]:
     """(good, bad): rows of text columns as the schema's types. bad has the text as it came and _error, the first field at fault.
 
@@ -78,7 +94,7 @@ def coerce(df: DataFrame, schema: list, on_unmapped: str = "auto_widen", thresho
     for f in fields:
         raw = F.col(f"`{f.source_name or f.name}`").cast("string") if (f.source_name or f.name) in df.columns else F.lit(None).cast("string")
         if f.multiple:
-            parts = F.split(raw, F.concat(F.lit("\\Q"), F.lit(f.multiple), F.lit("\\E")), -1)
+            parts = split_values(raw, f.multiple, f.values)
             out = F.transform(parts, lambda x, f=f: cell(x, f))
             bad = F.exists(F.arrays_zip(parts.alias("p"), out.alias("o")), lambda z: z["o"].isNull() & z["p"].isNotNull())
         else:
@@ -149,20 +165,33 @@ def _file(df: DataFrame) -> DataFrame:
     return df.withColumn("_file", F.col("_metadata.file_path"))
 
 
-def read_csv(spark: SparkSession, paths: list[str], schema: list, delimiter: str = ",", quote: str = '"', has_header: bool = True, encoding: str = "UTF-8") -> DataFrame:
-    """Cells as text. With a header, columns bind by name; without, by position."""
-    reader = spark.read.option("sep", delimiter).option("quote", quote).option("escape", quote).option("encoding", encoding).option("multiLine", True)
+def read_csv(
+    spark: SparkSession, paths: list[str], schema: list, delimiter: str = ",", quote: str = '"', has_header: bool = True, encoding: str = "UTF-8", multi_line: bool = True
+) -> DataFrame:
+    """Cells as text. With a header, columns bind by name; without, by position.
+
+    Quoted cells may hold line ends, which makes a file one task's work; set
+    multi_line to false where none do, and large files are split.
+    """
+    reader = spark.read.option("sep", delimiter).option("quote", quote).option("escape", quote).option("encoding", encoding).option("multiLine", multi_line)
     if has_header:
         return _file(reader.option("header", True).option("emptyValue", "").csv(paths))
     text = T.StructType([T.StructField(f.source_name or f.name, T.StringType()) for f in fields_of(schema)])
     return _file(reader.schema(text).csv(paths))
 
 
-def read_json(spark: SparkSession, paths: list[str], schema: list, layout: str = "ndjson", record_path: str | None = None) -> DataFrame:
-    """array and ndjson layouts, or object with the dotted path of its array of records."""
+def read_json(spark: SparkSession, paths: list[str], schema: list, layout: str = "ndjson", record_path: str | None = None, declared_only: bool = False) -> DataFrame:
+    """array and ndjson layouts, or object with the dotted path of its array of records.
+
+    Finding out what other columns there are takes a pass over the files; with
+    declared_only there is none, and undeclared columns are not read.
+    """
+    reader = spark.read.option("primitivesAsString", True)
+    if declared_only and layout != "object":
+        reader = reader.schema(T.StructType([T.StructField(f.source_name or f.name, T.StringType()) for f in fields_of(schema)]))
     if layout == "ndjson":
-        return _file(spark.read.option("primitivesAsString", True).json(paths))
-    rows = _file(spark.read.option("multiLine", True).option("primitivesAsString", True).json(paths))
+        return _file(reader.json(paths))
+    rows = _file(reader.option("multiLine", True).json(paths))
     if layout == "object":
         rows = rows.select(F.explode(record_path).alias("_r"), "_file").select("_r.*", "_file")
     return rows
@@ -236,6 +265,14 @@ def sections(df: DataFrame, tags: list[str], section: str) -> DataFrame:
     return df.where(~F.col("tag").isin(*tags)).join(head, "_file", "left")
 
 
+def in_order(df: DataFrame, keys: list[str], order: str, on_unsorted: str = "warn") -> DataFrame:
+    """A source that declares an order: warn puts each file's rows in it, equal ones as they came; error stops at a row that breaks it."""
+    if on_unsorted == "warn":
+        return df.orderBy("_file", *[F.col(f"`{k}`").asc_nulls_last() for k in keys], order)
+    broken = unsorted_rows(df, order, keys).select(F.lit(1)).limit(1).agg(F.count(F.lit(1)) > 0).scalar()
+    return df.where(F.when(broken, F.raise_error(F.lit(f"rows are not in order of {', '.join(keys)}")).cast("boolean")).otherwise(True))
+
+
 def unsorted_rows(df: DataFrame, order: str, keys: list[str]) -> DataFrame:
     """Rows that break a declared order within their file."""
     from pyspark.sql import Window

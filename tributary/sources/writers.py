@@ -20,11 +20,12 @@ def _target(df: DataFrame, path: str, if_exists: str) -> tuple[str, str]:
 
 def write(
     df: DataFrame, path: str, kind: str = "csv", *, mapping=None, exclude=None, include_unmapped=True, scales=None, sort_order=None, if_exists="error", max_records=None,
-    fan_out: list[str] | None = None, delimiter=",", header=True, root="records", record="record", schema: list | None = None, segments: str | None = None,
+    fan_out: list[str] | None = None, delimiter=",", header=True, root="records", record="record", schema: list | None = None, segments: str | None = None, layout="ndjson",
 ) -> str:
     """Projects, scales, sorts and writes; returns the path. fan_out gives each value of its columns a folder of its own.
 
-    Spark's committer makes the output appear whole or not at all.
+    JSON has decimals as strings; layout array makes each file one array of
+    records. Spark's committer makes the output appear whole or not at all.
     """
     if sort_order:
         df = sort(df, sort_order)
@@ -36,6 +37,12 @@ def write(
         df = df.select(fixed_width_line(df, schema).alias("value"))
     elif kind == "segments":
         df = df.select(segment_line(segments).alias("value"))
+    elif kind == "json":
+        df = df.withColumns({f.name: F.col(f"`{f.name}`").cast("string") for f in df.schema if isinstance(f.dataType, T.DecimalType)})
+        if layout == "array":
+            if fan_out or max_records:
+                raise ValueError("an array of records is one file a partition: no fan_out, no max_records")
+            df, kind = json_arrays(df), "lines"
     out = df.write.mode(mode)
     if max_records:
         out = out.option("maxRecordsPerFile", max_records)
@@ -44,17 +51,35 @@ def write(
     if kind == "csv":
         out.option("header", header).option("sep", delimiter).option("escape", '"').option("emptyValue", "").csv(path)
     elif kind == "json":
-        decimals = {f.name: F.col(f"`{f.name}`").cast("string") for f in df.schema if isinstance(f.dataType, T.DecimalType)}
-        (df.withColumns(decimals).write.mode(mode) if decimals else out).option("ignoreNullFields", False).json(path)
+        out.option("ignoreNullFields", False).json(path)
     elif kind == "xml":
         out.format("xml").option("rootTag", root).option("rowTag", record).save(path)
-    elif kind in ("fixed_width", "segments"):
+    elif kind in ("fixed_width", "segments", "lines"):
         out.text(path)
     else:
         out.format(kind).save(path)
     return path
 
 
+def json_arrays(df: DataFrame) -> DataFrame:
+    """Lines that make each partition one array of records, streamed."""
+    lines = df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("value"))
+
+    def framed(batches):
+        import pyarrow as pa
+
+        before = "["
+        for b in batches:
+            held = []
+            for x in b.column(0).to_pylist():
+                held.append(before + x)
+                before = ","
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], ["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["]" if before == "," else "[]"], pa.string())], ["value"])
+
+    return lines.mapInArrow(framed, "value string")
+
+
 def fixed_width_line(df: DataFrame, schema: list):
     """Fields padded to their widths, numbers to the left; a value that is too long is an error."""
     parts = []
@@ -86,14 +111,27 @@ def write_dead_letters(df: DataFrame, path: str, reason: str, stage: str) -> str
 
 
 def cut_by_group(df: DataFrame, group: str, max_records: int) -> DataFrame:
-    """df with _part: files of whole groups, each closed before the group that would pass max_records.
+    """df with _part: files of whole groups in order, each closed at the first group's end at which it has max_records or more.
 
-    Groups are counted first and only the counts are put in order; a group over the limit has a file of its own.
+    Rows are counted by group before anything is put in order. Where a file ends
+    depends on all before it, so one task reads the sorted counts, a row a group,
+    and keeps a single number.
     """
-    from pyspark.sql import Window
-
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("_n").over(w), F.lit(0))
-    parts = sizes.withColumn("_part", F.floor((before + F.col("_n") - 1) / max_records).cast("int"))
-    return df.join(parts.drop("_n"), group)
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).select(F.col(group).alias("_g"), "_n")
+
+    def cut(batches):
+        import pyarrow as pa
+
+        part = held = 0
+        for b in batches:
+            parts = []
+            for n in b.column("_n").to_pylist():
+                if held >= max_records:
+                    part, held = part + 1, 0
+                parts.append(part)
+                held += n
+            yield pa.RecordBatch.from_arrays([b.column("_g"), pa.array(parts, pa.int32())], ["_g", "_part"])
+
+    kind = sizes.schema["_g"].dataType.simpleString()
+    parts = sizes.orderBy("_g").coalesce(1).mapInArrow(cut, f"_g {kind}, _part int")
+    return df.join(parts, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
