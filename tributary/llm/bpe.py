@@ -23,8 +23,8 @@ from tributary.llm.common import arrow, on_leaving, pieces, prepare, rows_of, te
 from tributary.llm.tokens import ChunkTable, Splitter, chunks, default_tokenizer, packed
 
 
-#: Chunks that a worker keeps in each of two generations with their ids and text, and pairs of tokens that it knows to be legal or not.
-KEPT, PAIRS = 90_000, 300_000
+#: Chunks that a worker keeps with their ids and text (twice as many at most), and pairs of tokens that it knows to be legal or not.
+KEPT, PAIRS = 100_000, 300_000
 
 
 class TrieBpe:
@@ -159,7 +159,7 @@ def _encoded(docs: DataFrame, id_col: str, text_col: str, tokenizer: str | None,
     def encode(batches):
         table = trie_chunks(path)
         for whole in batches:
-            for b in pieces(whole, 2 << 20):
+            for b in pieces(whole):
                 lists = [chunks(t) for t in b.column("text").to_pylist()]
                 known = table.of(lists)
                 out: dict[str, list] = {"n_tokens": [], "a": [], "b": []}

@@ -136,10 +136,18 @@ def packed(lists: list[list[int]]) -> list[bytes]:
 
 
 class ChunkTable:
-    """chunk -> value, for those that a batch needs and most that earlier batches needed."""
+    """chunk -> value, for those that a batch needs.
+
+    Kept beyond the batch is what a second batch needs too: most chunks come once.
+    Which were met is told by marks at their hashes, so now and then a chunk is kept
+    at once, or filled again.
+    """
+
+    MARKS = 1 << 22
 
     def __init__(self, fill: Callable[[list[str]], Iterable], kept: int = KEPT):
         self.fill, self.now, self.old, self.kept = fill, {}, {}, kept
+        self.met, self.marked = np.zeros(self.MARKS, bool), 0
 
     def of(self, lists: list[list[str]]) -> dict:
         """A table that has every chunk of the lists.
@@ -159,26 +167,38 @@ class ChunkTable:
         need: set[str] = set()
         for x in lists:
             need.update(x)
-        if len(self.now) + len(need) > 2 * self.kept:
+        if len(self.now) > self.kept:
             self.old, self.now = self.now, {}
-        missing = need.difference(self.now)
-        if missing and self.old:
-            again = missing.intersection(self.old)
-            self.now.update((c, self.old[c]) for c in again)
-            missing -= again
-        if missing:
-            new = sorted(missing)
-            self.now.update(zip(new, self.fill(new), strict=True))
-        return self.now
+        now, old = self.now, self.old
+        if old:
+            now.update((c, old[c]) for c in (need - now.keys()) & old.keys())
+        out = {c: now[c] for c in need & now.keys()}
+        new = sorted(need - now.keys())
+        if new:
+            values = list(self.fill(new))
+            out.update(zip(new, values, strict=True))
+            at = np.fromiter(map(hash, new), np.int64, len(new)) & (self.MARKS - 1)
+            now.update((new[k], values[k]) for k in np.flatnonzero(self.met[at]).tolist())
+            self.met[at] = True
+            self.marked += len(new)
+            if self.marked > self.MARKS // 2:
+                self.met[:], self.marked = False, 0
+        return out
 
 
 class LibraryIds:
-    """Ids of texts as little-endian unsigned 32-bit integers, all of them made by the tokenizers library's encode.
+    """Ids of texts as little-endian unsigned 32-bit integers, all of them made by the tokenizers library.
 
-    Where the tokenizer's file shows that no piece reaches over white space, each
-    distinct chunk is encoded once; with any other file, each whole text.
+    Where the tokenizer's file shows that no piece reaches over white space, distinct
+    chunks go through the library's normalizer and pre-tokenizer, many at a time,
+    and distinct pieces through its model: the steps of its encode, none of them
+    done twice. Chunks with a special token in them, and with any other file each
+    whole text, go through encode itself.
     """
 
+    #: Chunks that are normalized and split at a time.
+    BLOCK = 4096
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -186,12 +206,39 @@ class LibraryIds:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as f:
-            self.by_chunk = pieces_in_chunks(json.load(f))
-        self.table = ChunkTable(lambda new: (self._ids(c) for c in new))
+            spec = json.load(f)
+        self.by_chunk = pieces_in_chunks(spec)
+        self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        self.steps = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer, self.tokenizer.model
+        self.known: dict[str, bytes] = {}
+        self.table = ChunkTable(self._fill)
 
     def _ids(self, text: str) -> bytes:
         return struct.pack(f"<{len(x)}I", *x) if (x := self.tokenizer.encode(text, add_special_tokens=False).ids) else b""
 
+    def _block(self, block: list[str]) -> list[bytes]:
+        """Ids of chunks; a single space stands between them, and normalization makes no other."""
+        normalizer, splitter, model = self.steps
+        text = normalizer.normalize_str(" ".join(block))
+        parts = text.split(" ")
+        if len(parts) != len(block) or any(s in text for s in self.special):
+            return [self._ids(c) for c in block]
+        pieces = splitter.pre_tokenize_str(text)
+        known = self.known
+        fresh = {p for p, _ in pieces}.difference(known)
+        for p in fresh:
+            ids = [t.id for t in model.tokenize(p)]
+            known[p] = struct.pack(f"<{len(ids)}I", *ids)
+        ends = np.cumsum([len(p) + 1 for p in parts])
+        cuts = np.searchsorted(np.array([at[0] for _, at in pieces], np.int64), ends).tolist()
+        found = [known[p] for p, _ in pieces]
+        return [b"".join(found[i:j]) for i, j in zip([0, *cuts], cuts, strict=False)]
+
+    def _fill(self, new: list[str]) -> list[bytes]:
+        if len(self.known) > KEPT:
+            self.known.clear()
+        return [x for i in range(0, len(new), self.BLOCK) for x in self._block(new[i : i + self.BLOCK])]
+
     def of(self, texts: list[str]) -> list[bytes]:
         if not self.by_chunk:
             return [self._ids(t) for t in texts]
