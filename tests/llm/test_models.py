@@ -132,3 +132,94 @@ def test_search_is_exact_for_large_components(spark):
             assert [(x.rank, x.vec_id, x.score) for x in ask.orderBy("rank").collect()] == fit
     with pytest.raises(Exception, match="does not fit a long"):
         topk.search(index, df.where("i = 0"), "i", "v", 2, 1.0).collect()
+
+
+def slow_logit(net, words):
+    """The logit of one window, word by word, from the parameters alone."""
+    p, h = {k: v.astype(np.float64) for k, v in net.p.items()}, toxicity.HIDDEN
+    inputs = []
+    for w in words:
+        bare = w.lower().strip(toxicity._EDGES)
+        ids, _ = toxicity.trigram_ids([bare])
+        inputs.append(np.concatenate([p["word"][net.vocabulary.get(bare, 0)], p["char"][ids].mean(0)]))
+    sides = []
+    for d in (0, 1):
+        state, states = np.zeros(h), []
+        for x in inputs if d == 0 else inputs[::-1]:
+            gates, y = x @ p["W"][d] + p["b"][d, 0], state @ p["U"][d]
+            z, r = 1 / (1 + np.exp(-(gates[:h] + y[:h]))), 1 / (1 + np.exp(-(gates[h : 2 * h] + y[h : 2 * h])))
+            c = np.tanh(gates[2 * h :] + r * y[2 * h :])
+            state = z * state + (1 - z) * c
+            states.append(state)
+        sides.append(states if d == 0 else states[::-1])
+    flat = np.concatenate(sides, axis=1)
+    weight = np.exp(flat @ p["a"])
+    return float((weight / weight.sum()) @ (flat @ p["o"]) + p["c"][0])
+
+
+def noisy_network(seed):
+    r = np.random.default_rng(seed)
+    net = toxicity.Network({"v%d" % k: k + 1 for k in range(40)}, r.standard_normal(40).astype(np.float32), seed)
+    for k, v in net.p.items():
+        net.p[k] = (v + 0.4 * r.standard_normal(v.shape)).astype(np.float32)
+    net.p["word"][0] = 0
+    return net
+
+
+def slow_score(net, text):
+    words = (text or "").split()
+    starts = [0] if len(words) <= toxicity.WINDOW else [*range(0, len(words) - toxicity.WINDOW, toxicity.STEP), len(words) - toxicity.WINDOW]
+    # An empty window has neither states nor weights: what is left is the last term.
+    return 1 / (1 + np.exp(-max(slow_logit(net, words[s : s + toxicity.WINDOW]) if words else float(net.p["c"][0]) for s in starts)))
+
+
+def test_scores_match_a_word_by_word_network():
+    net, r = noisy_network(3), random.Random(5)
+    texts = [" ".join(r.choice(['"V%d!"', "v%d", "x%d"]) % r.randrange(60) for _ in range(n)) for n in (1, 2, 5, 47, 48, 49, 73, 130, 300)] + ["", " "]
+    got = toxicity.Scorer(net).scores(texts)
+    assert np.allclose(got, [slow_score(net, t) for t in texts], atol=1e-4) and got.std() > 0.01
+
+
+def test_scoring_and_training_share_a_forward_pass():
+    net, r = noisy_network(4), np.random.default_rng(4)
+    words = ["v%d" % k for k in range(60)]
+    x = net.rows(words)
+    index = r.integers(0, 60, (7, 12))
+    real = np.arange(12) < r.integers(1, 13, 7)[:, None]
+    logit = net.score(net.project(x), np.where(real, index, 0), real)
+    for k in range(7):
+        loss, _, _ = net.gradient(x[index[k : k + 1]], real[k : k + 1], np.array([1]))
+        assert abs(loss - np.log1p(np.exp(-logit[k]))) < 1e-4
+
+
+def test_log_weights_and_the_draw_are_recomputed(docs, spark):
+    import pyarrow as pa
+
+    r = random.Random(11)
+    texts = [" ".join(r.choice("abcdefgh") for _ in range(r.randrange(1, 40))) for _ in range(80)] + [None, "", "A b"]
+    ids = [*range(82), None]
+    good = {k for k in range(82) if k % 3 == 0}
+    grams = [quality.gram_buckets(pa.array([t or ""]))[0].tolist() for t in texts]
+    raw, target = np.zeros(quality.BUCKETS), np.zeros(quality.BUCKETS)
+    for i, g in zip(ids, grams, strict=True):
+        np.add.at(raw, g, 1)
+        if i in good:
+            np.add.at(target, g, 1)
+    assert [len(g) for g in grams[:2]] == [2 * len(t.split()) - 1 for t in texts[:2]] and grams[-1] == quality.gram_buckets(pa.array(["a B"]))[0].tolist()
+    both = (raw + 1) / (raw.sum() + quality.BUCKETS)
+    p, q = 0.999 * target / target.sum() + 0.001 * both, 0.999 * raw / raw.sum() + 0.001 * both
+    want = {i: sum(np.log(p[g]) - np.log(q[g]) for g in gs) for i, gs in zip(ids, grams, strict=True)}
+    rows = quality.resample(docs(texts, ids=ids), spark.createDataFrame([(k,) for k in good], "k long"), keep=0.4).collect()
+    assert all(abs(x.log_weight - want[x.doc_id]) < 1e-6 for x in rows)
+    noise = np.array([x.score - x.log_weight for x in rows])
+    assert np.isfinite(noise).all() and abs(noise.mean() - 0.577) < 0.5
+    best = sorted(rows, key=lambda x: -x.score)[: round(0.4 * len(rows))]
+    assert {x.doc_id for x in rows if x.selected} == {x.doc_id for x in best}
+
+
+def test_gumbel_noise_draws_in_proportion(docs, spark):
+    """With two kinds of equal texts, the larger weights are drawn first about as often as the weights say."""
+    rows = quality.resample(docs(["w"] * 4000), spark.createDataFrame([(0,)], "k long"), keep=0.25).collect()
+    noise = np.array([x.score - x.log_weight for x in rows])
+    assert abs(noise.mean() - 0.5772) < 0.1 and abs(noise.var() - np.pi**2 / 6) < 0.2
+    assert sum(x.selected for x in rows) == 1000

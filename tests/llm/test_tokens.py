@@ -108,3 +108,40 @@ def test_one_source_and_no_words(docs):
     assert {(x.target, x.copies) for x in mixing.mix(docs(["", None])).collect()} == {(0.0, 0)}
     one = mixing.mix(docs(["a b c"] * 4, ids=[1, 1, 2, None])).collect()
     assert sum(x.copies for x in one) == 6 and {x.target for x in one} == {18.0}
+
+
+def test_unknown_tokenizer_files(docs, spark, library, tmp_path):
+    """op4 encodes whole texts with a file of another shape; op8 refuses it."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(default_tokenizer(), encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["normalizer"] = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"String": "o w"}, "content": "ow"}]}
+    path = str(tmp_path / "other.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(spec, f)
+    other, texts = Tokenizer.from_file(path), ["hello world", "o w o w", "", None, "a  b"]
+    manifest = token_output.write_sequences(docs(texts), scratch(spark, "t"), tokenizer=path)
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in token_output.read_documents(manifest).collect()}
+    for i, t in enumerate(texts):
+        ids = [*other.encode(t or "", add_special_tokens=False).ids, 1]
+        assert got[i] == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    with pytest.raises(ValueError, match="tokenizer file"):
+        bpe.TrieBpe(path)
+
+
+def test_long_words_take_time_in_proportion(library):
+    import time
+
+    r = random.Random(9)
+    trie = bpe.TrieBpe(default_tokenizer())
+    word = "".join(r.choice("abcdef") for _ in range(100_000))
+    took = []
+    for n in (20_000, 100_000):
+        began = time.process_time()
+        (ids,) = trie.words([word[:n]]).values()
+        took.append(time.process_time() - began)
+        assert ids == library.encode(word[:n], add_special_tokens=False).ids
+    assert took[1] < 25 * max(took[0], 0.02)

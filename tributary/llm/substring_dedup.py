@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm.common import arrow, pieces, prepare, rows_of, stored, text_buffer, text_key, text_of, unique_texts
+from tributary.llm.common import WORD, arrow, pieces, prepare, rows_of, stored, text_buffer, text_key, text_of, unique_texts
 from tributary.llm.hashing import mixed, word_spans
 from tributary.llm.repeats import Unit, covered, repeated
 from tributary.llm.suffix import FmIndex
@@ -171,11 +171,13 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     remove_repeats. An empty table gives no rows; columns that share a name with
     what the operator makes pass as they are.
     """
-    out = remove_repeats(docs, id_col, text_col, carry=[c for c in docs.columns if c != text_col])
-    out = out.where((F.col("n_removed") < F.col("n_words")) | (F.col("n_words") == 0))
+    worded = F.coalesce(F.col(text_col).cast("string").rlike(WORD), F.lit(False))
+    out = remove_repeats(docs.where(worded), id_col, text_col, carry=[c for c in docs.columns if c != text_col])
+    out = out.where(F.col("n_removed") < F.col("n_words"))
     text = F.col("kept").cast("string")
     new = {text_col: text} | ({length_col: F.when(F.col("n_removed") > 0, F.length(text)).otherwise(F.col(f"row.`{length_col}`"))} if length_col in docs.columns else {})
-    return out.select(*[new.get(c, F.col(f"row.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+    out = out.select(*[new.get(c, F.col(f"row.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+    return out.union(docs.where(~worded))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
