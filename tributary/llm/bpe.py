@@ -23,8 +23,8 @@ from tributary.llm.common import arrow, on_leaving, pieces, prepare, rows_of, te
 from tributary.llm.tokens import ChunkTable, Splitter, chunks, default_tokenizer, packed
 
 
-#: Chunks that a worker keeps with their ids and text (twice as many at most), and pairs of tokens that it knows to be legal or not.
-KEPT, PAIRS = 100_000, 300_000
+#: Chunks that a worker keeps in each of two generations with their ids and text, unless told otherwise, and pairs of tokens that it knows to be legal or not.
+KEPT, PAIRS = 300_000, 500_000
 
 
 class TrieBpe:
@@ -96,6 +96,7 @@ class TrieBpe:
         path from its root; only what two neighbours don't share is worked out.
         """
         out: dict[str, list[int]] = {}
+        token_of, legal, longest = self.vocab.get, self.legal, self.longest
         states: list[tuple[int, int]] = [(-1, 0)]
         before = ""
         for word in sorted(words):
@@ -104,8 +105,19 @@ class TrieBpe:
                 shared += 1
             del states[shared + 1 :]
             inner = len(word) - 1 if self.suffix else len(word)
-            for n in range(len(states), inner + 1):
-                states.append(self._last(word, n, states, ""))
+            for n in range(len(states), inner + 1):  # _last(word, n, states, ""), in place
+                for size in range(1, min(n, longest) + 1):
+                    token = token_of(word[n - size : n])
+                    if token is not None:
+                        if size == n:
+                            break
+                        left = states[n - size][0]
+                        known = legal.get(left << 32 | token)
+                        if known or known is None and self.pair_is_legal(left, token):
+                            break
+                else:
+                    raise ValueError(f"no token ends at letter {n} of a word of {len(word)}")
+                states.append((token, size))
             token, size = self._last(word, len(word), states, self.suffix) if self.suffix else states[len(word)]
             ids, at = [token], len(word) - size
             while at:
@@ -116,33 +128,33 @@ class TrieBpe:
             before = word
         return out
 
-    def encode_chunks(self, new: list[str]) -> Iterable[list[int]]:
-        lists = self.splitter.many(new)
-        known = self.words({p for x in lists for p in x if isinstance(p, str)})
-        for x in lists:
-            ids: list[int] = []
-            for p in x:
-                if isinstance(p, str):
-                    ids += known[p]
-                else:
-                    ids.append(p)
-            yield ids
-
     def decode(self, ids: Iterable[int]) -> str:
         """Without a decoder in its file, a tokenizer's text is its tokens with a space between."""
         return " ".join(map(self.names.__getitem__, ids))
 
 
 @functools.lru_cache(maxsize=2)
-def trie_chunks(path: str) -> ChunkTable:
-    """chunk -> (ids as little-endian unsigned 32-bit integers, their decoded text)."""
+def trie_chunks(path: str, kept: int = KEPT) -> ChunkTable:
+    """chunk -> (ids as little-endian unsigned 32-bit integers, their decoded text). A chunk of one word shares the word's."""
     bpe = TrieBpe(path)
+    special = {i: (i.to_bytes(4, "little"), bpe.decode([i])) for i in bpe.splitter.special.values()}
+    known: dict[str | int, tuple[bytes, str]] = dict(special)
 
     def fill(new: list[str]) -> Iterable[tuple[bytes, str]]:
-        lists = list(bpe.encode_chunks(new))
-        return zip(packed(lists), map(bpe.decode, lists), strict=True)
+        if len(known) > kept:
+            known.clear()
+            known.update(special)
+        lists = bpe.splitter.many(new)
+        words = bpe.words({p for x in lists for p in x}.difference(known))
+        known.update(zip(words, zip(packed(list(words.values())), map(bpe.decode, words.values()), strict=True), strict=True))
+        for x in lists:
+            if len(x) == 1:
+                yield known[x[0]]
+            else:
+                got = [known[p] for p in x]
+                yield b"".join([g[0] for g in got]), " ".join([g[1] for g in got])
 
-    return ChunkTable(fill, KEPT)
+    return ChunkTable(fill, kept)
 
 
 on_leaving("trie", trie_chunks.cache_clear)
@@ -151,13 +163,13 @@ CODES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.
 DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
-def _encoded(docs: DataFrame, id_col: str, text_col: str, tokenizer: str | None, schema: pa.Schema, ddl: str, digest: bool) -> DataFrame:
+def _encoded(docs: DataFrame, id_col: str, text_col: str, tokenizer: str | None, schema: pa.Schema, ddl: str, digest: bool, kept: int = KEPT) -> DataFrame:
     prepare(docs.sparkSession)
     path = tokenizer or default_tokenizer()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
 
     def encode(batches):
-        table = trie_chunks(path)
+        table = trie_chunks(path, kept)
         for whole in batches:
             for b in pieces(whole):
                 lists = [chunks(t) for t in b.column("text").to_pylist()]
@@ -184,9 +196,9 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return _encoded(docs, id_col, text_col, tokenizer, CODES, "doc_id long, n_tokens long, ids binary, decoded string", False)
 
 
-def encoding_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
-    """As encode_documents, with SHA-256 digests in place of the ids and the decoded text."""
-    return _encoded(docs, id_col, text_col, tokenizer, DIGEST, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", True)
+def encoding_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, kept: int = KEPT) -> DataFrame:
+    """As encode_documents, with SHA-256 digests in place of the ids and the decoded text. kept: chunks that workers keep, which costs memory and saves time."""
+    return _encoded(docs, id_col, text_col, tokenizer, DIGEST, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", True, kept)
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

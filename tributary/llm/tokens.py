@@ -117,14 +117,12 @@ class Splitter:
             if any(s in text for s in self.special):
                 out += map(self.one, block)
                 continue
-            now: list[str | int] = []
-            for p in self.piece_or_end.findall(self.normal(text)):
-                if p == "\n":
-                    out.append(now)
-                    now = []
-                else:
-                    now.append(self.in_letters(p))
-            out.append(now)
+            text = self.normal(text)
+            found = self.piece_or_end.findall(text)
+            if not (text.isascii() and text.replace("\n", "").isprintable()):
+                found = [p if p == "\n" else self.in_letters(p) for p in found]
+            ends = [k for k, p in enumerate(found) if p == "\n"]
+            out += [found[a:b] for a, b in zip([0, *[k + 1 for k in ends]], [*ends, len(found)], strict=True)]
         return out
 
 
@@ -136,18 +134,10 @@ def packed(lists: list[list[int]]) -> list[bytes]:
 
 
 class ChunkTable:
-    """chunk -> value, for those that a batch needs.
-
-    Kept beyond the batch is what a second batch needs too: most chunks come once.
-    Which were met is told by marks at their hashes, so now and then a chunk is kept
-    at once, or filled again.
-    """
-
-    MARKS = 1 << 22
+    """chunk -> value, for those that a batch needs and most that earlier batches needed."""
 
     def __init__(self, fill: Callable[[list[str]], Iterable], kept: int = KEPT):
         self.fill, self.now, self.old, self.kept = fill, {}, {}, kept
-        self.met, self.marked = np.zeros(self.MARKS, bool), 0
 
     def of(self, lists: list[list[str]]) -> dict:
         """A table that has every chunk of the lists.
@@ -167,23 +157,17 @@ class ChunkTable:
         need: set[str] = set()
         for x in lists:
             need.update(x)
-        if len(self.now) > self.kept:
+        if len(self.now) + len(need) > 2 * self.kept:
             self.old, self.now = self.now, {}
-        now, old = self.now, self.old
-        if old:
-            now.update((c, old[c]) for c in (need - now.keys()) & old.keys())
-        out = {c: now[c] for c in need & now.keys()}
-        new = sorted(need - now.keys())
-        if new:
-            values = list(self.fill(new))
-            out.update(zip(new, values, strict=True))
-            at = np.fromiter(map(hash, new), np.int64, len(new)) & (self.MARKS - 1)
-            now.update((new[k], values[k]) for k in np.flatnonzero(self.met[at]).tolist())
-            self.met[at] = True
-            self.marked += len(new)
-            if self.marked > self.MARKS // 2:
-                self.met[:], self.marked = False, 0
-        return out
+        missing = need.difference(self.now)
+        if missing and self.old:
+            again = missing.intersection(self.old)
+            self.now.update((c, self.old[c]) for c in again)
+            missing -= again
+        if missing:
+            new = sorted(missing)
+            self.now.update(zip(new, self.fill(new), strict=True))
+        return self.now
 
 
 class LibraryIds:
@@ -211,7 +195,7 @@ class LibraryIds:
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.steps = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer, self.tokenizer.model
         self.known: dict[str, bytes] = {}
-        self.table = ChunkTable(self._fill)
+        self.table = ChunkTable(self._fill, 2 * KEPT)
 
     def _ids(self, text: str) -> bytes:
         return struct.pack(f"<{len(x)}I", *x) if (x := self.tokenizer.encode(text, add_special_tokens=False).ids) else b""
@@ -235,7 +219,7 @@ class LibraryIds:
         return [b"".join(found[i:j]) for i, j in zip([0, *cuts], cuts, strict=False)]
 
     def _fill(self, new: list[str]) -> list[bytes]:
-        if len(self.known) > KEPT:
+        if len(self.known) > 2 * KEPT:
             self.known.clear()
         return [x for i in range(0, len(new), self.BLOCK) for x in self._block(new[i : i + self.BLOCK])]
 
