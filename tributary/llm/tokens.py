@@ -15,6 +15,7 @@ import re
 import struct
 import unicodedata
 from collections.abc import Callable, Iterable
+from itertools import filterfalse
 
 import numpy as np
 import regex
@@ -154,12 +155,12 @@ class ChunkTable:
                 gc.enable()
 
     def _of(self, lists: list[list[str]]) -> dict:
-        need: set[str] = set()
+        missing: set[str] = set()
         for x in lists:
-            need.update(x)
-        if len(self.now) + len(need) > 2 * self.kept:
+            missing.update(filterfalse(self.now.__contains__, x))
+        if self.now and len(self.now) + len(missing) > 2 * self.kept:
             self.old, self.now = self.now, {}
-        missing = need.difference(self.now)
+            missing.update(*lists)
         if missing and self.old:
             again = missing.intersection(self.old)
             self.now.update((c, self.old[c]) for c in again)
@@ -195,7 +196,7 @@ class LibraryIds:
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.steps = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer, self.tokenizer.model
         self.known: dict[str, bytes] = {}
-        self.table = ChunkTable(self._fill, 2 * KEPT)
+        self.table = ChunkTable(self._fill)
 
     def _ids(self, text: str) -> bytes:
         return struct.pack(f"<{len(x)}I", *x) if (x := self.tokenizer.encode(text, add_special_tokens=False).ids) else b""
@@ -219,7 +220,7 @@ class LibraryIds:
         return [b"".join(found[i:j]) for i, j in zip([0, *cuts], cuts, strict=False)]
 
     def _fill(self, new: list[str]) -> list[bytes]:
-        if len(self.known) > 2 * KEPT:
+        if len(self.known) > KEPT:
             self.known.clear()
         return [x for i in range(0, len(new), self.BLOCK) for x in self._block(new[i : i + self.BLOCK])]
 
