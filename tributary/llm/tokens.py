@@ -172,18 +172,12 @@ class ChunkTable:
 
 
 class LibraryIds:
-    """Ids of texts as little-endian unsigned 32-bit integers, all of them made by the tokenizers library.
+    """Ids of texts as little-endian unsigned 32-bit integers, all of them made by the tokenizers library's encode.
 
-    Where the tokenizer's file shows that no piece reaches over white space, distinct
-    chunks go through the library's normalizer and pre-tokenizer, many at a time,
-    and distinct pieces through its model: the steps of its encode, none of them
-    done twice. Chunks with a special token in them, and with any other file each
-    whole text, go through encode itself.
+    Where the tokenizer's file shows that no piece reaches over white space, each
+    distinct chunk is encoded once; with any other file, each whole text.
     """
 
-    #: Chunks that are normalized and split at a time.
-    BLOCK = 4096
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -191,39 +185,12 @@ class LibraryIds:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        self.by_chunk = pieces_in_chunks(spec)
-        self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.steps = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer, self.tokenizer.model
-        self.known: dict[str, bytes] = {}
-        self.table = ChunkTable(self._fill)
+            self.by_chunk = pieces_in_chunks(json.load(f))
+        self.table = ChunkTable(lambda new: map(self._ids, new))
 
     def _ids(self, text: str) -> bytes:
         return struct.pack(f"<{len(x)}I", *x) if (x := self.tokenizer.encode(text, add_special_tokens=False).ids) else b""
 
-    def _block(self, block: list[str]) -> list[bytes]:
-        """Ids of chunks; a single space stands between them, and normalization makes no other."""
-        normalizer, splitter, model = self.steps
-        text = normalizer.normalize_str(" ".join(block))
-        parts = text.split(" ")
-        if len(parts) != len(block) or any(s in text for s in self.special):
-            return [self._ids(c) for c in block]
-        pieces = splitter.pre_tokenize_str(text)
-        known = self.known
-        fresh = {p for p, _ in pieces}.difference(known)
-        for p in fresh:
-            ids = [t.id for t in model.tokenize(p)]
-            known[p] = struct.pack(f"<{len(ids)}I", *ids)
-        ends = np.cumsum([len(p) + 1 for p in parts])
-        cuts = np.searchsorted(np.array([at[0] for _, at in pieces], np.int64), ends).tolist()
-        found = [known[p] for p, _ in pieces]
-        return [b"".join(found[i:j]) for i, j in zip([0, *cuts], cuts, strict=False)]
-
-    def _fill(self, new: list[str]) -> list[bytes]:
-        if len(self.known) > KEPT:
-            self.known.clear()
-        return [x for i in range(0, len(new), self.BLOCK) for x in self._block(new[i : i + self.BLOCK])]
-
     def of(self, texts: list[str]) -> list[bytes]:
         if not self.by_chunk:
             return [self._ids(t) for t in texts]
