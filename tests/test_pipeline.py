@@ -234,3 +234,36 @@ def test_joins_match_brute_force_without_broadcasts(spark, text):
                 combine.combine({"a": left, "b": right}, text, "emit id = a.id", match=match, on_miss="error").collect()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_faults_of_programs(spark, monkeypatch):
+    df = spark.createDataFrame([("1", 2, ["1", "2"]), ("x", 3, ["4"]), ("5", 0, ["q", "7"]), (None, 1, None), ("8", 0, [])], "a string, b long, l array<string>")
+
+    def split(program):
+        good, dead = rows.transform_split(df, program)
+        return [tuple(r)[3:] for r in good.collect()], sorted((r.a, r._error, r._error_field) for r in dead.collect())
+
+    assert split("emit n = a.to_int()\nfilter b > 0\nemit q = 6 / b") == ([(1, 3), (None, 6)], [("x", "type_coercion_failure", "n")])
+    # What a branch that isn't taken could do is no fault.
+    assert split("emit n = if b == 3 then 0 else a.to_int()") == ([(1,), (0,), (5,), (None,), (8,)], [])
+    assert split('emit n = match a { "x" => 0, _ => a.to_int() }')[1] == [] and split('emit n = a == null or a != "x" and a.to_int() > 0')[1] == []
+    assert split("emit n = b ?? a.to_int()")[1] == []
+    assert split("emit m = l.map(x => x.to_int()).join('+')") == ([("1+2",), ("4",), (None,), ("",)], [("5", "type_coercion_failure", "m")])
+    assert split("emit each x in l { emit v = x.to_int() }") == ([(1,), (2,), (4,)], [("5", "type_coercion_failure", "x")])
+    assert split("emit each x in l outer { emit v = x.to_int() }")[0] == [(1,), (2,), (4,), (None,), (None,)]
+    good, dead = split("emit q = 6 / b\ndistinct by b")
+    assert sorted(good) == [(2,), (3,), (6,)] and [d[0] for d in dead] == ["5", "8"]
+    monkeypatch.setattr(rows, "MAX_EXPANSION", 1)
+    assert split("emit each x in l { emit v = x }") == ([("4",)], [("1", "expansion_limit_exceeded", "x"), ("5", "expansion_limit_exceeded", "x")])
+    with pytest.raises(TypeError, match="needs an array"):
+        rows.transform_split(df, "emit each x in b { emit v = x }")
+
+
+def test_modules_are_checked(spark):
+    def made(modules):
+        return Pipeline(spark, {"modules": modules, "nodes": []})
+
+    with pytest.raises(PlanFault, match="recursion"):
+        made({"m": {"functions": {"f": {"params": ["x"], "body": "g(x)"}, "g": {"params": ["x"], "body": "f(x)"}}}})
+    with pytest.raises(PlanFault, match="by itself"):
+        made({"m": {"use": {"n": "n"}, "lets": {"a": "n.b"}}, "n": {"use": {"m": "m"}, "lets": {"b": "m.a"}}})

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tributary.functions.compiler import BOOL, DATE, DECIMAL, FLOAT, INT, STRING, TIME, Scope, TypeFault, Value, compile_tree, literal, unify
+from tributary.functions.compiler import BOOL, DATE, DECIMAL, FLOAT, INT, STRING, TIME, Scope, TypeFault, Value, compile_tree, each_element, fault, guarded, literal, unify
 
 _STRFTIME = {"Y": "yyyy", "m": "MM", "d": "dd", "H": "HH", "M": "mm", "S": "ss", "y": "yy", "b": "MMM", "B": "MMMM", "a": "EEE", "A": "EEEE", "j": "DDD", "p": "a", "I": "hh", "f": "SSSSSS"}
 
@@ -173,7 +173,7 @@ def _dates(v: Value, name: str, args: list, a: list[Value]) -> Value | None:
     return None
 
 
-def _convert(v: Value, name: str, args: list) -> Value | None:
+def _convert(v: Value, name: str, args: list, s: Scope) -> Value | None:
     if not re.fullmatch("(to|try)_(int|float|decimal|string|bool|date|datetime)", name):
         return None
     strict, to = name.startswith("to_"), name.split("_")[1]
@@ -220,8 +220,7 @@ def _convert(v: Value, name: str, args: list) -> Value | None:
                 out = F.try_to_timestamp(c, F.lit(fmt)).cast(TIME) if fmt else F.when(c.rlike(r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(\.\d+)?$"), c.try_cast(TIME))
     out = out.cast(of)
     if strict:
-        fault = F.raise_error(F.concat(F.lit(f"{name}: "), F.coalesce(display(v), F.lit("null")))).cast(of)
-        out = F.when(c.isNull() | out.isNotNull(), out).otherwise(fault)
+        return fault(s, c.isNotNull() & out.isNull(), "type_coercion_failure", F.concat(F.lit(f"{name}: "), F.coalesce(display(v), F.lit("null"))), Value(out, of))
     return Value(out, of)
 
 
@@ -236,9 +235,11 @@ def _arrays(v: Value, name: str, args: list, a: list[Value], s: Scope) -> Value
         return Value(F.when((i >= 0) & (i < F.size(c)), F.concat(F.slice(c, F.lit(1), i), F.slice(c, i + 2, F.size(c)))).otherwise(c), v.type)
     if name in ("filter", "map", "find", "any", "flat_map") and args and args[0][0] == "closure":
         types: list[T.DataType] = []
+        held = lambda scope, x: compile_tree(args[0][2], scope.inner(**{args[0][1]: Value(x, of)}))
+        quiet = each_element(s, c, held)
 
         def body(x: Column) -> Column:
-            got = compile_tree(args[0][2], s.inner(**{args[0][1]: Value(x, of)}))
+            got = held(quiet, x)
             types.append(got.type)
             return got.col
 
@@ -257,6 +258,15 @@ def _arrays(v: Value, name: str, args: list, a: list[Value], s: Scope) -> Value
     return None
 
 
+def as_map(v: Value) -> Value:
+    """A map of known fields as one with any keys: its values take one type."""
+    of: T.DataType = T.NullType()
+    for f in v.type:
+        of = unify(of, f.dataType)
+    pairs = [x for f in v.type for x in (F.lit(f.name), v.col.getField(f.name).cast(of))]
+    return Value(F.when(v.col.isNotNull(), F.create_map(*pairs)), T.MapType(STRING, of))
+
+
 def _maps(v: Value, name: str, args: list, a: list[Value]) -> Value | None:
     if not isinstance(v.type, T.StructType):
         c = v.col
@@ -264,8 +274,17 @@ def _maps(v: Value, name: str, args: list, a: list[Value]) -> Value | None:
             return Value(F.map_keys(c), T.ArrayType(v.type.keyType))
         if name == "values":
             return Value(F.map_values(c), T.ArrayType(v.type.valueType))
-        if name == "remove_field":
-            return Value(F.map_filter(c, lambda k, _: k != a[0].col), v.type)
+        if name in ("remove_field", "unset"):
+            return Value(F.map_filter(c, lambda k, _: F.coalesce(k != a[0].col, F.lit(True))), v.type)
+        if name == "set":
+            of = unify(v.type.valueType, a[1].type)
+            rest = F.map_filter(c, lambda k, _: k != a[0].col).cast(T.MapType(v.type.keyType, of))
+            return Value(F.when(a[0].col.isNotNull(), F.map_concat(rest, F.create_map(a[0].col, a[1].col.cast(of)))), T.MapType(v.type.keyType, of))
+        if name == "merge" and isinstance(a[0].type, (T.MapType, T.StructType)):
+            over = a[0] if isinstance(a[0].type, T.MapType) else as_map(a[0])
+            kind = T.MapType(v.type.keyType, unify(v.type.valueType, over.type.valueType))
+            rest = F.map_filter(c, lambda k, _: ~F.array_contains(F.map_keys(over.col), k)).cast(kind)
+            return Value(F.map_concat(rest, over.col.cast(kind)), kind)
         return None
     held: dict[str, Value] = {f.name: Value(v.col.getField(f.name), f.dataType) for f in v.type}
 
@@ -282,6 +301,8 @@ def _maps(v: Value, name: str, args: list, a: list[Value]) -> Value | None:
         return Value(F.when(v.col.isNotNull(), F.array(*[x.col.cast(of) for x in held.values()])), T.ArrayType(of))
     if name == "merge" and isinstance(a[0].type, T.StructType):
         return made(held | {f.name: Value(a[0].col.getField(f.name), f.dataType) for f in a[0].type})
+    if name in ("remove_field", "unset", "set") and args[0][0] != "literal":
+        return _maps(as_map(v), name, args, a)
     if name in ("remove_field", "unset", "set"):
         head, _, rest = _constant(args[0]).partition(".")
         if not rest:
@@ -311,7 +332,7 @@ def call(v: Value, name: str, args: list, s: Scope) -> Value:
         return Value(v.col.isNull(), BOOL)
     if name == "type_of":
         return Value(F.when(v.col.isNull(), F.lit("null")).otherwise(F.lit(v.kind)), STRING)
-    a = [compile_tree(x, s) for x in args if x[0] != "closure"]
+    a = [guarded(x, s, v.col.isNull()) if name == "catch" else compile_tree(x, s) for x in args if x[0] != "closure"]
     if name == "is_empty":
         if v.kind in ("string", "array"):
             return Value(v.col.isNull() | ((F.char_length(v.col) if v.kind == "string" else F.size(v.col)) == 0), BOOL)
@@ -323,7 +344,7 @@ def call(v: Value, name: str, args: list, s: Scope) -> Value:
         return v
     if name == "format":
         return Value(display(v), STRING)
-    out = _convert(v, name, args)
+    out = _convert(v, name, args, s)
     if out is None and v.kind == "string":
         out = _string(v, name, args, a, s)
     elif out is None and v.number:

@@ -9,7 +9,9 @@ built-in expressions only; nothing runs in Python.
 from __future__ import annotations
 
 import datetime
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
@@ -72,7 +74,11 @@ def unify(a: T.DataType, b: T.DataType) -> T.DataType:
 
 @dataclass
 class Scope:
-    """What names mean: fields of the input, lets, variables, and analytic or aggregate context."""
+    """What names mean: fields of the input, lets, variables, and analytic or aggregate context.
+
+    faults, where a list, collects what can fail in a row as (condition, category,
+    detail), and the value is null there; where None, such a row stops the query.
+    """
 
     fields: dict[str, Value]
     lets: dict[str, Value] = field(default_factory=dict)
@@ -83,13 +89,57 @@ class Scope:
     sort_by: list[Column] | None = None
     aggregate: bool = False
     order: Column | None = None
+    faults: list[tuple[Column, str, Column]] | None = None
 
     def inner(self, **lets: Value) -> Scope:
-        return Scope(self.fields, self.lets | lets, self.inputs, self.variables, self.functions, self.group_by, self.sort_by, self.aggregate, self.order)
+        return replace(self, lets=self.lets | lets)
+
+
+#: Columns that hold a document's envelope section, or state of the record, and how programs name them.
+_HIDDEN = {"_doc_": "$doc.", "_record_": "$record."}
 
 
 def scope_of(schema: T.StructType, **more) -> Scope:
-    return Scope({f.name: Value(F.col(f"`{f.name}`"), f.dataType, f.name) for f in schema}, **more)
+    fields = {f.name: Value(F.col(f"`{f.name}`"), f.dataType, f.name) for f in schema}
+    hidden = {name + f.removeprefix(mark): v for f, v in fields.items() for mark, name in _HIDDEN.items() if f.startswith(mark)}
+    more["variables"] = more.get("variables", {}) | hidden
+    return Scope(fields, **more)
+
+
+def fault(s: Scope, bad: Column, category: str, detail: Column, value: Value) -> Value:
+    """value, which is null where bad: a fault of the row, or the end of the query."""
+    if s.faults is not None:
+        s.faults.append((F.coalesce(bad, F.lit(False)), category, detail))
+        return value
+    return Value(F.when(F.coalesce(bad, F.lit(False)), F.raise_error(detail).cast(value.type)).otherwise(value.col), value.type)
+
+
+def guarded(tree: tuple, s: Scope, when: Column) -> Value:
+    """The tree's value, which can fail only where when is true."""
+    if s.faults is None:
+        return compile_tree(tree, s)
+    held: list[tuple[Column, str, Column]] = []
+    v = compile_tree(tree, replace(s, faults=held))
+    s.faults.extend((F.coalesce(when, F.lit(False)) & bad, category, detail) for bad, category, detail in held)
+    return v
+
+
+def each_element(s: Scope, array: Column, body: Callable[[Scope, Column], object]) -> Scope:
+    """The scope for body over the array's elements. A fault of any element is one of the row."""
+    if s.faults is None:
+        return s
+    found = []
+
+    def fails(x: Column) -> Column:
+        held: list[tuple[Column, str, Column]] = []
+        body(replace(s, faults=held), x)
+        found.extend(held)
+        return reduce(lambda a, b: a | b, [bad for bad, _, _ in held], F.lit(False))
+
+    hit = F.exists(array, fails)
+    if found:
+        s.faults.append((F.coalesce(hit, F.lit(False)), found[0][1], F.lit("an element of an array is at fault")))
+    return replace(s, faults=[])
 
 
 def compile_text(text: str, scope: Scope) -> Value:
@@ -169,12 +219,14 @@ def _comprehension(t, s):
     if not isinstance(v.type, T.ArrayType):
         raise TypeFault("a comprehension needs an array")
     of, col, out = v.type.elementType, v.col, []
-    inner = lambda x: s.inner(**{var: Value(x, of)})
+    inner = lambda scope, x: scope.inner(**{var: Value(x, of)})
     if cond is not None:
-        col = F.filter(col, lambda x: compile_tree(cond, inner(x)).col)
+        quiet = each_element(s, col, lambda scope, x: compile_tree(cond, inner(scope, x)))
+        col = F.filter(col, lambda x: compile_tree(cond, inner(quiet, x)).col)
+    quiet = each_element(s, col, lambda scope, x: compile_tree(body, inner(scope, x)))
 
     def made(x):
-        got = compile_tree(body, inner(x))
+        got = compile_tree(body, inner(quiet, x))
         out.append(got.type)
         return got.col
 
@@ -190,25 +242,31 @@ def _map(t, s):
 
 
 def _if(t, s):
-    cond, yes, no = (compile_tree(x, s) for x in t[1:])
+    cond = compile_tree(t[1], s)
+    holds = F.coalesce(cond.col.cast("boolean"), F.lit(False))
+    yes, no = guarded(t[2], s, holds), guarded(t[3], s, ~holds)
     of = unify(yes.type, no.type)
     return Value(F.when(cond.col.cast("boolean"), yes.col.cast(of)).otherwise(no.col.cast(of)), of)
 
 
 def _match(t, s):
     subject = compile_tree(t[1], s) if t[1] is not None else None
-    arms = [(p, compile_tree(v, s)) for p, v in t[2]]
-    of = NULL
-    for _, v in arms:
-        of = unify(of, v.type)
-    out, rest = None, F.lit(None).cast(of)
-    for p, v in arms:
+    arms, taken = [], F.lit(False)
+    for p, v in t[2]:
         if p is None:
-            rest = v.col.cast(of)
+            arms.append((None, guarded(v, s, ~taken)))
             break
-        cond = compile_tree(p, s)
-        test = equal(subject, cond).col if subject is not None else cond.col.cast("boolean")
-        out = F.when(test, v.col.cast(of)) if out is None else out.when(test, v.col.cast(of))
+        cond = guarded(p, s, ~taken)
+        test = F.coalesce(equal(subject, cond).col if subject is not None else cond.col.cast("boolean"), F.lit(False))
+        arms.append((test, guarded(v, s, ~taken & test)))
+        taken = taken | test
+    of = reduce(unify, [v.type for _, v in arms], NULL)
+    out, rest = None, F.lit(None).cast(of)
+    for test, v in arms:
+        if test is None:
+            rest = v.col.cast(of)
+        else:
+            out = F.when(test, v.col.cast(of)) if out is None else out.when(test, v.col.cast(of))
     return Value(out.otherwise(rest) if out is not None else rest, of)
 
 
@@ -236,7 +294,12 @@ def equal(a: Value, b: Value) -> Value:
 
 def _binary(t, s):
     _, op, left, right = t
-    a, b = compile_tree(left, s), compile_tree(right, s)
+    a = compile_tree(left, s)
+    if op in ("??", "and", "or"):
+        truth = a.col.cast("boolean") if op != "??" else a.col
+        b = guarded(right, s, truth.isNull() if op == "??" else ~F.coalesce(~truth if op == "and" else truth, F.lit(False)))
+    else:
+        b = compile_tree(right, s)
     if op == "??":
         of = unify(a.type, b.type)
         return Value(F.coalesce(a.col.cast(of), b.col.cast(of)), of)
@@ -264,11 +327,26 @@ def _binary(t, s):
         raise TypeFault("decimal and float don't mix")
     of = unify(a.type, b.type)
     x, y = a.col.cast(of), b.col.cast(of)
+    if op == "%" and of == FLOAT:
+        return Value(F.when(y == 0, F.lit(float("nan"))).otherwise(F.try_mod(x, y)), of)
+    if s.faults is not None:
+        return _tried(op, x, y, of, s)
     if op == "/":
         return Value(F.call_function("div", x, y), INT) if of == INT else Value(x / y, of)
-    if op == "%":
-        return Value(F.when(y == 0, F.lit(float("nan"))).otherwise(F.try_mod(x, y)) if of == FLOAT else x % y, of)
-    return Value({"+": x + y, "-": x - y, "*": x * y}[op], of)
+    return Value({"+": x + y, "-": x - y, "*": x * y, "%": x % y}[op], of)
+
+
+def _tried(op: str, x: Column, y: Column, of: T.DataType, s: Scope) -> Value:
+    """Arithmetic whose division by zero or overflow is a fault of the row."""
+    both = x.isNotNull() & y.isNotNull()
+    if op in ("/", "%"):
+        by = F.when(y != 0, y)
+        out = (F.call_function("div", x, by) if of == INT else x / by) if op == "/" else x % by
+        return fault(s, both & (y == 0), "type_coercion_failure", F.lit("division by zero"), Value(out.cast(of), of))
+    if of == FLOAT:
+        return Value({"+": x + y, "-": x - y, "*": x * y}[op], of)
+    out = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}[op](x, y).cast(of)
+    return fault(s, both & out.isNull(), "type_coercion_failure", F.lit("overflow"), Value(out, of))
 
 
 #: Aggregates; each takes its arguments and the scope.
@@ -373,6 +451,8 @@ def _method(t, s):
     _, base, name, args = t
     if base == ("name", "$window"):
         return _window(name, args, s)
+    if base[0] == "name" and f"{base[1]}.{name}" in s.functions:
+        return _call(("call", f"{base[1]}.{name}", args), s)
     v = compile_tree(base, s)
     return builtins.call(v, name, args, s)
 

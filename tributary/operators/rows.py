@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tributary.functions.compiler import Scope, Value, compile_text, compile_tree, scope_of
+from tributary.functions.compiler import Scope, TypeFault, Value, compile_text, compile_tree, each_element, scope_of
 from tributary.functions.syntax import parse_program
 
 #: Rows that one row may become in an emit-each block.
@@ -43,18 +45,20 @@ def sort(df: DataFrame, spec: list, stable_by: str | None = None) -> DataFrame:
     return sort_input(df, spec).orderBy(*keys)
 
 
-def transform(df: DataFrame, program: str, *, variables: dict[str, Value] | None = None, functions: dict | None = None, analytic: dict | None = None, order: str | None = None) -> DataFrame:
+def transform(df: DataFrame, program: str, *, variables: dict[str, Value] | None = None, functions: dict | None = None, analytic: dict | None = None, order: str | None = None, faults: bool = False) -> DataFrame:
     """Runs a program on each row: fields stay, emits add or replace, filters keep what is exactly true.
 
     analytic: {group_by, sort_by} for $window calls; rows with a null in group_by
     are in no partition and go (see analytic_split for keeping them aside).
     distinct keeps the first row by the column named order, or any where none is.
+    emit $record.x keeps state with a row, which later programs read by that name
+    and sinks leave out. faults is for transform_split.
     """
     more: dict = {"variables": variables or {}, "functions": functions or {}}
     if analytic is not None:
         df = sort_input(analytic_split(df, analytic)[0], analytic.get("sort_by", []))
         more |= {"group_by": analytic["group_by"], "sort_by": sort_columns(analytic.get("sort_by", [])) + ([F.col(order)] if order and analytic.get("sort_by") else [])}
-    return _run(df, parse_program(program), more, order)
+    return _run(df, parse_program(program), more, order, faults)
 
 
 def analytic_split(df: DataFrame, analytic: dict) -> tuple[DataFrame, DataFrame]:
@@ -63,53 +67,115 @@ def analytic_split(df: DataFrame, analytic: dict) -> tuple[DataFrame, DataFrame]
     return df.where(whole), df.where(~whole)
 
 
-def _run(df: DataFrame, program: list, more: dict, order: str | None) -> DataFrame:
-    first = list(df.columns)
-    lets: dict[str, Value] = {}
-    pending: dict[str, Column] = {}
+#: What a program's faulty row carries until it is set aside.
+_FAULT = "struct<category: string, detail: string, field: string>"
+
+
+def transform_split(df: DataFrame, program: str, **options) -> tuple[DataFrame, DataFrame]:
+    """(good, dead): transform, but a row at which the program fails goes to dead as it came, with _error, _detail and _error_field.
+
+    Failures are strict conversions of values that don't fit, division by zero,
+    overflow of whole numbers and decimals, and emit-each blocks that make over
+    MAX_EXPANSION rows. Nothing that a failing row had emitted is in good, and a
+    row that a filter or distinct took out before it came to the failing
+    statement is in neither. Where distinct has an order, the first row counts
+    that has not failed.
+    """
+    marked = df.withColumn("_in", F.struct(*[F.col(f"`{c}`") for c in df.columns])).withColumn("_fault", F.lit(None).cast(_FAULT))
+    marked = transform(marked, program, faults=True, **options)
+    good = marked.where("_fault is null").drop("_in", "_fault")
+    dead = marked.where("_fault is not null").select("_in.*", F.col("_fault.category").alias("_error"), F.col("_fault.detail").alias("_detail"), F.col("_fault.field").alias("_error_field"))
+    return good, dead
 
-    def flush() -> None:
-        nonlocal df
-        if pending:
-            df = df.withColumns(dict(pending))
-            pending.clear()
 
+def _noted(faults: list, name: str) -> Column:
+    """The row's fault: an earlier statement's, or the first of these."""
+    made = [F.when(bad, F.struct(F.lit(category).alias("category"), detail.alias("detail"), F.lit(name).alias("field"))) for bad, category, detail in faults]
+    return F.coalesce(F.col("_fault"), *made)
+
+
+def _body_faults(body: list, scope: Scope) -> None:
+    """Adds to scope.faults what can fail in an emit-each block, for one element."""
+    for st in body:
+        if st[0] in ("let", "emit"):
+            v = compile_tree(st[2], scope)
+            held = scope.lets if st[0] == "let" else scope.fields
+            held = held | {st[1]: Value(v.col, v.type)}
+            scope = replace(scope, lets=held) if st[0] == "let" else replace(scope, fields=held)
+        elif st[0] == "each":
+            _each_faults(st, compile_tree(st[2], scope), scope)
+
+
+def _each_faults(st: tuple, v: Value, scope: Scope) -> None:
+    _, var, _, outer, body = st
+    if isinstance(v.type, T.NullType) or scope.faults is None:
+        return
+    if not isinstance(v.type, T.ArrayType):
+        raise TypeFault(f"emit each needs an array, not {v.kind}")
+    over = F.coalesce(F.size(v.col), F.lit(0)) > MAX_EXPANSION
+    scope.faults.append((F.coalesce(over, F.lit(False)), "expansion_limit_exceeded", F.lit("an emit-each block makes too many rows")))
+    items = F.when(F.size(v.col) > 0, v.col).otherwise(F.array(F.lit(None).cast(v.type.elementType))) if outer else v.col
+    each_element(scope, items, lambda inner, x: _body_faults(body, inner.inner(**{var: Value(x, v.type.elementType)})))
+
+
+def _run(df: DataFrame, program: list, more: dict, order: str | None, split: bool = False) -> DataFrame:
+    """The program's statements in turn. With split, a row's first fault stays in its column _fault, and the row in the frame."""
+    first = list(df.columns)
+    lets: dict[str, Value] = {}
+    whole = F.col("_fault").isNull() if split else F.lit(True)
     for st in program:
-        scope = scope_of(df.schema, lets=dict(lets), **more) if not pending else None
         if st[0] == "trace":
             continue
-        if scope is None:
-            flush()
-            scope = scope_of(df.schema, lets=dict(lets), **more)
-        if st[0] == "let":
+        faults: list | None = [] if split or more.get("faults") is not None else None
+        scope = scope_of(df.schema, lets=dict(lets), **{**more, "faults": faults})
+        if st[0] in ("let", "emit"):
             v = compile_tree(st[2], scope)
             # A let binds the value of its time: later emits must not change it.
-            name = f"_let_{len(lets)}_{st[1]}"
-            df = df.withColumn(name, v.col)
-            lets[st[1]] = Value(F.col(name), v.type, v.field)
-        elif st[0] == "emit":
-            pending[st[1]] = compile_tree(st[2], scope).col
+            name = f"_let_{len(lets)}_{st[1]}" if st[0] == "let" else _column(st[1])
+            df = df.withColumns({name: v.col} | ({"_fault": _noted(faults, st[1])} if split and faults else {}))
+            if st[0] == "let":
+                lets[st[1]] = Value(F.col(name), v.type, v.field)
         elif st[0] == "filter":
-            df = df.where(compile_tree(st[1], scope).col)
+            kept = compile_tree(st[1], scope).col.cast("boolean")
+            if split and faults:
+                df = df.withColumns({"_kept": kept, "_fault": _noted(faults, "filter")}).where(F.col("_kept") | ~whole).drop("_kept")
+            else:
+                df = df.where(kept | ~whole if split else kept)
         elif st[0] == "distinct":
-            keys = st[1] or [c for c in first if c != order]
+            keys = st[1] or [c for c in first if c not in (order, "_in", "_fault")]
+            if split:
+                # Rows that have failed stay, each on its own.
+                df, keys = df.withColumn("_alone", F.when(~whole, F.monotonically_increasing_id())), [*keys, "_alone"]
             if order:
                 w = Window.partitionBy(*[F.col(f"`{k}`") for k in keys]).orderBy(order)
                 df = df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
             else:
                 df = df.dropDuplicates(keys)
+            df = df.drop("_alone")
         elif st[0] == "each":
-            _, var, source, outer, body = st
-            v = compile_tree(source, scope)
-            fits = F.coalesce(F.size(v.col), F.lit(0)) <= MAX_EXPANSION
-            array = F.when(fits, v.col).otherwise(F.raise_error(F.lit("an emit-each block makes too many rows")).cast(v.type))
+            _, var, _, outer, body = st
+            v = compile_tree(st[2], scope)
             name = f"_each_{var}"
-            df = df.withColumn(name, (F.explode_outer if outer else F.explode)(array))
-            df = _run(df, _bound(body, var, name), more, order)
-    flush()
+            if split:
+                _each_faults(st, v, scope)
+                df = df.withColumns({"_items": v.col, "_fault": _noted(faults, var)})
+                array = F.when(whole, F.col("_items")).otherwise(F.array(F.lit(None).cast(v.type.elementType)))
+            elif faults is not None:
+                array = v.col
+            else:
+                fits = F.coalesce(F.size(v.col), F.lit(0)) <= MAX_EXPANSION
+                array = F.when(fits, v.col).otherwise(F.raise_error(F.lit("an emit-each block makes too many rows")).cast(v.type))
+            df = df.withColumn(name, (F.explode_outer if outer else F.explode)(array)).drop("_items")
+            # The block's faults are already those of the row it stands in.
+            df = _run(df, _bound(body, var, name), more | ({"faults": []} if split else {}), order)
     return df.drop(*[v for v in df.columns if v.startswith(("_let_", "_each_"))]) if not any(c.startswith("_each_") for c in first) else df
 
 
+def _column(name: str) -> str:
+    """Where an emit's value stands: state of the record is a column that sinks don't write."""
+    return "_record_" + name.removeprefix("$record.") if name.startswith("$record.") else name
+
+
 def _bound(tree, var: str, name: str):
     """The tree with a variable renamed."""
     if tree == ("name", var):

@@ -670,3 +670,56 @@ def pipeline_composition(t):
         {"name": "t", "kind": "transform", "input": "k", "program": "emit total = total * 2.0"},
     ]}
     return Pipeline(t._spark, spec, {n: getattr(t, n) for n in ("orders", "customer", "nation")}).build()["t"]
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 2 = 1 THEN 'n' WHEN p_size = 10 THEN 'q' END AS field, CASE WHEN p_size % 2 = 0 AND p_size <> 10 THEN 1000 // abs(p_size - 10) END AS q,
+          CASE WHEN p_size % 2 = 1 THEN 'to_int: ' || p_name WHEN p_size = 10 THEN 'division by zero' END AS detail FROM part""")
+def transform_dead_letters(t):
+    """Rows at which a program fails, on a port of their own, with the statement that failed; the plan is data."""
+    spec = {"on_error": "continue", "nodes": [
+        {"name": "in", "kind": "source", "table": "part"},
+        {"name": "t", "kind": "transform", "input": "in", "program": '''
+            let text = if p_size % 2 == 0 then p_size.to_string() else p_name
+            emit n = text.to_int()
+            emit q = if n == 10 then 1000 / (n - 10) else 1000 / (n - 10).abs()'''},
+    ]}
+    ports = Pipeline(t._spark, spec, {"part": t.part}).build()
+    none = F.lit(None).cast("string")
+    good = ports["t"].select("p_partkey", none.alias("field"), "q", none.alias("detail"))
+    return good.unionByName(ports["t.failed"].select("p_partkey", F.col("_error_field").alias("field"), F.lit(None).cast("long").alias("q"), F.col("_detail").alias("detail")))
+
+
+@query("""SELECT c_custkey FROM customer WHERE substr(c_name, 1, 1) = 'C' AND c_custkey % 5 = 0""")
+def expansion_dead_letters(t):
+    """One bad element of an expansion takes its whole row along."""
+    rows = t.customer.select("c_custkey", F.when(F.col("c_custkey") % 5 == 0, F.array(F.lit("1"), F.lit("x"))).otherwise(F.array(F.lit("1"), F.lit("2"))).alias("l"))
+    return R.transform_split(rows, "emit each x in l { emit v = x.to_int() }")[1].select("c_custkey")
+
+
+@query("""SELECT p_partkey, 'a=' || p_size || ',b=9,c=3' AS merged, p_size + 5 AS kept, 'b' AS rest, CASE WHEN p_size % 2 = 0 THEN 'b' ELSE 'a' END AS dynamic FROM part""")
+def functions_map_columns(t):
+    """Maps whose keys only the rows know: merge, set and unset, with keys that are expressions."""
+    rows = t.part.withColumn("m", F.create_map(F.lit("a"), F.col("p_size").cast("long"), F.lit("b"), F.lit(2).cast("long")))
+    return R.transform(rows, """
+        let w = m.merge({"b": 9, "c": 3})
+        emit merged = ["a", "b", "c"].map(k => k + "=" + w[k].to_string()).join(",")
+        emit kept = m.set("z", p_size + 5)["z"]
+        emit rest = m.unset("a").keys().join(",")
+        emit dynamic = m.unset(if p_size % 2 == 0 then "a" else "b").keys().join(",")""").select("p_partkey", "merged", "kept", "rest", "dynamic")
+
+
+@query("SELECT o_orderkey, o_totalprice * 1.21 * 2.0 AS gross, 1.21 AS rate, o_custkey + 2 AS twice FROM orders")
+def modules_that_use_others(t):
+    """Constants and functions of modules, one of which uses the other, and state that a row keeps between programs."""
+    spec = {
+        "modules": {
+            "tax": {"lets": {"rate": "0.21", "factor": "1.0 + rate"}},
+            "price": {"use": {"t": "tax"}, "functions": {"gross": {"params": ["x"], "body": "x * t.factor * two()"}, "two": {"params": [], "body": "2.0"}}},
+        },
+        "nodes": [
+            {"name": "in", "kind": "source", "table": "orders"},
+            {"name": "a", "kind": "transform", "input": "in", "program": "emit gross = price.gross(o_totalprice)\nemit rate = tax.factor\nemit $record.next = o_custkey + 1"},
+            {"name": "b", "kind": "transform", "input": "a", "program": "emit twice = $record.next + 1"},
+        ],
+    }
+    return R.project(Pipeline(t._spark, spec, {"orders": t.orders}).build()["b"]).select("o_orderkey", "gross", "rate", "twice")

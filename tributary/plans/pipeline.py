@@ -12,7 +12,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.functions.compiler import literal
+from tributary.functions.compiler import Scope, compile_tree, literal
 from tributary.functions.syntax import parse_expression
 from tributary.operators import aggregate as A
 from tributary.operators import combine as C
@@ -93,9 +93,57 @@ class Pipeline:
         self.variables = {f"$vars.{k}": literal(v) for k, v in spec.get("vars", {}).items()}
         self.variables |= {"$pipeline.name": literal(spec.get("name", ""))}
         self.functions = {n: (f["params"], parse_expression(f["body"])) for n, f in spec.get("functions", {}).items()}
+        self._modules(spec.get("modules", {}))
         self.ports: dict[str, DataFrame] = {}
         self.written: list[str] = []
 
+    def _modules(self, modules: dict) -> None:
+        """{name: {lets, functions, use: {alias: module}}}: constants and functions, written name.x in programs, put in place as trees."""
+
+        def full(name: str, tree, params: tuple, path: tuple):
+            """The tree with the module's own names and aliases made full ones, and constants in place."""
+            own, alias = modules[name], modules[name].get("use", {})
+            go = lambda x, p=params: full(name, x, p, path)
+            if isinstance(tree, list):
+                return [go(x) for x in tree]
+            if not isinstance(tree, tuple) or not tree:
+                return tree
+            if tree[0] == "name" and tree[1] not in params and tree[1] in own.get("lets", {}):
+                return constant(name, tree[1], path)
+            if tree[0] == "field" and tree[1][0] == "name" and tree[1][1] in alias:
+                return constant(alias[tree[1][1]], tree[2], path)
+            if tree[0] == "call" and tree[1] in own.get("functions", {}):
+                return ("call", f"{name}.{tree[1]}", go(tree[2]))
+            if tree[0] == "method" and tree[1][0] == "name" and tree[1][1] in alias:
+                return ("call", f"{alias[tree[1][1]]}.{tree[2]}", go(tree[3]))
+            if tree[0] == "closure":
+                return ("closure", tree[1], go(tree[2], (*params, tree[1])))
+            return tuple(go(x) for x in tree)
+
+        def constant(name: str, let: str, path: tuple):
+            if (name, let) in path:
+                raise PlanFault(f"{name}.{let} is defined by itself")
+            return full(name, parse_expression(modules[name]["lets"][let]), (), (*path, (name, let)))
+
+        def calls(tree) -> set[str]:
+            found = set().union(*[calls(x) for x in tree]) if isinstance(tree, (tuple, list)) and tree else set()
+            return found | {tree[1]} if isinstance(tree, tuple) and tree and tree[0] == "call" else found
+
+        def closed(name: str, path: tuple) -> None:
+            if name in path:
+                raise PlanFault("recursion: " + " -> ".join([*path, name]))
+            if name in self.functions:
+                for x in calls(self.functions[name][1]) & set(self.functions):
+                    closed(x, (*path, name))
+
+        for name, m in modules.items():
+            for f, x in m.get("functions", {}).items():
+                self.functions[f"{name}.{f}"] = (x["params"], full(name, parse_expression(x["body"]), tuple(x["params"]), ()))
+            for let in m.get("lets", {}):
+                self.variables[f"{name}.{let}"] = compile_tree(constant(name, let, ()), Scope({}))
+        for f in self.functions:
+            closed(f, ())
+
     def build(self) -> dict[str, DataFrame]:
         """All ports; nothing runs yet."""
         for node in ordered(self.spec):
@@ -146,7 +194,12 @@ class Pipeline:
 
     def _transform(self, n: dict) -> Any:
         df = self.ports[n["input"]]
-        out = {"": R.transform(df, n["program"], variables=self.variables, functions=self.functions, analytic=n.get("analytic"), order=n.get("order"))}
+        options = {"variables": self.variables, "functions": self.functions, "analytic": n.get("analytic"), "order": n.get("order")}
+        if n.get("on_error", self.spec.get("on_error", "fail_fast")) == "continue":
+            good, dead = R.transform_split(df, n["program"], **options)
+            out = {"": good, "failed": dead}
+        else:
+            out = {"": R.transform(df, n["program"], **options)}
         if n.get("analytic"):
             out["unplaced"] = R.analytic_split(df, n["analytic"])[1]
         return out
