@@ -17,7 +17,7 @@ from tributary.operators import aggregate as A
 from tributary.operators import combine as C
 from tributary.operators import rows as R
 from tributary.plans.pipeline import Pipeline
-from tributary.sources import readers, writers
+from tributary.sources import interchange, readers, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -723,3 +723,31 @@ def modules_that_use_others(t):
         ],
     }
     return R.project(Pipeline(t._spark, spec, {"orders": t.orders}).build()["b"]).select("o_orderkey", "gross", "rate", "twice")
+
+
+def _supplier_segments(t):
+    rows = t.supplier.select("s_nationkey", "s_suppkey", F.explode(F.array(F.struct(F.lit("NAD").alias("seg_id"), F.col("s_name").alias("e01")), F.struct(F.lit("ADR").alias("seg_id"), F.lit("a'b+c?").alias("e01")))).alias("x"))
+    return rows.select(F.concat(F.lit("R"), "s_nationkey").alias("ref"), F.concat(F.lit("M"), "s_suppkey").alias("msg_ref"), "x.*", F.struct("s_suppkey", "x.seg_id").alias("at"))
+
+
+@query("SELECT 'M' || s_suppkey AS msg_ref, seg_id, CASE seg_id WHEN 'UNH' THEN 'M' || s_suppkey WHEN 'NAD' THEN s_name ELSE 'a''b+c?' END AS e01, 'R' || s_nationkey AS ref, 'ME' AS sender FROM supplier, (VALUES ('UNH'), ('NAD'), ('ADR')) v(seg_id)")
+def edifact_round_trip(t):
+    """Interchanges with headers and trailers made by the sink; the source checks counts and references, programs read the header."""
+    path = interchange.write_messages(_supplier_segments(t), t.folder(), "edifact", "ref", "at", ["UNOC:3", "ME", "YOU", "240101:1200"], message_type="PARTIN:D:96A:UN")
+    spec = {"nodes": [
+        {"name": "in", "kind": "source", "format": "edifact", "envelope": True, "files": {"glob": f"{path}/ref=*/part-*"}},
+        {"name": "t", "kind": "transform", "input": "in", "program": "emit sender = $doc.interchange.e02\nemit ref = $doc.interchange.e05"},
+    ]}
+    return Pipeline(t._spark, spec).build()["t"].select("msg_ref", "seg_id", "e01", "ref", "sender")
+
+
+@query("SELECT 'M' || s_suppkey AS set_ref, 'G' || s_suppkey % 3 AS group_ref, seg_id, CASE seg_id WHEN 'ST' THEN '850' ELSE s_name END AS e01 FROM supplier, (VALUES ('ST'), ('N1')) v(seg_id)")
+def x12_round_trip(t):
+    """Three levels: interchange, groups, sets."""
+    rows = t.supplier.select("s_nationkey", F.concat(F.lit("G"), F.col("s_suppkey") % 3).alias("group_ref"), F.concat(F.lit("M"), "s_suppkey").alias("set_ref"), F.lit("N1").alias("seg_id"), F.col("s_name").alias("e01"))
+    rows = rows.withColumn("at", F.struct("group_ref", "set_ref"))
+    head = ["00", " " * 10, "00", " " * 10, "ZZ", "ME".ljust(15), "ZZ", "YOU".ljust(15), "240101", "1200", "U", "00401", "", "0", "P", ":"]
+    rows = rows.withColumn("control", F.lpad(F.col("s_nationkey").cast("string"), 9, "0"))
+    path = interchange.write_messages(rows, t.folder(), "x12", "control", "at", head, ["PO", "ME", "YOU", "20240101", "1200", "", "X", "004010"], "850")
+    good, _ = interchange.read_messages(t._spark, readers.find_files(t._spark, {"glob": f"{path}/control=*/part-*"}), "x12")
+    return good.select("set_ref", "group_ref", "seg_id", "e01")

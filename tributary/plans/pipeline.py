@@ -17,7 +17,7 @@ from tributary.functions.syntax import parse_expression
 from tributary.operators import aggregate as A
 from tributary.operators import combine as C
 from tributary.operators import rows as R
-from tributary.sources import readers, writers
+from tributary.sources import interchange, readers, rest, writers
 
 KINDS = {"source", "transform", "aggregate", "route", "merge", "combine", "sink", "reshape", "cull", "envelope", "composition", "validate", "dead_letter", "lookup"}
 
@@ -164,7 +164,8 @@ class Pipeline:
         for node in ordered(self.spec):
             if node["kind"] == "sink":
                 options = {k: v for k, v in node.items() if k not in ("name", "kind", "input", "path", "format")}
-                self.written.append(writers.write(self.ports[node["input"]], node["path"], node.get("format", "csv"), **options))
+                put = interchange.write_messages if node.get("format") in interchange.LEVELS else writers.write
+                self.written.append(put(self.ports[node["input"]], node["path"], node.get("format", "csv"), **options))
         return self.written
 
     def explain(self, port: str) -> str:
@@ -175,9 +176,14 @@ class Pipeline:
         if "table" in n:
             df = self.tables[n["table"]]
             return df.limit(n["limit"]) if "limit" in n else df
-        paths = readers.find_files(self.spark, n["files"])
         kind, options = n.get("format", "csv"), n.get("options", {})
-        if kind == "csv":
+        paths = n["urls"] if kind == "rest" else readers.find_files(self.spark, n["files"])
+        if kind == "rest":
+            raw = rest.read_rest(self.spark, paths, n["schema"], **options)
+        elif kind in interchange.LEVELS and n.get("envelope"):
+            good, bad = interchange.read_messages(self.spark, paths, kind, **options)
+            return {"": good, "rejected": bad}
+        elif kind == "csv":
             raw = readers.read_csv(self.spark, paths, n["schema"], **options)
         elif kind == "json":
             raw = readers.read_json(self.spark, paths, n["schema"], **({"declared_only": n.get("on_unmapped") == "drop"} | options))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import datetime
+import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,12 +21,14 @@ def _target(df: DataFrame, path: str, if_exists: str) -> tuple[str, str]:
 
 def write(
     df: DataFrame, path: str, kind: str = "csv", *, mapping=None, exclude=None, include_unmapped=True, scales=None, sort_order=None, if_exists="error", max_records=None,
-    fan_out: list[str] | None = None, delimiter=",", header=True, root="records", record="record", schema: list | None = None, segments: str | None = None, layout="ndjson",
+    fan_out: list[str] | None = None, delimiter=",", header=True, root="records", record="record", schema: list | None = None, segments: str | None = None, layout="ndjson", meta: bool | dict = False,
 ) -> str:
     """Projects, scales, sorts and writes; returns the path. fan_out gives each value of its columns a folder of its own.
 
     JSON has decimals as strings; layout array makes each file one array of
-    records. Spark's committer makes the output appear whole or not at all.
+    records. Spark's committer makes the output appear whole or not at all. meta
+    puts a sidecar of provenance beside it, with what a dict adds; rows are counted
+    as they are written.
     """
     if sort_order:
         df = sort(df, sort_order)
@@ -33,6 +36,9 @@ def write(
     if scales:
         df = scale_decimals(df, scales)
     path, mode = _target(df, path, if_exists)
+    told, seen = df, Observation()
+    if meta:
+        df = df.observe(seen, F.count(F.lit(1)).alias("rows"))
     if kind == "fixed_width":
         df = df.select(fixed_width_line(df, schema).alias("value"))
     elif kind == "segments":
@@ -58,6 +64,8 @@ def write(
         out.text(path)
     else:
         out.format(kind).save(path)
+    if meta:
+        write_sidecar(told, path, dict(seen.get), **(meta if isinstance(meta, dict) else {}))
     return path
 
 
@@ -110,28 +118,67 @@ def write_dead_letters(df: DataFrame, path: str, reason: str, stage: str) -> str
     return path
 
 
-def cut_by_group(df: DataFrame, group: str, max_records: int) -> DataFrame:
-    """df with _part: files of whole groups in order, each closed at the first group's end at which it has max_records or more.
+def row_bytes(df: DataFrame):
+    """Bytes of a row as a line of JSON, which stand for its size in any text format."""
+    return F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))) + 1
 
-    Rows are counted by group before anything is put in order. Where a file ends
-    depends on all before it, so one task reads the sorted counts, a row a group,
-    and keeps a single number.
+
+def cut_by_group(df: DataFrame, group: str, max_records: int | None = None, max_bytes: int | None = None, oversize_group: str = "allow") -> DataFrame:
+    """df with _part: files of whole groups in order, each closed at the first group's end at which it has max_records rows or max_bytes or more.
+
+    oversize_group: error stops at a group that alone passes a limit; warn marks its
+    rows in _oversize; allow lets it be. Rows are counted by group before anything
+    is put in order. Where a file ends depends on all before it, so one task reads
+    the sorted counts, a row a group, and keeps two numbers.
     """
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).select(F.col(group).alias("_g"), "_n")
+    if max_records is None and max_bytes is None:
+        raise ValueError("max_records or max_bytes")
+    if oversize_group not in ("allow", "warn", "error"):
+        raise ValueError(f"no oversize_group {oversize_group!r}")
+    rows, room = max_records or 1 << 62, max_bytes or 1 << 62
+    size = F.sum(row_bytes(df)) if max_bytes else F.lit(0).cast("long")
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), size.alias("_b")).select(F.col(group).alias("_g"), "_n", "_b")
 
     def cut(batches):
         import pyarrow as pa
 
-        part = held = 0
+        part = held = bytes_held = 0
         for b in batches:
-            parts = []
-            for n in b.column("_n").to_pylist():
-                if held >= max_records:
-                    part, held = part + 1, 0
+            parts, over = [], []
+            for n, m in zip(b.column("_n").to_pylist(), b.column("_b").to_pylist(), strict=True):
+                if held >= rows or bytes_held >= room:
+                    part, held, bytes_held = part + 1, 0, 0
+                over.append(n > rows or m > room)
+                if over[-1] and oversize_group == "error":
+                    raise ValueError(f"a group of {n} rows is over the limits of a file")
                 parts.append(part)
-                held += n
-            yield pa.RecordBatch.from_arrays([b.column("_g"), pa.array(parts, pa.int32())], ["_g", "_part"])
+                held, bytes_held = held + n, bytes_held + m
+            yield pa.RecordBatch.from_arrays([b.column("_g"), pa.array(parts, pa.int32()), pa.array(over, pa.bool_())], ["_g", "_part", "_oversize"])
 
     kind = sizes.schema["_g"].dataType.simpleString()
-    parts = sizes.orderBy("_g").coalesce(1).mapInArrow(cut, f"_g {kind}, _part int")
+    parts = sizes.orderBy("_g").coalesce(1).mapInArrow(cut, f"_g {kind}, _part int, _oversize boolean")
+    if oversize_group != "warn":
+        parts = parts.drop("_oversize")
     return df.join(parts, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
+
+
+def write_sidecar(df: DataFrame, path: str, seen: dict, **more) -> str:
+    """path.meta.json: what the output at path was made of and when. Written after it, so that it tells of a whole output."""
+    spark = df.sparkSession
+    about = {
+        "output": path,
+        "written_at": f"{datetime.datetime.now(datetime.UTC):%Y-%m-%dT%H:%M:%SZ}",
+        "application": spark.sparkContext.applicationId,
+        "inputs": sorted(df.inputFiles()),
+        "columns": {f.name: f.dataType.simpleString() for f in df.schema},
+        **seen,
+        **more,
+    }
+    jvm, target = spark.sparkContext._jvm, f"{path.rstrip('/')}.meta.json"
+    where = jvm.org.apache.hadoop.fs.Path(target)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(json.dumps(about, indent=1), "utf-8"))
+    finally:
+        out.close()
+    return target
