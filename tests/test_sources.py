@@ -6,6 +6,7 @@ from urllib.parse import parse_qs, urlsplit
 import pytest
 
 from tributary.__main__ import main
+from tributary.plans.pipeline import Pipeline, PlanFault, column_lineage, load
 from tributary.sources import interchange, readers, rest, writers
 
 GOOD = "UNB+UNOC:3+A+B+240101:1200+R1'UNH+1+X'LIN+a?+b'UNT+3+1'UNH+2+X'UNT+2+2'UNZ+2+R1'"
@@ -160,3 +161,81 @@ nodes:
     assert main(["eval", "emit y = a * 2\nemit z = null", "--record", '{"a": 4}'], spark) == 0
     assert json.loads(capsys.readouterr().out) == {"a": 4, "y": 8, "z": None}
     assert main(["eval", "emit y = nothing", "--record", '{"a": 4}'], spark) == 1 and "no field" in capsys.readouterr().err
+
+
+DLQ = """
+on_error: continue
+dlq: {path: DIR/dead}
+nodes:
+  - {name: in, kind: source, format: json, files: {path: DIR/in.json}, on_unmapped: drop, options: {layout: object, record_path: rows, sections: {head: meta.batch}},
+     schema: [{name: id, type: int}, {name: n}, {name: k}]}
+  - {name: t, kind: transform, input: in, program: "emit v = n.to_int()\\nemit who = $doc.head.by"}
+  - {name: ok, kind: validate, input: t, rules: [{name: small, check: "v < 100"}]}
+  - {name: per, kind: aggregate, input: ok, group_by: [k], per_document: true, program: "emit total = sum(v)\\nemit by = max(who)"}
+  - {name: out, kind: sink, input: per, path: DIR/out, format: json}
+"""
+
+
+def test_dead_letters_of_all_nodes_are_one_output(spark, tmp_path):
+    rows = [{"id": "1", "n": "5", "k": "a"}, {"id": "x", "n": "5", "k": "a"}, {"id": "2", "n": "y", "k": "b"}, {"id": "3", "n": "500", "k": "b"}, {"id": "4", "n": "7", "k": "a"}]
+    (tmp_path / "in.json").write_text(json.dumps({"meta": {"batch": {"by": "me"}}, "rows": rows}))
+    p = Pipeline(spark, load(DLQ.replace("DIR", str(tmp_path))))
+    out, dead = p.run()
+    assert [(r.k, r.total, r.by) for r in spark.read.json(out).collect()] == [("a", 12, "me")]
+    table = spark.read.option("header", True).csv(dead)
+    assert table.columns == [*(f"_dlq_{c}" for c in ("id", "timestamp", "source_file", "stage", "trigger", "error_category", "error_detail")), "id", "k", "n", "v", "who"]
+    got = sorted((r._dlq_stage, r._dlq_trigger, r._dlq_error_category, r._dlq_error_detail, r.id) for r in table.collect())
+    assert got == [("in", None, "type_coercion_failure", "field id", "x"), ("ok", "small", "validation_failure", "rule small", "3"), ("t", None, "type_coercion_failure", "to_int: y", "2")]
+    assert all(r._dlq_source_file.endswith("in.json") for r in table.collect()) and table.select("_dlq_id").distinct().count() == 3
+    assert column_lineage(p) == {"out": {"k": ["in.k"], "total": ["in.n"], "by": ["in._doc_head"]}}
+
+
+def test_lineage_of_joins_and_windows(spark):
+    a, b = spark.createDataFrame([(1, 2)], "id long, x long"), spark.createDataFrame([(1, 3)], "id long, y long")
+    spec = {"nodes": [
+        {"name": "a", "kind": "source", "table": "a"}, {"name": "b", "kind": "source", "table": "b"},
+        {"name": "c", "kind": "combine", "inputs": {"l": "a", "r": "b"}, "where": "l.id == r.id", "body": "let s = l.x + r.y\nemit id = l.id\nemit s = s * 2\nemit y = r.y"},
+        {"name": "t", "kind": "transform", "input": "c", "analytic": {"group_by": ["id"], "sort_by": ["y"]}, "program": "emit first = $window.first().s\nemit all = [y].map(y => y + id)"},
+        {"name": "o", "kind": "sink", "input": "t"},
+    ]}
+    p = Pipeline(spark, spec, {"a": a, "b": b})
+    p.build()
+    assert column_lineage(p)["o"] == {"id": ["a.id"], "s": ["a.x", "b.y"], "y": ["b.y"], "first": ["a.x", "b.y"], "all": ["a.id", "b.y"]}
+
+
+RECORDS = {"H": [{"name": "id", "start": 1, "width": 3}], "D": [{"name": "v", "start": 1, "width": 3}], "T": [{"name": "n", "start": 1, "width": 3}]}
+
+
+def test_multi_record_files_are_checked(spark, tmp_path):
+    files = {"good": "H001D1  D2  T002", "miscounts": "H001D1  T002", "headless": "D1  T001", "late": "H001T001D1  ", "unknown": "H001X1  D1  T001", "twice": "H001H001D1  T001"}
+    for name, text in files.items():
+        (tmp_path / name).write_text("".join(text[k : k + 4] + "\n" for k in range(0, len(text), 4)))
+    spec = {"nodes": [{"name": "in", "kind": "source", "format": "multi_record", "files": {"path": str(tmp_path)}, "options": {"start": 0, "width": 1, "records": RECORDS, "header": "H", "trailer": "T", "count": "n"}}]}
+    ports = Pipeline(spark, spec).build()
+    assert sorted(r.v for r in ports["in.D"].collect()) == ["1", "2"] and ports["in._unknown"].count() == 0
+    why = {r._file.rpartition("/")[2]: r._detail for r in ports["in.rejected"].collect()}
+    assert why == {
+        "miscounts": "the trailer counts 2, there are 1", "headless": "the header is not the one first record", "late": "the trailer is not the one last record",
+        "unknown": "a record of unknown type", "twice": "the header is not the one first record",
+    }
+    assert ports["in.rejected"].count() == 3 + 2 + 3 + 4 + 4
+
+
+def test_logs_count_rows_as_they_pass(spark, tmp_path, caplog):
+    spec = {"nodes": [
+        {"name": "in", "kind": "source", "table": "t"},
+        {"name": "t", "kind": "transform", "input": "in", "program": "emit y = id * 2", "log": [{"message": "all"}, {"level": "warn", "when": "y > 10", "message": "large"}]},
+        {"name": "out", "kind": "sink", "input": "t", "path": str(tmp_path / "out"), "format": "json"},
+        {"name": "unused", "kind": "transform", "input": "in", "program": "emit z = 1", "log": [{"message": "never"}]},
+    ]}
+    caplog.set_level("INFO", logger="tributary")
+    Pipeline(spark, spec, {"t": spark.range(10)}).run()
+    assert [(r.levelname, r.getMessage()) for r in caplog.records] == [("INFO", "t: all (10 rows)"), ("WARNING", "t: large (4 rows)")]
+    with pytest.raises(PlanFault, match="no level"):
+        Pipeline(spark, {"nodes": [{"name": "in", "kind": "source", "table": "t", "log": [{"level": "loud"}]}]}, {"t": spark.range(1)}).build()
+
+
+def test_fixed_width_justify(spark):
+    df = spark.createDataFrame([(7, "ab")], "n long, s string")
+    line = writers.fixed_width_line(df, [{"name": "n", "type": "int", "width": 4}, {"name": "s", "width": 4, "justify": "right"}, {"name": "n", "type": "int", "width": 3, "justify": "left"}])
+    assert df.select(line).first()[0] == "   7  ab7  "

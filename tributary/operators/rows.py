@@ -204,9 +204,10 @@ def route(df: DataFrame, conditions: dict[str, str], default: str = "default", m
 
 
 def merge(frames: list[DataFrame], mode: str = "concat", seed: int | None = None) -> DataFrame:
-    """All rows of all inputs; interleave with a seed also deals them out in a repeatable order."""
-    out = reduce(lambda a, b: a.unionByName(b), frames)
-    return out.orderBy(F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in out.columns])) if mode == "interleave" and seed is not None else out
+    """All rows of all inputs. A frame has no order, so interleave, with or without a seed, is concat: what sets an order is a sink's sort_order."""
+    if mode not in ("concat", "interleave"):
+        raise ValueError(f"no mode {mode!r}")
+    return reduce(lambda a, b: a.unionByName(b), frames)
 
 
 def _folded(c: str, df: DataFrame) -> Column:

@@ -7,13 +7,15 @@ Each node: {name, kind, input | inputs, ...}. A port of a node that has several
 from __future__ import annotations
 
 import copy
+import logging
+import uuid
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.functions.compiler import Scope, compile_tree, literal
-from tributary.functions.syntax import parse_expression
+from tributary.functions.syntax import parse_expression, parse_program
 from tributary.operators import aggregate as A
 from tributary.operators import combine as C
 from tributary.operators import rows as R
@@ -21,6 +23,12 @@ from tributary.sources import interchange, readers, rest, writers
 
 KINDS = {"source", "transform", "aggregate", "route", "merge", "combine", "sink", "reshape", "cull", "envelope", "composition", "validate", "dead_letter", "lookup"}
 
+logger = logging.getLogger("tributary")
+LEVELS = {"debug": logging.DEBUG, "info": logging.INFO, "warn": logging.WARNING, "error": logging.ERROR}
+
+#: Ports of rows that failed.
+DEAD = {"rejected", "failed", "dead"}
+
 
 class PlanFault(ValueError):
     pass
@@ -87,6 +95,12 @@ def ordered(spec: dict) -> list[dict]:
     return out
 
 
+def _above(spec: dict, name: str) -> set[str]:
+    """A node and all that it is made of."""
+    node = next(n for n in spec["nodes"] if n["name"] == name)
+    return {name}.union(*[_above(spec, i.partition(".")[0]) for i in _needs(node)])
+
+
 class Pipeline:
     def __init__(self, spark: SparkSession, spec: dict, tables: dict[str, DataFrame] | None = None):
         self.spark, self.spec, self.tables = spark, spec, tables or {}
@@ -96,6 +110,7 @@ class Pipeline:
         self._modules(spec.get("modules", {}))
         self.ports: dict[str, DataFrame] = {}
         self.written: list[str] = []
+        self.logs: list[tuple[str, list[dict], Observation]] = []
 
     def _modules(self, modules: dict) -> None:
         """{name: {lets, functions, use: {alias: module}}}: constants and functions, written name.x in programs, put in place as trees."""
@@ -155,19 +170,42 @@ class Pipeline:
             except (TypeError, ValueError, KeyError) as e:
                 raise PlanFault(f"{node['name']}: {e}") from e
             for port, df in (made if isinstance(made, dict) else {"": made}).items():
+                if port == "" and "log" in node:
+                    df = self._logged(node, df)
                 self.ports[f"{node['name']}.{port}" if port else node["name"]] = df
         return self.ports
 
     def run(self) -> list[str]:
-        """Builds, then writes every sink; returns their paths."""
+        """Builds, then writes every sink, and where the spec has dlq ({path, include_reason, include_source_row}) the rows of all dead ports; returns the paths."""
         self.build()
         for node in ordered(self.spec):
             if node["kind"] == "sink":
                 options = {k: v for k, v in node.items() if k not in ("name", "kind", "input", "path", "format")}
                 put = interchange.write_messages if node.get("format") in interchange.LEVELS else writers.write
                 self.written.append(put(self.ports[node["input"]], node["path"], node.get("format", "csv"), **options))
+        dead = {k.rpartition(".")[0]: df for k, df in self.ports.items() if k.rpartition(".")[2] in DEAD and "." in k}
+        if "dlq" in self.spec and dead:
+            self.written.append(writers.write_dead_letters(dead, **self.spec["dlq"]))
+        self._log()
         return self.written
 
+    def _logged(self, node: dict, df: DataFrame) -> DataFrame:
+        """log: [{level, message, when}]: how many of a node's rows meet each condition, counted as they pass and logged once the sinks are written."""
+        entries = [{"level": "info", "when": "true", **e} for e in node["log"]]
+        for e in entries:
+            if e["level"] not in ("debug", "info", "warn", "error"):
+                raise PlanFault(f"{node['name']}: no level {e['level']!r}")
+        seen = Observation(f"{node['name']}-{uuid.uuid4().hex}")
+        self.logs.append((node["name"], entries, seen))
+        return df.observe(seen, *[F.count_if(F.coalesce(R.predicate(df, e["when"]), F.lit(False))).alias(f"n{k}") for k, e in enumerate(entries)])
+
+    def _log(self) -> None:
+        used = set().union(*[_above(self.spec, n["name"]) for n in self.spec["nodes"] if n["kind"] == "sink"])
+        for name, entries, seen in self.logs:
+            if name in used:
+                for k, e in enumerate(entries):
+                    logger.log(LEVELS[e["level"]], "%s: %s (%d rows)", name, e.get("message", e["when"]), seen.get[f"n{k}"])
+
     def explain(self, port: str) -> str:
         df = self.ports[port]
         return df._jdf.queryExecution().explainString(self.spark.sparkContext._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
@@ -180,6 +218,8 @@ class Pipeline:
         paths = n["urls"] if kind == "rest" else readers.find_files(self.spark, n["files"])
         if kind == "rest":
             raw = rest.read_rest(self.spark, paths, n["schema"], **options)
+        elif kind == "multi_record":
+            return readers.read_multi_record(self.spark, paths, **options)
         elif kind in interchange.LEVELS and n.get("envelope"):
             good, bad = interchange.read_messages(self.spark, paths, kind, **options)
             return {"": good, "rejected": bad}
@@ -218,7 +258,8 @@ class Pipeline:
         df = self.ports[n["input"]]
         if "window" in n:
             return A.time_window(df, n["event_time"], n["window"], n.get("group_by", []), n["program"], n.get("bounds", False), n.get("watermark"))
-        return A.aggregate(df, n.get("group_by", []), n["program"], n.get("order"))
+        group = [*n.get("group_by", []), *([n.get("grain", "_file")] if n.get("per_document") else [])]
+        return A.aggregate(df, group, n["program"], n.get("order"))
 
     def _route(self, n: dict) -> dict[str, DataFrame]:
         return R.route(self.ports[n["input"]], n["conditions"], n.get("default", "default"), n.get("mode", "exclusive"))
@@ -265,6 +306,71 @@ class Pipeline:
         return {"" if len(sinks) == 1 else s: ports[s] for s in sinks}
 
 
+def column_lineage(p: Pipeline) -> dict[str, dict[str, list[str]]]:
+    """For each sink of a built pipeline, its columns and the source columns (node.column) that their values are made of.
+
+    Conditions that only decide whether a row is there don't count.
+    """
+    made: dict[str, dict[str, set[str]]] = {}
+
+    def names(tree, scope: dict[str, set[str]]) -> set[str]:
+        if isinstance(tree, list):
+            return set().union(*[names(x, scope) for x in tree])
+        if not isinstance(tree, tuple) or not tree:
+            return set()
+        if tree[0] == "name":
+            return scope.get(tree[1], set())
+        if tree[0] == "field" and tree[1][0] == "name" and tree[1][1] in ("$doc", "$record"):
+            return scope.get(f"_{tree[1][1][1:]}_{tree[2]}", scope.get(f"{tree[1][1]}.{tree[2]}", set()))
+        if tree[0] == "field" and tree[1][0] == "name" and f"{tree[1][1]}.{tree[2]}" in scope:
+            return scope[f"{tree[1][1]}.{tree[2]}"]
+        if tree[0] == "field" and tree[1][0] == "method" and tree[1][1] == ("name", "$window"):
+            return scope.get(tree[2], set())
+        if tree[0] == "closure":
+            return names(tree[2], {k: v for k, v in scope.items() if k != tree[1]})
+        return set().union(*[names(x, scope) for x in tree[1:]])
+
+    def run(program: list, scope: dict[str, set[str]], out: dict[str, set[str]]) -> None:
+        for st in program:
+            if st[0] in ("let", "emit"):
+                got = names(st[2], scope)
+                scope[st[1]] = got
+                if st[0] == "emit":
+                    out[st[1]] = got
+            elif st[0] == "each":
+                run(st[4], scope | {st[1]: names(st[2], scope)}, out)
+
+    for n in ordered(p.spec):
+        name, kind = n["name"], n["kind"]
+        if kind == "source":
+            made[name] = {c: {f"{name}.{c}"} for c in p.ports[name].columns}
+            continue
+        above = [i.partition(".")[0] for i in _needs(n)]
+        before: dict[str, set[str]] = {}
+        for i in above:
+            for c, x in made[i].items():
+                before[c] = before.get(c, set()) | x
+        if kind == "combine":
+            scope = {f"{k}.{c}": x for k, i in n["inputs"].items() for c, x in made[i.partition(".")[0]].items()}
+            out: dict[str, set[str]] = {}
+            run(parse_program(n["body"]), scope, out)
+        elif kind == "aggregate":
+            out = {c: before.get(c, set()) for c in n.get("group_by", [])}
+            run(parse_program(n["program"]), dict(before), out)
+        elif kind in ("transform", "lookup"):
+            out = dict(before)
+            run(parse_program(n["program"]), dict(before), out)
+        elif kind == "reshape":
+            out = dict(before)
+            for r in n["rules"]:
+                for field, e in {**r.get("mutate", {}), **r.get("synthesize", {}).get("overrides", {})}.items():
+                    out[field] = out.get(field, set()) | names(parse_expression(e), before)
+        else:
+            out = before
+        made[name] = out
+    return {n["name"]: {c: sorted(made[n["name"]].get(c, set())) for c in p.ports[n["name"]].columns if not c.startswith("_")} for n in p.spec["nodes"] if n["kind"] == "sink"}
+
+
 def lineage(df: DataFrame) -> list[str]:
     """Files that a frame reads."""
     return sorted(df.inputFiles())
@@ -272,7 +378,5 @@ def lineage(df: DataFrame) -> list[str]:
 
 def observed(df: DataFrame, name: str, **metrics) -> tuple[DataFrame, Any]:
     """df and an observation of aggregate metrics, which cost no pass of their own."""
-    from pyspark.sql import Observation
-
     seen = Observation(name)
     return df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in metrics.items()]), seen

@@ -34,6 +34,7 @@ class Field:
     values: str = "plain"
     start: int = 0
     width: int = 0
+    justify: str | None = None
 
     def spark_type(self) -> T.DataType:
         of = T.DecimalType(38, self.scale) if self.type == "decimal" else _TYPES[self.type]
@@ -180,9 +181,12 @@ def read_csv(
     return _file(reader.schema(text).csv(paths))
 
 
-def read_json(spark: SparkSession, paths: list[str], schema: list, layout: str = "ndjson", record_path: str | None = None, declared_only: bool = False) -> DataFrame:
+def read_json(spark: SparkSession, paths: list[str], schema: list, layout: str = "ndjson", record_path: str | None = None, declared_only: bool = False, sections: dict[str, str] | None = None) -> DataFrame:
     """array and ndjson layouts, or object with the dotted path of its array of records.
 
+    sections names parts of an object by their dotted paths; programs read them on
+    every record as $doc.name.field.
+
     Finding out what other columns there are takes a pass over the files; with
     declared_only there is none, and undeclared columns are not read.
     """
@@ -193,7 +197,8 @@ def read_json(spark: SparkSession, paths: list[str], schema: list, layout: str =
         return _file(reader.json(paths))
     rows = _file(reader.option("multiLine", True).json(paths))
     if layout == "object":
-        rows = rows.select(F.explode(record_path).alias("_r"), "_file").select("_r.*", "_file")
+        parts = [F.col(path).alias(f"_doc_{name}") for name, path in (sections or {}).items()]
+        rows = rows.select(F.explode(record_path).alias("_r"), "_file", *parts).select("_r.*", "_file", *[f"_doc_{name}" for name in sections or {}])
     return rows
 
 
@@ -207,10 +212,39 @@ def read_fixed_width(spark: SparkSession, paths: list[str], schema: list) -> Dat
     return _file(rows).select(*[F.rtrim(F.substring("value", f.start + 1, f.width)).alias(f.source_name or f.name) for f in fields_of(schema)], "_file")
 
 
-def read_multi_record(spark: SparkSession, paths: list[str], start: int, width: int, records: dict[str, list]) -> dict[str, DataFrame]:
-    """Flat files of several record types, told apart by a discriminator; one frame a type, and _unknown for the rest."""
+def read_multi_record(
+    spark: SparkSession, paths: list[str], start: int, width: int, records: dict[str, list], header: str | None = None, trailer: str | None = None, count: str | None = None
+) -> dict[str, DataFrame]:
+    """Flat files of several record types, told apart by a discriminator; one frame a type, and _unknown for the rest.
+
+    With header, trailer (discriminators) or count (the trailer's field that says
+    how many body records there are), a file that has not just one of each at its
+    place, that miscounts or that has records of unknown type is on the port
+    rejected, line by line, with _error and _detail; nothing of it is elsewhere.
+    """
     rows = _file(spark.read.text(paths)).withColumn("_kind", F.substring("value", start + 1, width))
-    out = {k: rows.where(F.col("_kind") == k).select(*[F.rtrim(F.substring("value", f.start + 1, f.width)).alias(f.name) for f in fields_of(spec)], "_file") for k, spec in records.items()}
+    field = lambda f: F.rtrim(F.substring("value", f.start + 1, f.width))
+    out: dict[str, DataFrame] = {}
+    if header or trailer:
+        known = F.col("_kind").isin(*records)
+        # Lines of a split come in order, splits by where they begin.
+        at = F.struct(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+        placed = rows.select("_file", "_kind", "value", known.alias("known"), at.alias("at"))
+        checks = [F.when(~F.every("known"), F.lit("a record of unknown type"))]
+        if header:
+            checks.append(F.when((F.min_by("_kind", "at") != header) | (F.count_if(F.col("_kind") == header) != 1), F.lit("the header is not the one first record")))
+        if trailer:
+            checks.append(F.when((F.max_by("_kind", "at") != trailer) | (F.count_if(F.col("_kind") == trailer) != 1), F.lit("the trailer is not the one last record")))
+        if count:
+            (f,) = [f for f in fields_of(records[trailer]) if f.name == count]
+            said = F.max(F.when(F.col("_kind") == trailer, F.trim(field(f)).try_cast("long")))
+            there = F.count_if(~F.col("_kind").isin(*[k for k in (header, trailer) if k]))
+            checks.append(F.when(F.coalesce(said != there, F.lit(True)), F.concat(F.lit("the trailer counts "), F.coalesce(said.cast("string"), F.lit("nothing")), F.lit(", there are "), there.cast("string"))))
+        broken = placed.groupBy("_file").agg(F.coalesce(*checks).alias("_detail")).where("_detail is not null")
+        bad = rows.join(broken, "_file")
+        rows = rows.join(broken, "_file", "left_anti")
+        out["rejected"] = bad.select("value", "_file", F.lit("structural_validation").alias("_error"), "_detail")
+    out |= {k: rows.where(F.col("_kind") == k).select(*[field(f).alias(f.name) for f in fields_of(spec)], "_file") for k, spec in records.items()}
     out["_unknown"] = rows.where(~F.col("_kind").isin(*records)).select("value", "_file")
     return out
 

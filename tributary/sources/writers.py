@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import json
+from functools import reduce
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
@@ -89,11 +90,11 @@ def json_arrays(df: DataFrame) -> DataFrame:
 
 
 def fixed_width_line(df: DataFrame, schema: list):
-    """Fields padded to their widths, numbers to the left; a value that is too long is an error."""
+    """Fields padded to their widths, at the left where justify is right, as it is for numbers unless said; a value that is too long is an error."""
     parts = []
     for f in fields_of(schema):
         text = F.coalesce(F.col(f"`{f.name}`").cast("string"), F.lit(""))
-        pad = F.lpad if f.type in ("int", "float", "decimal") else F.rpad
+        pad = F.lpad if (f.justify or ("right" if f.type in ("int", "float", "decimal") else "left")) == "right" else F.rpad
         parts.append(F.when(F.char_length(text) <= f.width, pad(text, f.width, " ")).otherwise(F.raise_error(F.lit(f"{f.name} is over {f.width} wide")).cast("string")))
     return F.concat(*parts)
 
@@ -111,10 +112,49 @@ def segment_line(kind: str):
     return F.concat(line, F.lit(end if end not in "\r\n" else ""))
 
 
-def write_dead_letters(df: DataFrame, path: str, reason: str, stage: str) -> str:
-    """Rejected rows as CSV: when, where and why, then the row as JSON."""
-    rows = df.select(F.current_timestamp().alias("_dlq_time"), F.lit(stage).alias("_dlq_stage"), F.col(reason).cast("string").alias("_dlq_reason"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("_dlq_row"))
-    rows.write.mode("append").option("header", True).csv(path)
+def dead_letter_rows(df: DataFrame, stage: str, include_reason: bool = True, include_source_row: bool = True) -> DataFrame:
+    """Rows that a node set aside, with where and why: _dlq_id, _timestamp, _source_file, _stage, _trigger and, on demand, _error_category and _error_detail, then the row's own columns.
+
+    The reason is read from the columns that dead ports carry: _error and _detail of
+    programs and envelopes, _error of coercion (a field's name), _failed_rule of
+    validations. Rows without any were taken along by another's failure. The id is a
+    hash of stage and row, so that a task that runs again gives it again.
+    """
+    held = set(df.columns)
+    text = lambda c: F.col(f"`{c}`").cast("string") if c in held else F.lit(None).cast("string")
+    if "_failed_rule" in held:
+        category, detail = F.lit("validation_failure"), F.concat(F.lit("rule "), text("_failed_rule"))
+    elif "_detail" in held:
+        category, detail = text("_error"), text("_detail")
+    elif "_error" in held:
+        category, detail = F.lit("type_coercion_failure"), F.concat(F.lit("field "), text("_error"))
+    else:
+        category, detail = F.lit("correlated"), F.lit(None).cast("string")
+    whole = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+    meta = [
+        F.sha2(F.concat_ws("\x1f", F.lit(stage), whole), 256).alias("_dlq_id"),
+        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("_dlq_timestamp"),
+        F.coalesce(text("_file"), F.lit("<merged>")).alias("_dlq_source_file"),
+        F.lit(stage).alias("_dlq_stage"),
+        text("_failed_rule").alias("_dlq_trigger"),
+    ]
+    if include_reason:
+        meta += [category.alias("_dlq_error_category"), detail.alias("_dlq_error_detail")]
+    own = []
+    for f in df.schema if include_source_row else []:
+        if not f.name.startswith("_"):
+            nested = isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType))
+            own.append((F.to_json(F.col(f"`{f.name}`")) if nested else text(f.name)).alias(f.name))
+    return df.select(*meta, *own)
+
+
+def write_dead_letters(frames: dict[str, DataFrame], path: str, include_reason: bool = True, include_source_row: bool = True, if_exists: str = "error") -> str:
+    """The dead rows of all stages as one CSV output whose source columns are all that any of them has, in order of their names."""
+    parts = [dead_letter_rows(df, stage, include_reason, include_source_row) for stage, df in frames.items()]
+    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    meta = [c for c in out.columns if c.startswith("_dlq_")]
+    path, mode = _target(out, path, if_exists)
+    out.select(*meta, *[F.col(f"`{c}`") for c in sorted(set(out.columns) - set(meta))]).write.mode(mode).option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
     return path
 
 
