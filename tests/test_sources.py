@@ -231,6 +231,16 @@ def test_logs_count_rows_as_they_pass(spark, tmp_path, caplog):
     caplog.set_level("INFO", logger="tributary")
     Pipeline(spark, spec, {"t": spark.range(10)}).run()
     assert [(r.levelname, r.getMessage()) for r in caplog.records] == [("INFO", "t: all (10 rows)"), ("WARNING", "t: large (4 rows)")]
+    caplog.clear()
+    # Ports that no sink reads, and rows that the optimizer knows not to exist.
+    spec["nodes"][1] |= {"on_error": "continue", "log": [{"message": "all"}]}
+    spec["nodes"][2] |= {"input": "t.failed", "path": str(tmp_path / "failed")}
+    Pipeline(spark, spec, {"t": spark.range(10)}).run()
+    assert not caplog.records
+    spec["nodes"][2] |= {"input": "none", "path": str(tmp_path / "none")}
+    spec["nodes"].append({"name": "none", "kind": "transform", "input": "t", "program": "filter false"})
+    Pipeline(spark, spec, {"t": spark.range(10)}).run()
+    assert [r.getMessage() for r in caplog.records] in (["t: all (0 rows)"], ["t: all (10 rows)"])
     with pytest.raises(PlanFault, match="no level"):
         Pipeline(spark, {"nodes": [{"name": "in", "kind": "source", "table": "t", "log": [{"level": "loud"}]}]}, {"t": spark.range(1)}).build()
 

@@ -95,6 +95,18 @@ def ordered(spec: dict) -> list[dict]:
     return out
 
 
+def _counts(seen: Observation, n: int, tries: int = 50) -> list[int] | None:
+    """What an observation counted; zeros where the optimizer found that no rows come by, nothing where no sink read that port.
+
+    Observation.get would wait for ever in the last case.
+    """
+    for _ in range(tries):
+        got = seen._jo.getRowOrEmpty()  # waits for a tenth of a second
+        if got.isDefined():
+            return [got.get().get(k) for k in range(n)] if got.get().size() else [0] * n
+    return None
+
+
 def _above(spec: dict, name: str) -> set[str]:
     """A node and all that it is made of."""
     node = next(n for n in spec["nodes"] if n["name"] == name)
@@ -202,9 +214,9 @@ class Pipeline:
     def _log(self) -> None:
         used = set().union(*[_above(self.spec, n["name"]) for n in self.spec["nodes"] if n["kind"] == "sink"])
         for name, entries, seen in self.logs:
-            if name in used:
-                for k, e in enumerate(entries):
-                    logger.log(LEVELS[e["level"]], "%s: %s (%d rows)", name, e.get("message", e["when"]), seen.get[f"n{k}"])
+            counts = _counts(seen, len(entries)) if name in used else None
+            for k, e in enumerate(entries if counts else []):
+                logger.log(LEVELS[e["level"]], "%s: %s (%d rows)", name, e.get("message", e["when"]), counts[k])
 
     def explain(self, port: str) -> str:
         df = self.ports[port]
