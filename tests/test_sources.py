@@ -6,6 +6,7 @@ from urllib.parse import parse_qs, urlsplit
 import pytest
 
 from tributary.__main__ import main
+from tributary.operators.rows import transform, transform_split
 from tributary.plans.pipeline import Pipeline, PlanFault, column_lineage, load
 from tributary.sources import interchange, readers, rest, writers
 
@@ -249,3 +250,34 @@ def test_fixed_width_justify(spark):
     df = spark.createDataFrame([(7, "ab")], "n long, s string")
     line = writers.fixed_width_line(df, [{"name": "n", "type": "int", "width": 4}, {"name": "s", "width": 4, "justify": "right"}, {"name": "n", "type": "int", "width": 3, "justify": "left"}])
     assert df.select(line).first()[0] == "   7  ab7  "
+
+
+def test_xml_attributes_arrays_and_namespaces(spark, tmp_path):
+    df = spark.createDataFrame([(1, ["a", "b"], "x"), (2, None, None)], "id long, tags array<string>, one string")
+    path = writers.write(df.repartition(1), str(tmp_path / "x"), "xml", root="rs", record="r", attributes=["id"], arrays={"tags": {"repeat_as": "Tag", "wrap_in": "Tags"}, "one": {"repeat_as": "One"}})
+    text = "".join("".join(x.read_text().split()) for x in (tmp_path / "x").glob("part-*"))
+    assert '<rid="1"><Tags><Tag>a</Tag><Tag>b</Tag></Tags><One>x</One></r><rid="2"/>' in text
+    back = readers.read_xml(spark, [path], "rs/r")
+    assert sorted((r["@id"], r.One) for r in back.collect()) == [("1", "x"), ("2", None)]
+    (tmp_path / "n.xml").write_text('<a xmlns:q="u"><q:r><q:v>1</q:v></q:r></a>')
+    assert readers.read_xml(spark, [str(tmp_path / "n.xml")], "q:r", namespaces="qualify").columns[0] == "q:v"
+
+
+def test_paths_by_source_file_and_null_columns(spark, tmp_path):
+    df = spark.createDataFrame([("s3://b/x/one.csv", 1, None), ("s3://b/x/two.csv", 2, "v"), ("s3://b/x/two.csv", 3, None)], "_file string, id long, s string")
+    writers.write(df, str(tmp_path / "out" / "{source_file}"), "json")
+    lines = lambda d: sorted(x for f in (tmp_path / d).glob("part-*") for x in f.read_text().split())
+    assert lines("out/source_file=one") == ['{"id":1}'] and lines("out/source_file=two") == ['{"id":2,"s":"v"}', '{"id":3}']
+    writers.write(df.select("s").where("id = 1"), str(tmp_path / "nulls"), "json", preserve_nulls=True)
+    assert lines("nulls") == ['{"s":null}']
+    with pytest.raises(ValueError, match="fan_out"):
+        writers.write(df, str(tmp_path / "z" / "{source_path}"), "json", fan_out=["id"])
+
+
+def test_maps_with_computed_keys(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "k string, v long")
+    good, dead = transform_split(df, 'emit m = {k: v, "b": 7}\nemit x = m["a"]')
+    assert [(r.k, r.m, r.x) for r in good.collect()] == [("a", {"a": 1, "b": 7}, 1)]
+    assert [r.k for r in dead.collect()] == ["b", None]
+    with pytest.raises(Exception, match="null or comes twice"):
+        transform(df, 'emit m = {k: v, "b": 7}').collect()

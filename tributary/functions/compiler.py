@@ -235,12 +235,25 @@ def _comprehension(t, s):
 
 def _map(t, s):
     keys = [k[1] for k, _ in t[1] if k[0] == "literal" and isinstance(k[1], str)]
-    if len(keys) != len(t[1]) or len(set(keys)) != len(keys):
-        raise TypeFault("keys of a map are distinct string literals")
+    if len(set(keys)) != len(keys):
+        raise TypeFault("a key of a map comes twice")
     values = [compile_tree(v, s) for _, v in t[1]]
+    if len(keys) != len(t[1]):
+        return _computed_map([compile_tree(k, s) for k, _ in t[1]], values, s)
     return Value(F.struct(*[v.col.alias(k) for k, v in zip(keys, values, strict=True)]), T.StructType([T.StructField(k, v.type) for k, v in zip(keys, values, strict=True)]))
 
 
+def _computed_map(keys: list[Value], values: list[Value], s: Scope) -> Value:
+    """A map whose keys the row says: strings, not null, all different."""
+    if any(k.kind != "string" for k in keys):
+        raise TypeFault("keys of a map are strings")
+    of = reduce(unify, [v.type for v in values], NULL)
+    names = F.array(*[k.col for k in keys])
+    bad = F.exists(names, lambda k: k.isNull()) | (F.size(F.array_distinct(names)) < len(keys))
+    held = F.when(~bad, F.map_from_arrays(names, F.array(*[v.col.cast(of) for v in values])))
+    return fault(s, bad, "type_coercion_failure", F.lit("a key of a map is null or comes twice"), Value(held, T.MapType(STRING, of)))
+
+
 def _if(t, s):
     cond = compile_tree(t[1], s)
     holds = F.coalesce(cond.col.cast("boolean"), F.lit(False))

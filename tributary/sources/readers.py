@@ -202,8 +202,12 @@ def read_json(spark: SparkSession, paths: list[str], schema: list, layout: str =
     return rows
 
 
-def read_xml(spark: SparkSession, paths: list[str], record: str, attribute_prefix: str = "@") -> DataFrame:
-    return _file(spark.read.format("xml").option("rowTag", record).option("attributePrefix", attribute_prefix).option("inferSchema", False).load(paths))
+def read_xml(spark: SparkSession, paths: list[str], record: str, attribute_prefix: str = "@", namespaces: str = "strip") -> DataFrame:
+    """Elements named record, which may be a path of which the last part counts. namespaces: strip drops prefixes of names, qualify keeps them."""
+    if namespaces not in ("strip", "qualify"):
+        raise ValueError(f"no namespaces {namespaces!r}")
+    reader = spark.read.format("xml").option("rowTag", re.split("[/.]", record)[-1]).option("attributePrefix", attribute_prefix).option("inferSchema", False)
+    return _file(reader.option("ignoreNamespace", namespaces == "strip").load(paths))
 
 
 def read_fixed_width(spark: SparkSession, paths: list[str], schema: list) -> DataFrame:

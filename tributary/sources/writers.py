@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import json
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, Observation
@@ -22,17 +23,27 @@ def _target(df: DataFrame, path: str, if_exists: str) -> tuple[str, str]:
 
 def write(
     df: DataFrame, path: str, kind: str = "csv", *, mapping=None, exclude=None, include_unmapped=True, scales=None, sort_order=None, if_exists="error", max_records=None,
-    fan_out: list[str] | None = None, delimiter=",", header=True, root="records", record="record", schema: list | None = None, segments: str | None = None, layout="ndjson", meta: bool | dict = False,
+    fan_out: list[str] | None = None, delimiter=",", header=True, root="records", record="record", schema: list | None = None, segments: str | None = None, layout="ndjson", meta: bool | dict = False, preserve_nulls=False,
+    attributes: list[str] | None = None, arrays: dict[str, dict] | None = None,
 ) -> str:
     """Projects, scales, sorts and writes; returns the path. fan_out gives each value of its columns a folder of its own.
 
     JSON has decimals as strings; layout array makes each file one array of
     records. Spark's committer makes the output appear whole or not at all. meta
     puts a sidecar of provenance beside it, with what a dict adds; rows are counted
-    as they are written.
+    as they are written. A path with {source_file} or {source_path} gives each source
+    file's rows a folder below what comes before it. JSON leaves null columns out
+    unless preserve_nulls. XML has attributes as such, and an array by arrays'
+    {field: {repeat_as, wrap_in}}: an element a value, in a container or without.
     """
     if sort_order:
         df = sort(df, sort_order)
+    token = re.search(r"/?\{(source_file|source_path)\}", path)
+    if token:
+        if fan_out:
+            raise ValueError("fan_out and a path by source file")
+        whole, path, fan_out = F.col("_file"), path[: token.start()], [token[1]]
+        df = df.withColumn(token[1], whole if token[1] == "source_path" else F.regexp_extract(whole, r"([^/]*?)(\.[^./]*)?$", 1))
     df = project(df, mapping, exclude, include_unmapped)
     if scales:
         df = scale_decimals(df, scales)
@@ -49,7 +60,9 @@ def write(
         if layout == "array":
             if fan_out or max_records:
                 raise ValueError("an array of records is one file a partition: no fan_out, no max_records")
-            df, kind = json_arrays(df), "lines"
+            df, kind = json_arrays(df, preserve_nulls), "lines"
+    elif kind == "xml":
+        df = xml_shape(df, attributes or [], arrays or {})
     out = df.write.mode(mode)
     if max_records:
         out = out.option("maxRecordsPerFile", max_records)
@@ -58,9 +71,9 @@ def write(
     if kind == "csv":
         out.option("header", header).option("sep", delimiter).option("escape", '"').option("emptyValue", "").csv(path)
     elif kind == "json":
-        out.option("ignoreNullFields", False).json(path)
+        out.option("ignoreNullFields", not preserve_nulls).json(path)
     elif kind == "xml":
-        out.format("xml").option("rootTag", root).option("rowTag", record).save(path)
+        out.format("xml").option("rootTag", root).option("rowTag", record).option("attributePrefix", "@").option("arrayElementName", "item").save(path)
     elif kind in ("fixed_width", "segments", "lines"):
         out.text(path)
     else:
@@ -70,9 +83,26 @@ def write(
     return path
 
 
-def json_arrays(df: DataFrame) -> DataFrame:
+def xml_shape(df: DataFrame, attributes: list[str], arrays: dict[str, dict]) -> DataFrame:
+    """Columns as the XML writer takes them: attributes by their prefix, first, and arrays named and wrapped as said. A single value counts as an array of one."""
+    cols = [F.col(f"`{c}`").alias("@" + c) for c in attributes]
+    for f in df.schema:
+        c, how = F.col(f"`{f.name}`"), arrays.get(f.name)
+        if f.name in attributes:
+            continue
+        if how is None:
+            cols.append(c)
+            continue
+        if not isinstance(f.dataType, T.ArrayType):
+            c = F.when(c.isNotNull(), F.array(c))
+        name = how.get("repeat_as", f.name)
+        cols.append(F.when(c.isNotNull(), F.struct(c.alias(name))).alias(how["wrap_in"]) if "wrap_in" in how else c.alias(name))
+    return df.select(*cols)
+
+
+def json_arrays(df: DataFrame, preserve_nulls: bool = False) -> DataFrame:
     """Lines that make each partition one array of records, streamed."""
-    lines = df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("value"))
+    lines = df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": str(not preserve_nulls).lower()}).alias("value"))
 
     def framed(batches):
         import pyarrow as pa
