@@ -30,7 +30,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids and decoded text of every copy, as digests. Workers keep fewer chunks than for op8 alone: the stages before leave the JVM large."""
+    """Ids and decoded text of every copy, as digests. Workers keep fewer chunks, and look at less text at once, than for op8 alone: the stages before leave the JVM large."""
     return bpe.encoding_digests(docs, kept=30_000)
 
 

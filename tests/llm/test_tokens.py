@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tributary.llm import bpe, token_output
@@ -145,3 +146,15 @@ def test_long_words_take_time_in_proportion(library):
         took.append(time.process_time() - began)
         assert ids == library.encode(word[:n], add_special_tokens=False).ids
     assert took[1] < 25 * max(took[0], 0.02)
+
+
+def test_few_kept_chunks_keep_the_tables_small(library):
+    r = random.Random(3)
+    texts = [" ".join("".join(r.choices("abcdefgh", k=7)) for _ in range(400)) for _ in range(100)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    table, most, ids = bpe.trie_chunks(default_tokenizer(), 500), 0, []
+    for b in bpe._codes([batch], table, bpe.CODES, False):
+        most = max(most, len(table.now), len(table.old))
+        ids += b.column("ids").to_pylist()
+    assert most < 8_000
+    assert ids == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]

@@ -13,7 +13,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +26,9 @@ from tributary.llm.tokens import ChunkTable, Splitter, chunks, default_tokenizer
 #: Chunks that a worker keeps in each of two generations with their ids and text, unless told otherwise, and pairs of tokens that it knows to be legal or not.
 KEPT, PAIRS = 300_000, 500_000
 
+#: Bytes of text that one look at the tables takes, at most and for each chunk kept: what a look needs is all in them at once, so few kept chunks ask for short looks.
+PIECE, PIECE_A_CHUNK = 4 << 20, 32
+
 
 class TrieBpe:
     """A vocabulary of merges, with an end-of-word suffix or without."""
@@ -163,25 +166,28 @@ CODES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.
 DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
+def _codes(batches: Iterable[pa.RecordBatch], table: ChunkTable, schema: pa.Schema, digest: bool) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for b in pieces(whole, min(PIECE, PIECE_A_CHUNK * table.kept)):
+            lists = [chunks(t) for t in b.column("text").to_pylist()]
+            known = table.of(lists)
+            out: dict[str, list] = {"n_tokens": [], "a": [], "b": []}
+            for x in lists:
+                got = [known[c] for c in x]
+                ids, text = b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[1]])
+                out["n_tokens"].append(len(ids) // 4)
+                out["a"].append(hashlib.sha256(ids).hexdigest() if digest else ids)
+                out["b"].append(hashlib.sha256(text.encode()).hexdigest() if digest else text)
+            yield rows_of({"doc_id": b.column("doc_id"), "n_tokens": out["n_tokens"], schema.names[2]: out["a"], schema.names[3]: out["b"]}, schema)
+
+
 def _encoded(docs: DataFrame, id_col: str, text_col: str, tokenizer: str | None, schema: pa.Schema, ddl: str, digest: bool, kept: int = KEPT) -> DataFrame:
     prepare(docs.sparkSession)
     path = tokenizer or default_tokenizer()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
 
     def encode(batches):
-        table = trie_chunks(path, kept)
-        for whole in batches:
-            for b in pieces(whole):
-                lists = [chunks(t) for t in b.column("text").to_pylist()]
-                known = table.of(lists)
-                out: dict[str, list] = {"n_tokens": [], "a": [], "b": []}
-                for x in lists:
-                    got = [known[c] for c in x]
-                    ids, text = b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[1]])
-                    out["n_tokens"].append(len(ids) // 4)
-                    out["a"].append(hashlib.sha256(ids).hexdigest() if digest else ids)
-                    out["b"].append(hashlib.sha256(text.encode()).hexdigest() if digest else text)
-                yield rows_of({"doc_id": b.column("doc_id"), "n_tokens": out["n_tokens"], schema.names[2]: out["a"], schema.names[3]: out["b"]}, schema)
+        return _codes(batches, trie_chunks(path, kept), schema, digest)
 
     return arrow(rows, "trie", encode, ddl)
 
