@@ -7,7 +7,7 @@ import pytest
 
 from tributary.llm import bpe, token_output
 from tributary.llm.common import scratch
-from tributary.llm.tokens import default_tokenizer
+from tributary.llm.tokens import LibraryIds, default_tokenizer
 
 ODD = [
     None, "", " ", "Hello world", "don't WE'LL it's 123 4x5", "Grüße ÉCOLE naïve Å ΑΣ ΣΑΣ İstanbul", "áb  é", "\x1c\x1d mixed\x1ewords\x1f",
@@ -158,3 +158,53 @@ def test_few_kept_chunks_keep_the_tables_small(library):
         ids += b.column("ids").to_pylist()
     assert most < 8_000
     assert ids == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+class Counted:
+    """A tokenizer that counts what is asked of it."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.calls = tokenizer, 0
+
+    def __getattr__(self, name):
+        self.calls += 1
+        return getattr(self.tokenizer, name)
+
+
+def as_library(library, texts):
+    return [np.array(library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+def test_distinct_chunks_share_calls_of_the_library(library):
+    r = random.Random(11)
+    texts = [" ".join("".join(r.choices("aeinrstAÉ.,7", k=8)) for _ in range(100)) for _ in range(50)]
+    mine = LibraryIds(default_tokenizer())
+    mine.tokenizer = Counted(library)
+    assert mine.of(texts) == as_library(library, texts)
+    assert mine.tokenizer.calls <= 10
+
+
+def test_chunks_that_hold_the_mark(library, tmp_path):
+    """Whatever ids the mark has and wherever it stands, a text has the ids of the library."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    marked = ["\x01", "a\x01 b \x01\x01", "\x01x \x01", "\x01<|endoftext|>\x01 y", "\u0301 \x01\u0301 h\u0331", "\x01\x01\x01 " * 2000]
+    texts = [t or "" for t in ODD] + noise(5, 200) + marked
+    assert LibraryIds(default_tokenizer()).of(texts) == as_library(library, texts)
+    assert [LibraryIds(default_tokenizer()).of([t])[0] for t in texts] == as_library(library, texts)
+    with open(default_tokenizer(), encoding="utf-8") as f:
+        spec = json.load(f)
+    letter = "\u0101</w>"
+    spec["model"]["merges"] = [m for m in spec["model"]["merges"] if letter not in m]
+    made = {"".join(m) for m in spec["model"]["merges"]}
+    spec["model"]["vocab"] = {t: i for t, i in spec["model"]["vocab"].items() if t != letter or t in made}
+    for unknown in (None, "!</w>"):
+        spec["model"]["unk_token"] = unknown
+        path = str(tmp_path / "other.json")
+        with open(path, "w", encoding="utf-8") as f:
+            json.dump(spec, f)
+        other = Tokenizer.from_file(path)
+        assert other.encode("\x01", add_special_tokens=False).ids != library.encode("\x01", add_special_tokens=False).ids
+        assert LibraryIds(path).of(texts) == as_library(other, texts)
