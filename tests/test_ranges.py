@@ -38,3 +38,13 @@ def test_first_of_a_range_forms_no_pairs(spark):
     x, *ends = combine._held_by(p, scope)
     rows = combine._least(sided["a"], combine._number(x), sided["b"], tuple(ends), p.whole, F.col("b__k"), True).count()
     assert sum(len(m) for m in found.values()) > 100_000 and rows < 20 * 400
+
+
+def test_pairs_of_small_inputs_come_from_many_tasks(spark):
+    """As many as are set for pairs, though the inputs would fit one."""
+    left, right, found = sides(spark)
+    body = "emit id = a.id\nemit k = b.k"
+    df = combine.combine({"a": left, "b": right}, WHERE, body, match="all", on_miss="skip").withColumn("task", F.spark_partition_id())
+    rows = df.collect()
+    assert sorted((r.id, r.k) for r in rows) == sorted((i, k) for i, m in found.items() for k in m)
+    assert len({r.task for r in rows}) > 8
