@@ -48,3 +48,15 @@ def test_pairs_of_small_inputs_come_from_many_tasks(spark):
     rows = df.collect()
     assert sorted((r.id, r.k) for r in rows) == sorted((i, k) for i, m in found.items() for k in m)
     assert len({r.task for r in rows}) > 8
+
+
+def test_missed_ranges_are_found_without_shuffling_pairs(spark):
+    """Repeated drivers, misses once each, and nothing after the pairs but the projection."""
+    left, right, found = sides(spark)
+    body = "emit id = a.id\nemit k = b.k"
+    df = combine.combine({"a": left.union(left.where("id < 3")), "b": right}, WHERE, body, match="all")
+    want = [(i, k) for i, m in found.items() for _ in range(1 + (0 <= i < 3 or i < 0)) for k in (m or [-99])]
+    assert sorted((r.id, -99 if r.k is None else r.k) for r in df.collect()) == sorted(want)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Generate explode(_held")]
+    assert "Aggregate" not in above and "Join" not in above and "Union" not in above
