@@ -305,7 +305,9 @@ def _picked(out: DataFrame, build: DataFrame, p: Predicate, scope: Scope, name:
     picked for each key before the join. Otherwise pairs are grouped by the driver
     row itself: equal driver rows have equal matches and are one row, with a
     count, meanwhile. No row goes by a generated id, which another run of its task
-    could deal out differently.
+    could deal out differently. With equalities pairs and misses come out of one join,
+    since a driver planned twice need not be the same twice: a mean of doubles follows
+    the order in which its parts come in.
     """
     ord_col = f"{name}___ord"
     place = F.col(f"`{ord_col}`") if ord_col in build.columns else F.xxhash64(*[F.col(f"`{c}`") for c in build.columns])
@@ -322,6 +324,8 @@ def _picked(out: DataFrame, build: DataFrame, p: Predicate, scope: Scope, name:
     if point:
         x, *ends = point
         pairs = _least(held, _number(x), _own(build, p), tuple(ends), p.whole, place, on_miss != "skip")
+    elif p.equal or not (p.rising or p.falling):
+        pairs = held.join(build.withColumn("_row", row), p.whole, "inner" if on_miss == "skip" else "left").select(*[F.col(f"`{c}`") for c in held.columns], "_row")
     else:
         pairs = _pairs(held, build, p, scope).select(*[F.col(f"`{c}`") for c in held.columns], row.alias("_row"))
         if on_miss != "skip":
