@@ -181,6 +181,10 @@ def read_csv(
     return _file(reader.schema(text).csv(paths))
 
 
+#: Control characters that stand in no JSON unescaped.
+NO_LINE = "\x00\x01\x00\x02"
+
+
 def read_json(spark: SparkSession, paths: list[str], schema: list, layout: str = "ndjson", record_path: str | None = None, declared_only: bool = False, sections: dict[str, str] | None = None) -> DataFrame:
     """array and ndjson layouts, or object with the dotted path of its array of records.
 
@@ -188,14 +192,16 @@ def read_json(spark: SparkSession, paths: list[str], schema: list, layout: str =
     every record as $doc.name.field.
 
     Finding out what other columns there are takes a pass over the files; with
-    declared_only there is none, and undeclared columns are not read.
+    declared_only there is none, and undeclared columns are not read. A file of
+    layout array or object is one task's work and must fit its memory.
     """
     reader = spark.read.option("primitivesAsString", True)
     if declared_only and layout != "object":
         reader = reader.schema(T.StructType([T.StructField(f.source_name or f.name, T.StringType()) for f in fields_of(schema)]))
     if layout == "ndjson":
         return _file(reader.json(paths))
-    rows = _file(reader.option("multiLine", True).json(paths))
+    # A file is one line, since no JSON holds this: the multi-line reader goes back into its file for every number that it reads as text.
+    rows = _file(reader.option("lineSep", NO_LINE).json(paths))
     if layout == "object":
         parts = [F.col(path).alias(f"_doc_{name}") for name, path in (sections or {}).items()]
         rows = rows.select(F.explode(record_path).alias("_r"), "_file", *parts).select("_r.*", "_file", *[f"_doc_{name}" for name in sections or {}])

@@ -15,6 +15,10 @@ from tributary.operators.rows import project, scale_decimals, sort
 from tributary.sources.readers import SEGMENTS, fields_of
 
 
+#: Bytes of a file that is one array of JSON.
+ARRAY_BYTES = 16 << 20
+
+
 def _target(df: DataFrame, path: str, if_exists: str) -> tuple[str, str]:
     if if_exists == "unique_suffix":
         return f"{path}-{datetime.datetime.now(datetime.UTC):%Y%m%dT%H%M%S%f}", "errorifexists"
@@ -29,7 +33,7 @@ def write(
     """Projects, scales, sorts and writes; returns the path. fan_out gives each value of its columns a folder of its own.
 
     JSON has decimals as strings; layout array makes each file one array of
-    records. Spark's committer makes the output appear whole or not at all. meta
+    records, of ARRAY_BYTES at most or of one record. Spark's committer makes the output appear whole or not at all. meta
     puts a sidecar of provenance beside it, with what a dict adds; rows are counted
     as they are written. A path with {source_file} or {source_path} gives each source
     file's rows a folder below what comes before it. JSON leaves null columns out
@@ -60,7 +64,7 @@ def write(
         if layout == "array":
             if fan_out or max_records:
                 raise ValueError("an array of records is one file a partition: no fan_out, no max_records")
-            df, kind = json_arrays(df, preserve_nulls), "lines"
+            df, kind, max_records = json_arrays(df, preserve_nulls), "lines", 1
     elif kind == "xml":
         df = xml_shape(df, attributes or [], arrays or {})
     out = df.write.mode(mode)
@@ -101,20 +105,25 @@ def xml_shape(df: DataFrame, attributes: list[str], arrays: dict[str, dict]) ->
 
 
 def json_arrays(df: DataFrame, preserve_nulls: bool = False) -> DataFrame:
-    """Lines that make each partition one array of records, streamed."""
+    """Texts that are arrays of records, one a line, of ARRAY_BYTES at most or of one record; a partition without rows is an empty one."""
     lines = df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": str(not preserve_nulls).lower()}).alias("value"))
+    room = ARRAY_BYTES
 
     def framed(batches):
         import pyarrow as pa
 
-        before = "["
+        whole = lambda held: pa.RecordBatch.from_arrays([pa.array(["[" + "\n,".join(held) + "\n]" if held else "[]"], pa.string())], ["value"])
+        held, size, none = [], 0, True
         for b in batches:
-            held = []
             for x in b.column(0).to_pylist():
-                held.append(before + x)
-                before = ","
-            yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], ["value"])
-        yield pa.RecordBatch.from_arrays([pa.array(["]" if before == "," else "[]"], pa.string())], ["value"])
+                more = len(x.encode()) + 2
+                if held and size + more > room:
+                    yield whole(held)
+                    held, size = [], 0
+                held.append(x)
+                size, none = size + more, False
+        if held or none:
+            yield whole(held)
 
     return lines.mapInArrow(framed, "value string")
 
